@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadline.llm import bpe, langid, quality, secrets, sharding, simhash
+from threadline.llm import bpe, ctw, langid, quality, secrets, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": over_documents(bpe.op6),
         "op7_simhash_near_dedup": over_documents(simhash.op7),
         "op8_quality_rules": over_documents(quality.op8),
+        "op9_lm_scoring": over_documents(ctw.op9),
         "op10_secret_scans": over_documents(secrets.op10),
     }
 
