@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadline.llm import bpe, ctw, langid, quality, secrets, sharding, simhash
+from threadline.llm import bpe, ctw, decontam, langid, quality, secrets, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,15 @@ def over_documents(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessi
     return lambda spark, sf_dir: fn(_docs(spark, sf_dir))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op3(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": over_documents(langid.op1),
         "op2_sharding": over_documents(sharding.op2),
+        "op3_decontamination": op3,
         "op6_bpe": over_documents(bpe.op6),
         "op7_simhash_near_dedup": over_documents(simhash.op7),
         "op8_quality_rules": over_documents(quality.op8),
