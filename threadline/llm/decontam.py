@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
-WALKS, SAMPLES, SAMPLED = 8, 6, 3
+WALKS, SAMPLES, SAMPLED = 6, 6, 3
+_DOCS = 1000
 BLOCK_ITEMS = 10_000
 WORDS = re.compile(r"\w+")
 _FILTER_BITS = 22
@@ -166,12 +167,11 @@ class Index:
             return np.empty(0, np.int64)
         first, last = hits[: len(hits) - least + 1], hits[least - 1 :]
         near = last - first <= span - 3
-        low, high = np.maximum(last[near] - span + 3, 0), np.minimum(first[near], size - m)
-        edge = np.zeros(size + 2, np.int32)
-        good = low <= high
-        np.add.at(edge, low[good], 1)
-        np.add.at(edge, high[good] + 1, -1)
-        return np.flatnonzero(np.cumsum(edge[:size]) > 0)
+        low, high = np.maximum(last[near] - span + 3, 0), np.minimum(first[near], size - m) + 1
+        # Both ends ascend, so the union of these ranges is read off by where each passes the former ones.
+        low = np.maximum(low, np.concatenate([[0], np.maximum.accumulate(high)[:-1]])[: len(low)])
+        n_of = np.maximum(high - low, 0)
+        return np.repeat(low - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start word, end word, distance) of every match."""
@@ -201,11 +201,13 @@ class Index:
             for walk in self.walks[m]:
                 for keys in self.sampled(x, starts, m, walk):
                     known, items = next(tables)
-                    low, high = np.searchsorted(known, keys), np.searchsorted(known, keys, side="right")
-                    for k in np.flatnonzero(high > low).tolist():
-                        doc = int(np.searchsorted(bounds, starts[k], side="right"))
-                        for i in items[low[k] : high[k]].tolist():
-                            found[doc, i].add(int(starts[k]))
+                    low = np.searchsorted(known, keys)
+                    same = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == keys)
+                    high = np.searchsorted(known, keys[same], side="right")
+                    docs = np.searchsorted(bounds, starts[same], side="right")
+                    for doc, p, i, j in zip(docs.tolist(), starts[same].tolist(), low[same].tolist(), high.tolist(), strict=True):
+                        for item in items[i:j].tolist():
+                            found[doc, item].add(p)
         out = []
         for (doc, i), places in found.items():
             item, d = self.items[i], allowed(len(self.items[i]))
@@ -250,8 +252,8 @@ def find(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
             names = pa.array([i for i, _ in shared.value])
             index = Index([t for _, t in shared.value])
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
+                for at in range(0, batch.num_rows, _DOCS):
+                    part = batch.slice(at, _DOCS)
                     rows = np.array(index.scan(part.column(1).to_pylist()), np.int32).reshape(-1, 5)
                     if len(rows):
                         n = np.array([len(index.items[i]) for i in rows[:, 1]])
@@ -273,8 +275,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int =
             index = Index(shared.value)
             for texts in batches:
                 out = np.ones(len(texts), bool)
-                for at in range(0, len(texts), 500):
-                    for row in index.scan(texts.iloc[at : at + 500].tolist()):
+                for at in range(0, len(texts), _DOCS):
+                    for row in index.scan(texts.iloc[at : at + _DOCS].tolist()):
                         out[at + row[0]] = False
                 yield pd.Series(out)
 
