@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadline.llm import bpe, ctw, decontam, langid, quality, secrets, sharding, simhash
+from threadline.llm import bpe, ctw, decontam, langid, line_dedup, quality, secrets, sharding, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": over_documents(langid.op1),
         "op2_sharding": over_documents(sharding.op2),
         "op3_decontamination": op3,
+        "op4_line_dedup": over_documents(line_dedup.op4),
         "op6_bpe": over_documents(bpe.op6),
         "op7_simhash_near_dedup": over_documents(simhash.op7),
         "op8_quality_rules": over_documents(quality.op8),
