@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadline.llm import bpe, ctw, decontam, langid, line_dedup, quality, secrets, sharding, simhash
+from threadline.llm import bpe, ctw, decontam, langid, line_dedup, quality, secrets, sharding, simhash, substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": over_documents(sharding.op2),
         "op3_decontamination": op3,
         "op4_line_dedup": over_documents(line_dedup.op4),
+        "op5_substring_dedup": over_documents(substring_dedup.op5),
         "op6_bpe": over_documents(bpe.op6),
         "op7_simhash_near_dedup": over_documents(simhash.op7),
         "op8_quality_rules": over_documents(quality.op8),
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_substring_dedup": substring_dedup.ORACLE}
