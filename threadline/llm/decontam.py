@@ -38,7 +38,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
@@ -265,22 +266,26 @@ def find(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
     return found
 
 
+def _clean(texts: Column, shared: Broadcast) -> Column:
+    """Whether no item of shared is found in a text."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(shared.value)
+        for batch in batches:
+            out = np.ones(len(batch), bool)
+            for at in range(0, len(batch), _DOCS):
+                for row in index.scan(batch.iloc[at : at + _DOCS].tolist()):
+                    out[at + row[0]] = False
+            yield pd.Series(out)
+
+    return clean(texts)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents in which no item is found; all columns stay as they are."""
     for items in _blocks(benchmark, block_items):
-        shared = docs.sparkSession.sparkContext.broadcast([r["text"] for r in items])
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            index = Index(shared.value)
-            for texts in batches:
-                out = np.ones(len(texts), bool)
-                for at in range(0, len(texts), _DOCS):
-                    for row in index.scan(texts.iloc[at : at + _DOCS].tolist()):
-                        out[at + row[0]] = False
-                yield pd.Series(out)
-
-        docs = docs.filter(clean("text"))
+        docs = docs.filter(_clean(F.col("text"), docs.sparkSession.sparkContext.broadcast([r["text"] for r in items])))
     return docs
 
 
