@@ -1,0 +1,79 @@
+"""Text expressions: normalising, redaction, classes, token sets."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from threadline.functions.columns import c
+
+#: The types that a conventional title can name.
+TASKS = {"feat": "feature", "fix": "bug_fix", "docs": "documentation", "test": "test", "refactor": "refactor", "perf": "performance", "build": "build", "ci": "build", "chore": "chore", "style": "chore", "revert": "revert"}
+ACKNOWLEDGE = r"\b(thanks|thank you|done|fixed|good catch|agreed|will do|ok|okay)\b"
+INVOKE = r"(^|\s)@[a-z0-9-]+|^/[a-z]+"
+PLATFORM = r"(automatically generated|this is an automated|rate limit|quota)"
+
+
+def normalise(text: Column | str) -> Column:
+    """Lower case, without mark-up, addresses or hashes, single spaces."""
+    x = F.lower(c(text))
+    for pattern, by in ((r"<[^>]+>", " "), (r"https?://[^ \t\n]+", " "), (r"\b[0-9a-f]{7,40}\b", " "), (r"[^a-z0-9 ]+", " "), (r" +", " ")):
+        x = F.regexp_replace(x, pattern, by)
+    return F.trim(x)
+
+
+def unescape(text: Column | str) -> Column:
+    """The five named HTML entities and two spaces, ampersand last."""
+    x = c(text)
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = F.replace(x, F.lit(name), F.lit(char))
+    return x
+
+
+def redact(text: Column | str, max_chars: int = 2000) -> Column:
+    """Secrets, addresses and mails by marks; blanks collapsed; cut to max_chars."""
+    x = c(text)
+    for pattern, by in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"https?://[^ \t\n]+", "[URL]"), (r"\b[0-9a-f]{32,}\b", "[TOKEN]"), (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "[IP]"), (r"[ \t]+", " ")):
+        x = F.regexp_replace(x, pattern, by)
+    return F.substring(x, 1, max_chars)
+
+
+def word_count(text: Column | str) -> Column:
+    return F.size(F.regexp_extract_all(c(text), F.lit(r"[A-Za-z0-9']+"), F.lit(0))).cast("bigint")
+
+
+def reply_class(text: Column | str, floor: int = 12) -> Column:
+    """Platform text, then calls of an agent, then short acknowledgements, then the rest."""
+    x = F.lower(c(text))
+    return (
+        F.when(x.rlike(PLATFORM), "platform_generated")
+        .when(x.rlike(INVOKE), "agent_invocation")
+        .when(x.rlike(ACKNOWLEDGE) & (word_count(x) < floor), "acknowledgement_only")
+        .otherwise("substantive_response")
+    )
+
+
+def task_of_title(title: Column | str) -> Column:
+    """The task that a conventional prefix names; others are null."""
+    kind = F.regexp_extract(F.lower(F.trim(c(title))), r"^([a-z]+)(\([^)]*\))?!?:", 1)
+    return F.try_element_at(F.create_map(*(F.lit(x) for k, v in TASKS.items() for x in (k, v))), kind)
+
+
+def issue_refs(text: Column | str) -> Column:
+    """Distinct issue numbers that a text names with #."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c(text), F.lit(r"#([0-9]{1,7})"), F.lit(1)), lambda x: x.cast("bigint"))))
+
+
+def tokens(text: Column | str) -> Column:
+    """Distinct words of a normalised text."""
+    return F.array_distinct(F.filter(F.split(normalise(text), " "), lambda w: w != ""))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared over all members of two sets; 0 where both are empty."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
+
+
+def containment(a: Column, b: Column) -> Column:
+    """Shared over the smaller of two sets."""
+    return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b)).cast("double"))
