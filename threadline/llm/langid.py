@@ -25,10 +25,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import crc_mod
+from threadline.llm.common import crc_mod, cut
 
 MAX_TRAIN_DOCS = 20_000
 MAX_LANGS = 200
@@ -109,40 +110,37 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _most(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent grams, each with its counts in all languages: one row per gram, at most so many."""
-    by_gram = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    return by_gram.orderBy(F.desc("total"), "gram").limit(most)
+    """lang, gram, n of the most frequent grams: at most so many grams, whatever the corpus."""
+    totals = counts.groupBy("gram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(most)
+    return cut(counts.join(F.broadcast(totals.select("gram")), "gram").select("lang", "gram", "n"))
 
 
-def _table(rows: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    counts = np.zeros((len(rows), len(langs)))
-    at = {x: i for i, x in enumerate(langs)}
-    for i, row in enumerate(rows):
-        for x in row["by_lang"]:
-            counts[i, at[x["lang"]]] += x["n"]
-    return {row["gram"]: i for i, row in enumerate(rows)}, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(rows) + 1))
+def _table(counts: DataFrame, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of the grams, and the log share that each has of a language."""
+    table = counts.toArrow()
+    gram = pc.dictionary_encode(table.column("gram")).combine_chunks()
+    lang = pc.index_in(table.column("lang"), pa.array(langs, pa.string())).to_numpy()
+    n = np.zeros((len(gram.dictionary), len(langs)))
+    n[gram.indices.to_numpy(), lang] = table.column("n").to_numpy()
+    return {g: i for i, g in enumerate(gram.dictionary.to_pylist())}, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n) + 1))
 
 
 def fit(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """labelled: lang, text. At most about max_train_docs of its rows are learned from, drawn alike in every language."""
     labelled = labelled.filter("lang is not null and text is not null").select("lang", "text")
     by_lang = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    total = sum(r["count"] for r in by_lang)
     langs = sorted(r["lang"] for r in by_lang)
     if not langs:
         return Model([])
-    share = min(1.0, max_train_docs / total)
+    share = min(1.0, max_train_docs / sum(r["count"] for r in by_lang))
     sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    counts = sample.mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = cut(sample.mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     words = _most(counts, max_words)
-    rows = words.collect()
-    flat = [(x["lang"], r["gram"], x["n"]) for r in rows for x in r["by_lang"]]
-    if not flat:
+    if words.isEmpty():
         return Model(langs)
-    spread = words.select(F.explode("by_lang").alias("x"), "gram").select("x.lang", "gram", "x.n").repartition(12, "gram")
-    grams_of = spread.mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    known, scores = _table(rows, langs)
-    known_grams, gram_scores = _table(_most(grams_of, max_grams).collect(), langs)
+    grams_of = words.repartition("gram").mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    known, scores = _table(words, langs)
+    known_grams, gram_scores = _table(_most(cut(grams_of), max_grams), langs)
     return Model(langs, known, known_grams, scores, gram_scores)
 
 
