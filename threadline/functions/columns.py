@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +16,11 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row even where body names it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse_time(text: Column | str, pattern: str = "yyyy-MM-dd'T'HH:mm:ssX") -> Column:
     """UTC time of an ISO text; bad text is null."""
     return F.try_to_timestamp(c(text), F.lit(pattern))
@@ -181,6 +184,3 @@ def half_width(flag: Column, z: float = 1.96) -> Column:
     """Half the normal interval of a rate."""
     p = rate(flag)
     return z * F.sqrt(p * (1 - p) / F.count(flag))
-
-
-LN2 = math.log(2)

@@ -6,18 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadline.functions.columns import c
+from threadline.functions.columns import c, let
 from threadline.functions.text import normalise
 
 
 def word_grams(text: Column | str, longest: int = 2) -> Column:
     """Words and runs of words of a normalised text, repeats included."""
     words = F.filter(F.split(normalise(text), " "), lambda w: w != "")
-    runs = [words]
-    for n in range(2, longest + 1):
+
+    def runs(words: Column, n: int) -> Column:
         place = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(place, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-    return F.concat(*runs)
+        return F.transform(place, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+
+    return let(words, lambda w: F.concat(w, *(runs(w, n) for n in range(2, longest + 1))))
 
 
 def char_grams(text: Column | str, n: int) -> Column:
@@ -25,9 +26,11 @@ def char_grams(text: Column | str, n: int) -> Column:
     words = F.filter(F.split(normalise(text), " "), lambda w: w != "")
 
     def of_word(w: Column) -> Column:
-        padded = F.concat(F.lit(" "), w, F.lit(" "))
-        size = F.char_length(padded)
-        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array(padded))
+        def cut(padded: Column) -> Column:
+            size = F.char_length(padded)
+            return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substr(padded, i, F.lit(n)))).otherwise(F.array(padded))
+
+        return let(F.concat(F.lit(" "), w, F.lit(" ")), cut)
 
     return F.flatten(F.transform(words, of_word))
 
