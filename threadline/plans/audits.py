@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadline.functions import columns as X
@@ -20,11 +21,12 @@ def q_overlap(spark, d):
     return audit.key_overlap(t(spark, d, "documents", "doc_id"), t(spark, d, "labels", "doc_id").filter("doc_id % 2 = 0"), "doc_id")
 
 
-STEPS = {"all": F.lit(True), "closed": F.col("closed_dt").isNotNull(), "merged": F.col("merged_dt").isNotNull(), "within_30_days": F.col("merged_dt") <= X.after("created_dt", days=30), "urgent": F.col("agent") == "1-URGENT"}
+def steps() -> dict[str, Column]:
+    return {"all": F.lit(True), "closed": F.col("closed_dt").isNotNull(), "merged": F.col("merged_dt").isNotNull(), "within_30_days": F.col("merged_dt") <= X.after("created_dt", days=30), "urgent": F.col("agent") == "1-URGENT"}
 
 
 def q_waterfall(spark, d):
-    return audit.waterfall(B.pull_requests(spark, d), STEPS)
+    return audit.waterfall(B.pull_requests(spark, d), steps())
 
 
 def q_checks(spark, d):
@@ -56,16 +58,17 @@ def q_difference(spark, d):
     return audit.set_difference(a, t(spark, d, "labels", "doc_id"))
 
 
-CODES = {
-    "RESPONSE_NOT_AFTER_TRIGGER": F.col("interaction_dt") <= F.col("trigger_dt"),
-    "RESPONSE_AFTER_WINDOW": F.col("interaction_dt") > X.after("trigger_dt", days=3),
-    "PARENT_IS_OTHER_EVENT": F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("trigger_event_id")),
-    "SAME_ACTOR_AS_AUTHOR": F.col("actor_login") == F.col("author_login"),
-}
+def codes() -> dict[str, Column]:
+    return {
+        "RESPONSE_NOT_AFTER_TRIGGER": F.col("interaction_dt") <= F.col("trigger_dt"),
+        "RESPONSE_AFTER_WINDOW": F.col("interaction_dt") > X.after("trigger_dt", days=3),
+        "PARENT_IS_OTHER_EVENT": F.col("parent_id").isNotNull() & (F.col("parent_id") != F.col("trigger_event_id")),
+        "SAME_ACTOR_AS_AUTHOR": F.col("actor_login") == F.col("author_login"),
+    }
 
 
 def q_contracts(spark, d):
-    out = audit.violations(responses(spark, d), CODES)
+    out = audit.violations(responses(spark, d), codes())
     return out.select("pr_id", "event_id", F.array_join("violations", ",").alias("violations"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadline.functions import columns as X
@@ -50,7 +50,11 @@ rs AS (
       WHEN user_type = 'Bot' THEN 'other_bot' ELSE 'branch_movement_untyped' END AS state
   FROM rs0)"""
 )
-MOVED = F.col("source") == "purchase"
+
+
+def moved() -> Column:
+    """The test events' stand-in for a branch movement."""
+    return F.col("source") == "purchase"
 
 
 def feedback(spark: SparkSession, d: str) -> DataFrame:
@@ -62,20 +66,21 @@ def triggers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
-    out = cohort.response_events(triggers(spark, d), B.interactions(spark, d), movement=MOVED)
-    return out.withColumn("state", X.atomic_state(F.col("actor_agent"), F.col("user_type"), MOVED))
+    out = cohort.response_events(triggers(spark, d), B.interactions(spark, d), movement=moved())
+    return out.withColumn("state", X.atomic_state(F.col("actor_agent"), F.col("user_type"), moved()))
 
 
-COUNTERS = {
-    "exact_replies": F.col("exact_reply"),
-    "later_views": F.col("source") == "view",
-    "later_clicks": F.col("source") == "click",
-    "movements": F.col("source") == "purchase",
-}
+def counters() -> dict[str, Column]:
+    return {
+        "exact_replies": F.col("exact_reply"),
+        "later_views": F.col("source") == "view",
+        "later_clicks": F.col("source") == "click",
+        "movements": F.col("source") == "purchase",
+    }
 
 
 def chains(spark: SparkSession, d: str) -> DataFrame:
-    return cohort.response_chains(triggers(spark, d), responses(spark, d), COUNTERS)
+    return cohort.response_chains(triggers(spark, d), responses(spark, d), counters())
 
 
 def q_feedback(spark, d):
@@ -106,7 +111,7 @@ def q_actor_roles(spark, d):
 
 
 def q_chains(spark, d):
-    return chains(spark, d).select("pr_id", *COUNTERS, "n_responses", "any_response", "merged_within_window")
+    return chains(spark, d).select("pr_id", *counters(), "n_responses", "any_response", "merged_within_window")
 
 
 def q_funnel(spark, d):
@@ -123,20 +128,21 @@ def q_first_owner(spark, d):
 
 
 def q_routes(spark, d):
-    return cohort.routes(triggers(spark, d), responses(spark, d), movement=MOVED).select("pr_id", "route")
+    return cohort.routes(triggers(spark, d), responses(spark, d), movement=moved()).select("pr_id", "route")
 
 
 def q_route_speed(spark, d):
-    r = cohort.routes(triggers(spark, d), responses(spark, d), movement=MOVED)
+    r = cohort.routes(triggers(spark, d), responses(spark, d), movement=moved())
     return r.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.round(F.median(X.hours("trigger_dt", "person_dt")), 6).alias("median_person_hours"), F.round(F.median(X.hours("trigger_dt", "machine_dt")), 6).alias("median_machine_hours"))
 
 
-KINDS = {"all": F.lit(True), "user": F.col("user_type") == "User", "bot": F.col("user_type") == "Bot", "movement": F.col("source") == "purchase"}
+def kinds() -> dict[str, Column]:
+    return {"all": F.lit(True), "user": F.col("user_type") == "User", "bot": F.col("user_type") == "Bot", "movement": F.col("source") == "purchase"}
 
 
 def q_pretrigger(spark, d):
-    out = cohort.pretrigger_features(triggers(spark, d), B.interactions(spark, d), KINDS)
-    return out.select("pr_id", *(f"pre_{k}" for k in KINDS), F.round("log1p_all", 9).alias("log1p_all"), "pre_last_dt")
+    out = cohort.pretrigger_features(triggers(spark, d), B.interactions(spark, d), kinds())
+    return out.select("pr_id", *(f"pre_{k}" for k in kinds()), F.round("log1p_all", 9).alias("log1p_all"), "pre_last_dt")
 
 
 def q_exposures(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import columns as X
 from threadline.operators import sequence
-from threadline.plans.cohorts import MOVED, RESPONSE_SQL, TRIGGER_SQL, responses, triggers
+from threadline.plans.cohorts import RESPONSE_SQL, TRIGGER_SQL, moved, responses, triggers
 from threadline.sources import bindings as B
 
 THRESHOLDS = [0, 60, 180, 600]
@@ -46,7 +46,7 @@ def _states(spark, d):
 
 
 def _events(spark, d):
-    return B.interactions(spark, d).withColumn("state", X.atomic_state(F.col("actor_agent"), F.col("user_type"), MOVED))
+    return B.interactions(spark, d).withColumn("state", X.atomic_state(F.col("actor_agent"), F.col("user_type"), moved()))
 
 
 def _episodes(spark, d):
