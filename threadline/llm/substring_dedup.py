@@ -42,7 +42,7 @@ WINDOW, GRAM = 13, 5
 WIN_BYTES = 6
 MAX_RUNS = 4
 #: Documents for each bucket of the index.
-BUCKET_DOCS = 8_000
+BUCKET_DOCS = 4_000
 MEMO = 400_000
 _SLICE_WORDS = 1_000_000
 ENTRY = "bucket int, anchor long, doc_id long, twin int, place int, mask int, windows binary"
@@ -196,11 +196,11 @@ class _Expanded:
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) and texts.buffers()[2] else np.empty(0, np.uint8)
         wide = np.zeros((len(raw) // WIN_BYTES, 8), np.uint8)
         wide[:, :WIN_BYTES] = raw.reshape(-1, WIN_BYTES)
-        row = np.repeat(np.arange(self.rows), counts)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        left = np.flatnonzero((self.mask[row] >> nth & 1) == 0)
+        row = np.repeat(np.arange(self.rows, dtype=np.int32), counts)
+        nth = (np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)).astype(np.int8)
+        left = (self.mask[row] >> nth & 1) == 0
         self.row, self.nth = row[left], nth[left]
-        self.window = wide.view("<u8")[:, 0][left].astype(np.uint64)
+        self.window = wide.view("<u8")[:, 0][left]
         self.anchor = column["anchor"].to_numpy(zero_copy_only=False).view(np.uint64)[self.row]
         self.key = _joint(self.anchor, self.window)
 
@@ -235,14 +235,21 @@ def _within(table: pa.Table) -> pa.Table:
     return _spots(e, order[hit], True)
 
 
-def _against(new: pa.Table, old: pa.Table) -> pa.Table:
-    e, h = _Expanded(new), _Expanded(old)
+def _first_windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct window of a table, ascending by key: key, anchor, window, least doc_id."""
+    h = _Expanded(table)
     order, begins, least = h.least()
-    if not len(begins) or not len(e.key):
-        return _spots(e, np.empty(0, np.int64), False)
     first = order[begins]
-    at = np.minimum(np.searchsorted(h.key[first], e.key), len(first) - 1)
-    hit = (e.key == h.key[first[at]]) & (e.anchor == h.anchor[first[at]]) & (e.window == h.window[first[at]]) & (e.doc[e.row] > least[at])
+    return h.key[first], h.anchor[first], h.window[first], least
+
+
+def _against(new: pa.Table, old: pa.Table) -> pa.Table:
+    key, anchor, window, least = _first_windows(old)
+    e = _Expanded(new)
+    if not len(key) or not len(e.key):
+        return _spots(e, np.empty(0, np.int64), False)
+    at = np.minimum(np.searchsorted(key, e.key), len(key) - 1)
+    hit = (e.key == key[at]) & (e.anchor == anchor[at]) & (e.window == window[at]) & (e.doc[e.row] > least[at])
     return _spots(e, np.flatnonzero(hit), False)
 
 
