@@ -1,0 +1,179 @@
+"""Small scenarios for operators whose rules are easy to get wrong."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from threadline.functions import columns as X
+from threadline.functions import text as T
+from threadline.operators import asof, audit, cohort, ledger, matching, sequence, survival
+from threadline.sources import tables
+from threadline.streaming import events as S
+
+DAY0 = datetime(2024, 1, 1)
+ITEM = "pr_id long, repo_id long, user_id long, agent string, created_dt timestamp_ntz, closed_dt timestamp_ntz, merged_dt timestamp_ntz"
+
+
+def day(n):
+    return None if n is None else DAY0 + timedelta(days=n)
+
+
+def items(spark, rows):
+    return spark.createDataFrame([(i, 1, u, a, day(c), day(x), day(m)) for i, u, a, c, x, m in rows], ITEM)
+
+
+def test_an_open_item_is_no_predecessor(spark):
+    df = items(spark, [(1, 1, "a", 0, 2, 2), (2, 1, "b", 1, 10, 10), (3, 2, "b", 3, 5, None)])
+    got = {r.pr_id: (r.prior_pr_id, r.switched) for r in ledger.transitions(df, F.lit(day(100))).collect()}
+    assert got == {3: (1, True)}
+
+
+def test_event_study_counts_from_the_onset(spark):
+    df = items(spark, [(i, 1, "a" if i < 3 else "b", i, i + 1, i + 1) for i in range(1, 6)])
+    assert sorted(r.event_index for r in ledger.event_study(df).collect()) == [-2, -1, 0, 1, 2]
+
+
+def test_transition_types(spark):
+    df = spark.createDataFrame([(True, False), (True, True), (False, False), (False, True), (None, False)], "same_user boolean, switched boolean")
+    got = [r[0] for r in df.select(X.transition_type()).collect()]
+    assert got == ["persistence", "brand_change_same_contributor", "contributor_change_stable_agent", "joint_reconfiguration", "joint_reconfiguration"]
+
+
+def test_three_step_chain_and_ties(spark):
+    df = items(spark, [(9, 1, "a", 0, 1, 1), (10, 1, "a", 2, 3, None), (11, 1, "a", 4, 5, None), (12, 1, "a", 6, None, None)])
+    got = {r.pr_id: (r.p1_pr_id, r.p2_pr_id, r.p3_pr_id, r.streak) for r in ledger.streaks(ledger.decision_chains(df)).collect()}
+    assert got[12] == (11, 10, 9, "2") and got[11] == (10, 9, None, "1") and got[10] == (9, None, None, "0")
+    tied = items(spark, [(1, 1, "a", 0, 2, None), (2, 1, "a", 1, 5, None), (3, 1, "a", 1, 5, None), (4, 1, "a", 6, 7, None)])
+    assert sorted(r.pr_id for r in ledger.resolved_events(tied).collect()) == [1, 4]
+
+
+@pytest.mark.parametrize(("start", "found"), [(20, 1), (60, 0)])
+def test_file_successor_within_the_window(spark, start, found):
+    df = items(spark, [(1, 1, "a", 0, 10, None), (2, 1, "b", start, start + 2, start + 2)])
+    files = spark.createDataFrame([(1, "x.py"), (1, "y.py"), (2, "x.py"), (2, "z.py")], "pr_id long, filename string")
+    got = ledger.file_successors(df, files).collect()
+    assert len(got) == found
+    if found:
+        assert (got[0].shared_files, got[0].mode, got[0].recovered) == (1, "brand_change_same_contributor", True)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_against_brute_force(spark, direction, strict):
+    import random
+
+    rng = random.Random(3)
+    left = [(i, rng.randrange(4), rng.choice([None, *range(12)])) for i in range(80)]
+    right = [(100 + i, rng.randrange(4), rng.choice([None, *range(12)])) for i in range(60)]
+    a = spark.createDataFrame([(i, k, day(t)) for i, k, t in left], "id long, k long, t timestamp_ntz")
+    b = spark.createDataFrame([(i, k, day(t)) for i, k, t in right], "id long, k long, t timestamp_ntz")
+    got = {r.id: r.prior_id for r in asof.asof_join(a, b, "t", "t", ["k"], ["id"], direction, strict, tie=["id"]).collect()}
+    for i, k, t in left:
+        ok = [(u, j) for j, q, u in right if t is not None and q == k and u is not None and (u < t if direction == "backward" else u > t) or (not strict and t is not None and q == k and u == t)]
+        want = None if not ok else (max(ok)[1] if direction == "backward" else min(ok)[1])
+        assert got[i] == want, (i, k, t)
+
+
+def test_alias_map_and_normalisers(spark):
+    df = spark.createDataFrame([("Bot-A",), ("bot-a",), ("human",), (None,)], "user string")
+    assert [r[0] for r in df.select(X.product_of("user", {"bot-A": "A"})).collect()] == ["A", "A", None, None]
+    urls = spark.createDataFrame([("https://example.org/Own/Name.git/",), ("git@example.org:own/name.git",), ("own/name",), ("bad",), (None,)], "u string")
+    assert [r[0] for r in urls.select(X.repo_slug("u")).collect()] == ["own/name"] * 3 + [None, None]
+    refs = spark.createDataFrame([("https://x/y/1#issuecomment-12",), ("https://x/y/1#discussion_r34",), ("none",)], "u string")
+    assert [r[0] and tuple(r[0]) for r in refs.select(X.comment_reference("u")).collect()] == [("issuecomment", 12), ("discussion_r", 34), None]
+    numbers = spark.createDataFrame([("7",), ("-1",), ("x",)], "n string")
+    assert [r[0] for r in numbers.select(X.positive_number("n")).collect()] == [7, None, None]
+    times = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("bad",)], "t string")
+    assert [r[0] is None for r in times.select(X.parse_time("t")).collect()] == [False, True]
+
+
+def test_reply_classes_and_titles(spark):
+    df = spark.createDataFrame([("Thanks, done",), ("@bot please fix",), ("This is an automated message",), ("I think the loop should stop earlier because of the bound",)], "t string")
+    assert [r[0] for r in df.select(T.reply_class("t")).collect()] == ["acknowledgement_only", "agent_invocation", "platform_generated", "substantive_response"]
+    titles = spark.createDataFrame([("feat(core)!: x",), ("Fix: y",), ("anything",)], "t string")
+    assert [r[0] for r in titles.select(T.task_of_title("t")).collect()] == ["feature", "bug_fix", None]
+
+
+def test_owner_ties_and_routes(spark):
+    t = spark.createDataFrame([(1, DAY0), (2, DAY0), (3, DAY0)], "pr_id long, trigger_dt timestamp_ntz")
+    rows = [(1, day(1), "other_human", "User", None, 24.0, "click"), (1, day(1), "other_bot", "Bot", None, 24.0, "view"), (2, day(1), "other_bot", "Bot", None, 24.0, "view"), (2, day(3), "other_human", "User", None, 72.0, "click")]
+    r = spark.createDataFrame(rows, "pr_id long, interaction_dt timestamp_ntz, owner string, user_type string, actor_agent string, hours_after double, source string")
+    first = {x.pr_id: x.first_owner for x in cohort.first_actions(t, r).collect()}
+    assert first == {1: "simultaneous_owners", 2: "other_bot", 3: "no_observed_action"}
+    assert {x.pr_id: x.route for x in cohort.routes(t, r).collect()} == {1: "human_first", 2: "automation_no_human", 3: "no_observed_action"}
+
+
+def test_episode_gap_is_strict(spark):
+    rows = [(1, i, DAY0 + timedelta(minutes=m)) for i, m in enumerate([0, 10, 20, 31])]
+    df = spark.createDataFrame(rows, "pr_id long, event_id long, interaction_dt timestamp_ntz")
+    assert [r.episode for r in sequence.episodes(df, 10).orderBy("event_id").collect()] == [1, 1, 1, 2]
+
+
+def test_greedy_matching_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice("xy"), rng.random() < 0.4, DAY0 + timedelta(hours=rng.randrange(400))) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, s string, arm boolean, t timestamp_ntz")
+    got = {(r.exposed_id, r.control_id) for r in matching.nearest_without_replacement(df, ["s"], "arm", "t", "id").collect()}
+    want = set()
+    for s in "xy":
+        free = [(t, i) for i, q, arm, t in rows if q == s and not arm]
+        for t, i in sorted((t, i) for i, q, arm, t in rows if q == s and arm):
+            if free:
+                below = [f for f in free if f < (t, i)]
+                above = [f for f in free if f > (t, i)]
+                pick = min([max(below)] * bool(below) + [min(above)] * bool(above), key=lambda f: abs(f[0] - t))
+                free.remove(pick)
+                want.add((i, pick[1]))
+    assert got == want
+
+
+def test_contracts_and_state(spark):
+    df = spark.createDataFrame([(1, day(0), day(1)), (2, day(2), day(1)), (3, None, day(1))], "id long, a timestamp_ntz, b timestamp_ntz")
+    codes = {"NO_START": F.col("a").isNull(), "NOT_AFTER": F.col("b") <= F.col("a")}
+    assert {r.id: r.violations for r in audit.violations(df, codes).collect()} == {1: [], 2: ["NOT_AFTER"], 3: ["NO_START"]}
+    life = spark.createDataFrame([(1, "closed", day(1), 0), (1, "reopened", day(2), 1), (1, "closed", day(9), 2)], "id long, kind string, t timestamp_ntz, n int")
+    assert audit.state_at(life, "id", "kind", "t", "n", F.lit(day(5))).collect()[0].state == "reopened"
+    assert [audit.graded(c, ["a"], ["b"]) for c in (["a", "b"], ["a"], ["b"])] == ["FULL", "CONDITIONAL", "INCOMPATIBLE"]
+
+
+def test_invariants_and_joins_fail_closed(spark):
+    df = spark.createDataFrame([(1, 2), (1, 3)], "k long, v long")
+    with pytest.raises(ValueError, match="not unique"):
+        tables.join_validated(df, df, ["k"])
+    with pytest.raises(ValueError, match="missing"):
+        tables.assert_columns(df, ["z"])
+    with pytest.raises(ValueError, match="invariants"):
+        ledger.require(df, {"small": F.col("v") < 3})
+
+
+def test_person_periods_stop_at_follow_up(spark):
+    df = spark.createDataFrame([(1, 1.5, 0.4, 1.2), (2, 0.0, None, None)], "id long, follow_days double, edge double, merge double")
+    got = [(r.bin, r.exposed, r.event) for r in survival.person_periods(df, "edge", "merge").orderBy("bin").collect()]
+    assert got == [(0, False, False), (1, False, False), (2, True, False), (3, True, True)]
+
+
+def test_sources_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    tables.write_table(df, str(tmp_path / "t.parquet"))
+    tables.write_csv(df, str(tmp_path / "c"))
+    tables.write_json(df, str(tmp_path / "j"))
+    for back in (tables.read_table(spark, str(tmp_path), "t", ["k", "v"]), tables.read_csv(spark, str(tmp_path / "c"), "k long, v string"), tables.read_json(spark, str(tmp_path / "j"), "k long, v string")):
+        assert audit.set_difference(df, back).count() == 0
+    assert tables.file_digests(spark, str(tmp_path / "c")).count() >= 1
+    assert [r.column_name for r in tables.dictionary(df, "t").collect()] == ["k", "v"]
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    rows = [(i % 5, i, DAY0 + timedelta(minutes=7 * i), "error" if i % 3 else "view") for i in range(60)]
+    df = spark.createDataFrame(rows, "pr_id long, event_id long, interaction_dt timestamp_ntz, source string")
+    df.repartition(6).write.parquet(str(tmp_path / "in"))
+    stream = S.event_stream(spark, str(tmp_path / "in"), df.schema, 2)
+    error = F.col("source") == "error"
+    S.run_available(S.first_triggers(stream, error), "first_triggers", str(tmp_path / "cp1"), "complete")
+    want = {(r[0], r[1]) for r in df.filter(error).groupBy("pr_id").agg(F.min("event_id")).collect()}
+    assert {(r.pr_id, r.trigger_event_id) for r in spark.table("first_triggers").collect()} == want
+    S.run_available(S.windowed_counts(stream, "1 hour", "10 days", "source"), "hourly", str(tmp_path / "cp2"), "complete")
+    assert sum(r.n_events for r in spark.table("hourly").collect()) == 60
