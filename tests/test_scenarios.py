@@ -124,7 +124,7 @@ def test_greedy_matching_against_brute_force(spark):
             if free:
                 below = [f for f in free if f < (t, i)]
                 above = [f for f in free if f > (t, i)]
-                pick = min([max(below)] * bool(below) + [min(above)] * bool(above), key=lambda f: abs(f[0] - t))
+                pick = min(([max(below)] if below else []) + ([min(above)] if above else []), key=lambda f: abs(f[0] - t))
                 free.remove(pick)
                 want.add((i, pick[1]))
     assert got == want
