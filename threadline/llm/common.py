@@ -18,6 +18,9 @@ SPACES = str.maketrans("\t\n\x0b\x0c\r", " " * 5)
 #: A-Z only, as the contracts ask; str.lower() would also change other letters.
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
+#: Texts that a task has as Python objects at once.
+SLICE = 500
+
 _own: list[str] = []
 
 
@@ -38,6 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def words_of(text: str) -> list[str]:
     return [w for w in text.translate(SPACES).split(" ") if w]
 
@@ -53,5 +67,18 @@ def crc_mod(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
 
 
-def map_arrow(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def filter_texts(docs: DataFrame, start: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows whose text passes; all columns stay as they are.
+
+    start() runs once a task and gives the test, which gets short lists of whole
+    texts, so a task never holds a batch's texts as Python objects together.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = start()
+        for batch in batches:
+            keep = [k for i in range(0, batch.num_rows, SLICE) for k in passes(batch.column(at).slice(i, SLICE).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

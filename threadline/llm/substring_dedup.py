@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadline.llm.common import cut, work_dir
+from threadline.llm.common import SLICE, cut, work_dir
 
 WINDOW, GRAM = 13, 5
 WIN_BYTES = 6
@@ -44,9 +45,10 @@ MAX_RUNS = 4
 #: Documents for each bucket of the index.
 BUCKET_DOCS = 4_000
 MEMO = 400_000
-_SLICE_WORDS = 1_000_000
+_SLICE_WORDS = 500_000
 ENTRY = "bucket int, anchor long, doc_id long, twin int, place int, mask int, windows binary"
 SPOTS = "doc_id long, twin int, spots binary"
+SPOT = np.dtype([("place", "<i4"), ("bits", "<u2")])
 
 
 class Hashes(dict):
@@ -59,9 +61,6 @@ class Hashes(dict):
         return h
 
 
-_hashes = Hashes()
-
-
 def mix(x: np.ndarray, odd: int) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * np.uint64(odd)
     return x ^ x >> np.uint64(29)
@@ -102,10 +101,10 @@ def _binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def _entries(ids: list[int], twins: list[int], texts: list[list[bytes]], labels: np.ndarray) -> pa.RecordBatch | None:
+def _entries(ids: list[int], twins: list[int], texts: list[list[bytes]], labels: np.ndarray, hashes: dict[bytes, int]) -> pa.RecordBatch | None:
     """Index entries of one slice of documents, which come by ascending id."""
     n = np.array([len(w) for w in texts])
-    words = np.fromiter((_hashes[w] for t in texts for w in t), np.uint64, int(n.sum()))
+    words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), np.uint64, int(n.sum()))
     if len(words) < WINDOW:
         return None
     anchor, at, window = window_hashes(words)
@@ -133,7 +132,7 @@ def _entries(ids: list[int], twins: list[int], texts: list[list[bytes]], labels:
     wins = window[keep].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIN_BYTES]
     columns = [
         pa.array(labels[spread % np.uint64(len(labels))]),
-        pa.array(anchor[starts].view(np.int64)),
+        pa.array(np.where(whole, 0, anchor[starts]).view(np.int64)),
         pa.array(id_of[starts]),
         pa.array(np.array(twins, np.int32)[of[starts]]),
         pa.array((inside[starts] - doc_starts[of[starts]]).astype(np.int32)),
@@ -147,13 +146,13 @@ def entries(docs: DataFrame, labels: list[int]) -> DataFrame:
     """Index entries of docs (doc_id, twin, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(labels, np.int32)
+        names, hashes = np.array(labels, np.int32), Hashes()
         held: list[tuple[int, int, list[bytes]]] = []
         size = 0
 
         def done() -> pa.RecordBatch | None:
             held.sort(key=lambda r: r[0])
-            return _entries(*map(list, zip(*held, strict=True)), names) if held else None
+            return _entries(*map(list, zip(*held, strict=True)), names, hashes) if held else None
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -213,17 +212,25 @@ class _Expanded:
 
 
 def _spots(e: _Expanded, hit: np.ndarray, marked: bool) -> pa.Table:
-    """The first words of windows to remove, per document: those of e at hit, and with ``marked`` those marked by the slices."""
-    row, nth = e.row[hit], e.nth[hit]
+    """Per document the windows to remove, as places of entries with a bit for each window: those of e at hit, and with ``marked`` those marked by the slices."""
+    # A row and number occur once in hit, so adding powers of two sets bits.
+    bits = np.bincount(e.row[hit], np.left_shift(1, e.nth[hit].astype(np.int64)), e.rows).astype(np.int64)
     if marked:
-        r, k = np.nonzero(e.mask[:, None] >> np.arange(WINDOW - GRAM + 1)[None, :] & 1)
-        row, nth = np.concatenate([row, r]), np.concatenate([nth, k])
-    doc, twin, place = e.doc[row], e.twin[row], (e.place[row] + nth).astype(np.int32)
-    order = np.lexsort((twin, doc))
-    doc, twin, place = doc[order], twin[order], place[order]
+        bits |= e.mask
+    row = np.flatnonzero(bits)
+    row = row[np.lexsort((e.twin[row], e.doc[row]))]
+    doc, twin = e.doc[row], e.twin[row]
+    spots = np.empty(len(row), SPOT)
+    spots["place"], spots["bits"] = e.place[row], bits[row]
     begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])]))
-    counts = np.diff(np.append(begins, len(doc)))
-    return pa.table([pa.array(doc[begins]), pa.array(twin[begins].astype(np.int32)), _binaries(place, counts)], ["doc_id", "twin", "spots"])
+    return pa.table([pa.array(doc[begins]), pa.array(twin[begins].astype(np.int32)), _binaries(spots, np.diff(np.append(begins, len(doc))))], ["doc_id", "twin", "spots"])
+
+
+def places(spots: bytes) -> np.ndarray:
+    """The first words of windows, unpacked."""
+    s = np.frombuffer(spots, SPOT)
+    i, k = np.nonzero(s["bits"][:, None] >> np.arange(WINDOW - GRAM + 1)[None, :] & 1)
+    return s["place"][i] + k
 
 
 def _within(table: pa.Table) -> pa.Table:
@@ -266,7 +273,7 @@ class Index:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        writer = rows.write.bucketBy(self.n_buckets, "bucket").sortBy("bucket", "anchor").option("path", f"{self.path}/{name}").option("parquet.writer.version", "v2")
+        writer = rows.write.bucketBy(self.n_buckets, "bucket").sortBy("bucket", "anchor").option("path", f"{self.path}/{name}").option("parquet.writer.version", "v2").option("compression", "zstd")
         writer.saveAsTable(name, format="parquet")
         return name
 
@@ -302,7 +309,7 @@ def remove(docs: DataFrame, spots: DataFrame) -> DataFrame:
     joined = docs.join(per_doc.hint("shuffle_hash"), same, "left").select("doc_id", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             n, lost, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = (text or "").encode().split()
@@ -311,7 +318,7 @@ def remove(docs: DataFrame, spots: DataFrame) -> DataFrame:
                     lost.append(0)
                     kept.append(b" ".join(words).decode())
                     continue
-                at = np.frombuffer(b"".join(found), np.int32)
+                at = places(b"".join(found))
                 edge = np.zeros(len(words) + 1, np.int32)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + WINDOW, -1)
