@@ -90,8 +90,8 @@ def exceed(over: np.ndarray, counters: tuple, radius: int) -> np.ndarray:
     return above | over
 
 
-def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Places (query, lane) of all pairs within the radius."""
+def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS, passed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (query, lane) of all pairs within the radius, without those that ``passed`` marks (queries x lanes)."""
     table = planes(lanes)
     shape = (len(queries), table.shape[1])
     c1, c2, c4, over = (np.zeros(shape, np.uint64) for _ in range(4))
@@ -99,6 +99,10 @@ def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[
     if len(lanes) % 64:
         padding[-1] = ONES << np.uint64(len(lanes) % 64)
     over |= padding
+    if passed is not None:
+        marks = np.zeros((shape[0], shape[1] * 64), np.uint8)
+        marks[:, : len(lanes)] = passed
+        over |= np.packbits(marks, axis=1, bitorder="little").view(np.uint64)
     flip = (queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1)) * ONES
     for b in range(0, 64, 2):
         d = table[b][None, :] ^ flip[b][:, None]
@@ -110,7 +114,7 @@ def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS) -> tuple[
         c2 ^= carry
         over |= c4 & high
         c4 ^= high
-        if b % 8 == 6 and (dead := exceed(over, (c4, c2, c1), radius)).min() == ONES:
+        if b % 8 == 6 and b > 8 and (dead := exceed(over, (c4, c2, c1), radius)).min() == ONES:
             return np.empty(0, np.int64), np.empty(0, np.int64)
     alive = ~dead
     q, w = np.nonzero(alive)
@@ -131,10 +135,12 @@ def forest(prints: np.ndarray, radius: int = RADIUS, lanes: int = 4096, queries:
 
     for at in range(0, len(prints), lanes):
         block = prints[at : at + lanes]
-        for q in range(0, min(len(prints), at + len(block)), queries):
-            i, j = near(prints[q : q + queries], block, radius)
-            i, j = i + q, j + at
-            for x, y in zip(i[i < j].tolist(), j[i < j].tolist(), strict=True):
+        for q in range(0, at + len(block), queries):
+            some = prints[q : q + queries]
+            # Only later lanes are compared: the rest, each query itself among them, would keep its block from being left.
+            ahead = None if q + len(some) <= at else np.arange(at, at + len(block))[None, :] <= np.arange(q, q + len(some))[:, None]
+            i, j = near(some, block, radius, ahead)
+            for x, y in zip((i + q).tolist(), (j + at).tolist(), strict=True):
                 a, b = top(x), top(y)
                 if a != b:
                     root[b] = a
