@@ -41,6 +41,8 @@ SEED = 42
 TILE = 8192
 #: Mean rows of a bucket from which one more block is used.
 FULL_BUCKET = 2048
+#: Rows of a pack of buckets, and packs compared at once.
+PACK, SIDE_BY_SIDE = 256, 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -90,23 +92,17 @@ def exceed(over: np.ndarray, counters: tuple, radius: int) -> np.ndarray:
     return above | over
 
 
-def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS, passed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (query, lane) of all pairs within the radius, without those that ``passed`` marks (queries x lanes)."""
-    table = planes(lanes)
-    shape = (len(queries), table.shape[1])
-    c1, c2, c4, over = (np.zeros(shape, np.uint64) for _ in range(4))
-    padding = np.zeros(shape[1], np.uint64)
-    if len(lanes) % 64:
-        padding[-1] = ONES << np.uint64(len(lanes) % 64)
-    over |= padding
-    if passed is not None:
-        marks = np.zeros((shape[0], shape[1] * 64), np.uint8)
-        marks[:, : len(lanes)] = passed
-        over |= np.packbits(marks, axis=1, bitorder="little").view(np.uint64)
-    flip = (queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None] & np.uint64(1)) * ONES
+def within(table: np.ndarray, flip: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray | None:
+    """Lanes within the radius, bit by bit, or None as soon as all exceed it.
+
+    table: for each bit its plane over the lanes; flip: for each bit all ones
+    where a query has it; over: lanes not to compare. Two bits are added at a
+    time by a carry-save adder.
+    """
+    c1, c2, c4 = (np.zeros_like(over) for _ in range(3))
+    dead = over
     for b in range(0, 64, 2):
-        d = table[b][None, :] ^ flip[b][:, None]
-        e = table[b + 1][None, :] ^ flip[b + 1][:, None]
+        d, e = table[b] ^ flip[b], table[b + 1] ^ flip[b + 1]
         x = c1 ^ d
         carry = (c1 & d) | (x & e)
         c1 = x ^ e
@@ -115,24 +111,78 @@ def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS, passed: n
         over |= c4 & high
         c4 ^= high
         if b % 8 == 6 and b > 8 and (dead := exceed(over, (c4, c2, c1), radius)).min() == ONES:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-    alive = ~dead
-    q, w = np.nonzero(alive)
-    bits = np.unpackbits(alive[q, w].view(np.uint8), bitorder="little").reshape(-1, 64)
-    k, lane = np.nonzero(bits)
-    return q[k], w[k] * 64 + lane
+            return None
+    return ~dead
 
 
-def forest(prints: np.ndarray, radius: int = RADIUS, lanes: int = 4096, queries: int = 256) -> Iterator[tuple[int, int]]:
-    """Links that span each group of linked fingerprints, as pairs of places."""
-    root = list(range(len(prints)))
+def _spread(prints: np.ndarray) -> np.ndarray:
+    """For each of 64 bits all ones where a fingerprint has it."""
+    return (prints >> np.arange(64, dtype=np.uint64).reshape(-1, *[1] * prints.ndim) & np.uint64(1)) * ONES
+
+
+def _packed(marks: np.ndarray) -> np.ndarray:
+    """Marks of lanes as words; lanes beyond the last are marked."""
+    full = np.ones((*marks.shape[:-1], -marks.shape[-1] % 64 + marks.shape[-1]), np.uint8)
+    full[..., : marks.shape[-1]] = marks
+    return np.packbits(full, axis=-1, bitorder="little").view(np.uint64)
+
+
+def _places(alive: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Indices of set lanes, the last being the lane."""
+    at = np.nonzero(alive)
+    k, lane = np.nonzero(np.unpackbits(alive[at].view(np.uint8), bitorder="little").reshape(-1, 64))
+    return (*(i[k] for i in at[:-1]), at[-1][k] * 64 + lane)
 
-    def top(i: int) -> int:
+
+def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS, passed: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Places (query, lane) of all pairs within the radius, without those that ``passed`` marks (queries x lanes)."""
+    marks = np.zeros((len(queries), len(lanes)), bool) if passed is None else passed
+    alive = within(planes(lanes), _spread(queries)[..., None], _packed(marks), radius)
+    return (np.empty(0, np.int64),) * 2 if alive is None else _places(alive)
+
+
+def near_in_packs(packs: list[np.ndarray], radius: int = RADIUS) -> list[list[tuple[int, int]]]:
+    """For each small pack its pairs (i, j), i < j, within the radius; packs are compared side by side."""
+    n = max(map(len, packs))
+    n += -n % 64
+    prints = np.zeros((len(packs), n), np.uint64)
+    for row, pack in zip(prints, packs, strict=True):
+        row[: len(pack)] = pack
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little").reshape(len(packs), n, 64)
+    table = np.packbits(np.ascontiguousarray(bits.transpose(2, 0, 1)), axis=2, bitorder="little").view(np.uint64)[:, :, None, :]
+    place = np.arange(n)
+    size = np.array([len(p) for p in packs])[:, None, None]
+    over = _packed((place[None, None, :] <= place[None, :, None]) | (place[None, None, :] >= size))
+    alive = within(table, _spread(prints)[..., None], over, radius)
+    out: list[list[tuple[int, int]]] = [[] for _ in packs]
+    if alive is not None:
+        for g, i, j in zip(*(x.tolist() for x in _places(alive)), strict=True):
+            out[g].append((i, j))
+    return out
+
+
+class Roots:
+    """Union of places; joined() says whether a link is new."""
+
+    def __init__(self, n: int):
+        self.root = list(range(n))
+
+    def top(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
+    def joined(self, x: int, y: int) -> bool:
+        a, b = self.top(x), self.top(y)
+        self.root[b] = a
+        return a != b
+
+
+def forest(prints: np.ndarray, radius: int = RADIUS, lanes: int = 4096, queries: int = 256) -> Iterator[tuple[int, int]]:
+    """Links that span each group of linked fingerprints, as pairs of places."""
+    roots = Roots(len(prints))
     for at in range(0, len(prints), lanes):
         block = prints[at : at + lanes]
         for q in range(0, at + len(block), queries):
@@ -141,12 +191,21 @@ def forest(prints: np.ndarray, radius: int = RADIUS, lanes: int = 4096, queries:
             ahead = None if q + len(some) <= at else np.arange(at, at + len(block))[None, :] <= np.arange(q, q + len(some))[:, None]
             i, j = near(some, block, radius, ahead)
             for x, y in zip((i + q).tolist(), (j + at).tolist(), strict=True):
-                a, b = top(x), top(y)
-                if a != b:
-                    root[b] = a
+                if roots.joined(x, y):
                     yield x, y
 
 
+def forests(packs: list[np.ndarray], radius: int) -> Iterator[tuple[int, int]]:
+    """Links that span the groups of each pack, as pairs of fingerprints."""
+    small = [p for p in packs if len(p) <= 2 * PACK]
+    for pack, pairs in zip(small, near_in_packs(small, radius) if small else [], strict=True):
+        roots = Roots(len(pack))
+        yield from ((pack[x], pack[y]) for x, y in pairs if roots.joined(x, y))
+    for pack in packs:
+        if len(pack) > 2 * PACK:
+            yield from ((pack[x], pack[y]) for x, y in forest(pack, radius))
+
+
 def block_keys(fingerprint: Column, blocks: int, radius: int) -> Column:
     """One key for each choice of ``blocks - radius`` blocks: the choice's number and those bits."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -168,29 +227,37 @@ def _tiled(keyed: DataFrame, tile: int) -> DataFrame:
 
 def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, full_bucket: int = FULL_BUCKET) -> DataFrame:
     """a, b: links that connect all distinct fingerprints within the radius of each other, directly or over others."""
+    if not 0 <= radius <= 7:
+        raise ValueError("three counter planes hold distances up to 7")
     n = prints.count()
     blocks = radius + 1
     while blocks < 2 * radius + 1 and n / 2 ** (64 * (blocks - radius) / blocks) > full_bucket:
         blocks += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(values: np.ndarray) -> pa.RecordBatch:
-            pairs = np.array(list(forest(values.view(np.uint64), radius)), np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(values[pairs[:, 0]]), pa.array(values[pairs[:, 1]])], ["a", "b"])
+        def found(packs: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.array(list(forests([p.view(np.uint64) for p in packs], radius)), np.uint64).reshape(-1, 2).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         held: list[np.ndarray] = [np.empty(0, np.int64)] * 2
+        packs: list[np.ndarray] = []
         for batch in batches:
             keys, values = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
             # Whole buckets go together until there are some hundred rows: links between buckets are links too.
             ends = np.flatnonzero(np.diff(keys)) + 1
             start = 0
             for end in ends.tolist():
-                if end - start >= 256:
-                    yield found(values[start:end])
+                if end - start >= PACK:
+                    packs.append(values[start:end])
                     start = end
+                    if len(packs) == SIDE_BY_SIDE:
+                        yield found(packs)
+                        packs = []
             held = [keys[start:], values[start:]]
         if len(held[0]):
-            yield found(held[1])
+            packs.append(held[1])
+        if packs:
+            yield found(packs)
 
     keyed = prints.select(F.explode(block_keys(F.col("fingerprint"), blocks, radius)).alias("bucket"), "fingerprint")
     return _tiled(keyed, tile).repartition("bucket").sortWithinPartitions("bucket", "fingerprint").mapInArrow(run, "a long, b long")
