@@ -120,6 +120,13 @@ def test_bpe_as_the_library(spark, library):
     assert bpe.op6(empty(spark)).collect() == []
 
 
+def test_encode_then_decode(spark):
+    df = frame(spark, [(1, "some text é"), (2, None), (None, "")])
+    two = bpe.decode(bpe.encode(df)).collect()
+    assert sorted(map(str, two)) == sorted(map(str, bpe.round_trip(df).collect()))
+    assert {r.doc_id: bytes(r.decoded).decode() for r in two} == {1: "some text é", 2: "", None: ""}
+
+
 def test_merge_equals_naive_merging():
     import random
 

@@ -16,6 +16,7 @@ Rows are independent, so hot keys, ties and repeated rows need no care. Only
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadline.llm.common import SLICE
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Matches kept with their ids in one Python worker; the memory is bounded, the result does not depend on it.
-MEMO = 400_000
+MEMO = 300_000
 _NONE = 1 << 62
 
 
@@ -56,30 +59,29 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         tree[k] = a if a < b else b
     end = list(range(1, n + 1))
     before = list(range(-1, n))
+
+    def put(at: int, key: bytes | None) -> None:
+        """Set the leaf at a place to the rank of a pair, and the nodes above it."""
+        r = rank(key)
+        value = _NONE if r is None else r << 32 | at
+        k = size + at
+        while k and tree[k] != value:
+            tree[k] = value
+            other = tree[k ^ 1]
+            if other < value:
+                value = other
+            k >>= 1
+
     while (top := tree[1]) != _NONE:
         i = top & 0xFFFFFFFF
         j = end[i]
         e = end[i] = end[j]
         before[e] = i
-        r = rank(piece[i : end[e]]) if e < n else None
-        changes = [(j, _NONE), (i, _NONE if r is None else r << 32 | i)]
-        p = before[i]
-        if p >= 0:
-            r = rank(piece[p:e])
-            changes.append((p, _NONE if r is None else r << 32 | p))
-        for at, value in changes:
-            k = size + at
-            if tree[k] == value:
-                continue
-            tree[k] = value
-            k >>= 1
-            while k:
-                a, b = tree[2 * k], tree[2 * k + 1]
-                least = a if a < b else b
-                if tree[k] == least:
-                    break
-                tree[k] = least
-                k >>= 1
+        put(j, None)
+        put(i, piece[i : end[e]] if e < n else None)
+        if i:
+            p = before[i]
+            put(p, piece[p:e])
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -88,16 +90,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Memo(dict):
-    """Match of the pattern -> its ids as packed 32-bit integers; emptied when full."""
+    """Match of the pattern -> its ids as packed 32-bit integers.
+
+    When half of ``MEMO`` are held, they become the former half; what is asked
+    for again moves on, so frequent matches stay however many rare ones pass.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.former: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
+        if len(self) >= MEMO // 2:
+            self.former = dict(self)
             self.clear()
-        packed = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
+        packed = self.former.get(piece)
+        if packed is None:
+            packed = array("i", merge(piece.encode(), self.ranks)).tobytes()
         self[piece] = packed
         return packed
 
@@ -122,39 +132,57 @@ def encode_text(text: str, path: str = VOCABULARY) -> list[int]:
     return np.frombuffer(b"".join(map(ids, find(text))), np.int32).tolist()
 
 
+def _ids(texts: list[str | None], path: str) -> pa.ListArray:
+    find, ids = _encoder(path)
+    packed = [b"".join(map(ids, find(t))) if t else b"" for t in texts]
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+
+def _bytes(ids: pa.ListArray, path: str) -> pa.Array:
+    table = _decoder(path).__getitem__
+    return pa.array([b"".join(map(table, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in ids], pa.binary())
+
+
+def _id_type(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ids = _encoder(path)
-        for batch in batches:
-            step = 500
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                packed = [b"".join(map(ids, find(t))) if t else b"" for t in part.column(1).to_pylist()]
-                offsets = np.zeros(len(packed) + 1, np.int32)
-                np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join(packed), np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "ids"])
+        for part in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            yield pa.RecordBatch.from_arrays([part.column(0), _ids(part.column(1).to_pylist(), path)], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_id_type(docs)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids, decoded binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _decoder(path).__getitem__
-        for batch in batches:
-            decoded = [b"".join(map(table, x.values.to_numpy(zero_copy_only=False).tolist())) if x.is_valid else b"" for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+        for part in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            yield pa.RecordBatch.from_arrays([*part.columns, _bytes(part.column(1), path)], ["doc_id", "ids", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {_id_type(encoded)}, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """decode(encode(docs)) by one worker for each task instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            ids = _ids(part.column(1).to_pylist(), path)
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, _bytes(ids, path)], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_id_type(docs)}, ids array<int>, decoded binary")
 
 
 def op6(docs: DataFrame) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
-    return decode(encode(docs)).select(
+    return round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -36,12 +36,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadline.llm.common import filter_texts
+
 SIMILARITY = 0.8
 MIN_WORDS = 5
 WALKS, SAMPLES, SAMPLED = 6, 6, 3
@@ -118,8 +119,9 @@ class Index:
         self.grams = np.unique(np.concatenate(triples)) if triples else np.empty(0, np.uint64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.grams >> np.uint64(64 - _FILTER_BITS)] = True
-        rng = np.random.default_rng(seed)
-        self.walks = {m: [self._walk(rng, m) for _ in range(WALKS)] for m in self.classes}
+        # A class has its own seed, so its walks don't depend on what other items a block has.
+        rngs = {m: np.random.default_rng([seed, m]) for m in self.classes}
+        self.walks = {m: [self._walk(rngs[m], m) for _ in range(WALKS)] for m in self.classes}
         self.keys = {m: self._keys(m) for m in self.classes}
 
     @staticmethod
@@ -266,26 +268,25 @@ def find(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
     return found
 
 
-def _clean(texts: Column, shared: Broadcast) -> Column:
-    """Whether no item of shared is found in a text."""
+def _clean(docs: DataFrame, shared: Broadcast) -> DataFrame:
+    """The documents in which no item of shared is found."""
 
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         index = Index(shared.value)
-        for batch in batches:
-            out = np.ones(len(batch), bool)
-            for at in range(0, len(batch), _DOCS):
-                for row in index.scan(batch.iloc[at : at + _DOCS].tolist()):
-                    out[at + row[0]] = False
-            yield pd.Series(out)
 
-    return clean(texts)
+        def passes(texts: list[str | None]) -> list[bool]:
+            found = {row[0] for row in index.scan(texts)}
+            return [i not in found for i in range(len(texts))]
+
+        return passes
+
+    return filter_texts(docs, start)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """The documents in which no item is found; all columns stay as they are."""
     for items in _blocks(benchmark, block_items):
-        docs = docs.filter(_clean(F.col("text"), docs.sparkSession.sparkContext.broadcast([r["text"] for r in items])))
+        docs = _clean(docs, docs.sparkSession.sparkContext.broadcast([r["text"] for r in items]))
     return docs
 
 

@@ -23,13 +23,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import crc_mod, cut
+from threadline.llm.common import SLICE, crc_mod, cut, filter_texts
 
 MAX_TRAIN_DOCS = 20_000
 MAX_LANGS = 200
@@ -38,7 +37,7 @@ MAX_GRAMS = 100_000
 ORDERS = (5, 4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Unseen words kept with their scores in one worker.
-MEMO = 300_000
+MEMO = 50_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -152,7 +151,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.predict(t) for t in batch.column(1).to_pylist()]
+            found = [m.predict(t) for i in range(0, batch.num_rows, SLICE) for t in batch.column(1).slice(i, SLICE).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -172,9 +171,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
     """The documents that have a language; those without one, or with a score below min_score, go. All columns stay as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(learnable(docs)))
 
-    @F.pandas_udf("boolean")
-    def identified(texts: pd.Series) -> pd.Series:
-        found = [model.value.predict(t) for t in texts]
-        return pd.Series([x[0] != "und" and x[1] >= min_score for x in found], dtype=bool)
+    def start():
+        m = model.value
+        return lambda texts: [x[0] != "und" and x[1] >= min_score for x in map(m.predict, texts)]
 
-    return docs.filter(identified("text"))
+    return filter_texts(docs, start)

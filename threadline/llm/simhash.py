@@ -41,7 +41,7 @@ SEED = 42
 TILE = 8192
 #: Mean rows of a bucket from which one more block is used.
 FULL_BUCKET = 2048
-#: Rows of a pack of buckets, and packs compared at once.
+#: Rows of a pack of buckets (a larger bucket is one by itself), and packs compared at once.
 PACK, SIDE_BY_SIDE = 256, 8
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -141,8 +141,8 @@ def near(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS, passed: n
     return (np.empty(0, np.int64),) * 2 if alive is None else _places(alive)
 
 
-def near_in_packs(packs: list[np.ndarray], radius: int = RADIUS) -> list[list[tuple[int, int]]]:
-    """For each small pack its pairs (i, j), i < j, within the radius; packs are compared side by side."""
+def near_in_packs(packs: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (pack, i, j), i < j, within the radius; small packs are compared side by side."""
     n = max(map(len, packs))
     n += -n % 64
     prints = np.zeros((len(packs), n), np.uint64)
@@ -154,11 +154,7 @@ def near_in_packs(packs: list[np.ndarray], radius: int = RADIUS) -> list[list[tu
     size = np.array([len(p) for p in packs])[:, None, None]
     over = _packed((place[None, None, :] <= place[None, :, None]) | (place[None, None, :] >= size))
     alive = within(table, _spread(prints)[..., None], over, radius)
-    out: list[list[tuple[int, int]]] = [[] for _ in packs]
-    if alive is not None:
-        for g, i, j in zip(*(x.tolist() for x in _places(alive)), strict=True):
-            out[g].append((i, j))
-    return out
+    return (np.empty(0, np.int64),) * 3 if alive is None else _places(alive)
 
 
 class Roots:
@@ -180,6 +176,25 @@ class Roots:
         return a != b
 
 
+def spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of links i < j between n places as few as connect the same places.
+
+    Every place keeps its link to the least other; where trees of those meet,
+    one link for each two trees is looked at.
+    """
+    tree = np.arange(n)
+    np.minimum.at(tree, j, i)
+    keep = tree[j] == i
+    while not np.array_equal(up := tree[tree], tree):
+        tree = up
+    a, b = tree[i], tree[j]
+    other = np.flatnonzero(a != b)
+    other = other[np.unique(np.minimum(a, b)[other] * n + np.maximum(a, b)[other], return_index=True)[1]]
+    roots = Roots(n)
+    keep[[k for k in other.tolist() if roots.joined(int(a[k]), int(b[k]))]] = True
+    return i[keep], j[keep]
+
+
 def forest(prints: np.ndarray, radius: int = RADIUS, lanes: int = 4096, queries: int = 256) -> Iterator[tuple[int, int]]:
     """Links that span each group of linked fingerprints, as pairs of places."""
     roots = Roots(len(prints))
@@ -190,7 +205,8 @@ def forest(prints: np.ndarray, radius: int = RADIUS, lanes: int = 4096, queries:
             # Only later lanes are compared: the rest, each query itself among them, would keep its block from being left.
             ahead = None if q + len(some) <= at else np.arange(at, at + len(block))[None, :] <= np.arange(q, q + len(some))[:, None]
             i, j = near(some, block, radius, ahead)
-            for x, y in zip((i + q).tolist(), (j + at).tolist(), strict=True):
+            i, j = spanning(i + q, j + at, len(prints))
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 if roots.joined(x, y):
                     yield x, y
 
@@ -198,12 +214,15 @@ def forest(prints: np.ndarray, radius: int = RADIUS, lanes: int = 4096, queries:
 def forests(packs: list[np.ndarray], radius: int) -> Iterator[tuple[int, int]]:
     """Links that span the groups of each pack, as pairs of fingerprints."""
     small = [p for p in packs if len(p) <= 2 * PACK]
-    for pack, pairs in zip(small, near_in_packs(small, radius) if small else [], strict=True):
-        roots = Roots(len(pack))
-        yield from ((pack[x], pack[y]) for x, y in pairs if roots.joined(x, y))
+    if small:
+        begin = np.cumsum([0, *map(len, small)])
+        every = np.concatenate(small)
+        pack, i, j = near_in_packs(small, radius)
+        i, j = spanning(begin[pack] + i, begin[pack] + j, len(every))
+        yield from zip(every[i].tolist(), every[j].tolist(), strict=True)
     for pack in packs:
         if len(pack) > 2 * PACK:
-            yield from ((pack[x], pack[y]) for x, y in forest(pack, radius))
+            yield from ((int(pack[x]), int(pack[y])) for x, y in forest(pack, radius))
 
 
 def block_keys(fingerprint: Column, blocks: int, radius: int) -> Column:
@@ -243,11 +262,11 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, full_bucket
         packs: list[np.ndarray] = []
         for batch in batches:
             keys, values = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
-            # Whole buckets go together until there are some hundred rows: links between buckets are links too.
-            ends = np.flatnonzero(np.diff(keys)) + 1
+            # Whole buckets go together while they fit into a pack: links between buckets are links too.
+            ends = (np.flatnonzero(np.diff(keys)) + 1).tolist()
             start = 0
-            for end in ends.tolist():
-                if end - start >= PACK:
+            for end, following in zip(ends, [*ends[1:], len(keys)], strict=True):
+                if following - start > PACK:
                     packs.append(values[start:end])
                     start = end
                     if len(packs) == SIDE_BY_SIDE:
