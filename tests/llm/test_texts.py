@@ -428,6 +428,14 @@ def test_cold_words_are_exact(spark):
     assert sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in hot) == sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in cold)
 
 
+def test_rare_contexts_are_exact(spark):
+    rows = awkward(10)
+    texts = frame(spark, rows).filter("doc_id is not null")
+    every, few = (sorted((r.doc_id, r.n_tokens, r.score) for r in ctw.score(texts, ctw.fit(texts.select("text"), max_contexts=n)).collect()) for n in (ctw.MAX_CONTEXTS, 5))
+    assert [x[:2] for x in every] == [x[:2] for x in few]
+    assert np.allclose([x[2] for x in every], [x[2] for x in few], rtol=1e-5)
+
+
 def test_op9_learns_and_empty(spark):
     a, b = [i for i in range(100, 200) if held(i, 7, 2)][:2]
     rows = [(i, "abc abd abe " * 20) for i in range(40)] + [(a, "abd abc abe " * 20), (b, "qzx jkw vvp " * 20)]

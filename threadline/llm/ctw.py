@@ -11,7 +11,9 @@ Counts cover every training text. Counting, the sums from long contexts to short
 ones and the mixing down again are Spark aggregations and joins keyed by
 (context, node). What goes to the tasks is bounded whatever the corpus: one row
 of 256 log probabilities for each byte context of 0 to 2 bytes seen, and for the
-``MAX_CONTEXTS`` most frequent ones of 3 bytes; rarer ones use the mixture of 2.
+``MAX_CONTEXTS`` most frequent ones of 3 bytes. Where a corpus has more, each
+document's symbols after rarer contexts are counted and joined to the table of
+those, which has what their own bits add to the mixture of 2.
 
 The base score is a unigram model over all training tokens. Its counts are an
 unbounded table, so only the ``HOT_WORDS`` most frequent words travel to the
@@ -91,17 +93,20 @@ def _kt() -> Column:
     return _lgamma(F.col("n0") + 0.5) + _lgamma(F.col("n1") + 0.5) - _lgamma(F.col("n0") + F.col("n1") + 1.0) - 2 * math.lgamma(0.5)
 
 
-def levels(grams: DataFrame) -> list[DataFrame]:
-    """For depths 0 to 3: context, node, estimate (of a 1) and stays (the weight of a context's own estimate)."""
-    symbol = F.col("code") % 256
-    bits = F.array(*(
+def _bits(symbol: Column) -> Column:
+    """The node and bit of each decision of a symbol."""
+    return F.array(*(
         F.struct(
             (F.lit(1 << k) + F.shiftright(symbol, 8 - k)).cast("int").alias("node"),
             F.shiftright(symbol, 7 - k).bitwiseAND(F.lit(1)).alias("bit"),
         )
         for k in range(8)
     ))
-    rows = grams.select(F.shiftright("code", 8).alias("context"), "n", F.explode(bits).alias("x"))
+
+
+def levels(grams: DataFrame) -> list[DataFrame]:
+    """For depths 0 to 3: context, node, estimate (of a 1) and stays (the weight of a context's own estimate)."""
+    rows = grams.select(F.shiftright("code", 8).alias("context"), "n", F.explode(_bits(F.col("code") % 256)).alias("x"))
     level = rows.groupBy("context", F.col("x.node").alias("node")).agg(
         F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).cast("double").alias("n0"),
         F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).cast("double").alias("n1"),
@@ -157,15 +162,31 @@ def _paths() -> tuple[np.ndarray, np.ndarray]:
 
 
 def build(grams: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
+    return grow(grams, max_contexts)[0]
+
+
+def _rare(level: list[DataFrame], kept: DataFrame) -> DataFrame:
+    """context, node, zero, one: what a bit of a context of full depth that is not kept adds to its log probability by the next shorter one.
+
+    A node that a context has had, its shorter contexts have had too.
+    """
+    long = mixed(level, DEPTH).join(F.broadcast(kept), "context", "left_anti").withColumn("c", F.col("context").bitwiseAND(F.lit((1 << 8 * (DEPTH - 1)) - 1)))
+    both = long.join(mixed(level, DEPTH - 1).select(F.col("context").alias("c"), "node", F.col("p").alias("q")), ["c", "node"])
+    return both.select("context", "node", (F.log10(1 - F.col("p")) - F.log10(1 - F.col("q"))).alias("zero"), (F.log10("p") - F.log10("q")).alias("one"))
+
+
+def grow(grams: DataFrame, max_contexts: int = MAX_CONTEXTS) -> tuple[Tree, DataFrame | None]:
+    """The tree that goes to the tasks, and a table of the contexts it has no room for, if any."""
     level = levels(grams)
+    by_context = grams.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("n"))
+    kept = cut(by_context.orderBy(F.desc("n"), "context").limit(max_contexts).select("context"))
+    rare = cut(_rare(level, kept)) if by_context.count() > max_contexts else None
     nodes, bits = _paths()
     rows, at, first, inherited = [], [], [], np.full((1, 256), 0.5)
     known = np.zeros(1, np.int64)
     for d in range(DEPTH + 1):
         part = mixed(level, d)
         if d == DEPTH:
-            by_context = grams.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("n"))
-            kept = by_context.orderBy(F.desc("n"), "context").limit(max_contexts).select("context")
             part = part.join(F.broadcast(kept), "context")
         table = part.toArrow()
         context, node, p = (table.column(c).to_numpy() for c in ("context", "node", "p"))
@@ -187,7 +208,7 @@ def build(grams: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
         rows.append(logs)
         at.append(own)
         known, inherited = own, probability
-    return Tree(np.concatenate(rows), at, first)
+    return Tree(np.concatenate(rows), at, first), rare
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +222,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 @dataclass
 class Model:
     tree: Tree
+    rare: DataFrame | None
     counts: DataFrame
     hot: dict[bytes, int]
     n: int
@@ -215,7 +237,7 @@ def fit(texts: DataFrame, hot_words: int = HOT_WORDS, max_contexts: int = MAX_CO
     ends = texts.count()
     hot = counts.orderBy(F.desc("c"), "word").limit(hot_words).toArrow()
     words = dict(zip(hot.column("word").to_pylist(), hot.column("c").to_pylist(), strict=True))
-    return Model(build(cut(gram_counts(texts)), max_contexts), counts, words, n + ends, v + (ends > 0), ends)
+    return Model(*grow(cut(gram_counts(texts)), max_contexts), counts, words, n + ends, v + (ends > 0), ends)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -223,6 +245,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.tree, model.hot))
     below = math.log10(model.n + model.v + 1)
     end = math.log10(model.ends + 1) - below, int(model.ends > 0)
+    has_rare = model.rare is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, hot = shared.value
@@ -237,15 +260,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     words = (text or "").encode().lower().split()
                     known = [logs[w] for w in words if w in logs]
                     cold = Counter(w for w in words if w not in logs) if len(known) < len(words) else {}
-                    total = float(tree.rows[row_of[contexts(s)], s[3:]].sum(dtype=np.float64))
-                    out.append((len(words) + 1, len(known) + end[1], math.fsum(known) + end[0], total, list(cold.items())))
-                types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
+                    before = contexts(s)
+                    at_row = row_of[before]
+                    total = float(tree.rows[at_row, s[3:]].sum(dtype=np.float64))
+                    rare: list[tuple[int, int]] = []
+                    if has_rare:
+                        some = at_row < tree.first[DEPTH]
+                        codes, k = np.unique(before[some] << 8 | s[3:][some], return_counts=True)
+                        rare = list(zip(codes.tolist(), k.tolist(), strict=True))
+                    out.append((len(words) + 1, len(known) + end[1], math.fsum(known) + end[0], total, list(cold.items()), rare))
+                types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])), pa.list_(pa.struct([("code", pa.int64()), ("k", pa.int64())]))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "hot_known", "hot_score", "score", "cold"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "hot_known", "hot_score", "score", "cold", "rare"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_tokens long, hot_known long, hot_score double, score double, cold array<struct<word:binary,k:long>>"
+        run, f"doc_id {id_type}, n_tokens long, hot_known long, hot_score double, score double, cold array<struct<word:binary,k:long>>, rare array<struct<code:long,k:long>>"
     )
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     cold = rows.select("row", F.explode("cold").alias("x")).select("row", "x.word", "x.k")
@@ -253,7 +283,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.sum(F.col("k") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - below)).alias("cold_score"),
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("cold_known"),
     )
-    return rows.drop("cold").join(met, "row", "left").select(
+    scored = rows.drop("cold", "rare").join(met, "row", "left")
+    if has_rare:
+        counted = rows.select("row", F.explode("rare").alias("x")).select("row", "x.k", F.shiftright("x.code", 8).alias("context"), F.explode(_bits(F.col("x.code") % 256)).alias("y"))
+        added = counted.select("row", "k", "context", "y.node", "y.bit").join(model.rare, ["context", "node"]).groupBy("row").agg(
+            F.sum(F.col("k") * F.when(F.col("bit") == 1, F.col("one")).otherwise(F.col("zero"))).alias("rare_score")
+        )
+        scored = scored.join(added, "row", "left").withColumn("score", F.col("score") + F.coalesce("rare_score", F.lit(0.0)))
+    return scored.select(
         "doc_id",
         "n_tokens",
         (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
