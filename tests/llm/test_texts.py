@@ -252,6 +252,31 @@ def test_decontamination_finds_edited_items(spark):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in pairs}
 
 
+@pytest.mark.parametrize("n", [61, 100, 200, 400, 500])
+def test_decontamination_finds_long_edited_items(n):
+    import random
+
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(5000)]
+    items = [[rng.choice(words) for _ in range(n)] for _ in range(20)]
+    texts = []
+    for x in items:
+        w = list(x)
+        for _ in range(decontam.allowed(n)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["new"], [w[k], "more"]])
+        texts.append(" ".join([rng.choice(words) for _ in range(50)] + w + [rng.choice(words) for _ in range(50)]))
+    found = decontam.Index([" ".join(x) for x in items]).scan(texts)
+    assert {(t, i) for t, i, *_ in found} <= {(i, i) for i in range(20)}
+    assert len(found) >= 0.95 * len(items) and all(row[4] <= decontam.allowed(n) for row in found)
+
+
+def test_decontamination_at_the_end_of_a_slice():
+    words = [f"w{i}" for i in range(25)]
+    index = decontam.Index([" ".join(words)])
+    assert [row[:2] for row in index.scan([" ".join(words[:10] + words[14:])])] == [row[:2] for row in index.scan([" ".join(words[:10] + words[14:]), "x " * 40])] == [(0, 0)]
+
+
 def test_decontamination_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = frame(spark, [(1, "some text")])

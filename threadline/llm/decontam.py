@@ -5,7 +5,12 @@ document where some passage has a word edit distance of at most a fifth of n (a
 similarity of 0.8); items under ``MIN_WORDS`` words are too short to tell
 anything and are passed over, those under six words must match exactly.
 
-1. Windows as long as an item (item lengths are rounded down to few classes, and
+Items over ``WHOLE`` words are searched by pieces of up to ``PIECE`` words: if
+every piece had more than a fifth of its words in edits, so would the item, so at
+least one piece of each match is within its own share. Pieces give candidates
+only; the whole item is verified.
+
+1. Windows as long as an item or piece (item lengths are rounded down to few classes, and
    the item's beginning of that length is compared) are taken at every word that
    passes the q-gram lemma: a passage within d edits of n words shares at least
    n - 2 - 3d of its word triples, so any window with fewer triples from the
@@ -46,6 +51,7 @@ from threadline.llm.common import filter_texts
 SIMILARITY = 0.8
 MIN_WORDS = 5
 WALKS, SAMPLES, SAMPLED = 6, 6, 3
+WHOLE, PIECE = 60, 50
 _DOCS = 1000
 BLOCK_ITEMS = 10_000
 WORDS = re.compile(r"\w+")
@@ -58,6 +64,15 @@ def allowed(n: int) -> int:
     return int(n * (1 - SIMILARITY) + 1e-9) if n >= 6 else 0
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """Offset and length of the pieces by which an item of n words is searched."""
+    if n <= WHOLE:
+        return [(0, n)]
+    k = -(-n // PIECE)
+    cuts = [n * i // k for i in range(k + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def distances(pattern: list[int], text: list[int]) -> list[int]:
     """For each end in text the least edit distance of pattern to a passage that ends there (bit-parallel, after Myers)."""
     m = len(pattern)
@@ -107,14 +122,16 @@ class Index:
     def __init__(self, texts: list[str], seed: int = 11):
         self.items = [list(map(hash, WORDS.findall(t.lower()))) for t in texts]
         used = [i for i, x in enumerate(self.items) if len(x) >= MIN_WORDS]
+        #: Item, offset and length of each piece; classes name pieces.
+        self.pieces = [(i, offset, n) for i in used for offset, n in pieces(len(self.items[i]))]
         self.classes: dict[int, list[int]] = defaultdict(list)
         lengths, n = [], MIN_WORDS
-        longest = max((len(self.items[i]) for i in used), default=0)
+        longest = max((n for *_, n in self.pieces), default=0)
         while n <= longest:
             lengths.append(n)
             n = max(n + 1, int(n * 1.15))
-        for i in used:
-            self.classes[max(x for x in lengths if x <= len(self.items[i]))].append(i)
+        for k, (_, _, size) in enumerate(self.pieces):
+            self.classes[max(x for x in lengths if x <= size)].append(k)
         triples = [self.triples(np.array(self.items[i], np.int64)) for i in used]
         self.grams = np.unique(np.concatenate(triples)) if triples else np.empty(0, np.uint64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
@@ -152,9 +169,9 @@ class Index:
         return keys
 
     def _keys(self, m: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each walk and sample set the items' keys, ascending, and the items."""
+        """For each walk and sample set the pieces' keys, ascending, and the pieces."""
         which = np.array(self.classes[m])
-        ids = np.array([w for i in which for w in self.items[i][:m]], np.int64)
+        ids = np.array([w for i, offset, _ in map(self.pieces.__getitem__, which) for w in self.items[i][offset : offset + m]], np.int64)
         out = []
         for walk in self.walks[m]:
             for keys in self.sampled(ids, np.arange(len(which)) * m, m, walk):
@@ -184,6 +201,8 @@ class Index:
                 ids.extend(map(hash, WORDS.findall(t.lower())))
             ids.append(_SEPARATOR)
             ends.append(len(ids))
+        # A window of the last text may reach beyond its end, as windows of others do.
+        ids.extend([_SEPARATOR] * max(self.classes, default=0))
         x = np.frombuffer(ids, np.int64)
         if len(x) < 3 or not len(self.grams):
             return []
@@ -196,7 +215,7 @@ class Index:
         bounds = np.array(ends)
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
         for m in self.classes:
-            lengths = {len(self.items[i]) for i in self.classes[m]}
+            lengths = {self.pieces[k][2] for k in self.classes[m]}
             starts = np.unique(np.concatenate([self.windows(hits, m, n, len(x)) for n in lengths]))
             if not len(starts):
                 continue
@@ -209,8 +228,9 @@ class Index:
                     high = np.searchsorted(known, keys[same], side="right")
                     docs = np.searchsorted(bounds, starts[same], side="right")
                     for doc, p, i, j in zip(docs.tolist(), starts[same].tolist(), low[same].tolist(), high.tolist(), strict=True):
-                        for item in items[i:j].tolist():
-                            found[doc, item].add(p)
+                        for k in items[i:j].tolist():
+                            item, offset, _ = self.pieces[k]
+                            found[doc, item].add(p - offset)
         out = []
         for (doc, i), places in found.items():
             item, d = self.items[i], allowed(len(self.items[i]))
@@ -219,7 +239,9 @@ class Index:
             # Candidates that lie near each other are verified as one stretch of text.
             stretch: list[list[int]] = []
             for p in sorted(places):
-                low, high = max(first, p - d), min(end, p + len(item) + d)
+                # Edits before and within a piece move the item's beginning, so pieces are given more room than whole items.
+                before, after = (2 * d, 3 * d) if len(item) > WHOLE else (d, d)
+                low, high = max(first, p - before), min(end, p + len(item) + after)
                 if stretch and low <= stretch[-1][1]:
                     stretch[-1][1] = max(high, stretch[-1][1])
                 elif low < high:
