@@ -333,19 +333,48 @@ def test_substring_dedup_against_brute_force(spark, rows):
         assert sorted((tuple(r) for r in got), key=str) == brute_substrings(rows)
 
 
-def test_index_is_incremental_and_compacts(spark, tmp_path):
-    rows = passages(2)
-    rows.sort()
+def removed(docs, found):
+    got = substring_dedup.remove(docs, found).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256)").collect()
+    return sorted((tuple(r) for r in got), key=str)
+
+
+@pytest.mark.parametrize("hot", [substring_dedup.HOT, 2])
+def test_index_is_incremental_compacts_and_reopens(spark, tmp_path, hot):
+    """Without hot anchors and with nearly all of them hot; half of the batches are added by an index opened again."""
+    rows = sorted(passages(2))
     docs = substring_dedup.with_twins(frame(spark, rows).select("doc_id", "text"))
-    index = substring_dedup.Index(spark, str(tmp_path / "index"), 16)
+    path = str(tmp_path / "index")
+    index = substring_dedup.Index(spark, path, 16, hot)
     limits = [-1, 100, 250, 400, 600, 800, 1000]
     found = None
-    for lo, hi in zip(limits, limits[1:], strict=False):
+    for i, (lo, hi) in enumerate(zip(limits, limits[1:], strict=False)):
+        if i == 3:
+            index = substring_dedup.Index.open(spark, path, hot)
+            assert index.version == 3 and index.n_parts == 16
         spots = index.append(docs.filter(f"doc_id > {lo} and doc_id <= {hi}"))
         found = spots if found is None else found.unionByName(spots)
-        assert len(index.runs) < substring_dedup.MAX_RUNS
-    got = substring_dedup.remove(docs, found).selectExpr("doc_id", "n_words", "n_removed", "sha2(kept, 256)").collect()
-    assert sorted((tuple(r) for r in got), key=str) == brute_substrings(rows)
+        assert (hot == 2) == any(r.hot is not None for r in index.runs)
+    assert [r.level for r in index.runs] == [2, 1] or len(index.runs) <= 3
+    assert removed(docs, found) == brute_substrings(rows)
+    index.drop()
+
+
+def test_op5_compacts_on_its_way(spark, monkeypatch):
+    levels = []
+    write = substring_dedup.Index._write
+    monkeypatch.setattr(substring_dedup.Index, "_write", lambda self, rows, level: levels.append(level) or write(self, rows, level))
+    assert len(substring_dedup.op5(frame(spark, passages(4))).collect()) == 120
+    assert levels == [0, 0, 1, 0]
+
+
+def test_rows_found_do_not_grow_with_the_parts(spark, tmp_path):
+    docs = substring_dedup.with_twins(frame(spark, passages(5)).select("doc_id", "text"))
+    counts = set()
+    for parts in (16, 128):
+        index = substring_dedup.Index(spark, str(tmp_path / f"index{parts}"), parts)
+        counts.add(index.append(docs.repartition(1)).count())
+        index.drop()
+    assert len(counts) == 1
 
 
 def test_merge_join_of_runs_needs_no_shuffle(spark, tmp_path):
@@ -353,9 +382,10 @@ def test_merge_join_of_runs_needs_no_shuffle(spark, tmp_path):
     index = substring_dedup.Index(spark, str(tmp_path / "index"), 16)
     index.append(docs)
     index.append(docs)
-    a, b = (spark.table(r) for r in index.runs)
-    plan = a.groupBy("bucket").cogroup(b.groupBy("bucket")).applyInArrow(substring_dedup._against, substring_dedup.SPOTS)._jdf.queryExecution().toString()
+    a, b = index.runs
+    plan = index._cold(a, None).cogroup(index._cold(b, None)).applyInArrow(substring_dedup._against, substring_dedup.SPOTS)._jdf.queryExecution().toString()
     assert "Exchange" not in plan.split("Physical Plan")[1]
+    index.drop()
 
 
 # --- LM scoring

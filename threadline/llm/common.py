@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,19 +26,34 @@ _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset, as in tests, under a local one."""
+    """A new folder under spark.checkpoint.dir; only where that is unset, and Spark runs locally as in tests, under a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="threadline-"))
         base = f"file://{_own[0]}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def one_write(spark: SparkSession) -> Iterator[None]:
+    """For a write whose result is read from its files alone: its shuffle files go when it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a DataFrame once to the shared folder and read it back: later stages no longer depend on executors' shuffle files."""
     path = work_dir(df.sparkSession)
-    df.write.parquet(path)
+    with one_write(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,30 +4,41 @@ A window is ``WINDOW`` consecutive words. Of the ``GRAM``-word grams inside a
 window the one of least hash is its anchor; equal windows have equal anchors, and
 neighbouring windows mostly share one, so an index entry is an anchor with the
 run of windows that chose it: (anchor, document, first place, a hash for each
-window). An anchor's 64 bits and a window's own 48, from another hash of all its
-words, must both agree: that is the verification.
-
-The index is a folder of runs. A run is written once, by the tasks that read the
-texts, as a Parquet table bucketed and sorted by anchor, and never changed. A new
-batch becomes a run; it is merge-joined bucket by bucket with itself and with
-each older run, and Spark needs no shuffle for that, since all runs share their
-buckets. ``compact`` merges runs once there are ``MAX_RUNS``.
+window). Verification: an anchor's 64 bits and a window's own 48, from another
+hash of all its words, must both agree. Of n different windows with one anchor
+about n^2 / 2^49 pairs would agree by chance: one in 14,000 for 200,000.
+
+The index is a folder of runs. A run is written once, as a Parquet table
+bucketed by ``part`` (a function of the anchor) and sorted by anchor, and never
+changed. A new batch is shuffled once and becomes a run; it is merge-joined part
+by part with itself and with each older run, and Spark needs no shuffle for
+that, since all runs share their buckets. Before a batch is added, runs of one
+level of which there are ``FANOUT`` are compacted into one of the next, part by
+part, also without a shuffle. A manifest names the runs, so that ``Index.open``
+can go on with a stored index.
 
 Within a slice of a task, windows already seen in a smaller doc_id are marked at
-once and leave nothing but a bit in the index: a passage that a third of all
-documents share costs an entry per slice, so no bucket grows hot.
+once: they go straight to the rows of what is removed, one row for each document
+and slice, and no entry of the index has them alone. What the parts find is a row
+for each entry. So neither grows with the number of parts. Anchors with over
+``HOT`` entries in a run are left out of the parts; their windows are compared one
+by one, by a grouped minimum and a join.
 
 Defined results: null text has no words; a null doc_id neither removes nor loses
 words; equal doc_ids do not remove from each other, and their rows are told apart
-by text; texts under 13 words lose nothing. In an incremental run, history's
-smaller doc_ids count, and what history has released stays as it is. Only
-``doc_id`` (an integer) and ``text`` are read.
+by text; texts under 13 words lose nothing; an empty table gives no rows. In an
+incremental run, history's smaller doc_ids count, and what history has released
+stays as it is. Whole texts count, however long: a slice ends after the text that
+fills it. Only ``doc_id`` (an integer) and ``text`` are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -35,20 +46,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from threadline.llm.common import SLICE, cut, work_dir
+from threadline.llm.common import SLICE, cut, one_write, work_dir
 
 WINDOW, GRAM = 13, 5
 WIN_BYTES = 6
-MAX_RUNS = 4
-#: Documents for each bucket of the index.
-BUCKET_DOCS = 4_000
+#: Runs of one level that are merged into one of the next.
+FANOUT = 2
+#: Bytes of text for each part of the index, and the most parts and files of a run.
+PART_BYTES = 1 << 23
+MAX_PARTS, MAX_FILES = 1 << 20, 1 << 15
+#: Entries of an anchor from which it is hot; doubled while over MAX_HOT anchors would be (they are broadcast).
+HOT, MAX_HOT = 200_000, 100_000
 MEMO = 400_000
 _SLICE_WORDS = 500_000
-ENTRY = "bucket int, anchor long, doc_id long, twin int, place int, mask int, windows binary"
-SPOTS = "doc_id long, twin int, spots binary"
-SPOT = np.dtype([("place", "<i4"), ("bits", "<u2")])
+ENTRY = "part int, anchor long, doc_id long, twin long, place int, mask int, windows binary, spots array<long>"
+#: A spot is place * 2^16 plus a bit for each of the windows that begin there.
+SPOTS = "doc_id long, twin long, spots array<long>"
 
 
 class Hashes(dict):
@@ -101,17 +115,23 @@ def _binaries(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
 
 
-def _entries(ids: list[int], twins: list[int], texts: list[list[bytes]], labels: np.ndarray, hashes: dict[bytes, int]) -> pa.RecordBatch | None:
-    """Index entries of one slice of documents, which come by ascending id."""
+def _spot_rows(doc: np.ndarray, twin: np.ndarray, place: np.ndarray, bits: np.ndarray, begins: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """doc_id, twin, spots: a row from each of ``begins`` on."""
+    offsets = pa.array(np.append(begins, len(doc)).astype(np.int32))
+    return pa.array(doc[begins]), pa.array(twin[begins]), pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int64) << 16 | bits.astype(np.int64)))
+
+
+def _entries(ids: list[int], twins: list[int], texts: list[list[bytes]], n_parts: int, hashes: dict[bytes, int]) -> list[pa.RecordBatch]:
+    """Index entries of one slice of documents, which come by ascending id, and rows of the windows marked within it."""
     n = np.array([len(w) for w in texts])
     words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(texts)), np.uint64, int(n.sum()))
     if len(words) < WINDOW:
-        return None
+        return []
     anchor, at, window = window_hashes(words)
     doc = np.repeat(np.arange(len(n)), n)
     inside = np.flatnonzero(doc[: len(anchor)] == doc[WINDOW - 1 :])
     if not len(inside):
-        return None
+        return []
     anchor, at, window, of = anchor[inside], at[inside], window[inside], doc[inside]
     id_of = np.array(ids, np.int64)[of]
     order, begins = _grouped(_joint(anchor, window))
@@ -124,35 +144,41 @@ def _entries(ids: list[int], twins: list[int], texts: list[list[bytes]], labels:
     counts = np.diff(np.append(starts, len(new)))
     nth = np.arange(len(new)) - np.repeat(starts, counts)
     mask = np.bitwise_or.reduceat(seen.astype(np.int32) << nth.astype(np.int32), starts)
-    whole = mask == (1 << counts) - 1
-    keep = ~np.repeat(whole, counts)
-    doc_starts = np.cumsum(n) - n
-    # What is marked already may lie in any bucket.
-    spread = np.where(whole, mix(id_of[starts].view(np.uint64) + np.arange(len(starts), dtype=np.uint64), 0x9E3779B97F4A7C15), anchor[starts])
-    wins = window[keep].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIN_BYTES]
-    columns = [
-        pa.array(labels[spread % np.uint64(len(labels))]),
-        pa.array(np.where(whole, 0, anchor[starts]).view(np.int64)),
-        pa.array(id_of[starts]),
-        pa.array(np.array(twins, np.int32)[of[starts]]),
-        pa.array((inside[starts] - doc_starts[of[starts]]).astype(np.int32)),
-        pa.array(mask.astype(np.int32)),
-        _binaries(wins, np.where(whole, 0, counts)),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["bucket", "anchor", "doc_id", "twin", "place", "mask", "windows"])
-
-
-def entries(docs: DataFrame, labels: list[int]) -> DataFrame:
-    """Index entries of docs (doc_id, twin, text)."""
+    left = mask != (1 << counts) - 1
+    twin = np.array(twins, np.int64)[of[starts]]
+    place = (inside[starts] - (np.cumsum(n) - n)[of[starts]]).astype(np.int32)
+    wins = window[np.repeat(left, counts)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIN_BYTES]
+    kept = starts[left]
+    out = [pa.RecordBatch.from_arrays([
+        pa.array((anchor[kept] % np.uint64(n_parts)).astype(np.int32)), pa.array(anchor[kept].view(np.int64)), pa.array(id_of[kept]), pa.array(twin[left]),
+        pa.array(place[left]), pa.array(mask[left].astype(np.int32)), _binaries(wins, counts[left]), pa.nulls(len(kept), pa.list_(pa.int64())),
+    ], COLUMNS)]
+    marked = np.flatnonzero(mask)
+    if len(marked):
+        who = of[starts[marked]]
+        rows = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+        doc_id, twin, spots = _spot_rows(id_of[starts[marked]], twin[marked], place[marked], mask[marked], rows)
+        # They may lie in any part.
+        parts = pa.array((mix(id_of[starts[marked]][rows].view(np.uint64), 0x9E3779B97F4A7C15) % np.uint64(n_parts)).astype(np.int32))
+        none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary())]
+        out.append(pa.RecordBatch.from_arrays([parts, none[0], doc_id, twin, *none[1:], spots], COLUMNS))
+    return out
+
+
+COLUMNS = ["part", "anchor", "doc_id", "twin", "place", "mask", "windows", "spots"]
+
+
+def entries(docs: DataFrame, n_parts: int) -> DataFrame:
+    """Index entries of docs (doc_id, twin, text); rows without an anchor have the spots that are marked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, hashes = np.array(labels, np.int32), Hashes()
+        hashes = Hashes()
         held: list[tuple[int, int, list[bytes]]] = []
         size = 0
 
-        def done() -> pa.RecordBatch | None:
+        def done() -> list[pa.RecordBatch]:
             held.sort(key=lambda r: r[0])
-            return _entries(*map(list, zip(*held, strict=True)), names, hashes) if held else None
+            return _entries(*map(list, zip(*held, strict=True)), n_parts, hashes) if held else []
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -160,24 +186,20 @@ def entries(docs: DataFrame, labels: list[int]) -> DataFrame:
                 held.append((row[0], row[1], words))
                 size += len(words)
                 if size >= _SLICE_WORDS:
-                    if (out := done()) is not None:
-                        yield out
+                    yield from done()
                     held, size = [], 0
-        if (out := done()) is not None:
-            yield out
+        yield from done()
 
     return docs.select(F.col("doc_id").cast("long"), "twin", "text").mapInArrow(run, ENTRY)
 
 
 def with_twins(docs: DataFrame) -> DataFrame:
-    """docs with twin: 0, or where a doc_id has several texts their number."""
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    """docs with twin: 0, or where a doc_id has several texts a hash of the text."""
+    again = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_low"), F.max(F.xxhash64("text")).alias("_high"))
+    again = cut(again.filter("_low <> _high and doc_id is not null").select("doc_id", F.lit(True).alias("_again")))
     if again.isEmpty():
-        return docs.withColumn("twin", F.lit(0))
-    texts = docs.join(again, "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("_sha")).distinct()
-    texts = texts.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id").orderBy("_sha")) - 1).withColumnRenamed("doc_id", "_id")
-    same = (F.col("doc_id") == F.col("_id")) & F.sha2("text", 256).eqNullSafe(F.col("_sha"))
-    return docs.join(texts, same, "left").withColumn("twin", F.coalesce("twin", F.lit(0))).drop("_id", "_sha")
+        return docs.withColumn("twin", F.lit(0).cast("long"))
+    return docs.join(again, "doc_id", "left").withColumn("twin", F.when(F.col("_again"), F.xxhash64("text")).otherwise(0)).drop("_again")
 
 
 class _Expanded:
@@ -211,26 +233,18 @@ class _Expanded:
         return order, begins, np.minimum.reduceat(self.doc[self.row[order]], begins)
 
 
-def _spots(e: _Expanded, hit: np.ndarray, marked: bool) -> pa.Table:
-    """Per document the windows to remove, as places of entries with a bit for each window: those of e at hit, and with ``marked`` those marked by the slices."""
+def _spots(e: _Expanded, hit: np.ndarray) -> pa.Table:
+    """The windows of e at ``hit``, a row for each entry that has any."""
     # A row and number occur once in hit, so adding powers of two sets bits.
     bits = np.bincount(e.row[hit], np.left_shift(1, e.nth[hit].astype(np.int64)), e.rows).astype(np.int64)
-    if marked:
-        bits |= e.mask
     row = np.flatnonzero(bits)
-    row = row[np.lexsort((e.twin[row], e.doc[row]))]
-    doc, twin = e.doc[row], e.twin[row]
-    spots = np.empty(len(row), SPOT)
-    spots["place"], spots["bits"] = e.place[row], bits[row]
-    begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(doc)), bool), (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])]))
-    return pa.table([pa.array(doc[begins]), pa.array(twin[begins].astype(np.int32)), _binaries(spots, np.diff(np.append(begins, len(doc))))], ["doc_id", "twin", "spots"])
+    return pa.table(list(_spot_rows(e.doc[row], e.twin[row], e.place[row], bits[row], np.arange(len(row)))), ["doc_id", "twin", "spots"])
 
 
-def places(spots: bytes) -> np.ndarray:
+def places(spots: np.ndarray) -> np.ndarray:
     """The first words of windows, unpacked."""
-    s = np.frombuffer(spots, SPOT)
-    i, k = np.nonzero(s["bits"][:, None] >> np.arange(WINDOW - GRAM + 1)[None, :] & 1)
-    return s["place"][i] + k
+    i, k = np.nonzero(spots[:, None] >> np.arange(WINDOW - GRAM + 1)[None, :] & 1)
+    return (spots[i] >> 16) + k
 
 
 def _within(table: pa.Table) -> pa.Table:
@@ -239,7 +253,7 @@ def _within(table: pa.Table) -> pa.Table:
     counts = np.diff(np.append(begins, len(order)))
     first = np.repeat(order[begins], counts)
     hit = (e.doc[e.row[order]] > np.repeat(least, counts)) & (e.anchor[order] == e.anchor[first]) & (e.window[order] == e.window[first])
-    return _spots(e, order[hit], True)
+    return _spots(e, order[hit])
 
 
 def _first_windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -254,74 +268,160 @@ def _against(new: pa.Table, old: pa.Table) -> pa.Table:
     key, anchor, window, least = _first_windows(old)
     e = _Expanded(new)
     if not len(key) or not len(e.key):
-        return _spots(e, np.empty(0, np.int64), False)
+        return _spots(e, np.empty(0, np.int64))
     at = np.minimum(np.searchsorted(key, e.key), len(key) - 1)
     hit = (e.key == key[at]) & (e.anchor == anchor[at]) & (e.window == window[at]) & (e.doc[e.row] > least[at])
-    return _spots(e, np.flatnonzero(hit), False)
+    return _spots(e, np.flatnonzero(hit))
+
+
+def _merged(a: pa.Table, b: pa.Table) -> pa.Table:
+    return pa.concat_tables([a, b.cast(a.schema)]).sort_by("anchor")
+
+
+@dataclass
+class Run:
+    """A table of entries, how often its rows were merged, and its hot anchors (None where it has none)."""
+
+    table: str
+    level: int
+    hot: DataFrame | None
+
+
+def _one_by_one(rows: DataFrame) -> DataFrame:
+    """anchor, window, doc_id, twin, spot of each unmarked window of some entries."""
+    nth = F.sequence(F.lit(0), (F.length("windows") / WIN_BYTES).cast("int") - 1)
+    windows = F.transform(nth, lambda k: F.struct(k.alias("k"), F.substring("windows", k * WIN_BYTES + 1, WIN_BYTES).alias("window")))
+    left = F.filter(windows, lambda w: F.col("mask").bitwiseAND(F.pow(F.lit(2), w["k"]).cast("int")) == 0)
+    spot = F.col("place").cast("long") * 65536 + F.pow(F.lit(2), F.col("w.k")).cast("long")
+    return rows.select("anchor", "doc_id", "twin", "place", F.explode(left).alias("w")).select("anchor", "w.window", "doc_id", "twin", spot.alias("spot"))
+
+
+@contextmanager
+def sorted_runs(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark use that a run, written with one file for each bucket, is sorted; where it has more it sorts as always."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 class Index:
-    """Runs under a folder; n_buckets is fixed for all of them."""
-
-    def __init__(self, spark: SparkSession, path: str, n_buckets: int):
-        self.spark, self.path, self.n_buckets = spark, path, n_buckets
-        self.runs: list[str] = []
-        # One integer for each of Spark's buckets, so that groups by it and buckets are the same.
-        numbers = spark.range(0, 40 * n_buckets, 1, 1).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n_buckets)).alias("b"))
-        found = {r["b"]: r["v"] for r in numbers.groupBy("b").agg(F.min("v").alias("v")).collect()}
-        self.labels = [found[b] for b in sorted(found)]
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"run_{uuid.uuid4().hex}"
-        writer = rows.write.bucketBy(self.n_buckets, "bucket").sortBy("bucket", "anchor").option("path", f"{self.path}/{name}").option("parquet.writer.version", "v2").option("compression", "zstd")
-        writer.saveAsTable(name, format="parquet")
-        return name
+    """Runs in a folder of their own; the number of parts is fixed for all of them."""
+
+    def __init__(self, spark: SparkSession, path: str, n_parts: int, hot: int = HOT):
+        self.spark, self.path, self.n_parts, self.hot = spark, path, min(n_parts, MAX_PARTS), hot
+        self.n_files = min(self.n_parts, MAX_FILES)
+        self.database = f"index_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{path}/runs'")
+        self.runs: list[Run] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, hot: int = HOT) -> Index:
+        """The index stored at path, as of its last batch. Its runs' files are never deleted by this session."""
+        rows = spark.read.parquet(f"{path}/manifest")
+        rows = rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).orderBy("place").collect()
+        index = cls(spark, path, rows[0]["n_parts"], hot)
+        index.version = rows[0]["version"]
+        for r in rows:
+            name = f"{index.database}.run_{uuid.uuid4().hex}"
+            fields = ENTRY.replace(":", " ")
+            spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (part) SORTED BY (part, anchor) INTO {index.n_files} BUCKETS LOCATION '{r['location']}'")
+            index.runs.append(Run(name, r["level"], index._hot(name)))
+        return index
+
+    def drop(self) -> None:
+        """Forget the index and delete the runs that it wrote."""
+        self.spark.sql(f"DROP DATABASE {self.database} CASCADE")
+        self.runs = []
+
+    def _write(self, rows: DataFrame, level: int) -> Run:
+        name = f"{self.database}.run_{uuid.uuid4().hex}"
+        with one_write(self.spark):
+            rows.write.bucketBy(self.n_files, "part").sortBy("part", "anchor").option("parquet.writer.version", "v2").option("compression", "zstd").saveAsTable(name, format="parquet")
+        return Run(name, level, self._hot(name))
+
+    def _hot(self, table: str) -> DataFrame | None:
+        """Anchors with very many entries in a run; parts hold whole anchors, so counting them needs no shuffle."""
+        counts = self.spark.table(table).filter("anchor is not null").groupBy("part", "anchor").count()
+        found, least = cut(counts.filter(F.col("count") > self.hot).select("anchor", "count")), self.hot
+        while (n := found.filter(F.col("count") > least).count()) > MAX_HOT:
+            least *= 2
+        return found.filter(F.col("count") > least).select("anchor") if n else None
+
+    def _save(self) -> None:
+        """Write the manifest's next version."""
+        self.version += 1
+        where = [self.spark.sql(f"DESCRIBE FORMATTED {r.table}").filter("col_name = 'Location'").first()["data_type"] for r in self.runs]
+        rows = [(self.version, i, r.level, self.n_parts, w) for i, (r, w) in enumerate(zip(self.runs, where, strict=True))]
+        self.spark.createDataFrame(rows, "version int, place int, level int, n_parts int, location string").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _cold(self, run: Run, hot: DataFrame | None) -> DataFrame:
+        rows = self.spark.table(run.table).filter("anchor is not null").drop("spots")
+        return (rows.join(F.broadcast(hot), "anchor", "left_anti") if hot is not None else rows).groupBy("part")
 
     def append(self, docs: DataFrame) -> DataFrame:
         """Index docs (doc_id, twin, text) as a run; returns doc_id, twin, spots of what repeats smaller ids of the batch or of history."""
-        run = self._write(entries(docs, self.labels))
-        new = self.spark.table(run)
-        found = new.groupBy("bucket").applyInArrow(_within, SPOTS)
+        self.compact()
+        run = self._write(entries(docs, self.n_parts).repartition(self.n_files, "part"), 0)
+        every = [*self.runs, run]
+        hot = None
+        for r in every:
+            if r.hot is not None:
+                hot = r.hot if hot is None else hot.union(r.hot).distinct()
+        found = self.spark.table(run.table).filter("anchor is null").select("doc_id", "twin", "spots")
+        found = found.unionByName(self._cold(run, hot).applyInArrow(_within, SPOTS))
         for old in self.runs:
-            found = found.unionByName(new.groupBy("bucket").cogroup(self.spark.table(old).groupBy("bucket")).applyInArrow(_against, SPOTS))
-        found = cut(found)
+            found = found.unionByName(self._cold(run, hot).cogroup(self._cold(old, hot)).applyInArrow(_against, SPOTS))
+        if hot is not None:
+            of = [self.spark.table(r.table).join(F.broadcast(hot), "anchor", "left_semi") for r in every]
+            before = [_one_by_one(x).groupBy("anchor", "window").agg(F.min("doc_id").alias("first_id")) for x in of]
+            least = before[0]
+            for x in before[1:]:
+                least = least.unionByName(x)
+            least = least.groupBy("anchor", "window").agg(F.min("first_id").alias("first_id"))
+            hits = _one_by_one(of[-1]).join(least, ["anchor", "window"]).filter("doc_id > first_id")
+            found = found.unionByName(hits.select("doc_id", "twin", F.array("spot").alias("spots")))
+        with sorted_runs(self.spark):
+            found = cut(found)
         self.runs.append(run)
-        if len(self.runs) >= MAX_RUNS:
-            self.compact()
+        self._save()
         return found
 
     def compact(self) -> None:
-        """Merge all runs into one. Old runs stay on disk until ``drop`` since readers may hold them."""
-        rows = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self.spark.table(run))
-        merged = self._write(rows.filter(F.length("windows") > 0))
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE {run}")
-        self.runs = [merged]
+        """Merge runs of one level while there are ``FANOUT`` of them. Nothing reads the merged runs any more: ``append`` writes what it finds."""
+        while len(same := [r for r in self.runs if r.level == min((x.level for x in self.runs), default=0)]) >= FANOUT:
+            a, b = same[:2]
+            rows = self._cold(a, None).cogroup(self._cold(b, None)).applyInArrow(_merged, ENTRY.rsplit(",", 1)[0])
+            with sorted_runs(self.spark):
+                merged = self._write(rows.withColumn("spots", F.lit(None).cast("array<long>")), a.level + 1)
+            for r in (a, b):
+                self.spark.sql(f"DROP TABLE {r.table}")
+            self.runs = [merged, *(r for r in self.runs if r not in (a, b))]
 
 
 def remove(docs: DataFrame, spots: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of docs (doc_id, twin, text)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    per_doc = spots.groupBy(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin")).agg(F.collect_list("spots").alias("spots"))
+    per_doc = spots.groupBy(F.col("doc_id").alias("_id"), F.col("twin").alias("_twin")).agg(F.flatten(F.collect_list("spots")).alias("spots"))
     same = (F.col("doc_id") == F.col("_id")) & (F.col("twin") == F.col("_twin"))
     joined = docs.join(per_doc.hint("shuffle_hash"), same, "left").select("doc_id", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             n, lost, kept = [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = (text or "").encode().split()
                 n.append(len(words))
-                if not found:
+                if not found.is_valid:
                     lost.append(0)
                     kept.append(b" ".join(words).decode())
                     continue
-                at = places(b"".join(found))
-                edge = np.zeros(len(words) + 1, np.int32)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + WINDOW, -1)
+                at = places(found.values.to_numpy())
+                edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
                 stay = np.cumsum(edge[:-1]) <= 0
                 lost.append(len(words) - int(stay.sum()))
                 kept.append(b" ".join([words[i] for i in np.flatnonzero(stay).tolist()]).decode())
@@ -330,13 +430,21 @@ def remove(docs: DataFrame, spots: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept string")
 
 
-def dedup(docs: DataFrame, batches: int = 2, path: str | None = None) -> DataFrame:
-    """Index docs in batches of ascending ids, and remove what repeats smaller ids."""
+def parts_for(n_bytes: int) -> int:
+    """Parts for so many bytes of text, a power of two."""
+    n = 16
+    while n < MAX_PARTS and n * PART_BYTES < n_bytes:
+        n *= 2
+    return n
+
+
+def dedup(docs: DataFrame, batches: int = 3, path: str | None = None, hot: int = HOT) -> DataFrame:
+    """Index docs in batches of ascending ids, and remove what repeats smaller ids. Without a path the index goes once all is found."""
     spark = docs.sparkSession
     docs = with_twins(docs.select("doc_id", "text"))
     known = docs.filter("doc_id is not null and text is not null")
-    cuts, n = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5]), F.count(F.lit(1))).first()
-    index = Index(spark, path or work_dir(spark), max(16, -(-n // BUCKET_DOCS)))
+    cuts, n = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5]), F.sum(F.octet_length("text"))).first()
+    index = Index(spark, path or work_dir(spark), parts_for(n or 0), hot)
     limits = [None, *(sorted(set(cuts)) if cuts and batches > 1 else []), None]
     found = None
     for low, high in zip(limits, limits[1:], strict=False):
@@ -347,6 +455,8 @@ def dedup(docs: DataFrame, batches: int = 2, path: str | None = None) -> DataFra
             batch = batch.filter(F.col("doc_id") <= high)
         spots = index.append(batch)
         found = spots if found is None else found.unionByName(spots)
+    if path is None:
+        index.drop()
     return remove(docs, found)
 
 
