@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ SPACES = str.maketrans("\t\n\x0b\x0c\r", " " * 5)
 #: A-Z only, as the contracts ask; str.lower() would also change other letters.
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-#: Texts that a task has as Python objects at once.
-SLICE = 500
+#: Texts that a task has as Python objects at once, and their bytes (or one longer text).
+SLICE, SLICE_BYTES = 500, 1 << 23
 
 _own: list[str] = []
 
@@ -68,6 +70,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE, n_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts with so many rows and bytes of text at most; a longer text is a part by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + n_bytes, side="right"))
+        end = min(max(fits, start + 1), start + rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def words_of(text: str) -> list[str]:
     return [w for w in text.translate(SPACES).split(" ") if w]
 
@@ -94,7 +107,7 @@ def filter_texts(docs: DataFrame, start: Callable[[], Callable[[list[str | None]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = start()
         for batch in batches:
-            keep = [k for i in range(0, batch.num_rows, SLICE) for k in passes(batch.column(at).slice(i, SLICE).to_pylist())]
+            keep = [k for part in slices(batch, at) for k in passes(part.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
