@@ -54,8 +54,74 @@ def test_language_awkward(spark):
 
 def test_language_falls_back_to_shorter_grams():
     model = langid.Model(["a", "b"], {"known": 0}, {"nkn": 0, "z": 1}, np.array([[0.0, -9.0]]), np.array([[0.0, -5.0], [-5.0, 0.0]]))
-    assert model.predict("known")[0] == "a" and model.predict("unknkn")[0] == "a" and model.predict("zzz")[0] == "b"
+    assert [x[0] for x in model.predict(["known", "unknkn", "zzz", "", None, "known zzz"])] == ["a", "a", "b", "und", "und", "a"]
+
+
+def test_language_letters_are_those_of_unicode():
+    model = langid.Model(["a"], {"x": 0}, {}, np.zeros((1, 1)), np.zeros((0, 1)))
+    assert [x[0] for x in model.predict(["²", "½", "①", "Ⅳ", "1 + 2", "ʰ", "ª", "é", "हिन्दी", "x²"])] == ["und"] * 5 + ["a"] * 5
+
+
+def brute_language(model_rows, rows, orders=(5, 4, 3, 2, 1)):
+    """Predictions by plain dictionaries."""
+    import regex
+
+    def words(t):
+        return regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower())
+
+    def grams(w, n):
+        return [("^" + w + "$")[i : i + n] for i in range(len(w) + 3 - n)]
+
+    texts = {(x, t) for _, t, x in model_rows if t is not None and x is not None}
+    n = defaultdict(lambda: defaultdict(int))
+    g = defaultdict(lambda: defaultdict(int))
+    for x, t in texts:
+        for w in words(t):
+            n[w][x] += 1
+            for k in orders:
+                for y in grams(w, k):
+                    g[y][x] += 1
+    langs = sorted({x for x, _ in texts if any(x in v for v in n.values())})
+
+    def share(table):
+        sums = {x: sum(v[x] for v in table.values()) for x in langs}
+        return {w: [math.log((v[x] + 0.5) / (sums[x] + 0.5 * len(table) + 1)) for x in langs] for w, v in table.items()}
+
+    word, gram = share(n), share(g)
+
+    def one(w):
+        if w in word:
+            return word[w]
+        for k in orders:
+            found = [gram[y] for y in grams(w, k) if y in gram]
+            if found:
+                return [sum(c) / len(found) for c in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    out = {}
+    for d, t, _ in rows:
+        found = words(t or "")
+        if not found:
+            out[d] = ("und", 0.0)
+            continue
+        total = [sum(c) for c in zip(*map(one, found), strict=True)]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        out[d] = (langs[best], 1 / sum(math.exp((x - total[best]) / math.sqrt(len(found))) for x in total))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rows = sentences(4)[:120] + [(500 + i, t + " zzq wasserr", None) for i, (_, t, _) in enumerate(sentences(5)[:60])] + [(700, None, "en"), (701, "½", "de"), (702, "the house " * 4000, "en")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.op1(frame(spark, rows)).collect()}
+    want = brute_language([r for r in rows if not held(r[0], 3, 1)], rows)
+    assert set(got) == set(want) and all(got[d][0] == want[d][0] and math.isclose(got[d][1], want[d][1], abs_tol=1e-9) for d in want)
+
 
+def test_language_sample_is_bounded_for_each_language(spark):
+    """A rare language keeps all its texts, a text that is most rows counts once."""
+    rows = [("big", f"text number {i}") for i in range(2000)] + [("big", "again and again")] * 500 + [("small", f"rare {i}") for i in range(20)]
+    got = Counter(r.lang for r in langid.train_sample(spark.createDataFrame(rows, "lang string, text string"), 300).collect())
+    assert got["small"] == 20 and 200 < got["big"] < 400
 
 def test_language_stage_keeps_columns(spark):
     df = frame(spark, sentences(3) + [(900, None), (901, "...")])

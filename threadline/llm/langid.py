@@ -1,43 +1,46 @@
 """Language ID by words first, then by ever shorter character n-grams.
 
-Training counts words per language over a bounded sample of labelled rows
-(``max_train_docs``, drawn by a hash of the text); from the words kept it counts
-the n-grams of 5 to 1 characters. A word that the model knows adds its log
-frequency in each language. An unseen word falls back: the mean log frequency of
-its known 5-grams, or where none is known of its 4-grams, and so on; a word
-without one known n-gram adds nothing. The model has at most ``max_words`` +
-``max_grams`` entries whatever the corpus, which bounds what goes to the tasks.
-
-Defined results: ``und`` with score 0 for null text, text without a letter, or
-where nothing was learned; ties go to the language that sorts first. Null labels
-are not learned from. Labels, source and doc_id never enter a prediction.
+Training counts words per language over a bounded sample of labelled rows: of
+each language about ``max_train_docs`` distinct texts, those of least hash. All
+their words, and all n-grams of 5 to 1 characters of these, are the model: the
+sample bounds it, and nothing of it is cut. A word that the model knows adds its
+log frequency in each language. An unseen word falls back: the mean log frequency
+of its known 5-grams, or where none is known of its 4-grams, and so on; a word
+without one known n-gram adds nothing.
+
+Defined results: ``und`` with score 0 for null text, text without a letter (a
+character of Unicode category L: digits, fractions and circled numbers are none),
+or where nothing was learned; ties go to the language that sorts first. Null
+labels and null doc_ids are not learned from; equal texts of a language count
+once. Labels, source and doc_id never enter a prediction. Rows are predicted one
+by one, repeated ones too, over whole texts however long; a task has one slice of
+texts, bounded in bytes, as Python objects. An empty table gives no rows. Only
+doc_id, text and lang are read, so other columns may have any names.
 Score: the posterior over languages, log frequencies divided by the square root
 of the number of words, since words of a text are not independent.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import SLICE, crc_mod, cut, filter_texts
+from threadline.llm.common import crc_mod, cut, filter_texts, slices
 
-MAX_TRAIN_DOCS = 20_000
-MAX_LANGS = 200
-MAX_WORDS = 200_000
-MAX_GRAMS = 100_000
+#: Distinct texts of each language that are learned from.
+MAX_TRAIN_DOCS = 1_000
 ORDERS = (5, 4, 3, 2, 1)
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Unseen words kept with their scores in one worker.
-MEMO = 50_000
+#: A word: a letter, with the letters and marks that follow.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Unseen words kept with their scores in one worker, and numbers added up at once.
+MEMO, AT_ONCE = 50_000, 1 << 22
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -45,16 +48,19 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-@dataclass
-class Model:
-    """words and grams: their rows in word_scores and gram_scores, which have a column per language."""
+class Model(dict):
+    """Word -> its row of scores: rows of known words, then those of unseen words, which are worked out when met."""
 
-    langs: list[str]
-    words: dict[str, int] = field(default_factory=dict)
-    grams: dict[str, int] = field(default_factory=dict)
-    word_scores: np.ndarray | None = None
-    gram_scores: np.ndarray | None = None
-    memo: dict[str, np.ndarray] = field(default_factory=dict, repr=False)
+    def __init__(self, langs: list[str], words: dict[str, int] | None = None, grams: dict[str, int] | None = None, word_scores: np.ndarray | None = None, gram_scores: np.ndarray | None = None):
+        super().__init__(words or {})
+        self.langs, self.grams = langs, grams or {}
+        self.word_scores = np.zeros((0, len(langs))) if word_scores is None else word_scores
+        self.gram_scores = gram_scores
+        self.memo: list[str] = []
+        self.memo_scores = np.zeros((1024, len(langs)))
+
+    def __reduce__(self):
+        return Model, (self.langs, {w: i for w, i in self.items() if i < len(self.word_scores)}, self.grams, self.word_scores, self.gram_scores)
 
     def unseen(self, word: str) -> np.ndarray:
         for n in ORDERS:
@@ -63,35 +69,66 @@ class Model:
                 return self.gram_scores[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs or self.word_scores is None:
-            return "und", 0.0
-        known, times, total = [], [], np.zeros(len(self.langs))
-        for w, n in Counter(words).items():
-            i = self.words.get(w)
-            if i is not None:
-                known.append(i)
-                times.append(n)
+    def __missing__(self, word: str) -> int:
+        k = len(self.memo)
+        if k == len(self.memo_scores):
+            self.memo_scores = np.concatenate([self.memo_scores, np.zeros_like(self.memo_scores)])
+        self.memo_scores[k] = self.unseen(word)
+        self.memo.append(word)
+        self[word] = len(self.word_scores) + k
+        return self[word]
+
+    def totals(self, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Sums of the scores of rows from each of ``begins`` on."""
+        known = rows < len(self.word_scores)
+        scores = np.empty((len(rows), len(self.langs)))
+        scores[known] = self.word_scores[rows[known]]
+        scores[~known] = self.memo_scores[rows[~known] - len(self.word_scores)]
+        return np.add.reduceat(scores, begins, axis=0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        if len(self.memo) > MEMO:
+            for w in self.memo:
+                del self[w]
+            self.memo = []
+        out = [("und", 0.0)] * len(texts)
+        if not self.langs or not len(self.word_scores):
+            return out
+        rows = [np.fromiter(map(self.__getitem__, WORDS.findall(t.lower())), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        step = max(1, AT_ONCE // len(self.langs))
+        sums = np.zeros((len(texts), len(self.langs)))
+        some = [i for i, r in enumerate(rows) if len(r)]
+        group: list[int] = []
+        for i in some:
+            if len(rows[i]) > step:
+                for at in range(0, len(rows[i]), step):
+                    sums[i] += self.totals(rows[i][at : at + step], np.zeros(1, np.int64))[0]
                 continue
-            scores = self.memo.get(w)
-            if scores is None:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                scores = self.memo[w] = self.unseen(w)
-            total += n * scores
-        if known:
-            total += np.array(times, float) @ self.word_scores[known]
-        best = int(np.argmax(total))
-        odds = np.exp((total - total[best]) / np.sqrt(len(words)))
-        return self.langs[best], float(1 / odds.sum())
+            if sum(len(rows[k]) for k in group) + len(rows[i]) > step:
+                self._add(sums, rows, group)
+                group = []
+            group.append(i)
+        self._add(sums, rows, group)
+        if some:
+            found = sums[some]
+            best = found.argmax(axis=1)
+            odds = np.exp((found - found.max(axis=1)[:, None]) / np.sqrt([len(rows[i]) for i in some])[:, None])
+            for i, k, p in zip(some, best.tolist(), (1 / odds.sum(axis=1)).tolist(), strict=True):
+                out[i] = self.langs[k], p
+        return out
+
+    def _add(self, sums: np.ndarray, rows: list[np.ndarray], group: list[int]) -> None:
+        if group:
+            n = np.array([len(rows[i]) for i in group])
+            sums[group] = self.totals(np.concatenate([rows[i] for i in group]), np.cumsum(n) - n)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in (p for b in batches for p in slices(b, 1)):
         counts: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+        for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            counts.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "gram", "n"])
 
@@ -108,12 +145,6 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _most(counts: DataFrame, most: int) -> DataFrame:
-    """lang, gram, n of the most frequent grams: at most so many grams, whatever the corpus."""
-    totals = counts.groupBy("gram").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "gram").limit(most)
-    return cut(counts.join(F.broadcast(totals.select("gram")), "gram").select("lang", "gram", "n"))
-
-
 def _table(counts: DataFrame, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Rows of the grams, and the log share that each has of a language."""
     table = counts.toArrow()
@@ -124,22 +155,23 @@ def _table(counts: DataFrame, langs: list[str]) -> tuple[dict[str, int], np.ndar
     return {g: i for i, g in enumerate(gram.dictionary.to_pylist())}, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n) + 1))
 
 
-def fit(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """labelled: lang, text. At most about max_train_docs of its rows are learned from, drawn alike in every language."""
-    labelled = labelled.filter("lang is not null and text is not null").select("lang", "text")
-    by_lang = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in by_lang)
+def train_sample(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """lang, text: of each language about max_train_docs distinct texts, those of least hash; all of a language that has fewer."""
+    labelled = labelled.filter("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
+    shares = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(max_train_docs)) / F.greatest("n", F.lit(1))).alias("share"))
+    drawn = labelled.join(shares, "lang").filter((F.col("share") == 1) | (F.col("h") < F.col("share") * float(1 << 40)))
+    return drawn.dropDuplicates(["lang", "text"]).select("lang", "text")
+
+
+def fit(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
+    """labelled: lang, text."""
+    words = cut(train_sample(labelled, max_train_docs).mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     if not langs:
         return Model([])
-    share = min(1.0, max_train_docs / sum(r["count"] for r in by_lang))
-    sample = labelled.filter(F.col("lang").isin(langs)).filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    counts = cut(sample.mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    words = _most(counts, max_words)
-    if words.isEmpty():
-        return Model(langs)
     grams_of = words.repartition("gram").mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     known, scores = _table(words, langs)
-    known_grams, gram_scores = _table(_most(cut(grams_of), max_grams), langs)
+    known_grams, gram_scores = _table(grams_of, langs)
     return Model(langs, known, known_grams, scores, gram_scores)
 
 
@@ -150,9 +182,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            found = [m.predict(t) for i in range(0, batch.num_rows, SLICE) for t in batch.column(1).slice(i, SLICE).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+        for part in (p for b in batches for p in slices(b, 1)):
+            found = m.predict(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -167,12 +199,12 @@ def op1(docs: DataFrame) -> DataFrame:
     return predict(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """The documents that have a language; those without one, or with a score below min_score, go. All columns stay as they are."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents that have a language; those for which it is ``und`` go. All columns stay as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(learnable(docs)))
 
     def start():
         m = model.value
-        return lambda texts: [x[0] != "und" and x[1] >= min_score for x in map(m.predict, texts)]
+        return lambda texts: [x[0] != "und" for x in m.predict(texts)]
 
     return filter_texts(docs, start)
