@@ -2,8 +2,9 @@
 
 Texts are sequences of lower-cased words. An item of n words is found in a
 document where some passage has a word edit distance of at most a fifth of n (a
-similarity of 0.8); items under ``MIN_WORDS`` words are too short to tell
-anything and are passed over, those under six words must match exactly.
+similarity of 0.8); items under six words must match exactly. Items under
+``MIN_WORDS`` words are found too, but common phrases may be such items: a
+document is dropped for one of them only where it is the document's whole text.
 
 Items over ``WHOLE`` words are searched by pieces of up to ``PIECE`` words: if
 every piece had more than a fifth of its words in edits, so would the item, so at
@@ -27,16 +28,18 @@ The items go to the tasks in blocks of ``BLOCK_ITEMS``, a proven bound: a larger
 benchmark takes one pass over the documents for each block. Documents are never
 shuffled, so hot sources and copies make no hot task.
 
-Defined results: null or empty texts and items match nothing; repeated rows give
-repeated results; an empty table on either side gives none. Of several places of
-one item in a document the nearest, then the first counts. Only doc_id and text,
-item_id and text are read.
+Defined results: null or empty texts and items, and those without a word, match
+nothing; repeated rows give repeated results; null ids are ids like others; an
+empty table on either side gives none. Of several places of one item in a
+document the nearest, then the first counts. Whole texts count, however long; a
+task has one slice of texts, bounded in bytes, as Python objects, and what is
+found does not depend on how texts are sliced. Only doc_id and text, item_id and
+text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -46,13 +49,12 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import filter_texts
+from threadline.llm.common import Hashes, filter_texts, slices
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
 WALKS, SAMPLES, SAMPLED = 6, 6, 3
 WHOLE, PIECE = 60, 50
-_DOCS = 1000
 BLOCK_ITEMS = 10_000
 WORDS = re.compile(r"\w+")
 _FILTER_BITS = 22
@@ -120,7 +122,9 @@ class Index:
     """Items prepared for scanning in one worker."""
 
     def __init__(self, texts: list[str], seed: int = 11):
-        self.items = [list(map(hash, WORDS.findall(t.lower()))) for t in texts]
+        self.hashes = Hashes()
+        self.items = [self.words(t) for t in texts]
+        self.short = self._short()
         used = [i for i, x in enumerate(self.items) if len(x) >= MIN_WORDS]
         #: Item, offset and length of each piece; classes name pieces.
         self.pieces = [(i, offset, n) for i in used for offset, n in pieces(len(self.items[i]))]
@@ -141,6 +145,52 @@ class Index:
         self.walks = {m: [self._walk(rngs[m], m) for _ in range(WALKS)] for m in self.classes}
         self.keys = {m: self._keys(m) for m in self.classes}
 
+    def words(self, text: str) -> list[int]:
+        """Hashes of the words of a text, as signed numbers."""
+        return np.fromiter(map(self.hashes.__getitem__, WORDS.findall(text.lower())), np.uint64).view(np.int64).tolist()
+
+    def _short(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each length under MIN_WORDS the items' keys, ascending, and the items."""
+        of: dict[int, list[int]] = defaultdict(list)
+        for i, x in enumerate(self.items):
+            if 0 < len(x) < MIN_WORDS:
+                of[len(x)].append(i)
+        out = {}
+        for n, some in of.items():
+            keys = np.array([self.runs(np.array(self.items[i], np.int64), n)[0] for i in some])
+            order = np.argsort(keys, kind="stable")
+            out[n] = keys[order], np.array(some)[order]
+        return out
+
+    @staticmethod
+    def runs(ids: np.ndarray, n: int) -> np.ndarray:
+        """A key of the n words from each place on."""
+        h = np.zeros(len(ids) - n + 1, np.uint64)
+        for i in range(n):
+            h = (h ^ ids[i : i + len(h)].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def short_matches(self, x: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The first place in each text of each item under MIN_WORDS words."""
+        out: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+        for n, (keys, items) in self.short.items():
+            if len(x) < n:
+                continue
+            h = self.runs(x, n)
+            low = np.searchsorted(keys, h)
+            at = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == h)
+            docs = np.searchsorted(bounds, at, side="right")
+            # The first place of each key in a text.
+            first = np.unique(np.stack([docs, low[at]], axis=1), axis=0, return_index=True)[1] if len(at) else []
+            for k in sorted(first):
+                p, doc = int(at[k]), int(docs[k])
+                begin = int(bounds[doc - 1]) if doc else 0
+                for i in items[low[p] : np.searchsorted(keys, h[p], side="right")].tolist():
+                    if x[p : p + n].tolist() == self.items[i]:
+                        out.setdefault((doc, i), (doc, i, p - begin, p - begin + n, 0))
+        return list(out.values())
+
     @staticmethod
     def triples(ids: np.ndarray) -> np.ndarray:
         x = ids.view(np.uint64)
@@ -193,17 +243,26 @@ class Index:
         n_of = np.maximum(high - low, 0)
         return np.repeat(low - np.cumsum(n_of) + n_of, n_of) + np.arange(n_of.sum())
 
+    def counts(self, item: int, text: str, start: int, end: int) -> bool:
+        """Whether a match makes a document one to drop: a short item must be all of it."""
+        return len(self.items[item]) >= MIN_WORDS or (start == 0 and end == len(WORDS.findall(text)))
+
     def scan(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, start word, end word, distance) of every match."""
-        ids, ends = array("q"), []
+        ids: list[int] = []
+        ends = []
         for t in texts:
             if t:
-                ids.extend(map(hash, WORDS.findall(t.lower())))
+                ids.extend(map(self.hashes.__getitem__, WORDS.findall(t.lower())))
             ids.append(_SEPARATOR)
             ends.append(len(ids))
         # A window of the last text may reach beyond its end, as windows of others do.
         ids.extend([_SEPARATOR] * max(self.classes, default=0))
-        x = np.frombuffer(ids, np.int64)
+        x = np.array(ids, np.uint64).view(np.int64)
+        short = self.short_matches(x, np.array(ends)) if self.short else []
+        return sorted(short + self.long_matches(x, ends))
+
+    def long_matches(self, x: np.ndarray, ends: list[int]) -> list[tuple[int, int, int, int, int]]:
         if len(x) < 3 or not len(self.grams):
             return []
         h = self.triples(x)
@@ -254,7 +313,7 @@ class Index:
                         best = distance, a + low - first, b + low - first
             if best:
                 out.append((doc, i, best[1], best[2], best[0]))
-        return sorted(out)
+        return out
 
 
 def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list]:
@@ -276,15 +335,13 @@ def find(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names = pa.array([i for i, _ in shared.value])
             index = Index([t for _, t in shared.value])
-            for batch in batches:
-                for at in range(0, batch.num_rows, _DOCS):
-                    part = batch.slice(at, _DOCS)
-                    rows = np.array(index.scan(part.column(1).to_pylist()), np.int32).reshape(-1, 5)
-                    if len(rows):
-                        n = np.array([len(index.items[i]) for i in rows[:, 1]])
-                        columns = [part.column(0).take(pa.array(rows[:, 0])), names.take(pa.array(rows[:, 1]))]
-                        columns += [pa.array(rows[:, k]) for k in (2, 3, 4)] + [pa.array(1 - rows[:, 4] / n)]
-                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_word", "end_word", "distance", "similarity"])
+            for part in (p for b in batches for p in slices(b, 1)):
+                rows = np.array(index.scan(part.column(1).to_pylist()), np.int32).reshape(-1, 5)
+                if len(rows):
+                    n = np.array([len(index.items[i]) for i in rows[:, 1]])
+                    columns = [part.column(0).take(pa.array(rows[:, 0])), names.take(pa.array(rows[:, 1]))]
+                    columns += [pa.array(rows[:, k]) for k in (2, 3, 4)] + [pa.array(1 - rows[:, 4] / n)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start_word", "end_word", "distance", "similarity"])
 
         found = found.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
     return found
@@ -297,7 +354,7 @@ def _clean(docs: DataFrame, shared: Broadcast) -> DataFrame:
         index = Index(shared.value)
 
         def passes(texts: list[str | None]) -> list[bool]:
-            found = {row[0] for row in index.scan(texts)}
+            found = {doc for doc, item, start, end, _ in index.scan(texts) if index.counts(item, texts[doc], start, end)}
             return [i not in found for i in range(len(texts))]
 
         return passes
@@ -306,7 +363,7 @@ def _clean(docs: DataFrame, shared: Broadcast) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents in which no item is found; all columns stay as they are."""
+    """The documents in which no item of MIN_WORDS words or more is found, and that are no shorter item; all columns stay as they are."""
     for items in _blocks(benchmark, block_items):
         docs = _clean(docs, docs.sparkSession.sparkContext.broadcast([r["text"] for r in items]))
     return docs
