@@ -17,8 +17,10 @@ spanning forest of its links, never all pairs.
 
 Defined results: text without words (or null) has fingerprint zero and is
 linked like any other; a null doc_id gets its group's least other id, or null
-where the group has none. Rows of one doc_id count each. Only ``doc_id`` and
-``text`` are read.
+where the group has none. Rows of one doc_id count each, equal rows too. Whole
+texts count, however long; a task has one slice of texts, bounded in bytes, as
+Python objects. An empty table gives no rows. Only ``doc_id`` and ``text`` are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import cut
+from threadline.llm.common import cut, fresh, slices
 from threadline.llm.graph import components
 
 RADIUS = 4
@@ -61,15 +63,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint as a signed long, of every whole text."""
+def fingerprints(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, other columns, fingerprint as a signed long, of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprint(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fingerprint"])
+        for part in (p for b in batches for p in slices(b, 1)):
+            found = [fingerprint(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(found, pa.int64())], [*part.schema.names[:1], *part.schema.names[2:], "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long")
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
+    return docs.select("doc_id", "text", *also).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{more}, fingerprint long")
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
@@ -282,11 +285,15 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, full_bucket
     return _tiled(keyed, tile).repartition("bucket").sortWithinPartitions("bucket", "fingerprint").mapInArrow(run, "a long, b long")
 
 
+def classes(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """distinct (fingerprint and more) with component, the least fingerprint of those linked with it."""
+    of = components(links(distinct.select("fingerprint"), radius, tile)).withColumnRenamed("node", "fingerprint")
+    return distinct.join(of, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+
+
 def groups(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint, component_id of prints (doc_id, fingerprint)."""
-    distinct = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
-    of = components(links(distinct.select("fingerprint"), radius, tile)).withColumnRenamed("node", "fingerprint")
-    labelled = distinct.join(of, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    labelled = classes(cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))), radius, tile)
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     ids = cut(labelled.join(least, "component").select("fingerprint", "component_id"))
     return prints.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
@@ -297,7 +304,16 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the least doc_id, once even where its row repeats. Rows without an id stay."""
-    kept = groups(cut(fingerprints(docs.filter("doc_id is not null")))).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """One document of each group: that of the least doc_id, once even where its row repeats. Rows without an id stay.
+
+    Of texts of one group that share the least doc_id, the one of least hash
+    stays; a text that has no near-duplicate stays, whatever other texts its
+    doc_id has.
+    """
+    text_hash = F.xxhash64("text")
+    (h,) = fresh(docs, "text_hash")
+    prints = cut(fingerprints(docs.filter("doc_id is not null").select("doc_id", "text", text_hash.alias(h)), h))
+    labelled = classes(cut(prints.groupBy("fingerprint").agg(F.min(F.struct("doc_id", h)).alias("first"))))
+    kept = cut(labelled.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col(f"first.{h}").alias(h)))
+    known = docs.withColumn(h, text_hash).join(kept, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h])
+    return known.select(docs.columns).unionByName(docs.filter("doc_id is null"))
