@@ -8,8 +8,9 @@ back to all paths. Changing a rule's version rescans that rule alone.
 
 Defined results: null text is empty and has no spans; null doc_ids are paths
 like others; repeated rows give repeated results; an empty table gives none.
-Only ``doc_id`` and ``text`` are read. A hot blob is scanned once, and the join
-back to its paths is one that Spark may split.
+Whole texts are scanned, however long. Only ``doc_id`` and ``text`` are read, so
+other columns may have any names. A hot blob is scanned once, and the join back
+to its paths is one that Spark may split.
 """
 
 from __future__ import annotations
@@ -98,19 +99,15 @@ def update(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataF
     """Scan what the ledger at path lacks, append it, and return the ledger."""
     spark = docs.sparkSession
     keys = F.array(*(F.lit(r.key) for r in rules))
-    versions = docs.select("doc_id", blob_id().alias("blob_id"), "text")
-    firsts = versions.groupBy("blob_id").agg(F.min("doc_id").alias("first_id"))
+    # One text of each blob, taken map-side first: a hot blob is one row of each task.
+    blobs = docs.select(blob_id().alias("blob_id"), F.coalesce("text", F.lit("")).alias("text")).groupBy("blob_id").agg(F.first("text").alias("text"))
     ledger = read_ledger(spark, path)
     if ledger is None:
-        todo = firsts.withColumn("todo", keys)
+        todo = blobs.withColumn("todo", keys)
     else:
         done = ledger.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
-        todo = firsts.join(done, "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).filter(F.size("todo") > 0).drop("done")
-    # One path of each blob gives its text. Ids are the rest of the key, so that a hot blob is dealt out.
-    texts = versions.withColumnRenamed("blob_id", "b").join(
-        todo.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("b") == F.col("blob_id"))
-    )
-    scan(texts, rules).dropDuplicates(["blob_id"]).write.mode("append").parquet(path)
+        todo = blobs.join(done, "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
+    scan(todo, rules).write.mode("append").parquet(path)
     return read_ledger(spark, path)
 
 
