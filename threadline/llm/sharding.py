@@ -12,14 +12,16 @@ Law: ``bytes`` - sizes of shards are near equal.
 
 Defined results: null text has 16 bytes and crc32 0; a null doc_id is a value
 like any other. The hash covers doc_id and text, so that neither null ids nor
-one repeated id gather in a slot; fully equal rows share one. An empty table
-gives no rows. Only ``doc_id`` and ``text`` are read.
+one repeated id gather in a slot; fully equal rows share one. Whole texts count,
+however long; ties of places are in no order that matters. An empty table gives
+no rows. Only ``doc_id`` and ``text`` are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
 from threadline.llm.common import work_dir
@@ -128,14 +130,30 @@ def place(records: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFram
     return records.join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.row_number().over(within) - 1 + F.col("begins")).drop("begins")
 
 
+def latest_map(spark: SparkSession, path: str) -> tuple[DataFrame, int] | None:
+    """The last version of the map stored at path, and its number."""
+    try:
+        every = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    version = every.agg(F.max("version")).first()[0]
+    return every.filter(F.col("version") == version).select("virtual_slot", "shard"), version
+
+
 def assign(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
-    """Every record with its slot, shard and place; the map is stored as version 1 under path."""
+    """Every record with its slot, shard and place. A map stored under path is edited and stored as its next version; else the first is made."""
+    spark = docs.sparkSession
     records = slots(docs, n_slots)
-    path = path or work_dir(docs.sparkSession)
+    path = path or work_dir(spark)
+    old = latest_map(spark, f"{path}/map")
+    version = 1 if old is None else old[1] + 1
     sizes = slot_sizes(records, n_slots)
-    sizes.coalesce(1).write.parquet(f"{path}/sizes")
-    sizes = docs.sparkSession.read.schema(sizes.schema).parquet(f"{path}/sizes")
-    return place(records, sizes, store_map(new_map(sizes, n_shards), f"{path}/map", 1))
+    sizes.coalesce(1).write.parquet(f"{path}/sizes/version={version}")
+    sizes = spark.read.schema(sizes.schema).parquet(f"{path}/sizes/version={version}")
+    slot_map = new_map(sizes, n_shards) if old is None else rebalance(old[0], sizes, n_shards)
+    return place(records, sizes, store_map(slot_map, f"{path}/map", version))
 
 
 def op2(docs: DataFrame) -> DataFrame:
