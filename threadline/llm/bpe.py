@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import SLICE
+from threadline.llm.common import SLICE, slices
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Matches kept with their ids in one Python worker; the memory is bounded, the result does not depend on it.
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for part in (p for b in batches for p in slices(b, 1)):
             yield pa.RecordBatch.from_arrays([part.column(0), _ids(part.column(1).to_pylist(), path)], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {_id_type(docs)}, ids array<int>")
@@ -173,7 +173,7 @@ def round_trip(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """decode(encode(docs)) by one worker for each task instead of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for part in (p for b in batches for p in slices(b, 1)):
             ids = _ids(part.column(1).to_pylist(), path)
             yield pa.RecordBatch.from_arrays([part.column(0), ids, _bytes(ids, path)], ["doc_id", "ids", "decoded"])
 

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,22 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Texts that a task has as Python objects at once, and their bytes (or one longer text).
 SLICE, SLICE_BYTES = 500, 1 << 23
 
+#: Words kept with their hashes in one worker.
+MEMO = 400_000
+
 _own: list[str] = []
 
 
+class Hashes(dict):
+    """Word -> 64-bit hash; emptied when full."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; only where that is unset, and Spark runs locally as in tests, under a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -11,18 +11,20 @@ Counts cover every training text. Counting, the sums from long contexts to short
 ones and the mixing down again are Spark aggregations and joins keyed by
 (context, node). What goes to the tasks is bounded whatever the corpus: one row
 of 256 log probabilities for each byte context of 0 to 2 bytes seen, and for the
-``MAX_CONTEXTS`` most frequent ones of 3 bytes. Where a corpus has more, each
+most frequent ones of 3 bytes, ``MAX_CONTEXTS`` at most. Where a corpus has more, each
 document's symbols after rarer contexts are counted and joined to the table of
 those, which has what their own bits add to the mixture of 2.
 
 The base score is a unigram model over all training tokens. Its counts are an
-unbounded table, so only the ``HOT_WORDS`` most frequent words travel to the
-tasks; each document's other words meet their counts in a join.
+unbounded table, so only the most frequent words, ``HOT_WORDS`` at most, travel to
+the tasks; each document's other words meet their counts in a join.
 
 Defined results: null text is empty text, which has the end symbol only; a null
 doc_id is scored and not learned from; without training texts every probability
-of a bit is a half. Rows are scored one by one, repeated doc_ids too. Only
-``doc_id`` and ``text`` are read.
+of a bit is a half. Rows are scored one by one, repeated doc_ids and rows too.
+Whole texts count, however long; a task has one slice of texts, bounded in bytes,
+as Python objects. An empty table gives no rows. Only ``doc_id`` and ``text`` are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,14 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadline.llm.common import crc_mod, cut
+from threadline.llm.common import crc_mod, cut, slices
 
 DEPTH = 3
 MAX_CONTEXTS = 16_384
 HOT_WORDS = 200_000
 #: A byte that UTF-8 never has: it ends a text, and stands before it.
 END = 0xFF
-_STEP = 1000
 
 
 def symbols(text: str | None) -> np.ndarray:
@@ -66,12 +67,11 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, _STEP):
-                codes = [contexts(s) << 8 | s[3:] for s in map(symbols, batch.column(0).slice(at, _STEP).to_pylist())]
-                held.append(np.unique(np.concatenate(codes), return_counts=True))
-                if len(held) == 16:
-                    held = [merged(held)]
+        for part in (p for b in batches for p in slices(b, 0)):
+            codes = [contexts(s) << 8 | s[3:] for s in map(symbols, part.column(0).to_pylist())]
+            held.append(np.unique(np.concatenate(codes), return_counts=True))
+            if len(held) == 16:
+                held = [merged(held)]
         if held:
             codes, n = merged(held)
             yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], ["code", "n"])
@@ -165,6 +165,19 @@ def build(grams: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
     return grow(grams, max_contexts)[0]
 
 
+def most_frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts with the greatest n, as many as there are from a power of two on but ``most`` at most.
+
+    A histogram of powers finds the limit, so no task sorts or gathers rows.
+    """
+    sizes = {r["k"]: r["count"] for r in counts.groupBy(F.floor(F.log2(n)).alias("k")).count().collect()}
+    total, least = 0, max(sizes, default=0) + 1
+    while least > 0 and total + sizes.get(least - 1, 0) <= most:
+        least -= 1
+        total += sizes.get(least, 0)
+    return counts.filter(F.floor(F.log2(n)) >= least)
+
+
 def _rare(level: list[DataFrame], kept: DataFrame) -> DataFrame:
     """context, node, zero, one: what a bit of a context of full depth that is not kept adds to its log probability by the next shorter one.
 
@@ -179,7 +192,7 @@ def grow(grams: DataFrame, max_contexts: int = MAX_CONTEXTS) -> tuple[Tree, Data
     """The tree that goes to the tasks, and a table of the contexts it has no room for, if any."""
     level = levels(grams)
     by_context = grams.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("n"))
-    kept = cut(by_context.orderBy(F.desc("n"), "context").limit(max_contexts).select("context"))
+    kept = cut(most_frequent(by_context, "n", max_contexts).select("context"))
     rare = cut(_rare(level, kept)) if by_context.count() > max_contexts else None
     nodes, bits = _paths()
     rows, at, first, inherited = [], [], [], np.full((1, 256), 0.5)
@@ -212,9 +225,9 @@ def grow(grams: DataFrame, max_contexts: int = MAX_CONTEXTS) -> tuple[Tree, Data
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in (p for b in batches for p in slices(b, 0, 10_000, 1 << 25)):
         counts: Counter = Counter()
-        for text in batch.column(0).to_pylist():
+        for text in part.column(0).to_pylist():
             counts.update((text or "").encode().lower().split())
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
 
@@ -235,13 +248,13 @@ def fit(texts: DataFrame, hot_words: int = HOT_WORDS, max_contexts: int = MAX_CO
     counts = cut(texts.select("text").mapInArrow(_word_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ends = texts.count()
-    hot = counts.orderBy(F.desc("c"), "word").limit(hot_words).toArrow()
+    hot = most_frequent(counts, "c", hot_words).toArrow()
     words = dict(zip(hot.column("word").to_pylist(), hot.column("c").to_pylist(), strict=True))
     return Model(*grow(cut(gram_counts(texts)), max_contexts), counts, words, n + ends, v + (ends > 0), ends)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every whole text; n_bytes counts the end."""
     shared = docs.sparkSession.sparkContext.broadcast((model.tree, model.hot))
     below = math.log10(model.n + model.v + 1)
     end = math.log10(model.ends + 1) - below, int(model.ends > 0)
@@ -251,31 +264,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         tree, hot = shared.value
         row_of = tree.row_of_context()
         logs = {w: math.log10(c + 1) - below for w, c in hot.items()}
-        for batch in batches:
-            for at in range(0, batch.num_rows, _STEP):
-                part = batch.slice(at, _STEP)
-                out: list[tuple] = []
-                for text in part.column(1).to_pylist():
-                    s = symbols(text)
-                    words = (text or "").encode().lower().split()
-                    known = [logs[w] for w in words if w in logs]
-                    cold = Counter(w for w in words if w not in logs) if len(known) < len(words) else {}
-                    before = contexts(s)
-                    at_row = row_of[before]
-                    total = float(tree.rows[at_row, s[3:]].sum(dtype=np.float64))
-                    rare: list[tuple[int, int]] = []
-                    if has_rare:
-                        some = at_row < tree.first[DEPTH]
-                        codes, k = np.unique(before[some] << 8 | s[3:][some], return_counts=True)
-                        rare = list(zip(codes.tolist(), k.tolist(), strict=True))
-                    out.append((len(words) + 1, len(known) + end[1], math.fsum(known) + end[0], total, list(cold.items()), rare))
-                types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])), pa.list_(pa.struct([("code", pa.int64()), ("k", pa.int64())]))
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "hot_known", "hot_score", "score", "cold", "rare"])
+        for part in (p for b in batches for p in slices(b, 1)):
+            out: list[tuple] = []
+            for text in part.column(1).to_pylist():
+                s = symbols(text)
+                words = (text or "").encode().lower().split()
+                known = [logs[w] for w in words if w in logs]
+                cold = Counter(w for w in words if w not in logs) if len(known) < len(words) else {}
+                before = contexts(s)
+                at_row = row_of[before]
+                total = float(tree.rows[at_row, s[3:]].sum(dtype=np.float64))
+                rare: list[tuple[int, int]] = []
+                if has_rare:
+                    some = at_row < tree.first[DEPTH]
+                    codes, k = np.unique(before[some] << 8 | s[3:][some], return_counts=True)
+                    rare = list(zip(codes.tolist(), k.tolist(), strict=True))
+                out.append((len(s) - 3, len(words) + 1, len(known) + end[1], math.fsum(known) + end[0], total, list(cold.items()), rare))
+            types = pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])), pa.list_(pa.struct([("code", pa.int64()), ("k", pa.int64())]))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_bytes", "n_tokens", "hot_known", "hot_score", "score", "cold", "rare"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_tokens long, hot_known long, hot_score double, score double, cold array<struct<word:binary,k:long>>, rare array<struct<code:long,k:long>>"
+        run, f"doc_id {id_type}, n_bytes long, n_tokens long, hot_known long, hot_score double, score double, cold array<struct<word:binary,k:long>>, rare array<struct<code:long,k:long>>"
     )
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     cold = rows.select("row", F.explode("cold").alias("x")).select("row", "x.word", "x.k")
@@ -297,14 +308,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         F.lit(int(model.n)).cast("long").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0))).alias("base_score"),
         "score",
+        "n_bytes",
     )
 
 
 def op9(docs: DataFrame) -> DataFrame:
     model = fit(docs.filter(crc_mod("doc_id", 7) != 2).select("text"))
     scored = score(docs, model)
-    bytes_of = -F.col("score") / math.log10(2)
+    bits = -F.col("score") / math.log10(2)
     return scored.select(
         "doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"),
-        "n_tokens", "n_known", "train_tokens", "base_score", "score", bytes_of.alias("code_bits"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("code_bits"), (bits / F.col("n_bytes")).alias("bits_per_byte"),
     )

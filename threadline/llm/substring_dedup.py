@@ -43,11 +43,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadline.llm.common import SLICE, cut, one_write, work_dir
+from threadline.llm.common import Hashes, cut, one_write, slices, work_dir
 
 WINDOW, GRAM = 13, 5
 WIN_BYTES = 6
@@ -58,23 +57,12 @@ PART_BYTES = 1 << 23
 MAX_PARTS, MAX_FILES = 1 << 20, 1 << 15
 #: Entries of an anchor from which it is hot; doubled while over MAX_HOT anchors would be (they are broadcast).
 HOT, MAX_HOT = 200_000, 100_000
-MEMO = 400_000
 _SLICE_WORDS = 500_000
 ENTRY = "part int, anchor long, doc_id long, twin long, place int, mask int, windows binary, spots array<long>"
 #: A spot is place * 2^16 plus a bit for each of the windows that begin there.
 SPOTS = "doc_id long, twin long, spots array<long>"
 
 
-class Hashes(dict):
-    """Word -> 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def mix(x: np.ndarray, odd: int) -> np.ndarray:
     x = (x ^ x >> np.uint64(32)) * np.uint64(odd)
     return x ^ x >> np.uint64(29)
@@ -411,7 +399,7 @@ def remove(docs: DataFrame, spots: DataFrame) -> DataFrame:
     joined = docs.join(per_doc.hint("shuffle_hash"), same, "left").select("doc_id", "text", "spots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+        for batch in (p for b in batches for p in slices(b, 1)):
             n, lost, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 words = (text or "").encode().split()
