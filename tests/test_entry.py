@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 import __spark_entry__
 
 REPO = Path(__spark_entry__.__file__).parent
@@ -18,8 +20,12 @@ def test_sql_has_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_imports_without_the_text_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_imports_without_the_text_operators(tmp_path, pipeline):
+    """With the pipeline's file left behind, and without it."""
     shutil.copytree(REPO / "threadline", tmp_path / "threadline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    for file in REPO.glob("*.py"):
+        if pipeline or file.name != "corpus_pipeline.py":
+            shutil.copy(file, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and not any(n.startswith('op1_') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})

@@ -1,5 +1,6 @@
 """Small scenarios for operators whose rules are easy to get wrong."""
 
+import math
 from datetime import datetime, timedelta
 
 import pytest
@@ -91,8 +92,58 @@ def test_alias_map_and_normalisers(spark):
 def test_reply_classes_and_titles(spark):
     df = spark.createDataFrame([("Thanks, done",), ("@bot please fix",), ("This is an automated message",), ("I think the loop should stop earlier because of the bound",)], "t string")
     assert [r[0] for r in df.select(T.reply_class("t")).collect()] == ["acknowledgement_only", "agent_invocation", "platform_generated", "substantive_response"]
-    titles = spark.createDataFrame([("feat(core)!: x",), ("Fix: y",), ("anything",)], "t string")
-    assert [r[0] for r in titles.select(T.task_of_title("t")).collect()] == ["feature", "bug_fix", None]
+    titles = spark.createDataFrame([("feat(core)!: x",), ("Fix: y",), ("anything",), ("feature: x",), ("[WIP] fix: y",), ("docs : z",), ("bugfix: q",), ("tests: a",), ("fixes: b",), (None,)], "t string")
+    assert [r[0] for r in titles.select(T.task_of_title("t")).collect()] == ["feat", "fix", None, "feat", "fix", "docs", "fix", "test", None, None]
+
+
+def test_titles_are_normalised(spark):
+    rows = ["[WIP] feat(api)!: Fix &amp; Café by Claude Code see https://x.org/a b", "chore: docs: deadbeef1 deadbee", "plain  Title\n two", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "t string").select(T.normalise("t")).collect()]
+    assert got == [": fix & café by agent see url b", "sha deadbee", "plain title two", ""]
+    refs = spark.createDataFrame([("fixes #12, a#13 _#14 and #12",), ("see https://github.com/o/r/issues/77 #9",), (None,)], "t string")
+    assert [r[0] for r in refs.select(T.issue_refs("t")).collect()] == [["12"], ["77", "9"], []]
+    pair = spark.createDataFrame([("feat: a.b-c x", "a.b-c y")], "a string, b string")
+    assert abs(pair.select(T.jaccard(T.tokens("a"), T.tokens("b"))).first()[0] - 1 / 3) < 1e-12
+
+
+WHO = ("actor_login", "actor_agent", "user_type", "author_login", "author_agent", "trigger_agent")
+
+
+@pytest.mark.parametrize(
+    ("who", "moved", "role", "owner", "state"),
+    [
+        (("Ann", None, "USER", "ann", "a", "b"), False, "author_account", "author_human", "user_account"),
+        (("bob", "b", "User", "ann", "a", "b"), False, "triggering_reviewer_brand", "other_human", "user_account"),
+        (("ann", "a", "Bot", "ann", "a", "b"), False, "author_agent_brand", "author_agent", "mapped_product"),
+        (("x", "b", None, "ann", "a", "b"), True, "triggering_reviewer_brand", "triggering_reviewer", "mapped_product"),
+        (("x", "c", "bot", "ann", "a", "b"), False, "other_agent_brand", "other_agent", "mapped_product"),
+        (("x", None, "BOT", "ann", "a", "b"), True, "other_bot", "other_bot", "other_bot"),
+        (("ANN", None, None, "ann", "a", "b"), True, "unknown_actor", "author_account_untyped", "branch_movement_untyped"),
+        (("x", None, None, "ann", "a", "b"), True, "unknown_actor", "branch_actor_untyped", "branch_movement_untyped"),
+        (("ann", None, None, "ann", "a", "b"), False, "unknown_actor", "unknown", "branch_movement_untyped"),
+        (("bob", None, "user", "ann", "a", "b"), True, "other_human", "other_human", "user_account"),
+    ],
+)
+def test_roles_owners_and_states(spark, who, moved, role, owner, state):
+    df = spark.createDataFrame([(*who, moved)], ", ".join(f"{x} string" for x in WHO) + ", moved boolean")
+    got = df.select(X.actor_role(*WHO), X.owner(*WHO, F.col("moved")), X.atomic_state(F.col("actor_agent"), F.col("user_type"))).first()
+    assert tuple(got) == (role, owner, state)
+
+
+@pytest.mark.parametrize(("trigger_review", "found"), [(None, {2, 3, 4}), (7, {3, 4})])
+def test_events_without_a_review_are_responses(spark, trigger_review, found):
+    triggers = spark.createDataFrame([(1, DAY0, None, 1, trigger_review, "t", "a", "ann")], "pr_id long, trigger_dt timestamp_ntz, closed_dt timestamp_ntz, trigger_event_id long, trigger_review_id long, trigger_agent string, author_agent string, author_login string")
+    rows = [(1, 2, 7, None, "review", day(1), "x", None, "User"), (1, 3, None, None, "comment", day(1), "x", None, "User"), (1, 4, 8, None, "review", day(2), "x", None, "User"), (1, 5, None, None, "comment", day(9), "x", None, "User")]
+    ix = spark.createDataFrame(rows, "pr_id long, event_id long, review_id long, parent_id long, source string, interaction_dt timestamp_ntz, actor_login string, actor_agent string, user_type string")
+    assert {r.event_id for r in cohort.response_events(triggers, ix).collect()} == found
+    actions = sequence.debatch(cohort.response_events(triggers, ix), sequence.action_key())
+    assert {r.action for r in actions.collect()} >= {"comment:3", "review:8"}
+
+
+def test_triggers_must_be_mature(spark):
+    rows = [(1, 1, "s", day(1), True), (1, 2, "s", day(3), True), (2, 3, "s", day(9), True)]
+    fb = spark.createDataFrame([(*r, None, "a") for r in rows], "pr_id long, event_id long, source string, interaction_dt timestamp_ntz, cross_agent boolean, review_id long, actor_agent string")
+    assert [r.trigger_event_id for r in cohort.first_triggers(fb, mature_until=F.lit(day(5))).collect()] == [1]
 
 
 def test_owner_ties_and_routes(spark):
@@ -122,14 +173,53 @@ def test_greedy_matching_against_brute_force(spark):
         free = [(t, i) for i, q, arm, t in rows if q == s and not arm]
         for t, i in sorted((t, i) for i, q, arm, t in rows if q == s and arm):
             if free:
-                below = [f for f in free if f < (t, i)]
-                above = [f for f in free if f > (t, i)]
-                pick = min(([max(below)] if below else []) + ([min(above)] if above else []), key=lambda f: abs(f[0] - t))
+                below = [f for f in free if f[0] < t]
+                above = [f for f in free if f[0] >= t]
+                pick = min(([min(above)] if above else []) + ([max(below)] if below else []), key=lambda f: abs(f[0] - t))
                 free.remove(pick)
                 want.add((i, pick[1]))
     assert got == want
 
 
+def test_of_two_controls_as_near_the_later_is_taken(spark):
+    rows = [(1, True, DAY0 + timedelta(hours=5)), (2, False, DAY0 + timedelta(hours=4)), (3, False, DAY0 + timedelta(hours=6))]
+    df = spark.createDataFrame([(i, "x", a, t) for i, a, t in rows], "id long, s string, arm boolean, t timestamp_ntz")
+    assert [(r.exposed_id, r.control_id) for r in matching.nearest_without_replacement(df, ["s"], "arm", "t", "id").collect()] == [(1, 3)]
+
+
+def test_caliper_scales_each_cell_and_meets_only_neighbours(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("pq"), rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, cell string, a double, b double")
+    z = matching.standardise(df, ["a", "b"], ["cell"])
+    sums = z.groupBy("cell").agg(F.avg("z_a").alias("m"), F.stddev_pop("z_b").alias("s")).collect()
+    assert all(abs(r.m) < 1e-9 and abs(r.s - 1) < 1e-9 for r in sums)
+    got = {r.exposed_id: (r.control_id, r.distance) for r in matching.nearest_in_caliper(z.filter("id % 2 = 1"), z, ["cell"], ["z_a", "z_b"], "id", 0.3).collect()}
+    points = {r.id: (r.cell, r.z_a, r.z_b) for r in z.collect()}
+    for i in (i for i in points if i % 2):
+        near = sorted((math.dist(points[i][1:], p[1:]), j) for j, p in points.items() if j != i and p[0] == points[i][0])
+        assert (got.get(i) or (None,))[0] == (near[0][1] if near[0][0] <= 0.3 else None)
+
+
+def test_running_sum_over_ranges(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(x, rng.randrange(5)) for x in rng.sample(range(1000), 200)]
+    got = {r.k: r.before for r in asof.running_sum(spark.createDataFrame(rows, "k long, v long"), "k", "v", "before", 8).collect()}
+    assert got == {k: sum(v for j, v in rows if j < k) for k, _ in rows}
+
+
+def test_temporal_split_is_by_percent_rank(spark):
+    from threadline.operators import learn
+
+    df = spark.createDataFrame([(i, day(t)) for i, t in enumerate([1, 1, 2, 3, 3, 3, 4, 5, 6, 9])], "id long, t timestamp_ntz")
+    got = {r.id for r in learn.temporal_split(df, "t", 0.7).filter("is_train").collect()}
+    assert got == {r.id for r in df.selectExpr("id", "percent_rank() over (order by t) < 0.7 as early").filter("early").collect()}
+
+
 def test_contracts_and_state(spark):
     df = spark.createDataFrame([(1, day(0), day(1)), (2, day(2), day(1)), (3, None, day(1))], "id long, a timestamp_ntz, b timestamp_ntz")
     codes = {"NO_START": F.col("a").isNull(), "NOT_AFTER": F.col("b") <= F.col("a")}
@@ -172,8 +262,10 @@ def test_streams_equal_batches(spark, tmp_path):
     df.repartition(6).write.parquet(str(tmp_path / "in"))
     stream = S.event_stream(spark, str(tmp_path / "in"), df.schema, 2)
     error = F.col("source") == "error"
-    S.run_available(S.first_triggers(stream, error), "first_triggers", str(tmp_path / "cp1"), "complete")
+    S.run_available(S.first_triggers(stream, error), str(tmp_path / "first"), str(tmp_path / "cp1"), "complete")
     want = {(r[0], r[1]) for r in df.filter(error).groupBy("pr_id").agg(F.min("event_id")).collect()}
-    assert {(r.pr_id, r.trigger_event_id) for r in spark.table("first_triggers").collect()} == want
-    S.run_available(S.windowed_counts(stream, "1 hour", "10 days", "source"), "hourly", str(tmp_path / "cp2"), "complete")
-    assert sum(r.n_events for r in spark.table("hourly").collect()) == 60
+    assert {(r.pr_id, r.trigger_event_id) for r in S.latest(spark, str(tmp_path / "first")).collect()} == want
+    S.run_available(S.windowed_counts(stream, "1 hour", "10 days", "source"), str(tmp_path / "hourly"), str(tmp_path / "cp2"), "complete")
+    assert sum(r.n_events for r in S.latest(spark, str(tmp_path / "hourly")).collect()) == 60
+    S.run_available(S.once_each(stream, "10 days", ["event_id"]), str(tmp_path / "once"), str(tmp_path / "cp3"))
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 60

@@ -77,41 +77,45 @@ def comment_reference(url: Column | str) -> Column:
     return F.when(kind != "", F.struct(kind.alias("kind"), number.cast("bigint").alias("number")))
 
 
+def is_type(kind: str, user_type: Column | str = "user_type") -> Column:
+    """Whether an account is of a type, whatever its case; an unknown type is none."""
+    return F.coalesce(F.lower(c(user_type)) == kind, F.lit(False))
+
+
 def actor_role(login_: str, agent: str, user_type: str, author_login: str, author_agent: str, trigger_agent: str) -> Column:
-    """Who acts, seen from the item's author and from the triggering reviewer."""
+    """Who acts, seen from the item's author and from the triggering reviewer. Only a user can be the author's account."""
     mapped = F.col(agent)
     return (
-        F.when(F.col(login_) == F.col(author_login), "author_account")
+        F.when(is_type("user", user_type) & (F.lower(login_) == F.lower(author_login)), "author_account")
         .when(mapped == F.col(author_agent), "author_agent_brand")
         .when(mapped == F.col(trigger_agent), "triggering_reviewer_brand")
         .when(mapped.isNotNull(), "other_agent_brand")
-        .when(F.col(user_type) == "Bot", "other_bot")
-        .when(F.col(user_type) == "User", "other_human")
+        .when(is_type("bot", user_type), "other_bot")
+        .when(is_type("user", user_type), "other_human")
         .otherwise("unknown_actor")
     )
 
 
-def owner(role: str = "role", user_type: str = "user_type", movement: Column | None = None) -> Column:
-    """The nine owners of an action."""
-    moved = movement if movement is not None else F.lit(False)
+def owner(login_: str, agent: str, user_type: str, author_login: str, author_agent: str, trigger_agent: str, movement: Column | None = None) -> Column:
+    """The nine owners of an action: people first, then products, then bots; accounts without a type own movements only."""
+    moved = F.coalesce(movement, F.lit(False)) if movement is not None else F.lit(False)
+    author, mapped, person = F.lower(login_) == F.lower(author_login), F.col(agent), is_type("user", user_type)
     return (
-        F.when((F.col(role) == "author_account") & (F.col(user_type) == "User"), "author_human")
-        .when(F.col(role) == "other_human", "other_human")
-        .when(F.col(role) == "author_agent_brand", "author_agent")
-        .when(F.col(role) == "triggering_reviewer_brand", "triggering_reviewer")
-        .when(F.col(role) == "other_agent_brand", "other_agent")
-        .when(F.col(role) == "other_bot", "other_bot")
-        .when(F.col(role) == "author_account", "author_account_untyped")
+        F.when(person & author, "author_human")
+        .when(person, "other_human")
+        .when(mapped == F.col(author_agent), "author_agent")
+        .when(mapped == F.col(trigger_agent), "triggering_reviewer")
+        .when(mapped.isNotNull(), "other_agent")
+        .when(is_type("bot", user_type), "other_bot")
+        .when(moved & author, "author_account_untyped")
         .when(moved, "branch_actor_untyped")
         .otherwise("unknown")
     )
 
 
-def atomic_state(agent: Column, user_type: Column, movement: Column) -> Column:
-    """User over product over other bot over movement."""
-    return (
-        F.when(movement, STATES[3]).when(agent.isNotNull(), STATES[1]).when(user_type == "User", STATES[0]).when(user_type == "Bot", STATES[2]).otherwise(STATES[3])
-    )
+def atomic_state(agent: Column, user_type: Column) -> Column:
+    """User over product over other bot; the rest is movement, or untyped."""
+    return F.when(is_type("user", user_type), STATES[0]).when(agent.isNotNull(), STATES[1]).when(is_type("bot", user_type), STATES[2]).otherwise(STATES[3])
 
 
 def state_priority(state: Column | str) -> Column:

@@ -7,21 +7,36 @@ from pyspark.sql import functions as F
 
 from threadline.functions.columns import c
 
-#: The types that a conventional title can name.
-TASKS = {"feat": "feature", "fix": "bug_fix", "docs": "documentation", "test": "test", "refactor": "refactor", "perf": "performance", "build": "build", "ci": "build", "chore": "chore", "style": "chore", "revert": "revert"}
+#: What a conventional title begins with, and the types that have other names.
+PREFIX = (
+    r"(?i)^\s*(?:\[[^\]]+\]\s*)?"
+    r"(feat(?:ure)?|fix|bugfix|docs?|documentation|test|tests|refactor|"
+    r"chore|build|ci|perf|style|revert)"
+    r"(?:\([^)]+\))?!?\s*:\s*"
+)
+ALIASES = {"feature": "feat", "bugfix": "fix", "doc": "docs", "documentation": "docs", "tests": "test"}
+#: Tags that a title leads with, names of products, and what a token is.
+LEADING_TAG = r"(?i)^\s*(?:\[[^\]]{1,30}\]\s*)?(?:(?:feat|fix|chore|docs|test|refactor|style|build|ci|perf)(?:\([^)]*\))?[!:]\s*)+"
+PRODUCT = r"(?i)\b(?:openai[ _-]?codex|codex|claude[ _-]?code|claude|copilot|cursor|google[ _-]?jules|jules|devin)\b"
+TOKEN = r"[a-z0-9][a-z0-9_.+/-]*"
 ACKNOWLEDGE = r"\b(thanks|thank you|done|fixed|good catch|agreed|will do|ok|okay)\b"
 INVOKE = r"(^|\s)@[a-z0-9-]+|^/[a-z]+"
 PLATFORM = r"(automatically generated|this is an automated|rate limit|quota)"
 
 
 def normalise(text: Column | str) -> Column:
-    """Lower case, without mark-up, addresses or hashes, single spaces."""
-    x = F.lower(c(text))
-    for pattern, by in ((r"<[^>]+>", " "), (r"https?://[^ \t\n]+", " "), (r"\b[0-9a-f]{7,40}\b", " "), (r"[^a-z0-9 ]+", " "), (r" +", " ")):
+    """Unescaped, lower case, without leading tags; products, addresses and hashes by marks; single spaces. Null is empty."""
+    x = F.regexp_replace(F.lower(unescape(F.coalesce(c(text), F.lit("")))), LEADING_TAG, "")
+    for pattern, by in ((PRODUCT, " agent "), (r"https?://[^ \t\n\r\f]+", " url "), (r"\b[0-9a-f]{8,40}\b", " sha "), (r"[ \t\n\r\f]+", " ")):
         x = F.regexp_replace(x, pattern, by)
     return F.trim(x)
 
 
+def words(text: Column | str) -> Column:
+    """Tokens of a normalised text, repeats included."""
+    return F.regexp_extract_all(normalise(text), F.lit(TOKEN), F.lit(0))
+
+
 def unescape(text: Column | str) -> Column:
     """The five named HTML entities and two spaces, ampersand last."""
     x = c(text)
@@ -30,12 +45,12 @@ def unescape(text: Column | str) -> Column:
     return x
 
 
-def redact(text: Column | str, max_chars: int = 2000) -> Column:
-    """Secrets, addresses and mails by marks; blanks collapsed; cut to max_chars."""
+def redact(text: Column | str, max_chars: int | None = None) -> Column:
+    """Secrets, addresses and mails by marks, and blanks collapsed, over the whole text; cut to max_chars only for a packet."""
     x = c(text)
     for pattern, by in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"), (r"https?://[^ \t\n]+", "[URL]"), (r"\b[0-9a-f]{32,}\b", "[TOKEN]"), (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "[IP]"), (r"[ \t]+", " ")):
         x = F.regexp_replace(x, pattern, by)
-    return F.substring(x, 1, max_chars)
+    return x if max_chars is None else F.substring(x, 1, max_chars)
 
 
 def word_count(text: Column | str) -> Column:
@@ -54,19 +69,22 @@ def reply_class(text: Column | str, floor: int = 12) -> Column:
 
 
 def task_of_title(title: Column | str) -> Column:
-    """The task that a conventional prefix names; others are null."""
-    kind = F.regexp_extract(F.lower(F.trim(c(title))), r"^([a-z]+)(\([^)]*\))?!?:", 1)
-    return F.try_element_at(F.create_map(*(F.lit(x) for k, v in TASKS.items() for x in (k, v))), kind)
+    """The type that a conventional prefix names; others are null."""
+    kind = F.lower(F.regexp_extract(c(title), PREFIX, 1))
+    aliases = F.create_map(*(F.lit(x) for k, v in ALIASES.items() for x in (k, v)))
+    return F.when(kind != "", F.coalesce(F.try_element_at(aliases, kind), kind))
 
 
 def issue_refs(text: Column | str) -> Column:
-    """Distinct issue numbers that a text names with #."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c(text), F.lit(r"#([0-9]{1,7})"), F.lit(1)), lambda x: x.cast("bigint"))))
+    """Distinct issue numbers that a text names with # or by an issue's address."""
+    x = F.coalesce(c(text), F.lit(""))
+    found = F.concat(*(F.regexp_extract_all(x, F.lit(p), F.lit(1)) for p in (r"(?<![A-Za-z0-9_])#(\d+)", r"(?i)github\.com/[^/]+/[^/]+/issues/(\d+)")))
+    return F.array_sort(F.array_distinct(found))
 
 
 def tokens(text: Column | str) -> Column:
-    """Distinct words of a normalised text."""
-    return F.array_distinct(F.filter(F.split(normalise(text), " "), lambda w: w != ""))
+    """Distinct tokens of a normalised text."""
+    return F.array_distinct(words(text))
 
 
 def jaccard(a: Column, b: Column) -> Column:

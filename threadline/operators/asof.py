@@ -53,3 +53,20 @@ def tie_counts(df: DataFrame, keys: list[str], name: str = "tie_n") -> DataFrame
 def first_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first by a total order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+
+
+def running_sum(df: DataFrame, order: str, value: str, name: str, ranges: int = 64) -> DataFrame:
+    """df with the sum of ``value`` over all rows of smaller ``order``, whose values are distinct, without one task for all rows.
+
+    Rows are numbered by range of ``order`` (quantiles, so ranges are even unless
+    one value is frequent: aggregate by it first); each range adds up its own
+    rows and what the ranges before it sum to, of which there are ``ranges`` at most.
+    """
+    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)]).alias("cuts"))
+    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("cuts", lambda x: x < F.col(order)))).drop("cuts")
+    sums = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.join(F.broadcast(starts), "_range")
+    return out.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_start")).drop("_range", "_start")

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadline.functions.columns import actor_role, after, any_, c, hours, owner
+
+#: Owners that are people, and those that are automation.
+PEOPLE = ("author_human", "other_human")
+MACHINES = ("author_agent", "triggering_reviewer", "other_agent", "other_bot")
 from threadline.operators.asof import first_rows
 
 
@@ -32,10 +36,16 @@ def feedback_events(ix: DataFrame, items: DataFrame, cutoff: Column | None = Non
     return joined.filter(open_then).withColumns({"cross_agent": F.col("actor_agent") != F.col("author_agent"), "hours_since_open": hours("created_dt", "interaction_dt")})
 
 
-def first_triggers(feedback: DataFrame, relation: Column | None = None, keys: tuple[str, ...] = ("pr_id",)) -> DataFrame:
-    """The first qualifying event of each item by time, source and id: a total order."""
+def first_triggers(feedback: DataFrame, relation: Column | None = None, keys: tuple[str, ...] = ("pr_id",), mature_until: Column | None = None) -> DataFrame:
+    """The first qualifying event of each item by time, source and id: a total order.
+
+    Items whose first trigger comes later than ``mature_until`` go: their
+    window of responses is not over.
+    """
     wanted = feedback.filter(relation if relation is not None else F.col("cross_agent"))
     first = first_rows(wanted, list(keys), [F.col("interaction_dt"), F.col("source"), F.col("event_id")])
+    if mature_until is not None:
+        first = first.filter(F.col("interaction_dt") <= mature_until)
     return first.select(
         *(x for x in ("pr_id", "repo_id", "author_agent", "author_login", "closed_dt", "merged_dt", "cross_agent") if x in first.columns),
         F.col("event_id").alias("trigger_event_id"),
@@ -56,15 +66,16 @@ def response_events(triggers: DataFrame, ix: DataFrame, days: int = 7, movement:
     """Everything that happens to an item in the window after its trigger, with role, owner and hours.
 
     An equi-join on the item with the window as its residual; another event of
-    the trigger's own review batch is no response.
+    the trigger's own review batch is no response. Events and triggers without
+    a review, as plain comments are, belong to no batch.
     """
     events = ix.select("pr_id", "event_id", "review_id", "parent_id", "source", "interaction_dt", "actor_login", "actor_agent", "user_type")
-    joined = triggers.join(events, "pr_id").filter(within("interaction_dt", "trigger_dt", after("trigger_dt", days=days)) & (F.col("review_id") != F.col("trigger_review_id")))
-    moved = movement if movement is not None else F.lit(False)
-    role = actor_role("actor_login", "actor_agent", "user_type", "author_login", "author_agent", "trigger_agent")
+    other_batch = F.coalesce(F.col("review_id") != F.col("trigger_review_id"), F.lit(True))
+    joined = triggers.join(events, "pr_id").filter(within("interaction_dt", "trigger_dt", after("trigger_dt", days=days)) & other_batch)
+    who = ("actor_login", "actor_agent", "user_type", "author_login", "author_agent", "trigger_agent")
     return (
-        joined.withColumn("role", role)
-        .withColumn("owner", owner("role", "user_type", moved))
+        joined.withColumn("role", actor_role(*who))
+        .withColumn("owner", owner(*who, movement))
         .withColumn("exact_reply", F.coalesce(F.col("parent_id") == F.col("trigger_event_id"), F.lit(False)))
         .withColumn("hours_after", hours("trigger_dt", "interaction_dt"))
     )
@@ -101,11 +112,10 @@ def first_actions(triggers: DataFrame, responses: DataFrame, label: str = "owner
 
 
 def routes(triggers: DataFrame, responses: DataFrame, horizon_hours: float = 48.0, movement: Column | None = None) -> DataFrame:
-    """Which of people and automation came first within the horizon; a tie counts as people."""
+    """Which owners, people or automation, came first within the horizon; a tie counts as people."""
     near = responses.filter(F.col("hours_after") <= horizon_hours)
     moved = movement if movement is not None else F.lit(False)
-    person = (F.col("user_type") == "User") & F.col("actor_agent").isNull() & ~moved
-    machine = (F.col("actor_agent").isNotNull() | (F.col("user_type") == "Bot")) & ~moved
+    person, machine = F.col("owner").isin(*PEOPLE), F.col("owner").isin(*MACHINES)
     at = near.groupBy("pr_id").agg(
         F.min(F.when(person, F.col("interaction_dt"))).alias("person_dt"),
         F.min(F.when(machine, F.col("interaction_dt"))).alias("machine_dt"),

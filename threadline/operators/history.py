@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadline.functions.columns import hours
+from threadline.functions.columns import hours, is_type
 
 
 def strict_prior_history(targets: DataFrame, history: DataFrame, keys: list[str], target_id: str = "pr_id", target_time: str = "trigger_dt", time: str = "interaction_dt") -> DataFrame:
@@ -26,7 +26,7 @@ def strict_prior_history(targets: DataFrame, history: DataFrame, keys: list[str]
 
 def first_responders(responses: DataFrame, horizon_hours: float = 48.0) -> DataFrame:
     """First response of each account to each item within the horizon, its rank, and ties at the first instant."""
-    near = responses.filter((F.col("hours_after") <= horizon_hours) & (F.col("user_type") == "User"))
+    near = responses.filter((F.col("hours_after") <= horizon_hours) & is_type("user"))
     first = near.groupBy("pr_id", "actor_login").agg(F.min("interaction_dt").alias("first_dt"), F.min_by("source", F.struct("interaction_dt", "event_id")).alias("source"))
     item = Window.partitionBy("pr_id")
     at = F.min("first_dt").over(item)

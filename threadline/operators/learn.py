@@ -8,8 +8,8 @@ from pyspark.ml.feature import IDF, HashingTF, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from threadline.operators.asof import running_sum
 from threadline.operators.textmatch import word_grams
 
 
@@ -41,8 +41,14 @@ def fold(key: Column, k: int) -> Column:
 
 
 def temporal_split(df: DataFrame, time: str, share: float = 0.8) -> DataFrame:
-    """is_train: the earlier share of the rows."""
-    return df.withColumn("is_train", F.percent_rank().over(Window.partitionBy(F.lit(0)).orderBy(time)) < share)
+    """is_train: the earlier share of the rows, those whose percent rank by time is below it.
+
+    Rows are counted by time; how many come before a time is summed over ranges of times.
+    """
+    counts = running_sum(df.groupBy(time).agg(F.count(F.lit(1)).alias("_n")), time, "_n", "_before")
+    last = F.greatest(F.lit(df.count() - 1), F.lit(1))
+    early = counts.select(F.col(time).alias("_time"), (F.col("_before") / last < share).alias("is_train"))
+    return df.join(early, df[time].eqNullSafe(F.col("_time")), "left").drop("_time")
 
 
 def cross_validated(df: DataFrame, label: str, group: Column, k: int = 5) -> DataFrame:

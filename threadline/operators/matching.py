@@ -7,15 +7,14 @@ import bisect
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def nearest_without_replacement(df: DataFrame, strata: list[str], arm: str, time: str, row_id: str) -> DataFrame:
-    """Each exposed row in order of time takes the nearest free other of its stratum; ties go to the earlier.
+    """Each exposed row in order of time takes the nearest free other of its stratum; of two as near the later is taken.
 
     Taking turns is sequential by definition, so a stratum is one group; a
-    stratum must be narrow (say group, author, source and month). Rows are
-    compared by (time, id), so the result does not depend on their order.
+    stratum must be narrow (say group, author, source and month). Turns and
+    equal times are ordered by id, so the result does not depend on the order of rows.
     """
     id_type = df.schema[row_id].dataType.simpleString()
     named = df.select(*(F.col(s) for s in strata), F.col(row_id).alias("_id"), F.col(arm).alias("_arm"), F.unix_micros(F.col(time).cast("timestamp")).alias("_time"))
@@ -27,27 +26,34 @@ def nearest_without_replacement(df: DataFrame, strata: list[str], arm: str, time
         for t, i in rows.loc[rows["_arm"], ["_time", "_id"]].itertuples(index=False, name=None):
             if not free:
                 break
-            k = bisect.bisect_left(free, (t, i))
-            near = min((abs(free[j][0] - t), j) for j in (k - 1, k) if 0 <= j < len(free))
-            other = free.pop(near[1])
-            out.append((i, other[1], near[0] / 3.6e9))
+            k = bisect.bisect_left(free, t, key=lambda f: f[0])
+            gap, _, j = min((abs(free[j][0] - t), j < k, j) for j in (k - 1, k) if 0 <= j < len(free))
+            out.append((i, free.pop(j)[1], gap / 3.6e9))
         return pd.DataFrame(out, columns=["exposed_id", "control_id", "gap_hours"])
 
     return named.groupBy(*strata).applyInPandas(match, f"exposed_id {id_type}, control_id {id_type}, gap_hours double")
 
 
-def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each column less its mean over its population deviation; a constant column becomes 0."""
-    every = Window.partitionBy(F.lit(0))
-    return df.withColumns({f"z_{c}": F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(every), F.stddev_pop(c).over(every)), F.lit(0.0)) for c in columns})
+def standardise(df: DataFrame, columns: list[str], cell: list[str]) -> DataFrame:
+    """Each column less its mean over its population deviation in its cell; a constant column becomes 0. One row per cell is joined back."""
+    moments = df.groupBy(*cell).agg(*(f(c).alias(f"{name}_{c}") for c in columns for name, f in (("mean", F.avg), ("sd", F.stddev_pop))))
+    joined = df.alias("_d").join(moments.alias("_m"), [F.col(f"_d.{c}").eqNullSafe(F.col(f"_m.{c}")) for c in cell])
+    return joined.select("_d.*", *(F.coalesce(F.try_divide(F.col(f"_d.{c}") - F.col(f"mean_{c}"), F.col(f"sd_{c}")), F.lit(0.0)).alias(f"z_{c}") for c in columns))
 
 
 def nearest_in_caliper(exposed: DataFrame, controls: DataFrame, cell: list[str], columns: list[str], row_id: str, caliper: float) -> DataFrame:
-    """For each exposed row the control of its cell at the least Euclidean distance, if within the caliper."""
+    """For each exposed row the other row of its cell at the least Euclidean distance, if within the caliper.
+
+    A row within the caliper lies within it in the first column too, so rows meet
+    by slices of that column as wide as the caliper: their own and its neighbours.
+    """
     a = exposed.select(*cell, F.col(row_id).alias("exposed_id"), *(F.col(c).alias(f"a_{c}") for c in columns))
     b = controls.select(*cell, F.col(row_id).alias("control_id"), *(F.col(c).alias(f"b_{c}") for c in columns))
     squares = sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), F.lit(2)) for c in columns), F.lit(0.0))
-    pairs = a.join(b, cell).withColumn("distance", F.sqrt(squares)).filter(F.col("distance") <= caliper)
+    place = F.floor(F.col(f"a_{columns[0]}") / caliper)
+    a = a.withColumn("_slice", F.explode(F.array(place - 1, place, place + 1)))
+    b = b.withColumn("_slice", F.floor(F.col(f"b_{columns[0]}") / caliper))
+    pairs = a.join(b, [*cell, "_slice"]).withColumn("distance", F.sqrt(squares)).filter((F.col("distance") <= caliper) & (F.col("exposed_id") != F.col("control_id")))
     # The least is kept while pairs are made: no window over all pairs of a cell.
     best = pairs.groupBy(*cell, "exposed_id").agg(F.min(F.struct("distance", "control_id")).alias("b"))
     return best.select(*cell, "exposed_id", F.col("b.control_id").alias("control_id"), F.col("b.distance").alias("distance"))

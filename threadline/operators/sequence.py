@@ -112,6 +112,12 @@ def next_owner(events: DataFrame, anchors: DataFrame, washouts: list[int], state
     return each.join(first, ["pr_id", "washout_minutes"], "left").select("pr_id", "washout_minutes", "anchor_dt", F.coalesce(F.try_element_at(names, F.col("f.p") + 1), F.lit("none")).alias("next_state"))
 
 
+def action_key() -> Column:
+    """A review's rows are one action; any other event is one by itself, and without an id it is told by time and account."""
+    movement = F.concat(F.lit("movement:"), F.unix_micros(F.col("interaction_dt").cast("timestamp")).cast("string"), F.lit(":"), F.coalesce(F.lower(F.trim("actor_login")), F.lit("")))
+    return F.coalesce(F.concat(F.lit("review:"), F.col("review_id").cast("string")), F.concat(F.col("source"), F.lit(":"), F.col("event_id").cast("string")), movement)
+
+
 def debatch(events: DataFrame, batch: Column, owner: str = "owner") -> DataFrame:
     """Rows of one logical action as one: its first owner by time, its span and its sources."""
     order = F.struct("interaction_dt", "event_id")

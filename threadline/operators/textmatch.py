@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadline.functions.columns import c, let
+from threadline.operators.asof import running_sum
 from threadline.functions.text import normalise
+from threadline.functions.text import words as tokens_of
 
 
 def word_grams(text: Column | str, longest: int = 2) -> Column:
     """Words and runs of words of a normalised text, repeats included."""
-    words = F.filter(F.split(normalise(text), " "), lambda w: w != "")
-
     def runs(words: Column, n: int) -> Column:
         place = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(place, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
 
-    return let(words, lambda w: F.concat(w, *(runs(w, n) for n in range(2, longest + 1))))
+    return let(tokens_of(text), lambda w: F.concat(w, *(runs(w, n) for n in range(2, longest + 1))))
 
 
 def char_grams(text: Column | str, n: int) -> Column:
@@ -64,10 +64,9 @@ def repeated_texts(df: DataFrame, text: Column, least: int = 2) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the ROC curve from the rank sum, ties at their mean rank: one sort by score."""
+    """Area under the ROC curve from the rank sum, ties at their mean rank, over scores in ranges."""
     counted = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counted.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = running_sum(counted, "s", "neg", "below").withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return won.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 

@@ -18,7 +18,7 @@ def t(spark, d, name, *columns):
 
 
 def q_overlap(spark, d):
-    return audit.key_overlap(t(spark, d, "documents", "doc_id"), t(spark, d, "labels", "doc_id").filter("doc_id % 2 = 0"), "doc_id")
+    return audit.key_overlap(t(spark, d, "documents", "doc_id"), t(spark, d, "orders", "o_orderkey").withColumnRenamed("o_orderkey", "doc_id"), "doc_id")
 
 
 def steps() -> dict[str, Column]:
@@ -54,8 +54,7 @@ def q_weighted(spark, d):
 
 
 def q_difference(spark, d):
-    a = t(spark, d, "documents", "doc_id").filter("doc_id % 2 = 0")
-    return audit.set_difference(a, t(spark, d, "labels", "doc_id"))
+    return audit.set_difference(t(spark, d, "documents", "doc_id"), t(spark, d, "orders", "o_orderkey").withColumnRenamed("o_orderkey", "doc_id"))
 
 
 def codes() -> dict[str, Column]:
@@ -146,7 +145,7 @@ ch AS (SELECT tr.pr_id, coalesce(k.a, 0) AS exact_replies, coalesce(b, 0) AS lat
   FROM tr LEFT JOIN (SELECT pr_id, count(*) FILTER (WHERE exact_reply) AS a, count(*) FILTER (WHERE source = 'view') AS b, count(*) FILTER (WHERE source = 'click') AS c, count(*) FILTER (WHERE source = 'purchase') AS e FROM rs GROUP BY 1) k USING (pr_id))"""
 
 QUERIES = {
-    "key_overlap": (q_overlap, "WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id % 2 = 0) SELECT (SELECT count(*) FROM a) AS left_keys, (SELECT count(*) FROM b) AS right_keys, (SELECT count(*) FROM a SEMI JOIN b USING (doc_id)) AS shared, (SELECT count(*) FROM a ANTI JOIN b USING (doc_id)) AS left_only, (SELECT count(*) FROM b ANTI JOIN a USING (doc_id)) AS right_only"),
+    "key_overlap": (q_overlap, "WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT o_orderkey AS doc_id FROM orders) SELECT (SELECT count(*) FROM a) AS left_keys, (SELECT count(*) FROM b) AS right_keys, (SELECT count(*) FROM a SEMI JOIN b USING (doc_id)) AS shared, (SELECT count(*) FROM a ANTI JOIN b USING (doc_id)) AS left_only, (SELECT count(*) FROM b ANTI JOIN a USING (doc_id)) AS right_only"),
     "population_waterfall": (
         q_waterfall,
         f"""WITH {B.PR_SQL}, s AS (SELECT count(*) AS a, count(*) FILTER (WHERE closed_dt IS NOT NULL) AS b, count(*) FILTER (WHERE merged_dt IS NOT NULL) AS c, count(*) FILTER (WHERE merged_dt <= created_dt + INTERVAL 30 DAY) AS d,
@@ -165,7 +164,7 @@ SELECT "column", count(*) AS n_rows, count(*) FILTER (WHERE v IS NULL) AS n_null
     ),
     "stratified_sample": (q_sample, "SELECT lang, doc_id, round(CAST(size AS DOUBLE) / least(size, 12), 9) AS design_weight FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS size FROM documents) WHERE k <= 12"),
     "weighted_sample": (q_weighted, "SELECT doc_id FROM (SELECT doc_id, pow((CAST(('0x' || substr(md5('5:' || doc_id), 1, 12)) AS BIGINT) + 1) / 281474976710657.0::DOUBLE, 1 / CAST(n_chars AS DOUBLE)) AS k FROM documents) ORDER BY k DESC, doc_id LIMIT 40"),
-    "set_difference": (q_difference, "SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0)"),
+    "set_difference": (q_difference, "SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT o_orderkey FROM orders) UNION ALL SELECT doc_id, 'right' FROM (SELECT o_orderkey AS doc_id FROM orders EXCEPT ALL SELECT doc_id FROM documents)"),
     "contract_violations": (
         q_contracts,
         f"""WITH {RESPONSE_SQL}

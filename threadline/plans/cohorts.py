@@ -9,7 +9,8 @@ from threadline.functions import columns as X
 from threadline.operators import asof, cohort, history, matching
 from threadline.sources import bindings as B
 
-CUTOFF = "2024-12-31 00:00:00"
+#: The last time of the test events; a trigger is mature a week before it.
+CUTOFF = "2024-01-31 00:00:00"
 
 FEEDBACK_SQL = (
     B.IX_SQL
@@ -26,7 +27,8 @@ TRIGGER_SQL = (
 tr AS (
   SELECT pr_id, repo_id, author_agent, author_login, closed_dt, merged_dt, event_id AS trigger_event_id, review_id AS trigger_review_id,
     source AS trigger_source, actor_agent AS trigger_agent, interaction_dt AS trigger_dt
-  FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY interaction_dt, source, event_id) AS n FROM fb WHERE cross_agent) WHERE n = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY interaction_dt, source, event_id) AS n FROM fb WHERE cross_agent)
+  WHERE n = 1 AND interaction_dt <= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY)"""
 )
 RESPONSE_SQL = (
     TRIGGER_SQL
@@ -35,19 +37,19 @@ rs0 AS (
   SELECT tr.*, e.event_id, e.review_id, e.parent_id, e.source, e.interaction_dt, e.actor_login, e.actor_agent, e.user_type,
     e.source = 'purchase' AS moved, coalesce(e.parent_id = trigger_event_id, false) AS exact_reply,
     datesub('second', trigger_dt, e.interaction_dt) / 3600.0 AS hours_after,
-    CASE WHEN e.actor_login = tr.author_login THEN 'author_account' WHEN e.actor_agent = tr.author_agent THEN 'author_agent_brand'
+    CASE WHEN lower(e.user_type) = 'user' AND lower(e.actor_login) = lower(tr.author_login) THEN 'author_account' WHEN e.actor_agent = tr.author_agent THEN 'author_agent_brand'
       WHEN e.actor_agent = trigger_agent THEN 'triggering_reviewer_brand' WHEN e.actor_agent IS NOT NULL THEN 'other_agent_brand'
-      WHEN e.user_type = 'Bot' THEN 'other_bot' WHEN e.user_type = 'User' THEN 'other_human' ELSE 'unknown_actor' END AS role
+      WHEN lower(e.user_type) = 'bot' THEN 'other_bot' WHEN lower(e.user_type) = 'user' THEN 'other_human' ELSE 'unknown_actor' END AS role
   FROM tr JOIN ix e ON e.pr_id = tr.pr_id
   WHERE e.interaction_dt > trigger_dt AND e.interaction_dt <= trigger_dt + INTERVAL 7 DAY AND (closed_dt IS NULL OR e.interaction_dt <= closed_dt)
-    AND e.review_id <> trigger_review_id),
+    AND (e.review_id IS NULL OR trigger_review_id IS NULL OR e.review_id <> trigger_review_id)),
 rs AS (
-  SELECT *, CASE WHEN role = 'author_account' AND user_type = 'User' THEN 'author_human' WHEN role = 'other_human' THEN 'other_human'
-      WHEN role = 'author_agent_brand' THEN 'author_agent' WHEN role = 'triggering_reviewer_brand' THEN 'triggering_reviewer'
-      WHEN role = 'other_agent_brand' THEN 'other_agent' WHEN role = 'other_bot' THEN 'other_bot' WHEN role = 'author_account' THEN 'author_account_untyped'
+  SELECT *, CASE WHEN coalesce(lower(user_type), '') = 'user' AND lower(actor_login) = lower(author_login) THEN 'author_human' WHEN lower(user_type) = 'user' THEN 'other_human'
+      WHEN actor_agent = author_agent THEN 'author_agent' WHEN actor_agent = trigger_agent THEN 'triggering_reviewer' WHEN actor_agent IS NOT NULL THEN 'other_agent'
+      WHEN lower(user_type) = 'bot' THEN 'other_bot' WHEN moved AND lower(actor_login) = lower(author_login) THEN 'author_account_untyped'
       WHEN moved THEN 'branch_actor_untyped' ELSE 'unknown' END AS owner,
-    CASE WHEN moved THEN 'branch_movement_untyped' WHEN actor_agent IS NOT NULL THEN 'mapped_product' WHEN user_type = 'User' THEN 'user_account'
-      WHEN user_type = 'Bot' THEN 'other_bot' ELSE 'branch_movement_untyped' END AS state
+    CASE WHEN lower(user_type) = 'user' THEN 'user_account' WHEN actor_agent IS NOT NULL THEN 'mapped_product'
+      WHEN lower(user_type) = 'bot' THEN 'other_bot' ELSE 'branch_movement_untyped' END AS state
   FROM rs0)"""
 )
 
@@ -62,12 +64,13 @@ def feedback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def triggers(spark: SparkSession, d: str) -> DataFrame:
-    return cohort.first_triggers(feedback(spark, d)).drop("cross_agent")
+    mature = X.after(F.lit(CUTOFF).cast("timestamp_ntz"), days=-7)
+    return cohort.first_triggers(feedback(spark, d), mature_until=mature).drop("cross_agent")
 
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     out = cohort.response_events(triggers(spark, d), B.interactions(spark, d), movement=moved())
-    return out.withColumn("state", X.atomic_state(F.col("actor_agent"), F.col("user_type"), moved()))
+    return out.withColumn("state", X.atomic_state(F.col("actor_agent"), F.col("user_type")))
 
 
 def counters() -> dict[str, Column]:
@@ -124,7 +127,10 @@ def q_thread_continuity(spark, d):
 
 
 def q_first_owner(spark, d):
-    return cohort.first_actions(triggers(spark, d), responses(spark, d)).select("pr_id", "first_owner", "first_dt")
+    r = responses(spark, d)
+    owners = cohort.first_actions(triggers(spark, d), r)
+    channels = cohort.first_actions(triggers(spark, d), r.withColumnRenamed("source", "channel"), "channel", several="simultaneous_channels")
+    return owners.select("pr_id", "first_owner", "first_dt").join(channels.select("pr_id", "first_channel"), "pr_id")
 
 
 def q_routes(spark, d):
@@ -137,7 +143,7 @@ def q_route_speed(spark, d):
 
 
 def kinds() -> dict[str, Column]:
-    return {"all": F.lit(True), "user": F.col("user_type") == "User", "bot": F.col("user_type") == "Bot", "movement": F.col("source") == "purchase"}
+    return {"all": F.lit(True), "user": X.is_type("user"), "bot": X.is_type("bot"), "movement": F.col("source") == "purchase"}
 
 
 def q_pretrigger(spark, d):
@@ -161,8 +167,8 @@ def q_landmark_rates(spark, d):
 
 def q_prior_history(spark, d):
     ix = B.interactions(spark, d)
-    target = responses(spark, d).filter("user_type = 'User'").select("pr_id", "event_id", "repo_id", "actor_login", "trigger_dt")
-    out = history.strict_prior_history(target, ix.filter("user_type = 'User'").select("repo_id", "actor_login", "pr_id", "interaction_dt"), ["repo_id", "actor_login"])
+    target = responses(spark, d).filter(X.is_type("user")).select("pr_id", "event_id", "repo_id", "actor_login", "trigger_dt")
+    out = history.strict_prior_history(target, ix.filter(X.is_type("user")).select("repo_id", "actor_login", "pr_id", "interaction_dt"), ["repo_id", "actor_login"])
     return out.select("pr_id", "event_id", "n_prior", "n_prior_items", F.round("hours_since_prior", 6).alias("hours_since_prior"), X.depth_bin("n_prior").alias("depth"))
 
 
@@ -209,8 +215,8 @@ _ROUTE_SQL = (
     RESPONSE_SQL
     + """,
 near AS (
-  SELECT pr_id, min(interaction_dt) FILTER (WHERE user_type = 'User' AND actor_agent IS NULL AND NOT moved) AS person_dt,
-    min(interaction_dt) FILTER (WHERE (actor_agent IS NOT NULL OR user_type = 'Bot') AND NOT moved) AS machine_dt,
+  SELECT pr_id, min(interaction_dt) FILTER (WHERE owner IN ('author_human', 'other_human')) AS person_dt,
+    min(interaction_dt) FILTER (WHERE owner IN ('author_agent', 'triggering_reviewer', 'other_agent', 'other_bot')) AS machine_dt,
     min(interaction_dt) FILTER (WHERE moved) AS moved_dt, count(*) AS n FROM rs WHERE hours_after <= 48 GROUP BY pr_id),
 rt AS (
   SELECT tr.*, person_dt, machine_dt, CASE WHEN person_dt IS NOT NULL AND (machine_dt IS NULL OR person_dt <= machine_dt) THEN 'human_first'
@@ -256,8 +262,9 @@ SELECT step, stage, n, round(CAST(n AS DOUBLE) / nullif(a, 0), 9) AS share FROM
         q_first_owner,
         _sql(
             RESPONSE_SQL,
-            """, fa AS (SELECT pr_id, interaction_dt, min(owner) AS low, max(owner) AS high, row_number() OVER (PARTITION BY pr_id ORDER BY interaction_dt) AS k FROM rs GROUP BY 1, 2)
-SELECT tr.pr_id, CASE WHEN low IS NULL THEN 'no_observed_action' WHEN low = high THEN low ELSE 'simultaneous_owners' END AS first_owner, interaction_dt AS first_dt
+            """, fa AS (SELECT pr_id, interaction_dt, min(owner) AS low, max(owner) AS high, min(source) AS clow, max(source) AS chigh, row_number() OVER (PARTITION BY pr_id ORDER BY interaction_dt) AS k FROM rs GROUP BY 1, 2)
+SELECT tr.pr_id, CASE WHEN low IS NULL THEN 'no_observed_action' WHEN low = high THEN low ELSE 'simultaneous_owners' END AS first_owner, interaction_dt AS first_dt,
+  CASE WHEN low IS NULL THEN 'no_observed_action' WHEN clow = chigh THEN clow ELSE 'simultaneous_channels' END AS first_channel
 FROM tr LEFT JOIN fa ON fa.pr_id = tr.pr_id AND k = 1""",
         ),
     ),
@@ -270,7 +277,7 @@ FROM tr LEFT JOIN fa ON fa.pr_id = tr.pr_id AND k = 1""",
         q_pretrigger,
         _sql(
             TRIGGER_SQL,
-            """, b AS (SELECT tr.pr_id, count(*) AS a, count(*) FILTER (WHERE user_type = 'User') AS u, count(*) FILTER (WHERE user_type = 'Bot') AS o,
+            """, b AS (SELECT tr.pr_id, count(*) AS a, count(*) FILTER (WHERE lower(user_type) = 'user') AS u, count(*) FILTER (WHERE lower(user_type) = 'bot') AS o,
   count(*) FILTER (WHERE source = 'purchase') AS m, max(interaction_dt) AS l FROM tr JOIN ix ON ix.pr_id = tr.pr_id AND interaction_dt < trigger_dt GROUP BY 1)
 SELECT tr.pr_id, coalesce(a, 0) AS pre_all, coalesce(u, 0) AS pre_user, coalesce(o, 0) AS pre_bot, coalesce(m, 0) AS pre_movement,
   round(ln(1 + CAST(coalesce(a, 0) AS DOUBLE)), 9) AS log1p_all, l AS pre_last_dt FROM tr LEFT JOIN b USING (pr_id)""",
@@ -290,9 +297,9 @@ SELECT tr.pr_id, round(h, 6) AS reply_hours, coalesce(h <= 1, false) AS reply_by
         q_prior_history,
         _sql(
             RESPONSE_SQL,
-            """, t AS (SELECT pr_id, event_id, repo_id, actor_login, trigger_dt FROM rs WHERE user_type = 'User'),
+            """, t AS (SELECT pr_id, event_id, repo_id, actor_login, trigger_dt FROM rs WHERE lower(user_type) = 'user'),
 h AS (SELECT t.pr_id, t.event_id, count(x.pr_id) AS n, count(DISTINCT x.pr_id) AS k, max(x.interaction_dt) AS l, any_value(t.trigger_dt) AS dt
-  FROM t LEFT JOIN ix x ON x.user_type = 'User' AND x.repo_id = t.repo_id AND x.actor_login = t.actor_login AND x.pr_id <> t.pr_id AND x.interaction_dt < t.trigger_dt GROUP BY 1, 2)
+  FROM t LEFT JOIN ix x ON lower(x.user_type) = 'user' AND x.repo_id = t.repo_id AND x.actor_login = t.actor_login AND x.pr_id <> t.pr_id AND x.interaction_dt < t.trigger_dt GROUP BY 1, 2)
 SELECT pr_id, event_id, n AS n_prior, k AS n_prior_items, round(datesub('second', l, dt) / 3600.0, 6) AS hours_since_prior,
   CASE WHEN n = 0 THEN '0' WHEN n = 1 THEN '1' WHEN n <= 4 THEN '2-4' WHEN n <= 9 THEN '5-9' ELSE '10+' END AS depth FROM h""",
         ),
@@ -301,7 +308,7 @@ SELECT pr_id, event_id, n AS n_prior, k AS n_prior_items, round(datesub('second'
         q_responders,
         _sql(
             RESPONSE_SQL,
-            """, f AS (SELECT pr_id, actor_login, min(interaction_dt) AS first_dt, arg_min(source, (interaction_dt, event_id)) AS source FROM rs WHERE hours_after <= 48 AND user_type = 'User' GROUP BY 1, 2),
+            """, f AS (SELECT pr_id, actor_login, min(interaction_dt) AS first_dt, arg_min(source, (interaction_dt, event_id)) AS source FROM rs WHERE hours_after <= 48 AND lower(user_type) = 'user' GROUP BY 1, 2),
 g AS (SELECT *, min(first_dt) OVER (PARTITION BY pr_id) AS at_dt FROM f)
 SELECT pr_id, actor_login, first_dt, source, rank() OVER (PARTITION BY pr_id ORDER BY first_dt) AS responder_rank, first_dt = at_dt AS is_first,
   CAST(sum(CASE WHEN first_dt = at_dt THEN 1 ELSE 0 END) OVER (PARTITION BY pr_id) AS BIGINT) AS n_first FROM g""",

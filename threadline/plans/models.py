@@ -100,7 +100,7 @@ def q_route_model(spark, d):
 
 def q_caliper(spark, d):
     p = _features(spark, d)
-    z = matching.standardise(p, ["mean_log", "slope", "mean_rate"])
+    z = matching.standardise(p, ["mean_log", "slope", "mean_rate"], ["onset_month"])
     cols = ["z_mean_log", "z_slope", "z_mean_rate"]
     odd = F.col("repo_id") % 2 == 1
     out = matching.nearest_in_caliper(z.filter(odd), z.filter(~odd), ["onset_month"], cols, "repo_id", 1.5)
@@ -209,7 +209,8 @@ SELECT draw, round(sum(num) / sum(den), 9) AS ratio FROM p JOIN c USING (k) GROU
     "pre_onset_features": (q_features, f"WITH {_PANEL} SELECT repo_id, onset_month, round(mean_log, 9) AS mean_log, round(slope, 9) + 0.0 AS slope, round(mean_rate, 9) AS mean_rate FROM ft"),
     "caliper_matching": (
         q_caliper,
-        f"""WITH {_PANEL}, z AS (SELECT *, (mean_log - avg(mean_log) OVER ()) / stddev_pop(mean_log) OVER () AS a, (slope - avg(slope) OVER ()) / stddev_pop(slope) OVER () AS b, (mean_rate - avg(mean_rate) OVER ()) / stddev_pop(mean_rate) OVER () AS c FROM ft),
+        f"""WITH {_PANEL}, z AS (SELECT *, coalesce((mean_log - avg(mean_log) OVER w) / nullif(stddev_pop(mean_log) OVER w, 0), 0) AS a, coalesce((slope - avg(slope) OVER w) / nullif(stddev_pop(slope) OVER w, 0), 0) AS b,
+  coalesce((mean_rate - avg(mean_rate) OVER w) / nullif(stddev_pop(mean_rate) OVER w, 0), 0) AS c FROM ft WINDOW w AS (PARTITION BY onset_month)),
 q AS (SELECT e.onset_month, e.repo_id AS exposed_id, o.repo_id AS control_id, sqrt((e.a - o.a) ** 2 + (e.b - o.b) ** 2 + (e.c - o.c) ** 2) AS distance FROM z e JOIN z o ON e.onset_month = o.onset_month AND e.repo_id % 2 = 1 AND o.repo_id % 2 = 0)
 SELECT onset_month, exposed_id, control_id, round(distance, 7) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY exposed_id ORDER BY distance, control_id) AS k FROM q WHERE distance <= 1.5) WHERE k = 1""",
     ),

@@ -70,9 +70,9 @@ def q_left(spark, d):
 
 
 def q_full(spark, d):
-    a = t(spark, d, "documents", "doc_id").filter("doc_id % 3 = 0").select("doc_id", (F.col("doc_id") * 2).alias("left_value"))
-    b = t(spark, d, "labels", "doc_id", "quality").filter("doc_id % 2 = 0").select("doc_id", F.col("quality").cast("bigint").alias("right_value"))
-    return a.join(b, "doc_id", "full")
+    a = t(spark, d, "documents", "doc_id").select(F.col("doc_id").alias("id"), (F.col("doc_id") * 2).alias("left_value"))
+    b = t(spark, d, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("right_value"))
+    return a.join(b, "id", "full")
 
 
 def q_semi(spark, d):
@@ -116,7 +116,7 @@ def q_validated(spark, d):
 
 
 def q_dimension(spark, d):
-    n = t(spark, d, "events", "event_type", "user_id").filter("user_id % 50 = 1").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    n = t(spark, d, "events", "event_type", "user_id").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     kinds = F.array(*map(F.lit, ("click", "error", "purchase", "refund", "signup", "view")))
     grid = n.select("user_id").distinct().withColumn("event_type", F.explode(kinds))
     return grid.join(n, ["user_id", "event_type"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
@@ -265,7 +265,7 @@ QUERIES = {
     "try_cast_and_null_literal": (q_trycast, "SELECT event_id, TRY_CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS number, CAST(NULL AS BIGINT) AS nothing FROM events"),
     "join_inner": (q_inner, "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     "join_left": (q_left, "SELECT c_custkey, count(o_custkey) AS n, round(coalesce(sum(o_totalprice), 0.0), 2) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1"),
-    "join_full": (q_full, "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, left_value, right_value FROM (SELECT doc_id, doc_id * 2 AS left_value FROM documents WHERE doc_id % 3 = 0) a FULL JOIN (SELECT doc_id, CAST(quality AS BIGINT) AS right_value FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id"),
+    "join_full": (q_full, "SELECT coalesce(a.id, b.id) AS id, left_value, right_value FROM (SELECT doc_id AS id, doc_id * 2 AS left_value FROM documents) a FULL JOIN (SELECT o_orderkey AS id, o_custkey AS right_value FROM orders) b ON a.id = b.id"),
     "join_semi": (q_semi, "SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)"),
     "join_anti": (q_anti, "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "join_interval": (q_interval, "SELECT a.event_id AS start_id, b.event_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 12 HOUR WHERE a.event_type = 'signup' AND b.event_type = 'purchase'"),
@@ -273,7 +273,7 @@ QUERIES = {
     "join_self_parent": (q_self, "SELECT p.role AS parent_role, c.role, count(*) AS n FROM conversations c JOIN conversations p ON p.conv_id = c.conv_id AND p.turn + 1 = c.turn GROUP BY 1, 2"),
     "join_multi_key": (q_multikey, f"WITH {B.IX_SQL}\nSELECT a.event_id AS trigger_id, b.event_id FROM ix a JOIN ix b ON a.pr_id = b.pr_id AND a.interaction_dt = b.interaction_dt AND a.source = b.source WHERE a.source = 'error'"),
     "join_validated": (q_validated, "SELECT lang, CAST(quality AS BIGINT) AS quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2"),
-    "zero_fill": (q_dimension, "WITH u AS (SELECT DISTINCT user_id FROM events WHERE user_id % 50 = 1), k AS (SELECT unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) AS event_type) SELECT u.user_id, k.event_type, count(e.event_id) AS n FROM u CROSS JOIN k LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = k.event_type GROUP BY 1, 2"),
+    "zero_fill": (q_dimension, "WITH u AS (SELECT DISTINCT user_id FROM events), k AS (SELECT unnest(['click', 'error', 'purchase', 'refund', 'signup', 'view']) AS event_type) SELECT u.user_id, k.event_type, count(e.event_id) AS n FROM u CROSS JOIN k LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = k.event_type GROUP BY 1, 2"),
     "group_aggregates": (q_aggregates, "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS low, max(l_quantity) AS high, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY 1, 2"),
     "quantiles_variance": (q_quantiles, "SELECT event_type, round(median(value), 9) AS median, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.9), 9) AS p90, round(var_samp(value), 6) AS variance, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY 1"),
     "distinct_with_null": (q_nunique_null, f"WITH {B.PR_SQL}\nSELECT repo_id, count(DISTINCT closed_dt) + max(CASE WHEN closed_dt IS NULL THEN 1 ELSE 0 END) AS n_closed_values, count(DISTINCT closed_dt) AS n_closed, count(*) FILTER (WHERE closed_dt IS NULL) AS n_open FROM pr GROUP BY 1"),

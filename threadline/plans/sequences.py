@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import columns as X
 from threadline.operators import sequence
-from threadline.plans.cohorts import RESPONSE_SQL, TRIGGER_SQL, moved, responses, triggers
+from threadline.plans.cohorts import RESPONSE_SQL, TRIGGER_SQL, responses, triggers
 from threadline.sources import bindings as B
 
 THRESHOLDS = [0, 60, 180, 600]
@@ -27,7 +27,7 @@ fs AS (SELECT th.threshold_minutes, tr.pr_id, tr.repo_id, coalesce({_NAME.format
 EPISODE_SQL = (
     B.IX_SQL
     + f""",
-st AS (SELECT *, CASE WHEN source = 'purchase' THEN 'branch_movement_untyped' WHEN actor_agent IS NOT NULL THEN 'mapped_product' WHEN user_type = 'User' THEN 'user_account' ELSE 'other_bot' END AS state FROM ix),
+st AS (SELECT *, CASE WHEN lower(user_type) = 'user' THEN 'user_account' WHEN actor_agent IS NOT NULL THEN 'mapped_product' WHEN lower(user_type) = 'bot' THEN 'other_bot' ELSE 'branch_movement_untyped' END AS state FROM ix),
 g AS (SELECT *, CASE WHEN coalesce(datesub('second', lag(interaction_dt) OVER (PARTITION BY pr_id ORDER BY interaction_dt, event_id), interaction_dt) > 10800, true) THEN 1 ELSE 0 END AS fresh FROM st),
 ep AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY pr_id ORDER BY interaction_dt, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode FROM g),
 es AS (SELECT pr_id, episode, min(interaction_dt) AS start_dt, max(interaction_dt) AS end_dt, count(*) AS n_events, {_NAME.format("min(" + _PRIORITY + ")")} AS state FROM ep GROUP BY 1, 2),
@@ -36,7 +36,7 @@ nx AS (SELECT *, coalesce(lead(state) OVER (PARTITION BY pr_id ORDER BY start_dt
 ACTION_SQL = (
     RESPONSE_SQL
     + """,
-ac AS (SELECT pr_id, review_id AS action, min(interaction_dt) AS action_dt, arg_min(owner, (interaction_dt, event_id)) AS owner, count(*) AS n_rows, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM rs GROUP BY 1, 2),
+ac AS (SELECT pr_id, coalesce('review:' || review_id, source || ':' || event_id, 'movement:' || epoch_us(interaction_dt) || ':' || coalesce(lower(trim(actor_login)), '')) AS action, min(interaction_dt) AS action_dt, arg_min(owner, (interaction_dt, event_id)) AS owner, count(*) AS n_rows, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM rs GROUP BY 1, 2),
 ts AS (SELECT pr_id, date_trunc('second', action_dt) AS at_dt, count(*) AS n_actions, CASE WHEN min(owner) = max(owner) THEN min(owner) ELSE 'simultaneous' END AS owner, min(owner) <> max(owner) AS ambiguous FROM ac GROUP BY 1, 2)"""
 )
 
@@ -46,7 +46,7 @@ def _states(spark, d):
 
 
 def _events(spark, d):
-    return B.interactions(spark, d).withColumn("state", X.atomic_state(F.col("actor_agent"), F.col("user_type"), moved()))
+    return B.interactions(spark, d).withColumn("state", X.atomic_state(F.col("actor_agent"), F.col("user_type")))
 
 
 def _episodes(spark, d):
@@ -54,7 +54,7 @@ def _episodes(spark, d):
 
 
 def _actions(spark, d):
-    return sequence.debatch(responses(spark, d), F.col("review_id"))
+    return sequence.debatch(responses(spark, d), sequence.action_key())
 
 
 def _bounce(spark, d):
@@ -189,7 +189,7 @@ SELECT step, state, next_state, count(*) AS n FROM w WHERE NOT seen AND step <=
         q_next_owner,
         _s(
             TRIGGER_SQL,
-            f""", st AS (SELECT pr_id, interaction_dt, CASE WHEN source = 'purchase' THEN 'branch_movement_untyped' WHEN actor_agent IS NOT NULL THEN 'mapped_product' WHEN user_type = 'User' THEN 'user_account' ELSE 'other_bot' END AS state FROM ix),
+            f""", st AS (SELECT pr_id, interaction_dt, CASE WHEN lower(user_type) = 'user' THEN 'user_account' WHEN actor_agent IS NOT NULL THEN 'mapped_product' WHEN lower(user_type) = 'bot' THEN 'other_bot' ELSE 'branch_movement_untyped' END AS state FROM ix),
 wo AS (SELECT unnest([0, 60, 600]) AS washout_minutes),
 na AS (SELECT tr.pr_id, washout_minutes, interaction_dt, min({_PRIORITY}) AS p, row_number() OVER (PARTITION BY tr.pr_id, washout_minutes ORDER BY interaction_dt) AS k
   FROM tr CROSS JOIN wo JOIN st ON st.pr_id = tr.pr_id AND datesub('second', trigger_dt, interaction_dt) > washout_minutes * 60 GROUP BY 1, 2, 3)

@@ -49,7 +49,7 @@ def q_risk(spark, d):
 
 
 def q_sequential(spark, d):
-    out = survival.sequential_exposures(triggers(spark, d), responses(spark, d), [(0, 48), (48, 96)], F.col("user_type") == "User")
+    out = survival.sequential_exposures(triggers(spark, d), responses(spark, d), [(0, 48), (48, 96)], X.is_type("user"))
     return out.select("pr_id", "in_0_48h", "in_48_96h")
 
 
@@ -85,6 +85,6 @@ QUERIES = {
     "cumulative_incidence": (q_incidence, f"WITH {_PP}, h AS (SELECT bin, count(*) AS at_risk, count(*) FILTER (WHERE event) AS events, avg(CAST(event AS DOUBLE)) AS hazard FROM pp GROUP BY 1)\nSELECT bin, at_risk, events, round(1 - product(1 - hazard) OVER (ORDER BY bin), 9) AS incidence FROM h"),
     "incidence_grid": (q_grid, f"WITH {_GRID}, h AS (SELECT exposed, bin, count(*) AS at_risk, count(*) FILTER (WHERE event) AS events, avg(CAST(event AS DOUBLE)) AS hazard FROM pp GROUP BY 1, 2)\nSELECT exposed, bin, at_risk, events, round(1 - product(1 - hazard) OVER (PARTITION BY exposed ORDER BY bin), 9) AS incidence FROM h"),
     "g_computation": (q_risk, f"WITH {_PP}, h AS (SELECT exposed, bin, avg(CAST(event AS DOUBLE)) AS hazard FROM pp GROUP BY 1, 2)\nSELECT exposed, round(1 - product(1 - hazard), 9) AS risk FROM h GROUP BY 1"),
-    "sequential_exposures": (q_sequential, f"WITH {RESPONSE_SQL}, k AS (SELECT pr_id, bool_or(user_type = 'User' AND hours_after > 0 AND hours_after <= 48) AS a, bool_or(user_type = 'User' AND hours_after > 48 AND hours_after <= 96) AS b FROM rs GROUP BY 1)\nSELECT tr.pr_id, coalesce(a, false) AS in_0_48h, coalesce(b, false) AS in_48_96h FROM tr LEFT JOIN k USING (pr_id)"),
+    "sequential_exposures": (q_sequential, f"WITH {RESPONSE_SQL}, k AS (SELECT pr_id, bool_or(lower(user_type) = 'user' AND hours_after > 0 AND hours_after <= 48) AS a, bool_or(lower(user_type) = 'user' AND hours_after > 48 AND hours_after <= 96) AS b FROM rs GROUP BY 1)\nSELECT tr.pr_id, coalesce(a, false) AS in_0_48h, coalesce(b, false) AS in_48_96h FROM tr LEFT JOIN k USING (pr_id)"),
 }
 

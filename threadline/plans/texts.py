@@ -31,7 +31,8 @@ def q_normalise(spark, d):
 
 
 def q_redact(spark, d):
-    return t(spark, d, "documents", "doc_id", "text").select("doc_id", F.md5(T.redact("text", 500)).alias("digest"), F.contains(T.redact("text"), F.lit("[EMAIL]")).alias("has_email"), F.contains(T.redact("text"), F.lit("[IP]")).alias("has_ip"))
+    redacted = t(spark, d, "documents", "doc_id", "text").select("doc_id", T.redact("text").alias("text"))
+    return redacted.select("doc_id", F.md5("text").alias("digest"), F.contains("text", F.lit("[EMAIL]")).alias("has_email"), F.contains("text", F.lit("[IP]")).alias("has_ip"))
 
 
 def q_classes(spark, d):
@@ -40,7 +41,7 @@ def q_classes(spark, d):
 
 
 def q_titles(spark, d):
-    kinds = F.array(*map(F.lit, ("feat", "fix(core)", "docs!", "chore", "unknown", "perf")))
+    kinds = F.array(*map(F.lit, ("feature", "[WIP] Fix(core)!", "docs ", "chore", "unknown", "bugfix")))
     o = t(spark, d, "orders", "o_orderkey").withColumn("title", F.concat(F.element_at(kinds, (F.col("o_orderkey") % 6 + 1).cast("int")), F.lit(": item #"), F.col("o_orderkey")))
     return o.select("o_orderkey", T.task_of_title("title").alias("task"), F.element_at(T.issue_refs("title"), 1).alias("first_issue"))
 
@@ -103,9 +104,23 @@ def q_classifier(spark, d):
     return out.select("doc_id", "lang", "predicted", F.round("margin", 6).alias("margin"))
 
 
-_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '<[^>]+>', ' ', 'g'), 'https?://[^ \\t\\n]+', ' ', 'g'), '\\b[0-9a-f]{{7,40}}\\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+_QUOTE = "''''"
+_UNESCAPED = (
+    "replace(replace(replace(replace(replace(replace(coalesce({0}, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), "
+    f"'&#39;', {_QUOTE}), '&nbsp;', ' '), '&amp;', '&')"
+)
+
+
+def _norm(text: str) -> str:
+    out = f"regexp_replace(lower({_UNESCAPED.replace('{0}', text)}), '{T.LEADING_TAG}', '')"
+    for pattern, by in ((T.PRODUCT, " agent "), (r"https?://[^ \t\n\r\f]+", " url "), (r"\b[0-9a-f]{8,40}\b", " sha "), (r"[ \t\n\r\f]+", " ")):
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"trim({out})"
+
+
+_NORM = _norm("text")
 _RED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), 'https?://[^ \\t\\n]+', '[URL]', 'g'), '\\b[0-9a-f]{32,}\\b', '[TOKEN]', 'g'), '\\b[0-9]{1,3}(\\.[0-9]{1,3}){3}\\b', '[IP]', 'g'), '[ \\t]+', ' ', 'g')"
-_TURNS = f"tu AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text, list_filter(string_split({_NORM.format('text')}, ' '), lambda x: x <> '') AS ws FROM conversations), pp AS (SELECT * FROM (SELECT lag(id) OVER w AS left_id, lag(ws) OVER w AS a, id AS right_id, ws AS b FROM tu WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE left_id IS NOT NULL)"
+_TURNS = f"tu AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text, regexp_extract_all({_NORM}, '{T.TOKEN}') AS ws FROM conversations), pp AS (SELECT * FROM (SELECT lag(id) OVER w AS left_id, lag(ws) OVER w AS a, id AS right_id, ws AS b FROM tu WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE left_id IS NOT NULL)"
 _WORDS = "len(regexp_extract_all(text, '[A-Za-z0-9'']+'))"
 _CLASS = f"CASE WHEN regexp_matches(lower(text), '(automatically generated|this is an automated|rate limit|quota)') THEN 'platform_generated' WHEN regexp_matches(lower(text), '(^|\\s)@[a-z0-9-]+|^/[a-z]+') THEN 'agent_invocation' WHEN regexp_matches(lower(text), '\\b(thanks|thank you|done|fixed|good catch|agreed|will do|ok|okay)\\b') AND len(regexp_extract_all(lower(text), '[A-Za-z0-9'']+')) < 12 THEN 'acknowledgement_only' ELSE 'substantive_response' END"
 _TFIDF = (
@@ -117,15 +132,15 @@ co AS (SELECT left_id, right_id, sum(x.w * y.w) AS c FROM pp JOIN w x ON x.id =
 )
 
 QUERIES = {
-    "normalised_texts": (q_normalise, f"SELECT doc_id, md5({_NORM.format('text')}) AS digest, length({_NORM.format('text')}) AS n_chars FROM documents"),
-    "redacted_texts": (q_redact, f"SELECT doc_id, md5(substr({_RED}, 1, 500)) AS digest, contains(substr({_RED}, 1, 2000), '[EMAIL]') AS has_email, contains(substr({_RED}, 1, 2000), '[IP]') AS has_ip FROM documents"),
+    "normalised_texts": (q_normalise, f"SELECT doc_id, md5({_NORM}) AS digest, length({_NORM}) AS n_chars FROM documents"),
+    "redacted_texts": (q_redact, f"SELECT doc_id, md5({_RED}) AS digest, contains({_RED}, '[EMAIL]') AS has_email, contains({_RED}, '[IP]') AS has_ip FROM documents"),
     "reply_classes": (q_classes, f"SELECT role, {_CLASS} AS reply_class, count(*) AS n, round(avg({_WORDS}), 6) AS mean_words FROM conversations GROUP BY 1, 2"),
-    "title_tasks": (q_titles, "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'feature' WHEN 1 THEN 'bug_fix' WHEN 2 THEN 'documentation' WHEN 3 THEN 'chore' WHEN 5 THEN 'performance' END AS task, o_orderkey AS first_issue FROM orders"),
+    "title_tasks": (q_titles, "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 2 THEN 'docs' WHEN 3 THEN 'chore' WHEN 5 THEN 'fix' END AS task, CAST(o_orderkey AS VARCHAR) AS first_issue FROM orders"),
     "page_titles": (q_pages, "SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages"),
     "token_jaccard": (q_jaccard, f"WITH {_TURNS} SELECT left_id, right_id, round(coalesce(CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS DOUBLE) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0), 9) AS jaccard, len(list_intersect(list_distinct(a), list_distinct(b))) AS shared FROM pp"),
     "tfidf_cosine": (q_tfidf, f"WITH {_TFIDF} SELECT pp.left_id, pp.right_id, round(coalesce(c, 0.0), 7) AS cosine FROM pp LEFT JOIN co USING (left_id, right_id)"),
     "title_similarity_blend": (q_blend, None),
-    "repeated_texts": (q_repeated, f"SELECT sha256({_NORM.format('text')}) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2"),
+    "repeated_texts": (q_repeated, f"SELECT sha256({_NORM}) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2"),
     "auc_rank_sum": (q_auc, "WITH f AS (SELECT n_chars, quality FROM labels JOIN documents USING (doc_id)) SELECT (SELECT count(*) FROM f WHERE quality = 1) AS n_pos, (SELECT count(*) FROM f WHERE quality <> 1) AS n_neg, round(avg(CASE WHEN p.n_chars > n.n_chars THEN 1.0::DOUBLE WHEN p.n_chars = n.n_chars THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END), 9) AS auc FROM f p JOIN f n ON p.quality = 1 AND n.quality <> 1"),
     "precision_recall": (
         q_thresholds,

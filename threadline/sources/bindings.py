@@ -23,10 +23,11 @@ PR_SQL = """pr AS (
 IX_SQL = """ix AS (
   SELECT user_id AS pr_id, event_id, event_type AS source, ts AS interaction_dt, user_id % 20 AS repo_id,
     CASE event_type WHEN 'error' THEN 'A' WHEN 'signup' THEN 'B' END AS actor_agent,
-    CASE WHEN event_type IN ('click', 'view') THEN 'User' ELSE 'Bot' END AS user_type,
+    CASE WHEN event_type IN ('click', 'view') OR event_id % 13 = 0 THEN CASE WHEN event_id % 5 = 0 THEN 'user' ELSE 'User' END
+      WHEN event_type = 'purchase' AND event_id % 3 <> 0 THEN NULL WHEN event_id % 7 = 0 THEN 'BOT' ELSE 'Bot' END AS user_type,
     CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS author_agent,
-    concat('acct', event_id % 11) AS actor_login, concat('acct', user_id % 11) AS author_login,
-    event_id // 2 AS review_id, value,
+    CASE WHEN event_id % 4 = 0 THEN concat('ACCT', event_id % 11) ELSE concat('acct', event_id % 11) END AS actor_login, concat('Acct', user_id % 11) AS author_login,
+    CASE WHEN event_type <> 'view' AND event_id % 17 <> 0 THEN event_id // 2 END AS review_id, value,
     CASE WHEN event_id % 3 = 0 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS parent_id
   FROM events),
 item AS (
@@ -72,11 +73,13 @@ def interactions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").alias("interaction_dt"),
         (F.col("user_id") % 20).alias("repo_id"),
         F.when(F.col("event_type") == "error", "A").when(F.col("event_type") == "signup", "B").alias("actor_agent"),
-        F.when(F.col("event_type").isin("click", "view"), "User").otherwise("Bot").alias("user_type"),
+        F.when(F.col("event_type").isin("click", "view") | (F.col("event_id") % 13 == 0), F.when(F.col("event_id") % 5 == 0, "user").otherwise("User"))
+        .when((F.col("event_type") == "purchase") & (F.col("event_id") % 3 != 0), F.lit(None))
+        .when(F.col("event_id") % 7 == 0, "BOT").otherwise("Bot").alias("user_type"),
         F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("author_agent"),
-        F.concat(F.lit("acct"), F.col("event_id") % 11).alias("actor_login"),
-        F.concat(F.lit("acct"), F.col("user_id") % 11).alias("author_login"),
-        F.floor(F.col("event_id") / 2).alias("review_id"),
+        F.concat(F.when(F.col("event_id") % 4 == 0, "ACCT").otherwise("acct"), F.col("event_id") % 11).alias("actor_login"),
+        F.concat(F.lit("Acct"), F.col("user_id") % 11).alias("author_login"),
+        F.when((F.col("event_type") != "view") & (F.col("event_id") % 17 != 0), F.floor(F.col("event_id") / 2)).alias("review_id"),
         "value",
         F.when(F.col("event_id") % 3 == 0, before).alias("parent_id"),
     )

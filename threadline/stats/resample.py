@@ -43,10 +43,16 @@ def ratio_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator:
     return drawn.filter(~F.isnan("ratio")).agg(F.lit(estimate).cast("double").alias("estimate"), F.percentile("ratio", F.lit(0.025)).alias("low"), F.percentile("ratio", F.lit(0.975)).alias("high"))
 
 
-def hashed_bootstrap(sums: DataFrame, cluster: str, draws: int) -> DataFrame:
-    """draw, ratio: clusters picked by md5 of (draw, place), so that any engine draws the same. For few clusters."""
-    numbered = sums.withColumn("k", F.row_number().over(_by(cluster)) - 1)
+def hashed_bootstrap(sums: DataFrame, cluster: str, draws: int, most: int = 10_000) -> DataFrame:
+    """draw, ratio: clusters picked by md5 of (draw, place), so that any engine draws the same.
+
+    For at most ``most`` clusters, which are numbered in one task and broadcast;
+    more are refused: ``poisson_bootstrap`` takes any number.
+    """
     n = sums.count()
+    if n > most:
+        raise ValueError(f"{n} clusters, but at most {most} are resampled by number")
+    numbered = sums.withColumn("k", F.row_number().over(_by(cluster)) - 1)
     picks = sums.sparkSession.range(0, draws).withColumnRenamed("id", "draw").withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("place").cast("string"))), 1, 8), 16, 10).cast("bigint")
     drawn = picks.withColumn("k", F.pmod(key, F.lit(n)).cast("int")).join(F.broadcast(numbered), "k")

@@ -35,7 +35,20 @@ def once_each(events: DataFrame, late: str, keys: list[str], time: str = "intera
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> None:
-    """Work through what has arrived and stop; the checkpoint lets the next call go on from there."""
-    query = df.writeStream.queryName(name).format("memory").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+    """Work through what has arrived, write it to Parquet and stop; the checkpoint lets the next call go on from there.
+
+    Append mode adds files. In complete and update mode each batch overwrites a
+    folder of its own number, so that a batch that is run again leaves no rows twice.
+    """
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(path).awaitTermination()
+        return
+    writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).start().awaitTermination()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that complete mode has written last."""
+    every = spark.read.parquet(path)
+    return every.filter(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
