@@ -159,7 +159,8 @@ def train_sample(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> D
     """lang, text: of each language about max_train_docs distinct texts, those of least hash; all of a language that has fewer."""
     labelled = labelled.filter("lang is not null and text is not null").select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
     shares = labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(max_train_docs)) / F.greatest("n", F.lit(1))).alias("share"))
-    drawn = labelled.join(shares, "lang").filter((F.col("share") == 1) | (F.col("h") < F.col("share") * float(1 << 40)))
+    # One row for each language, as the model has a column for each: texts are not shuffled by language.
+    drawn = labelled.join(F.broadcast(shares), "lang").filter((F.col("share") == 1) | (F.col("h") < F.col("share") * float(1 << 40)))
     return drawn.dropDuplicates(["lang", "text"]).select("lang", "text")
 
 
