@@ -62,8 +62,8 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, ranges: int =
     one value is frequent: aggregate by it first); each range adds up its own
     rows and what the ranges before it sum to, of which there are ``ranges`` at most.
     """
-    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)]).alias("cuts"))
-    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("cuts", lambda x: x < F.col(order)))).drop("cuts")
+    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    placed = df.withColumn("_range", sum((F.coalesce(F.col(order) > F.lit(x), F.lit(False)).cast("int") for x in sorted(set(cuts))), F.lit(0)))
     sums = placed.groupBy("_range").agg(F.sum(value).alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))

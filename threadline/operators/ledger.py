@@ -107,21 +107,61 @@ def streaks(chains: DataFrame) -> DataFrame:
     return chains.withColumn("streak", label)
 
 
-def file_successors(items: DataFrame, files: DataFrame, days: int = 30, key: str = "repo_id") -> DataFrame:
-    """For items closed without merging the first later item of the group that changes one of their files."""
-    failed = items.filter("closed_dt is not null and merged_dt is null").join(files, "pr_id").select(key, "filename", F.col("pr_id").alias("failed_id"), F.col("closed_dt").alias("failed_dt"), F.col("agent").alias("failed_agent"), F.col("user_id").alias("failed_user"))
-    later = items.join(files, "pr_id").select(key, "filename", "pr_id", "created_dt", "agent", "user_id", "merged_dt")
-    found = asof_join(failed, later, "failed_dt", "created_dt", [key, "filename"], ["pr_id", "created_dt", "agent", "user_id", "merged_dt"], direction="forward", prefix="next_", tie=["pr_id"])
+#: Paths that many unrelated changes touch.
+GENERIC_PATHS = (
+    r"(?i)(^|/)(readme(?:\.[^/]*)?|license(?:\.[^/]*)?|changelog(?:\.[^/]*)?|package-lock\.json|yarn\.lock|pnpm-lock(?:\.yaml)?"
+    r"|poetry\.lock|cargo\.lock|go\.sum|requirements(?:\.[^/]*)?)(?:$|/)"
+)
+
+
+def file_successors(items: DataFrame, files: DataFrame, days: int = 30, key: str = "repo_id", cutoff: Column | None = None, generic: Column | None = None) -> DataFrame:
+    """For items closed without merging the first later item of the group that changes one of their files.
+
+    An item counts as failed when it closed at or after its creation and not
+    after the cutoff. ``generic`` says which paths tell little (by default
+    ``GENERIC_PATHS``). ``successor_tie_n`` is how many items could have been
+    the successor: those created at the same time that share the path, or
+    candidates of different paths at the earliest time.
+    """
+    who = [F.col("agent").alias("failed_agent"), F.col("user_id").alias("failed_user")]
+    mature = F.lit(True) if cutoff is None else F.col("closed_dt") <= cutoff
+    resolved = items.filter(F.col("merged_dt").isNull() & (F.col("closed_dt") >= F.col("created_dt")) & mature)
+    failed = resolved.join(files, "pr_id").select(key, "filename", F.col("pr_id").alias("failed_id"), F.col("closed_dt").alias("failed_dt"), *who)
+    later = tie_counts(items.join(files, "pr_id").select(key, "filename", "pr_id", "created_dt", "agent", "user_id", "merged_dt"), [key, "filename", "created_dt"], "path_n")
+    taken = ["pr_id", "created_dt", "agent", "user_id", "merged_dt", "path_n"]
+    found = asof_join(failed, later, "failed_dt", "created_dt", [key, "filename"], taken, direction="forward", prefix="next_", tie=["pr_id"])
     near = found.filter(F.col("next_pr_id").isNotNull() & (F.col("next_created_dt") <= after("failed_dt", days=days)))
-    pairs = near.groupBy(key, "failed_id", "failed_dt", "failed_agent", "failed_user", "next_pr_id", "next_created_dt", "next_agent", "next_user_id", "next_merged_dt").agg(F.count(F.lit(1)).alias("shared_files"))
-    first = first_rows(pairs, ["failed_id"], [F.col("next_created_dt"), F.col("next_pr_id")])
+    telling = ~(generic if generic is not None else F.col("filename").cast("string").rlike(GENERIC_PATHS))
+    pairs = near.groupBy(key, "failed_id", "failed_dt", "failed_agent", "failed_user", "next_pr_id", "next_created_dt", "next_agent", "next_user_id", "next_merged_dt").agg(
+        F.count(F.lit(1)).alias("shared_files"), F.count_if(telling).alias("shared_telling_files"), F.max("next_path_n").alias("path_n"), F.min("filename").alias("example_file")
+    )
+    tied = tie_counts(pairs, ["failed_id", "next_created_dt"], "candidate_n")
+    first = first_rows(tied, ["failed_id"], [F.col("next_created_dt"), F.col("next_pr_id")])
     return first.withColumns(
         {
+            "successor_tie_n": F.greatest("path_n", "candidate_n"),
             "mode": transition_type(F.col("failed_user") == F.col("next_user_id"), F.col("failed_agent") != F.col("next_agent")),
             "recovered": F.coalesce(F.col("next_merged_dt") <= after("next_created_dt", days=days), F.lit(False)),
             "gap_hours": hours("failed_dt", "next_created_dt"),
         }
-    )
+    ).drop("path_n", "candidate_n")
+
+
+def link_continuity(pairs: DataFrame, links: DataFrame, left: str, right: str, key: str, link: str) -> DataFrame:
+    """Whether two items are linked to the same issue: how many links they share, and on which side any is known.
+
+    An equi-join on (item, link), so that an item with many links is spread by
+    them; links with a null on either side and repeated ones don't count.
+    """
+    known = links.select(key, link).filter(F.col(key).isNotNull() & F.col(link).isNotNull()).distinct()
+    here = pairs.select(left, right).distinct().join(known.withColumnRenamed(key, left), left)
+    both = here.join(known.withColumnRenamed(key, right), [right, link]).groupBy(left, right).agg(F.count(F.lit(1)).alias("shared_links"))
+    has = known.select(key).distinct()
+    out = pairs.join(has.select(F.col(key).alias(left), F.lit(True).alias("left_linked")), left, "left")
+    out = out.join(has.select(F.col(key).alias(right), F.lit(True).alias("right_linked")), right, "left").join(both, [left, right], "left")
+    false, zero = F.lit(False), F.lit(0).cast("bigint")
+    out = out.withColumns({"left_linked": F.coalesce("left_linked", false), "right_linked": F.coalesce("right_linked", false), "shared_links": F.coalesce("shared_links", zero)})
+    return out.withColumns({"both_linked": F.col("left_linked") & F.col("right_linked"), "same_link": F.col("shared_links") > 0})
 
 
 def set_continuity(pairs: DataFrame, members: DataFrame, left: str, right: str, key: str, member: str) -> DataFrame:

@@ -70,6 +70,26 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     return won.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.try_divide(F.sum("won"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
+def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
+    """n, average precision (each score's gain in recall at its precision; equal scores are one step) and the Brier score."""
+    counted = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
+    below = running_sum(counted, "s", "pos", "pos_below").select("s", "pos", "n", "pos_below").join(running_sum(counted, "s", "n", "n_below").select("s", "n_below"), "s")
+    all_ = df.agg(F.count_if(F.col(label) == 1).alias("all_pos"), F.count(F.lit(1)).alias("all_n"), F.avg(F.pow(F.col(score) - F.col(label), F.lit(2))).alias("brier")).withColumn("one", F.lit(1))
+    steps = below.withColumn("one", F.lit(1)).join(F.broadcast(all_), "one")
+    gain = F.col("pos") / F.col("all_pos") * (F.col("all_pos") - F.col("pos_below")) / (F.col("all_n") - F.col("n_below"))
+    return steps.agg(F.max("all_n").alias("n"), F.sum(gain).alias("average_precision"), F.max("brier").alias("brier"))
+
+
+def signed_rank(df: DataFrame, contrast: str) -> DataFrame:
+    """n, rank sum of positive contrasts and its z: zeros are left out, equal sizes share their mean rank."""
+    sizes = df.filter(F.col(contrast) != 0).groupBy(F.abs(contrast).alias("a")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col(contrast) > 0).alias("up"))
+    ranked = running_sum(sizes, "a", "t", "below")
+    n, t = F.col("n").cast("double"), F.col("t").cast("double")
+    sums = ranked.agg(F.sum("t").alias("n"), F.sum(F.col("up") * (F.col("below") + (t + 1) / 2)).alias("w_plus"), F.sum(t * t * t - t).alias("tied"))
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48)
+    return sums.select("n", "w_plus", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, spread).alias("z"))
+
+
 def precision_recall(df: DataFrame, score: str, label: str, thresholds: list[float]) -> DataFrame:
     each = df.withColumn("threshold", F.explode(F.array(*(F.lit(float(x)) for x in thresholds))))
     hit, true = F.col(score) >= F.col("threshold"), F.col(label) == 1

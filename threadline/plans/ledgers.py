@@ -105,13 +105,33 @@ def q_streak_rates(spark, d):
     return out.groupBy("streak").agg(F.count(F.lit(1)).alias("n"), F.round(X.rate(F.col("merged_dt").isNotNull()), 9).alias("rate"))
 
 
+def _successors(spark, d):
+    mature, generic = F.lit(MATURE).cast("timestamp_ntz"), F.col("filename") % 10 == 0
+    return ledger.file_successors(B.pull_requests(spark, d), B.changed_files(spark, d), cutoff=mature, generic=generic)
+
+
+def _issues(spark, d):
+    pairs = _ledger(spark, d).select("pr_id", "prior_pr_id", "repo_id", "agent", "prior_agent", "user_id", "prior_user_id", "merged_in_time")
+    return ledger.link_continuity(pairs, B.linked_issues(spark, d), "pr_id", "prior_pr_id", "pr_id", "issue_id")
+
+
+def q_issues(spark, d):
+    return _issues(spark, d).select("pr_id", "prior_pr_id", "left_linked", "right_linked", "both_linked", "shared_links", "same_link")
+
+
+def q_issue_rates(spark, d):
+    known = _issues(spark, d).filter("both_linked")
+    kinds = known.withColumn("transition", X.transition_type(F.col("user_id") == F.col("prior_user_id"), F.col("agent") != F.col("prior_agent")))
+    return kinds.groupBy("transition", "same_link").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo_id").alias("n_repos"), F.round(X.rate(F.col("merged_in_time")), 9).alias("merge_rate"))
+
+
 def q_successors(spark, d):
-    out = ledger.file_successors(B.pull_requests(spark, d), B.changed_files(spark, d))
-    return out.select("failed_id", "next_pr_id", "shared_files", "mode", "recovered", F.round("gap_hours", 6).alias("gap_hours"))
+    out = _successors(spark, d)
+    return out.select("failed_id", "next_pr_id", "shared_files", "shared_telling_files", "example_file", "successor_tie_n", "mode", "recovered", F.round("gap_hours", 6).alias("gap_hours"))
 
 
 def q_composition(spark, d):
-    out = ledger.file_successors(B.pull_requests(spark, d), B.changed_files(spark, d))
+    out = _successors(spark, d)
     return out.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("repo_id").alias("n_repos"), F.count_if("recovered").alias("recovered"), F.round(F.median("gap_hours"), 6).alias("median_gap"))
 
 
@@ -156,18 +176,28 @@ c3 AS (SELECT a.*, NULL AS p3, NULL::BOOLEAN AS m3 FROM c2 a WHERE t2 IS NULL UN
 st AS (SELECT pr_id, p1 AS p1_pr_id, p2 AS p2_pr_id, p3 AS p3_pr_id, CASE WHEN m1 THEN '0' WHEN m2 IS NULL THEN 'left-censored-1+' WHEN m2 THEN '1' WHEN m3 IS NULL THEN 'left-censored-2+' WHEN m3 THEN '2' ELSE '3+' END AS streak
   FROM (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY created_dt, pr_id) AS k FROM c3) WHERE k = 1)"""
 )
+_ISSUE_SQL = (
+    LEDGER_SQL
+    + ",\n"
+    + B.ISSUES_SQL
+    + """,
+ic AS (SELECT led.*, pr_id IN (SELECT pr_id FROM issues) AS left_linked, prior_pr_id IN (SELECT pr_id FROM issues) AS right_linked,
+    (SELECT count(*) FROM issues a JOIN issues b USING (issue_id) WHERE a.pr_id = led.pr_id AND b.pr_id = led.prior_pr_id) AS shared_links,
+    CASE WHEN user_id = prior_user_id AND agent = prior_agent THEN 'persistence' WHEN user_id = prior_user_id THEN 'brand_change_same_contributor' WHEN agent = prior_agent THEN 'contributor_change_stable_agent' ELSE 'joint_reconfiguration' END AS transition
+  FROM led)"""
+)
 _SUCC_SQL = (
     B.PR_SQL
     + ",\n"
     + B.FILES_SQL
     + """,
-f AS (SELECT repo_id, filename, pr_id AS failed_id, closed_dt AS failed_dt, agent AS fa, user_id AS fu FROM pr JOIN files USING (pr_id) WHERE closed_dt IS NOT NULL AND merged_dt IS NULL),
-l AS (SELECT repo_id, filename, pr_id, created_dt, agent, user_id, merged_dt FROM (SELECT pr.*, filename, row_number() OVER (PARTITION BY repo_id, filename, created_dt ORDER BY pr_id) AS k FROM pr JOIN files USING (pr_id)) WHERE k = 1),
-m AS (SELECT f.*, l.pr_id AS next_id, l.created_dt AS next_dt, l.agent AS na, l.user_id AS nu, l.merged_dt AS nm FROM f ASOF JOIN l ON f.repo_id = l.repo_id AND f.filename = l.filename AND f.failed_dt < l.created_dt),
-g AS (SELECT repo_id, failed_id, failed_dt, fa, fu, next_id, next_dt, na, nu, nm, count(*) AS shared_files FROM m WHERE next_dt <= failed_dt + INTERVAL 30 DAY GROUP BY ALL),
-sc AS (SELECT repo_id, failed_id, next_id AS next_pr_id, shared_files, CASE WHEN fu = nu AND fa = na THEN 'persistence' WHEN fu = nu THEN 'brand_change_same_contributor' WHEN fa = na THEN 'contributor_change_stable_agent' ELSE 'joint_reconfiguration' END AS mode,
+f AS (SELECT repo_id, filename, pr_id AS failed_id, closed_dt AS failed_dt, agent AS fa, user_id AS fu FROM pr JOIN files USING (pr_id) WHERE closed_dt >= created_dt AND closed_dt <= TIMESTAMP '1998-06-01' AND merged_dt IS NULL),
+l AS (SELECT repo_id, filename, pr_id, created_dt, agent, user_id, merged_dt, path_n FROM (SELECT pr.*, filename, row_number() OVER (PARTITION BY repo_id, filename, created_dt ORDER BY pr_id) AS k, count(*) OVER (PARTITION BY repo_id, filename, created_dt) AS path_n FROM pr JOIN files USING (pr_id)) WHERE k = 1),
+m AS (SELECT f.*, l.pr_id AS next_id, l.created_dt AS next_dt, l.agent AS na, l.user_id AS nu, l.merged_dt AS nm, l.path_n FROM f ASOF JOIN l ON f.repo_id = l.repo_id AND f.filename = l.filename AND f.failed_dt < l.created_dt),
+g AS (SELECT repo_id, failed_id, failed_dt, fa, fu, next_id, next_dt, na, nu, nm, count(*) AS shared_files, count(*) FILTER (WHERE filename % 10 <> 0) AS shared_telling_files, max(path_n) AS path_n, min(filename) AS example_file FROM m WHERE next_dt <= failed_dt + INTERVAL 30 DAY GROUP BY ALL),
+sc AS (SELECT repo_id, failed_id, next_id AS next_pr_id, shared_files, shared_telling_files, example_file, greatest(path_n, candidate_n) AS successor_tie_n, CASE WHEN fu = nu AND fa = na THEN 'persistence' WHEN fu = nu THEN 'brand_change_same_contributor' WHEN fa = na THEN 'contributor_change_stable_agent' ELSE 'joint_reconfiguration' END AS mode,
     coalesce(nm <= next_dt + INTERVAL 30 DAY, false) AS recovered, datesub('second', failed_dt, next_dt) / 3600.0 AS gap_hours
-  FROM (SELECT *, row_number() OVER (PARTITION BY failed_id ORDER BY next_dt, next_id) AS k FROM g) WHERE k = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY failed_id ORDER BY next_dt, next_id) AS k, count(*) OVER (PARTITION BY failed_id, next_dt) AS candidate_n FROM g) WHERE k = 1)"""
 )
 _ASOF_SQL = B.PR_SQL + f", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, closed_dt ORDER BY pr_id DESC) AS k FROM pr WHERE {_VALID}) WHERE k = 1)"
 
@@ -202,7 +232,12 @@ SELECT event_index, count(*) AS n, round(avg(y), 9) AS rate, round(1.96::DOUBLE
     "resolved_events": (q_resolved, _s(f"SELECT pr_id, repo_id, known_dt FROM (SELECT *, greatest(closed_dt, merged_dt) AS known_dt, count(*) OVER (PARTITION BY repo_id, greatest(closed_dt, merged_dt)) AS k FROM pr WHERE {_VALID}) WHERE k = 1", B.PR_SQL)),
     "decision_streaks": (q_streaks, _s("SELECT * FROM st", _STREAK_SQL)),
     "streak_rates": (q_streak_rates, _s("SELECT streak, count(*) AS n, round(avg(CASE WHEN merged_dt IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 9) AS rate FROM st JOIN pr USING (pr_id) GROUP BY 1", _STREAK_SQL)),
-    "file_successors": (q_successors, _s("SELECT failed_id, next_pr_id, shared_files, mode, recovered, round(gap_hours, 6) AS gap_hours FROM sc", _SUCC_SQL)),
+    "issue_continuity": (q_issues, _s("SELECT pr_id, prior_pr_id, left_linked, right_linked, left_linked AND right_linked AS both_linked, shared_links, shared_links > 0 AS same_link FROM ic", _ISSUE_SQL)),
+    "issue_continuity_rates": (
+        q_issue_rates,
+        _s("SELECT transition, shared_links > 0 AS same_link, count(*) AS n, count(DISTINCT repo_id) AS n_repos, round(avg(CAST(merged_in_time AS DOUBLE)), 9) AS merge_rate FROM ic WHERE left_linked AND right_linked GROUP BY 1, 2", _ISSUE_SQL),
+    ),
+    "file_successors": (q_successors, _s("SELECT failed_id, next_pr_id, shared_files, shared_telling_files, example_file, successor_tie_n, mode, recovered, round(gap_hours, 6) AS gap_hours FROM sc", _SUCC_SQL)),
     "successor_composition": (q_composition, _s("SELECT mode, count(*) AS n, count(DISTINCT repo_id) AS n_repos, count(*) FILTER (WHERE recovered) AS recovered, round(median(gap_hours), 6) AS median_gap FROM sc GROUP BY 1", _SUCC_SQL)),
     "file_continuity": (
         q_continuity,

@@ -38,6 +38,8 @@ item AS (
 
 FILES_SQL = """files AS (SELECT DISTINCT l_orderkey AS pr_id, l_partkey % 50 AS filename FROM lineitem)"""
 
+ISSUES_SQL = """issues AS (SELECT DISTINCT l_orderkey AS pr_id, l_suppkey % 7 AS issue_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 <> 0)"""
+
 LABELLED_SQL = """frame AS (
   SELECT doc_id, CAST(quality AS DOUBLE) AS y, CAST(toxic AS DOUBLE) AS x, ln(1 + CAST(n_chars AS DOUBLE)) AS z, source AS cluster
   FROM labels JOIN documents USING (doc_id))"""
@@ -103,6 +105,12 @@ def changed_files(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("pr_id"), (F.col("l_partkey") % 50).alias("filename")).distinct()
 
 
+def linked_issues(spark: SparkSession, folder: str) -> DataFrame:
+    """Issues that items refer to, with repeated links and nulls."""
+    lines = read_table(spark, folder, "lineitem", ["l_orderkey", "l_suppkey", "l_linenumber"]).filter("l_linenumber = 1")
+    return lines.select(F.when(F.col("l_orderkey") % 3 != 0, F.col("l_orderkey")).alias("pr_id"), (F.col("l_suppkey") % 7).alias("issue_id"))
+
+
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """Outcome y, exposure x, control z and a cluster for each labelled document."""
     docs = read_table(spark, folder, "documents", ["doc_id", "n_chars", "source"])

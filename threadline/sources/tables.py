@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,53 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def footer_counts(spark: SparkSession, folder: str, names: Iterable[str]) -> DataFrame:
+    """table_name, n_rows of Parquet tables: no column is read, so the counts come from the files' footers."""
+    counts = [read_table(spark, folder, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n in names]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def read_zipped_csv(spark: SparkSession, path: str, schema: StructType | str, member: str = r"\.csv$") -> DataFrame:
+    """Rows of the CSV members, by name, of every ZIP file under path; each member needs a header.
+
+    ZIP files can't be split: one is read by one task, member by member and
+    line by line, so it should hold a bounded part of the data.
+    """
+    import re
+
+    wanted = re.compile(member)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path).select("content")
+    wide = spark.createDataFrame([], schema).schema
+    names = [f.name for f in wide.fields]
+
+    def unpack(batches):
+        import csv
+        import io
+        import zipfile
+        from itertools import islice
+
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf["content"]:
+                archive = zipfile.ZipFile(io.BytesIO(content))
+                for name in sorted(n for n in archive.namelist() if wanted.search(n)):
+                    rows = csv.DictReader(io.TextIOWrapper(archive.open(name), "utf-8", newline=""))
+                    while chunk := list(islice(rows, 10_000)):
+                        yield pd.DataFrame({n: pd.array([r.get(n) or None for r in chunk], dtype="string") for n in names})
+
+    texts = files.mapInPandas(unpack, ", ".join(f"`{n}` string" for n in names))
+    return texts.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wide.fields))
+
+
+def beside(*rows: DataFrame) -> DataFrame:
+    """One row with the columns of several frames of one row each."""
+    out = rows[0].withColumn("_one", F.lit(1))
+    for r in rows[1:]:
+        out = out.join(F.broadcast(r.limit(1).withColumn("_one", F.lit(1))), "_one")
+    return out.drop("_one")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, length, sha256 of every file under path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

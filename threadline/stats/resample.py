@@ -65,16 +65,22 @@ def _by(cluster: str):
     return Window.partitionBy(F.lit(0)).orderBy(cluster)
 
 
-def poisson_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, draws: int = 200, seed: int = 0) -> DataFrame:
-    """As ratio_bootstrap, for any number of clusters: each cluster counts Poisson(1) times in each draw, drawn from its hash."""
-    sums = cluster_sums(df, cluster, numerator, denominator)
-    each = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = F.pmod(F.xxhash64(F.col(cluster), F.col("draw"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+def poisson_times(cluster: Column, draw: Column, seed: int) -> Column:
+    """How often a draw takes a cluster: Poisson(1), from their hash."""
+    u = F.pmod(F.xxhash64(cluster, draw, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     times, total, term = F.lit(0), 0.0, float(np.exp(-1))
     for k in range(1, 9):
         total += term
         times = F.when(u >= total, k).otherwise(times)
         term /= k
+    return times
+
+
+def poisson_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, draws: int = 200, seed: int = 0) -> DataFrame:
+    """As ratio_bootstrap, for any number of clusters: each cluster counts Poisson(1) times in each draw, drawn from its hash."""
+    sums = cluster_sums(df, cluster, numerator, denominator)
+    each = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    times = poisson_times(F.col(cluster), F.col("draw"), seed)
     drawn = each.withColumn("t", times).groupBy("draw").agg(F.try_divide(F.sum(F.col("t") * F.col("num")), F.sum(F.col("t") * F.col("den"))).alias("ratio"))
     estimate = sums.agg(F.try_divide(F.sum("num"), F.sum("den"))).first()[0]
     return drawn.agg(F.lit(estimate).cast("double").alias("estimate"), F.percentile("ratio", F.lit(0.025)).alias("low"), F.percentile("ratio", F.lit(0.975)).alias("high"))
