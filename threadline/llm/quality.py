@@ -106,5 +106,32 @@ def op8(docs: DataFrame) -> DataFrame:
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measure(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & verdict()).alias("kept"), failed_rules().alias("failed_rules"),
+        base.alias("base_failed"), (~base & verdict()).alias("kept"), F.array_join(failed_rules(), ",").alias("failed_rules"),
     )
+
+
+_RATIOS = {
+    "n_words": "n_words",
+    "mean_word_chars": "word_chars / greatest(n_words, 1)::DOUBLE",
+    "symbol_ratio": "n_symbols / greatest(n_words, 1)::DOUBLE",
+    "stop_ratio": "n_stop / greatest(n_words, 1)::DOUBLE",
+    "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)::DOUBLE",
+}
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """op8 as DuckDB SQL: words and their windows as rows, in place of arrays."""
+    stop = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+    failed = ", ".join(f"CASE WHEN NOT ({_RATIOS[r.ratio]} BETWEEN {r.least!r} AND {r.most!r}) THEN '{r.name}' END" for r in rules)
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+a AS (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM a),
+n AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars, count(*) FILTER (WHERE lower(w) IN ({stop})) AS n_stop FROM w GROUP BY r),
+g AS (SELECT r, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+f AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM g WHERE g IS NOT NULL) WHERE k > 1),
+p AS (SELECT r, count(DISTINCT i + d) AS n_repeat_words FROM f, range(3) x(d) GROUP BY r),
+m AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stop, 0) AS n_stop, len(ls) AS n_lines
+  FROM t JOIN a USING (r) LEFT JOIN n USING (r) LEFT JOIN p USING (r)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {failed}) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v"""

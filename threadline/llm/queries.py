@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substring_dedup.ORACLE}
+    return {"op5_substring_dedup": substring_dedup.ORACLE, "op8_quality_rules": quality.oracle(), "op10_secret_scans": secrets.oracle()}

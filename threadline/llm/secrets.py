@@ -133,3 +133,23 @@ def op10(docs: DataFrame) -> DataFrame:
     return findings(docs, update(docs, path)).select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans")
     )
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """op10 as DuckDB SQL: a text is split at a rule's matches, and lengths of parts and matches add up to places."""
+
+    def each(i: int, r: Rule) -> str:
+        p = "'" + r.pattern.replace("'", "''") + "'"
+        value = f"regexp_extract_all(text, {p}, 2)" if r.value_only else f"regexp_extract_all(text, {p})"
+        return f"SELECT r, {i} AS o, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(text, {p}) AS ps, regexp_extract_all(text, {p}) AS ms, {value} AS vs FROM t WHERE regexp_matches(text, {p})"
+
+    def joined(where: str = "") -> str:
+        return f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, o){where}, '')"
+
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(each(i, r) for i, r in enumerate(rules))}),
+k AS (SELECT r, o, kind, least, generate_subscripts(ms, 1) AS k, unnest(ms) AS m, unnest(vs) AS v, unnest(ps[1:len(ms)]) AS p FROM f),
+s AS (SELECT r, o, kind, least, v, sum(length(p) + length(m)) OVER (PARTITION BY r, o ORDER BY k) AS b, length(m) AS n FROM k),
+u AS (SELECT r, o, kind, CAST(b - n AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM s WHERE length(v) >= least)
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256({joined(" FILTER (WHERE o < 3)")}) AS base_sha256, {joined(" FILTER (WHERE o IS NOT NULL)")} AS spans FROM t LEFT JOIN u USING (r) GROUP BY r"""
