@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadline.llm import bpe, ctw, decontam, langid, line_dedup, quality, secrets, sharding, simhash, substring_dedup
+from threadline.llm import bpe, ctw, decontam, langid, line_dedup, quality, secrets, sharding, simhash, substring_dedup, trie_bpe
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": over_documents(quality.op8),
         "op9_lm_scoring": over_documents(ctw.op9),
         "op10_secret_scans": over_documents(secrets.op10),
+        "op12_word_bpe": over_documents(trie_bpe.op12),
     }
 
 
