@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadline.llm import bpe, ctw, decontam, langid, line_dedup, quality, secrets, sharding, simhash, substring_dedup, trie_bpe
+from threadline.llm import bpe, ctw, decontam, kmeans, langid, line_dedup, quality, runs, secrets, sharding, simhash, substring_dedup, trie_bpe
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": over_documents(quality.op8),
         "op9_lm_scoring": over_documents(ctw.op9),
         "op10_secret_scans": over_documents(secrets.op10),
+        "op11_periodic_runs": over_documents(runs.op11),
         "op12_word_bpe": over_documents(trie_bpe.op12),
+        "op13_centroid_clustering": lambda spark, sf_dir: kmeans.op13(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substring_dedup": substring_dedup.ORACLE, "op8_quality_rules": quality.oracle(), "op10_secret_scans": secrets.oracle()}
+    return {"op5_substring_dedup": substring_dedup.ORACLE, "op8_quality_rules": quality.oracle(), "op10_secret_scans": secrets.oracle(), "op13_centroid_clustering": kmeans.oracle()}

@@ -49,7 +49,7 @@ _NEVER = 1 << 30
 #: Bytes by which the tokens that may end a prefix are looked up.
 END = 3
 #: Fixed values of the format: white space, the split pattern, the end of a word.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 
