@@ -86,7 +86,8 @@ def step(ints: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 for j in np.unique(at):
                     total[j] += x[at == j].sum(axis=0)
         some = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": some.astype(np.int32), "n": count[some], "total": list(total[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some.astype(np.int32), "n": count[some], "total": list(total[some])})
 
     parts = ints.select("x").mapInPandas(sums, "cluster int, n bigint, total array<bigint>")
     whole = (
@@ -156,15 +157,15 @@ def oracle() -> str:
     parts = [
         f"""kept AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY vec_id, v) AS i, vec_id, v FROM (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-    FROM embeddings WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {SIZE}) t)""",
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {SIZE}) t)""",
         f"""c0 AS MATERIALIZED (
   SELECT k, v FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), v) - 1 AS k, v FROM kept WHERE vec_id IS NOT NULL) t WHERE k < {K})""",
     ]
     for r in range(ROUNDS + 1):
         parts.append(f"""a{r} AS MATERIALIZED (
   SELECT i, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'k': k}}) AS best FROM (
-    SELECT i, vec_id, kept.v, k, list_sum(list_transform(list_zip(kept.v, c{r}.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    SELECT i, vec_id, kept.v, k, list_sum(list_transform(list_zip(kept.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
     FROM kept CROSS JOIN c{r}) t GROUP BY i)""")
         if r < ROUNDS:
             parts.append(f"""m{r} AS MATERIALIZED (
