@@ -209,7 +209,7 @@ def plain_lloyd(rows):
     def at(v):
         return min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(centroids))
 
-    for _ in range(3):
+    for _ in range(3 if centroids else 0):
         own = [at(v)[1] for _, v in kept]
         for j in range(len(centroids)):
             mine = [v for (_, v), k in zip(kept, own, strict=True) if k == j]
