@@ -76,6 +76,22 @@ def poisson_times(cluster: Column, draw: Column, seed: int) -> Column:
     return times
 
 
+#: Up to which uniform number a cluster is drawn 0, 1, 2, ... times: sums of the Poisson(1) law.
+TIMES = tuple(float(x) for x in np.cumsum([np.exp(-1.0) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)]))
+
+
+def drawn_times(draw: Column, cluster: Column) -> Column:
+    """How often a draw takes a cluster: Poisson(1), from the md5 of both, so that any engine draws the same."""
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", draw.cast("string"), cluster.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    u = key / 4294967296.0
+    return sum((F.when(u >= x, 1).otherwise(0) for x in TIMES), F.lit(0))
+
+
+def drawn_times_sql(draw: str, cluster: str) -> str:
+    u = f"CAST(CAST('0x' || substr(md5(CAST({draw} AS VARCHAR) || ':' || CAST({cluster} AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
+    return "(" + " + ".join(f"CASE WHEN {u} >= {x!r} THEN 1 ELSE 0 END" for x in TIMES) + ")"
+
+
 def poisson_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, draws: int = 200, seed: int = 0) -> DataFrame:
     """As ratio_bootstrap, for any number of clusters: each cluster counts Poisson(1) times in each draw, drawn from its hash."""
     sums = cluster_sums(df, cluster, numerator, denominator)
