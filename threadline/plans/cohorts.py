@@ -54,6 +54,20 @@ rs AS (
 )
 
 
+def greedy_sql(frame: str) -> str:
+    """mt: the pairs of taking turns one by one, from a select of stratum, id, arm, t; a step gives each stratum's next turn."""
+    return f"""mf AS ({frame}),
+mc AS (SELECT stratum, list({{'t': t, 'id': id}}) AS free FROM mf WHERE NOT arm GROUP BY 1),
+me AS (SELECT stratum, id, t, row_number() OVER (PARTITION BY stratum ORDER BY t, id) AS k FROM mf WHERE arm),
+ms AS (SELECT stratum, CAST(0 AS BIGINT) AS k, free, CAST(NULL AS VARCHAR) AS exposed_id, CAST(NULL AS VARCHAR) AS control_id, CAST(NULL AS BIGINT) AS gap FROM mc
+  UNION ALL
+  SELECT stratum, k, list_filter(free, lambda f: f.id <> pick.id), CAST(id AS VARCHAR), CAST(pick.id AS VARCHAR), abs(pick.t - t) FROM (
+    SELECT stratum, k, free, id, t, CASE WHEN low IS NULL OR (high IS NOT NULL AND high.t - t <= t - low.t) THEN high ELSE low END AS pick FROM (
+      SELECT ms.stratum, me.k, ms.free, me.id, me.t, list_max(list_filter(ms.free, lambda f: f.t < me.t)) AS low, list_min(list_filter(ms.free, lambda f: f.t >= me.t)) AS high
+      FROM ms JOIN me ON me.stratum = ms.stratum AND me.k = ms.k + 1 WHERE len(ms.free) > 0))),
+mt AS (SELECT exposed_id, control_id, gap / 3.6e9 AS gap_hours FROM ms WHERE exposed_id IS NOT NULL)"""
+
+
 def moved() -> Column:
     """The test events' stand-in for a branch movement."""
     return F.col("source") == "purchase"
@@ -185,7 +199,8 @@ def q_channel_trigger_match(spark, d):
     """Triggers of one relation beside the nearest of the other: every input of the greedy matcher."""
     first = cohort.first_triggers(feedback(spark, d), F.lit(True), ("pr_id", "cross_agent"))
     frame = first.select(F.concat_ws(":", "pr_id", "cross_agent").alias("row"), "repo_id", F.col("cross_agent").alias("arm"), "trigger_dt")
-    return matching.nearest_without_replacement(frame, ["repo_id"], "arm", "trigger_dt", "row")
+    out = matching.nearest_without_replacement(frame, ["repo_id"], "arm", "trigger_dt", "row")
+    return out.select("exposed_id", "control_id", F.round("gap_hours", 6).alias("gap_hours"))
 
 
 def q_asof_forward(spark, d):
@@ -315,7 +330,14 @@ SELECT pr_id, actor_login, first_dt, source, rank() OVER (PARTITION BY pr_id ORD
         ),
     ),
     "role_totals": (q_role_totals, _sql(RESPONSE_SQL, "SELECT CASE WHEN grouping(role) = 1 THEN 'all' ELSE role END AS role, count(*) AS n, count(DISTINCT pr_id) AS n_items, round(avg(hours_after), 6) AS mean_hours FROM rs GROUP BY GROUPING SETS ((role), ())")),
-    "matched_triggers": (q_channel_trigger_match, None),
+    "matched_triggers": (
+        q_channel_trigger_match,
+        "WITH RECURSIVE "
+        + FEEDBACK_SQL
+        + ", "
+        + greedy_sql("SELECT repo_id AS stratum, concat(pr_id, ':', cross_agent) AS id, cross_agent AS arm, epoch_us(interaction_dt) AS t FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, cross_agent ORDER BY interaction_dt, source, event_id) AS n FROM fb) WHERE n = 1")
+        + "\nSELECT exposed_id, control_id, round(gap_hours, 6) AS gap_hours FROM mt",
+    ),
     "asof_forward_events": (
         q_asof_forward,
         _sql(

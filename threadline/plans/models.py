@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadline.functions import columns as X
 from threadline.operators import ledger, matching, panel
-from threadline.plans.cohorts import RESPONSE_SQL, chains, triggers
+from threadline.plans.cohorts import RESPONSE_SQL, chains, greedy_sql, triggers
 from threadline.sources import bindings as B
 from threadline.stats import ols, resample
 
@@ -98,15 +98,35 @@ def q_route_model(spark, d):
     return _terms(spark, ols.ols(c.withColumn("y", F.col("any_response").cast("double")), "y", {"late": F.col("late").cast("double"), "log1p_clicks": F.log1p(F.col("later_clicks").cast("double"))}, "repo_id"))
 
 
-def q_caliper(spark, d):
-    p = _features(spark, d)
-    z = matching.standardise(p, ["mean_log", "slope", "mean_rate"], ["onset_month"])
-    cols = ["z_mean_log", "z_slope", "z_mean_rate"]
+_SCALED = ["z_mean_log", "z_slope", "z_mean_rate"]
+
+
+def _arms(spark, d):
+    """Entrants' scaled features: odd repositories stand for treated ones."""
+    z = matching.standardise(_features(spark, d), ["mean_log", "slope", "mean_rate"], ["onset_month"])
     odd = F.col("repo_id") % 2 == 1
-    out = matching.nearest_in_caliper(z.filter(odd), z.filter(~odd), ["onset_month"], cols, "repo_id", 1.5)
+    return z.filter(odd), z.filter(~odd)
+
+
+def _caliper_pairs(spark, d):
+    return matching.nearest_in_caliper(*_arms(spark, d), ["onset_month"], _SCALED, "repo_id", 1.5)
+
+
+def q_caliper(spark, d):
+    return _caliper_pairs(spark, d).select("onset_month", "exposed_id", "control_id", F.round("distance", 7).alias("distance"))
+
+
+def q_caliper_once(spark, d):
+    out = matching.match_in_caliper(*_arms(spark, d), ["onset_month"], _SCALED, "repo_id", 1.5)
     return out.select("onset_month", "exposed_id", "control_id", F.round("distance", 7).alias("distance"))
 
 
+def _trigger_pairs(spark, d):
+    """Triggers by one product beside those by the other in the same group of repositories, nearest in time, each once."""
+    frame = triggers(spark, d).select("pr_id", F.floor(F.col("repo_id") / 5).alias("group"), (F.col("trigger_agent") == "A").alias("arm"), "trigger_dt")
+    return matching.nearest_without_replacement(frame, ["group"], "arm", "trigger_dt", "pr_id")
+
+
 def _features(spark, d):
     pr = B.pull_requests(spark, d)
     late = ledger.second_agent_onset(pr).select("repo_id", F.add_months(F.to_date("onset_dt"), 18).cast("timestamp_ntz").alias("onset_dt"))
@@ -122,9 +142,7 @@ def q_features(spark, d):
 
 
 def q_contrasts(spark, d):
-    p = _features(spark, d)
-    pairs = p.filter("repo_id % 2 = 1").select(F.col("repo_id").alias("exposed_id"), (F.col("repo_id") - 1).alias("control_id"), "onset_month")
-    out = panel.event_contrasts(pairs, panel.monthly_panel(B.pull_requests(spark, d)), 3, "n_items")
+    out = panel.event_contrasts(_caliper_pairs(spark, d), panel.monthly_panel(B.pull_requests(spark, d)), 3, "n_items")
     return out.groupBy("event_month").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap"), 9).alias("gap"), F.round(F.avg("did"), 9).alias("did"))
 
 
@@ -143,15 +161,12 @@ def q_advantage(spark, d):
 
 def q_concordance(spark, d):
     c = chains(spark, d).select("pr_id", (F.col("later_clicks") > 3).alias("y"))
-    a = c.filter("pr_id % 2 = 0").select((F.col("pr_id") / 2).cast("bigint").alias("k"), F.col("y").alias("a"))
-    b = c.filter("pr_id % 2 = 1").select(((F.col("pr_id") - 1) / 2).cast("bigint").alias("k"), F.col("y").alias("b"))
-    return matching.concordance(a.join(b, "k"), "a", "b")
+    a, b = (c.select(F.col("pr_id").alias(k), F.col("y").alias(y)) for k, y in (("exposed_id", "a"), ("control_id", "b")))
+    return matching.concordance(_trigger_pairs(spark, d).join(a, "exposed_id").join(b, "control_id"), "a", "b")
 
 
 def q_paired(spark, d):
-    tr = triggers(spark, d).select("pr_id")
-    pairs = tr.filter("pr_id % 2 = 0").select(F.col("pr_id").alias("exposed_id"), (F.col("pr_id") + 1).alias("control_id"))
-    out = matching.paired_differences(pairs, chains(spark, d), "pr_id", ["any_response", "later_clicks"])
+    out = matching.paired_differences(_trigger_pairs(spark, d), chains(spark, d), "pr_id", ["any_response", "later_clicks"])
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("difference"), 9).alias("difference"))
 
 
@@ -162,7 +177,19 @@ seen AS (SELECT repo_id, agent, min(created_dt) AS seen_dt FROM pr GROUP BY 1, 2
 onset AS (SELECT repo_id, CAST(date_trunc('month', seen_dt + INTERVAL 18 MONTH) AS TIMESTAMP) AS onset_month FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY seen_dt, agent) AS k FROM seen) WHERE k = 2),
 em AS (SELECT repo_id, onset_month, (year(month) - year(onset_month)) * 12 + month(month) - month(onset_month) AS m, ln(1 + CAST(n_items AS DOUBLE)) AS v, merge_rate FROM pa JOIN onset USING (repo_id)),
 ft AS (SELECT repo_id, onset_month, avg(v) AS mean_log, regr_slope(v, CAST(m AS DOUBLE)) AS slope, avg(merge_rate) AS mean_rate FROM em WHERE m BETWEEN -3 AND -1 GROUP BY 1, 2 HAVING count(*) = 3)"""
+_CALIPER = _PANEL + """,
+z AS (SELECT *, coalesce((mean_log - avg(mean_log) OVER w) / nullif(stddev_pop(mean_log) OVER w, 0), 0) AS a, coalesce((slope - avg(slope) OVER w) / nullif(stddev_pop(slope) OVER w, 0), 0) AS b,
+  coalesce((mean_rate - avg(mean_rate) OVER w) / nullif(stddev_pop(mean_rate) OVER w, 0), 0) AS c FROM ft WINDOW w AS (PARTITION BY onset_month)),
+cq AS (SELECT * FROM (SELECT e.onset_month, e.repo_id AS exposed_id, o.repo_id AS control_id, sqrt((e.a - o.a) ** 2 + (e.b - o.b) ** 2 + (e.c - o.c) ** 2) AS distance FROM z e JOIN z o ON e.onset_month = o.onset_month AND e.repo_id % 2 = 1 AND o.repo_id % 2 = 0) WHERE distance <= 1.5),
+cp AS (SELECT onset_month, exposed_id, control_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY exposed_id ORDER BY distance, control_id) AS k FROM cq) WHERE k = 1)"""
+_TURNS = _CALIPER + """,
+ce AS (SELECT onset_month, exposed_id, list({'d': distance, 'c': control_id}) AS near, row_number() OVER (ORDER BY onset_month, exposed_id) AS k FROM cq GROUP BY 1, 2),
+ct AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS TIMESTAMP) AS onset_month, CAST(NULL AS BIGINT) AS exposed_id, CAST(NULL AS STRUCT(d DOUBLE, c BIGINT)) AS pick
+  UNION ALL
+  SELECT k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.c) END, onset_month, exposed_id, pick FROM (
+    SELECT ce.k, ct.used, ce.onset_month, ce.exposed_id, list_min(list_filter(ce.near, lambda x: NOT list_contains(ct.used, x.c))) AS pick FROM ct JOIN ce ON ce.k = ct.k + 1))"""
 _CH = RESPONSE_SQL + ", ch AS (SELECT tr.pr_id, coalesce(n, 0) > 0 AS any_response, coalesce(c, 0) AS later_clicks FROM tr LEFT JOIN (SELECT pr_id, count(*) AS n, count(*) FILTER (WHERE source = 'click') AS c FROM rs GROUP BY 1) k USING (pr_id))"
+_PAIRS = f"WITH RECURSIVE {_CH}, " + greedy_sql("SELECT repo_id // 5 AS stratum, pr_id AS id, trigger_agent = 'A' AS arm, epoch_us(trigger_dt) AS t FROM tr") + ", p AS (SELECT a.any_response AS ra, b.any_response AS rb, a.later_clicks AS ca, b.later_clicks AS cb FROM mt JOIN ch a ON a.pr_id = CAST(exposed_id AS BIGINT) JOIN ch b ON b.pr_id = CAST(control_id AS BIGINT))"
 
 QUERIES = {
     "ols_clustered": (
@@ -207,16 +234,11 @@ SELECT draw, round(sum(num) / sum(den), 9) AS ratio FROM p JOIN c USING (k) GROU
     "response_model": (q_route_model, None),
     "monthly_panel": (q_panel, f"WITH {_PANEL} SELECT repo_id, month, n_items, n_agents, round(merge_rate, 9) AS merge_rate FROM pa"),
     "pre_onset_features": (q_features, f"WITH {_PANEL} SELECT repo_id, onset_month, round(mean_log, 9) AS mean_log, round(slope, 9) + 0.0 AS slope, round(mean_rate, 9) AS mean_rate FROM ft"),
-    "caliper_matching": (
-        q_caliper,
-        f"""WITH {_PANEL}, z AS (SELECT *, coalesce((mean_log - avg(mean_log) OVER w) / nullif(stddev_pop(mean_log) OVER w, 0), 0) AS a, coalesce((slope - avg(slope) OVER w) / nullif(stddev_pop(slope) OVER w, 0), 0) AS b,
-  coalesce((mean_rate - avg(mean_rate) OVER w) / nullif(stddev_pop(mean_rate) OVER w, 0), 0) AS c FROM ft WINDOW w AS (PARTITION BY onset_month)),
-q AS (SELECT e.onset_month, e.repo_id AS exposed_id, o.repo_id AS control_id, sqrt((e.a - o.a) ** 2 + (e.b - o.b) ** 2 + (e.c - o.c) ** 2) AS distance FROM z e JOIN z o ON e.onset_month = o.onset_month AND e.repo_id % 2 = 1 AND o.repo_id % 2 = 0)
-SELECT onset_month, exposed_id, control_id, round(distance, 7) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY exposed_id ORDER BY distance, control_id) AS k FROM q WHERE distance <= 1.5) WHERE k = 1""",
-    ),
+    "caliper_matching": (q_caliper, f"WITH {_CALIPER}\nSELECT onset_month, exposed_id, control_id, round(distance, 7) AS distance FROM cp"),
+    "caliper_matching_once": (q_caliper_once, f"WITH RECURSIVE {_TURNS}\nSELECT onset_month, exposed_id, pick.c AS control_id, round(pick.d, 7) AS distance FROM ct WHERE pick IS NOT NULL"),
     "event_month_contrasts": (
         q_contrasts,
-        f"""WITH {_PANEL}, g AS (SELECT repo_id AS e, repo_id - 1 AS c, onset_month, CAST(k - 3 AS INTEGER) AS event_month, onset_month + to_months(CAST(k - 3 AS INTEGER)) AS month FROM ft, range(7) r(k) WHERE repo_id % 2 = 1),
+        f"""WITH {_CALIPER}, g AS (SELECT exposed_id AS e, control_id AS c, onset_month, CAST(k - 3 AS INTEGER) AS event_month, onset_month + to_months(CAST(k - 3 AS INTEGER)) AS month FROM cp, range(7) r(k)),
 d AS (SELECT e, event_month, CAST(coalesce(a.n_items, 0) - coalesce(b.n_items, 0) AS DOUBLE) AS gap FROM g LEFT JOIN pa a ON a.repo_id = e AND a.month = g.month LEFT JOIN pa b ON b.repo_id = c AND b.month = g.month),
 f AS (SELECT *, gap - max(CASE WHEN event_month = -1 THEN gap END) OVER (PARTITION BY e) AS did FROM d) SELECT event_month, count(*) AS n, round(avg(gap), 9) AS gap, round(avg(did), 9) AS did FROM f GROUP BY 1""",
     ),
@@ -231,10 +253,10 @@ f AS (SELECT *, gap - max(CASE WHEN event_month = -1 THEN gap END) OVER (PARTITI
     ),
     "pair_concordance": (
         q_concordance,
-        f"WITH {_CH}, p AS (SELECT a.later_clicks > 3 AS x, b.later_clicks > 3 AS y FROM ch a JOIN ch b ON b.pr_id = a.pr_id + 1 WHERE a.pr_id % 2 = 0) SELECT count(*) FILTER (WHERE x AND y) AS \"both\", count(*) FILTER (WHERE x AND NOT y) AS only_exposed, count(*) FILTER (WHERE NOT x AND y) AS only_control, count(*) FILTER (WHERE NOT x AND NOT y) AS neither FROM p",
+        _PAIRS + " SELECT count(*) FILTER (WHERE ca > 3 AND cb > 3) AS \"both\", count(*) FILTER (WHERE ca > 3 AND cb <= 3) AS only_exposed, count(*) FILTER (WHERE ca <= 3 AND cb > 3) AS only_control, count(*) FILTER (WHERE ca <= 3 AND cb <= 3) AS neither FROM p",
     ),
     "paired_differences": (
         q_paired,
-        f"WITH {_CH}, p AS (SELECT CAST(a.any_response AS DOUBLE) - CAST(b.any_response AS DOUBLE) AS u, CAST(a.later_clicks AS DOUBLE) - CAST(b.later_clicks AS DOUBLE) AS v FROM ch a JOIN ch b ON b.pr_id = a.pr_id + 1 WHERE a.pr_id % 2 = 0) SELECT 'any_response' AS outcome, count(*) AS n, round(avg(u), 9) AS difference FROM p UNION ALL SELECT 'later_clicks', count(*), round(avg(v), 9) FROM p",
+        _PAIRS + " SELECT 'any_response' AS outcome, count(*) AS n, round(avg(CAST(ra AS DOUBLE) - CAST(rb AS DOUBLE)), 9) AS difference FROM p UNION ALL SELECT 'later_clicks', count(*), round(avg(CAST(ca - cb AS DOUBLE)), 9) FROM p",
     ),
 }
