@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadline.functions import replies as R
 from threadline.functions import text as T
 from threadline.operators import learn, textmatch
 from threadline.sources import bindings as B
@@ -35,9 +36,34 @@ def q_redact(spark, d):
     return redacted.select("doc_id", F.md5("text").alias("digest"), F.contains("text", F.lit("[EMAIL]")).alias("has_email"), F.contains("text", F.lit("[IP]")).alias("has_ip"))
 
 
+def _replies(spark, d):
+    """Turns of conversations as replies: quoted, fenced, linked, addressed to machines, and null."""
+    kind, x, nl = (F.col("conv_id") + F.col("turn")) % 9, F.col("text"), F.lit("\n")
+    body = (
+        F.when(kind == 1, F.concat(F.lit("> "), x, nl, F.lit("Done, thanks."))).when(kind == 2, F.concat(F.lit("```\n"), x, F.lit("\n``` fixed it")))
+        .when(kind == 3, F.concat(F.lit("@Copilot "), x)).when(kind == 4, "please\t/retest").when(kind == 5, "Apply changes based on [this feedback](https://x.y/z)")
+        .when(kind == 6, F.concat(F.lit("["), x, F.lit("](https://a.b/c) see `code` <b>bold</b> https://u.v/w now"))).when(kind == 7, F.concat(F.lit("ok\r\n@someone "), F.col("turn").cast("string"), F.lit(" me@x.org ")))
+        .when(kind == 0, x)
+    )
+    return _turns(spark, d).select("row", "role", body.alias("body"))
+
+
 def q_classes(spark, d):
-    c = _turns(spark, d)
-    return c.groupBy("role", T.reply_class("text").alias("reply_class")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(T.word_count("text")), 6).alias("mean_words"))
+    r = _replies(spark, d).select("role", R.reply_class("body").alias("reply_class"), R.readable_words("body").alias("words"))
+    return r.groupBy("role", "reply_class").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("words"), 6).alias("mean_words"))
+
+
+def q_readable(spark, d):
+    return _replies(spark, d).select("row", F.md5(R.readable_residue("body")).alias("residue"), R.readable_words("body").alias("words"), R.reply_class("body").alias("reply_class"))
+
+
+def q_templates(spark, d):
+    out = _replies(spark, d).groupBy(F.md5(R.template_body("body")).alias("template")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("role").alias("n_roles"))
+    return out.filter("n >= 2")
+
+
+def q_packets(spark, d):
+    return _replies(spark, d).select("row", R.packet_text("body").alias("p")).select("row", "p.digest", "p.cut", "p.secret")
 
 
 def q_titles(spark, d):
@@ -113,7 +139,7 @@ _UNESCAPED = (
 
 def _norm(text: str) -> str:
     out = f"regexp_replace(lower({_UNESCAPED.replace('{0}', text)}), '{T.LEADING_TAG}', '')"
-    for pattern, by in ((T.PRODUCT, " agent "), (r"https?://[^ \t\n\r\f]+", " url "), (r"\b[0-9a-f]{8,40}\b", " sha "), (r"[ \t\n\r\f]+", " ")):
+    for pattern, by in ((T.PRODUCT, " agent "), (rf"https?://[^{T.BLANK}]+", " url "), (r"\b[0-9a-f]{8,40}\b", " sha "), (rf"[{T.BLANK}]+", " ")):
         out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
     return f"trim({out})"
 
@@ -121,8 +147,10 @@ def _norm(text: str) -> str:
 _NORM = _norm("text")
 _RED = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), 'https?://[^ \\t\\n]+', '[URL]', 'g'), '\\b[0-9a-f]{32,}\\b', '[TOKEN]', 'g'), '\\b[0-9]{1,3}(\\.[0-9]{1,3}){3}\\b', '[IP]', 'g'), '[ \\t]+', ' ', 'g')"
 _TURNS = f"tu AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text, regexp_extract_all({_NORM}, '{T.TOKEN}') AS ws FROM conversations), pp AS (SELECT * FROM (SELECT lag(id) OVER w AS left_id, lag(ws) OVER w AS a, id AS right_id, ws AS b FROM tu WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE left_id IS NOT NULL)"
-_WORDS = "len(regexp_extract_all(text, '[A-Za-z0-9'']+'))"
-_CLASS = f"CASE WHEN regexp_matches(lower(text), '(automatically generated|this is an automated|rate limit|quota)') THEN 'platform_generated' WHEN regexp_matches(lower(text), '(^|\\s)@[a-z0-9-]+|^/[a-z]+') THEN 'agent_invocation' WHEN regexp_matches(lower(text), '\\b(thanks|thank you|done|fixed|good catch|agreed|will do|ok|okay)\\b') AND len(regexp_extract_all(lower(text), '[A-Za-z0-9'']+')) < 12 THEN 'acknowledgement_only' ELSE 'substantive_response' END"
+_REPLIES = """re AS (SELECT conv_id * 1000 + turn AS row, role, CASE (conv_id + turn) % 9 WHEN 0 THEN text WHEN 1 THEN '> ' || text || chr(10) || 'Done, thanks.' WHEN 2 THEN '```' || chr(10) || text || chr(10) || '``` fixed it'
+  WHEN 3 THEN '@Copilot ' || text WHEN 4 THEN 'please' || chr(9) || '/retest' WHEN 5 THEN 'Apply changes based on [this feedback](https://x.y/z)' WHEN 6 THEN '[' || text || '](https://a.b/c) see `code` <b>bold</b> https://u.v/w now'
+  WHEN 7 THEN 'ok' || chr(13) || chr(10) || '@someone ' || turn || ' me@x.org ' END AS body FROM conversations)"""
+_MARKED, _WHOLE = R.packet_sql("body")
 _TFIDF = (
     _TURNS
     + """, gr AS (SELECT id, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM tu),
@@ -134,7 +162,10 @@ co AS (SELECT left_id, right_id, sum(x.w * y.w) AS c FROM pp JOIN w x ON x.id =
 QUERIES = {
     "normalised_texts": (q_normalise, f"SELECT doc_id, md5({_NORM}) AS digest, length({_NORM}) AS n_chars FROM documents"),
     "redacted_texts": (q_redact, f"SELECT doc_id, md5({_RED}) AS digest, contains({_RED}, '[EMAIL]') AS has_email, contains({_RED}, '[IP]') AS has_ip FROM documents"),
-    "reply_classes": (q_classes, f"SELECT role, {_CLASS} AS reply_class, count(*) AS n, round(avg({_WORDS}), 6) AS mean_words FROM conversations GROUP BY 1, 2"),
+    "reply_classes": (q_classes, f"WITH {_REPLIES} SELECT role, {R.class_sql('body')} AS reply_class, count(*) AS n, round(avg({R.words_sql('body')}), 6) AS mean_words FROM re GROUP BY 1, 2"),
+    "readable_replies": (q_readable, f"WITH {_REPLIES} SELECT row, md5({R.residue_sql('body')}) AS residue, {R.words_sql('body')} AS words, {R.class_sql('body')} AS reply_class FROM re"),
+    "repeated_templates": (q_templates, f"WITH {_REPLIES} SELECT md5({R.template_sql('body')}) AS template, count(*) AS n, count(DISTINCT role) AS n_roles FROM re GROUP BY 1 HAVING count(*) >= 2"),
+    "packet_texts": (q_packets, f"WITH {_REPLIES} SELECT row, sha256({_MARKED}) AS digest, length({_MARKED}) > 2500 AS cut, regexp_matches({_WHOLE}, '{'(?i)' + R.SECRET}') AS secret FROM re"),
     "title_tasks": (q_titles, "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 2 THEN 'docs' WHEN 3 THEN 'chore' WHEN 5 THEN 'fix' END AS task, CAST(o_orderkey AS VARCHAR) AS first_issue FROM orders"),
     "page_titles": (q_pages, "SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages"),
     "token_jaccard": (q_jaccard, f"WITH {_TURNS} SELECT left_id, right_id, round(coalesce(CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS DOUBLE) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0), 9) AS jaccard, len(list_intersect(list_distinct(a), list_distinct(b))) AS shared FROM pp"),
