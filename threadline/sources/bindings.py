@@ -40,6 +40,21 @@ FILES_SQL = """files AS (SELECT DISTINCT l_orderkey AS pr_id, l_partkey % 50 AS
 
 ISSUES_SQL = """issues AS (SELECT DISTINCT l_orderkey AS pr_id, l_suppkey % 7 AS issue_id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 <> 0)"""
 
+#: The events as a corpus of reviews, by the loaders' column names (here after loading): bots named a-bot and b-bot stand for products A and B.
+CORPUS_SQL = """ev AS (SELECT event_id, user_id AS pr_id, event_type, date_trunc('second', ts) AS dt, CASE event_type WHEN 'error' THEN 'A-bot' WHEN 'signup' THEN 'b-bot' ELSE concat('acct', event_id % 11) END AS actor_login,
+    CASE WHEN event_type IN ('error', 'signup') THEN 'Bot' WHEN event_id % 13 = 0 THEN NULL ELSE 'User' END AS user_type FROM events),
+bb AS (SELECT user_id AS pr_id, user_id % 20 AS repo_id, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS author_agent, concat('Acct', user_id % 11) AS author_login, date_trunc('second', min(ts)) - INTERVAL 1 DAY AS created_dt,
+    CASE WHEN user_id % 3 <> 0 THEN date_trunc('second', min(ts)) + to_days(CAST(user_id % 40 + 1 AS INTEGER)) END AS closed_dt,
+    CASE WHEN user_id % 3 = 1 THEN date_trunc('second', min(ts)) + to_days(CAST(user_id % 40 + 1 AS INTEGER)) END AS merged_dt FROM events GROUP BY user_id),
+lv AS (SELECT pr_id, event_id + 1000000 AS event_id, event_id AS review_id, CAST(NULL AS BIGINT) AS parent_id, actor_login, user_type, dt FROM ev WHERE event_type IN ('signup', 'error', 'view') AND event_id % 7 <> 0),
+li AS (SELECT pr_id, event_id, event_id AS review_id, parent_id, actor_login, user_type, dt FROM (
+  SELECT *, CASE WHEN event_type = 'view' AND event_id % 4 <> 1 THEN lag(event_id) OVER (PARTITION BY pr_id ORDER BY dt, event_id) END AS parent_id FROM ev WHERE event_type IN ('error', 'view')) WHERE event_id % 7 <> 0),
+lc AS (SELECT pr_id, event_id, CAST(NULL AS BIGINT) AS review_id, CAST(NULL AS BIGINT) AS parent_id, actor_login, user_type, dt FROM ev WHERE event_type = 'click'),
+lt AS (SELECT pr_id, actor_login, dt FROM ev WHERE event_type = 'purchase' AND event_id % 2 = 0),
+li3 AS (SELECT *, 'submitted_review' AS source FROM lv UNION ALL SELECT *, 'pr_comment' FROM lc UNION ALL SELECT *, 'inline_review_comment' FROM li),
+lx AS (SELECT *, CASE lower(actor_login) WHEN 'a-bot' THEN 'A' WHEN 'b-bot' THEN 'B' END AS actor_agent FROM li3)"""
+ALIASES = {"a-bot": "A", "B-Bot": "B"}
+
 LABELLED_SQL = """frame AS (
   SELECT doc_id, CAST(quality AS DOUBLE) AS y, CAST(toxic AS DOUBLE) AS x, ln(1 + CAST(n_chars AS DOUBLE)) AS z, source AS cluster
   FROM labels JOIN documents USING (doc_id))"""
@@ -118,3 +133,33 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     return labels.join(docs, "doc_id").select(
         "doc_id", F.col("quality").cast("double").alias("y"), F.col("toxic").cast("double").alias("x"), F.log(1 + F.col("n_chars").cast("double")).alias("z"), F.col("source").alias("cluster")
     )
+
+
+def corpus(spark: SparkSession, folder: str):
+    """The events as the tables of a review corpus, with its column names and ISO times."""
+    ev = read_table(spark, folder, "events", ["event_id", "user_id", "ts", "event_type"])
+    kind, i = F.col("event_type"), F.col("event_id")
+    bot = kind.isin("error", "signup")
+    login = F.when(kind == "error", "A-bot").when(kind == "signup", "b-bot").otherwise(F.concat(F.lit("acct"), i % 11))
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    ev = ev.withColumns({"user": login, "user_type": F.when(bot, "Bot").when(i % 13 != 0, "User"), "at": at})
+
+    def iso(t):
+        return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    first = ev.groupBy("user_id").agg(F.min("ts").alias("t"))
+    u = F.col("user_id")
+    closed = F.col("t") + F.make_dt_interval(u % 40 + 1)
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy(F.date_trunc("second", "ts"), "event_id"))
+    inline = ev.filter(kind.isin("error", "view")).withColumn("in_reply_to_id", F.when((kind == "view") & (i % 4 != 1), F.concat(before.cast("string"), F.lit(".0"))))
+    found = {
+        "pull_request": first.select(
+            u.alias("id"), (u * 3).alias("number"), (u % 20).alias("repo_id"), F.concat(F.lit("https://x.org/r"), u % 20).alias("repo_url"), F.when(u % 2 == 0, "A").otherwise("B").alias("agent"),
+            F.concat(F.lit("Acct"), u % 11).alias("user"), iso(F.col("t") - F.expr("INTERVAL 1 DAY")).alias("created_at"), F.when(u % 3 != 0, iso(closed)).alias("closed_at"), F.when(u % 3 == 1, iso(closed)).alias("merged_at"),
+        ),
+        "pr_reviews": ev.filter(kind.isin("signup", "error", "view") & (i % 7 != 0)).select((i + 1000000).alias("id"), u.alias("pr_id"), i.alias("pull_request_review_id"), "user", "user_type", F.lit("COMMENTED").alias("state"), F.col("at").alias("submitted_at")),
+        "pr_comments": ev.filter(kind == "click").select(i.alias("id"), u.alias("pr_id"), "user", "user_type", F.col("at").alias("created_at")),
+        "pr_review_comments": inline.select(i.alias("id"), i.alias("pull_request_review_id"), "user", "user_type", "in_reply_to_id", F.col("at").alias("created_at")),
+        "pr_timeline": ev.filter(kind == "purchase").select(u.alias("pr_id"), F.when(i % 2 == 0, "head_ref_force_pushed").otherwise("labeled").alias("event"), F.col("user").alias("actor"), F.col("at").alias("created_at")),
+    }
+    return found.__getitem__
