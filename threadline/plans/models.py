@@ -8,7 +8,7 @@ from threadline.functions import columns as X
 from threadline.operators import ledger, matching, panel
 from threadline.plans.cohorts import RESPONSE_SQL, chains, greedy_sql, triggers
 from threadline.sources import bindings as B
-from threadline.stats import ols, resample
+from threadline.stats import design, ols, resample
 
 
 def _terms(spark, fit):
@@ -32,6 +32,43 @@ def q_control(spark, d):
     return _terms(spark, ols.ols(B.labelled(spark, d), "y", {"x": F.col("x"), "z": F.col("z")}, "cluster"))
 
 
+def _gaps(spark, d):
+    """The labelled frame with nulls in regressors and clusters."""
+    i = F.col("doc_id")
+    return B.labelled(spark, d).withColumns({"x": F.when(i % 7 != 0, F.col("x")), "z": F.when(i % 11 != 0, F.col("z")), "cluster": F.when(i % 13 != 0, F.col("cluster"))})
+
+
+def q_complete(spark, d):
+    return _terms(spark, ols.ols(_gaps(spark, d), "y", {"x": F.col("x"), "z": F.col("z")}, "cluster"))
+
+
+def q_fe_complete(spark, d):
+    flat = ols.demean(_gaps(spark, d), ["y", "x"], "cluster")
+    return _terms(spark, ols.ols(flat, "y", {"x": F.col("x")}, "cluster", intercept=False))
+
+
+def q_logit_one(spark, d):
+    return _terms(spark, ols.logit(_gaps(spark, d), "y", {"x": F.col("x")}, "cluster"))
+
+
+def _crossed(spark, d):
+    docs = B.read_table(spark, d, "documents", ["doc_id", "lang", "n_chars", "source"])
+    df = docs.select(F.log1p(F.col("n_chars").cast("double")).alias("y"), F.col("source").alias("cluster"), F.when(F.col("doc_id") % 3 == 0, "yes").otherwise("no").alias("third"), "lang")
+    terms = ["C(third)", "C(lang)", "C(third):C(lang)"]
+    plan = design.design(df, terms)
+    return plan, design.fit(df, "y", plan, "cluster")
+
+
+def q_design(spark, d):
+    return _terms(spark, _crossed(spark, d)[1])
+
+
+def q_wald(spark, d):
+    plan, fit = _crossed(spark, d)
+    rows = [(t, *fit.wald(plan.joint(t)), fit.rank, fit.n) for t in plan.terms if t != "const"]
+    return spark.createDataFrame(rows, "term string, statistic double, df int, p double, rank int, n bigint")
+
+
 def q_dummies(spark, d):
     df = B.labelled(spark, d)
     fit = ols.ols(df, "y", {"x": F.col("x")} | ols.dummies(df, "cluster"), "doc_id")
@@ -171,6 +208,40 @@ def q_paired(spark, d):
 
 
 _OLS = f"WITH {B.LABELLED_SQL}, g AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy, count(DISTINCT cluster) AS k FROM frame), b AS (SELECT *, n * sxx - sx * sx AS det, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS b0 FROM g)"
+_GAPS = "gaps AS (SELECT doc_id, y, CASE WHEN doc_id % 7 <> 0 THEN x END AS x, CASE WHEN doc_id % 11 <> 0 THEN z END AS z, CASE WHEN doc_id % 13 <> 0 THEN cluster END AS cluster FROM frame)"
+
+
+def _two_sql(frame: str) -> str:
+    """An intercept and two regressors over complete cases: what each cluster adds to each estimate, squared and summed."""
+    return f"""WITH {B.LABELLED_SQL}, {_GAPS}, f AS (SELECT * FROM {frame} WHERE y IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL AND cluster IS NOT NULL),
+m AS (SELECT avg(y) AS my, avg(x) AS mx, avg(z) AS mz, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT cluster) AS k FROM f),
+c AS (SELECT sum((x - mx) ** 2) AS sxx, sum((z - mz) ** 2) AS szz, sum((x - mx) * (z - mz)) AS sxz, sum((x - mx) * (y - my)) AS sxy, sum((z - mz) * (y - my)) AS szy FROM f, m),
+b AS (SELECT *, sxx * szz - sxz * sxz AS det, (szz * sxy - sxz * szy) / (sxx * szz - sxz * sxz) AS bx, (sxx * szy - sxz * sxy) / (sxx * szz - sxz * sxz) AS bz FROM c, m),
+e AS (SELECT cluster, x - mx AS x, z - mz AS z, y - my - bx * (x - mx) - bz * (z - mz) AS r FROM f, b),
+g AS (SELECT cluster, sum(r) AS u, sum(x * r) AS sx, sum(z * r) AS sz FROM e GROUP BY 1),
+i AS (SELECT (szz * sx - sxz * sz) / det AS ix, (sxx * sz - sxz * sx) / det AS iz, u / n - mx * (szz * sx - sxz * sz) / det - mz * (sxx * sz - sxz * sx) / det AS ic FROM g, b),
+v AS (SELECT sum(ic * ic) AS vc, sum(ix * ix) AS vx, sum(iz * iz) AS vz FROM i), s AS (SELECT k / (k - 1.0::DOUBLE) * (n - 1) / (n - 3) AS scale FROM m)
+SELECT 'const' AS term, round(my - bx * mx - bz * mz, 7) AS estimate, round(sqrt(vc * scale), 7) AS std_error FROM b, v, s UNION ALL SELECT 'x', round(bx, 7), round(sqrt(vx * scale), 7) FROM b, v, s UNION ALL SELECT 'z', round(bz, 7), round(sqrt(vz * scale), 7) FROM b, v, s"""
+
+
+_LOGIT_ONE = f"""WITH {B.LABELLED_SQL}, {_GAPS}, f AS (SELECT * FROM gaps WHERE y IS NOT NULL AND x IS NOT NULL AND cluster IS NOT NULL),
+p AS (SELECT avg(y) FILTER (WHERE x = 0) AS p0, avg(y) FILTER (WHERE x = 1) AS p1, CAST(count(*) FILTER (WHERE x = 0) AS DOUBLE) AS n0, CAST(count(*) FILTER (WHERE x = 1) AS DOUBLE) AS n1, count(DISTINCT cluster) AS k FROM f),
+g AS (SELECT cluster, coalesce(sum(y - p0) FILTER (WHERE x = 0), 0) / any_value(n0 * p0 * (1 - p0)) AS i0, coalesce(sum(y - p1) FILTER (WHERE x = 1), 0) / any_value(n1 * p1 * (1 - p1)) AS i1 FROM f, p GROUP BY 1),
+v AS (SELECT sum(i0 ** 2) AS v0, sum((i1 - i0) ** 2) AS v1 FROM g)
+SELECT 'const' AS term, round(ln(p0 / (1 - p0)), 7) AS estimate, round(sqrt(v0 * k / (k - 1.0::DOUBLE)), 7) AS std_error FROM p, v UNION ALL SELECT 'x', round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 7), round(sqrt(v1 * k / (k - 1.0::DOUBLE)), 7) FROM p, v"""
+#: A saturated model's estimates are combinations of the means of cells.
+_CELLS = """WITH f AS (SELECT ln(1 + CAST(n_chars AS DOUBLE)) AS y, source AS cluster, CASE WHEN doc_id % 3 = 0 THEN 'yes' ELSE 'no' END AS third, lang FROM documents WHERE n_chars IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL),
+c AS (SELECT third, lang, avg(y) AS m, CAST(count(*) AS DOUBLE) AS n FROM f GROUP BY 1, 2), r AS (SELECT min(lang) AS ref FROM f),
+t AS (SELECT 'const' AS term, 'no' AS third, ref AS lang, 1 AS w FROM r UNION ALL SELECT 'third=yes', v.l, ref, v.w FROM r, (VALUES ('yes', 1), ('no', -1)) v(l, w)
+  UNION ALL SELECT 'lang=' || k.lang, 'no', u.lang, u.w FROM (SELECT DISTINCT lang FROM f) k, r, LATERAL (VALUES (k.lang, 1), (ref, -1)) u(lang, w) WHERE k.lang <> ref
+  UNION ALL SELECT 'third=yes:lang=' || k.lang, v.l, u.lang, u.w * v.w FROM (SELECT DISTINCT lang FROM f) k, r, (VALUES ('yes', 1), ('no', -1)) v(l, w), LATERAL (VALUES (k.lang, 1), (ref, -1)) u(lang, w) WHERE k.lang <> ref),
+q AS (SELECT term, sum(w * m) AS estimate FROM t JOIN c USING (third, lang) GROUP BY 1),
+g AS (SELECT cluster, third, lang, sum(y - m) / any_value(n) AS s FROM f JOIN c USING (third, lang) GROUP BY 1, 2, 3),
+i AS (SELECT term, cluster, sum(w * s) AS s FROM t JOIN g USING (third, lang) GROUP BY 1, 2), z AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(DISTINCT cluster) AS k, (SELECT count(*) FROM c) AS p FROM f)
+SELECT term, round(any_value(estimate), 7) AS estimate, round(sqrt(sum(s * s) * any_value(k / (k - 1.0::DOUBLE) * (n - 1) / (n - p))), 7) AS std_error FROM q JOIN i USING (term), z GROUP BY term"""
+_FE_GAPS = f"""WITH {B.LABELLED_SQL}, {_GAPS}, f AS (SELECT * FROM gaps WHERE y IS NOT NULL AND x IS NOT NULL AND cluster IS NOT NULL), m AS (SELECT cluster, y - avg(y) OVER (PARTITION BY cluster) AS y, x - avg(x) OVER (PARTITION BY cluster) AS x FROM f),
+b AS (SELECT sum(x * y) / sum(x * x) AS b1, sum(x * x) AS sxx, CAST(count(*) AS DOUBLE) AS n, count(DISTINCT cluster) AS k FROM m), s AS (SELECT cluster, sum(x * (y - b1 * x)) AS s FROM m, b GROUP BY 1)
+SELECT 'x' AS term, round(any_value(b1), 7) AS estimate, round(sqrt(sum(s * s) / any_value(sxx * sxx) * any_value(k / (k - 1.0::DOUBLE) * (n - 1) / (n - 1))), 7) AS std_error FROM s, b"""
 _PANEL = B.PR_SQL + """,
 pa AS (SELECT repo_id, CAST(date_trunc('month', created_dt) AS TIMESTAMP) AS month, count(*) AS n_items, count(DISTINCT agent) AS n_agents, avg(CASE WHEN merged_dt IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS merge_rate FROM pr GROUP BY 1, 2),
 seen AS (SELECT repo_id, agent, min(created_dt) AS seen_dt FROM pr GROUP BY 1, 2),
@@ -210,7 +281,12 @@ b AS (SELECT sum(x * y) / sum(x * x) AS b1, sum(x * x) AS sxx, CAST(count(*) AS
 SELECT 'x' AS term, round(any_value(b1), 7) AS estimate, round(sqrt(sum(s * s) / any_value(sxx * sxx) * any_value(k / (k - 1.0::DOUBLE) * (n - 1) / (n - 1))), 7) AS std_error FROM s, b""",
     ),
     "fixed_effects_by_dummies": (q_dummies, f"WITH {B.LABELLED_SQL}, m AS (SELECT y - avg(y) OVER (PARTITION BY cluster) AS y, x - avg(x) OVER (PARTITION BY cluster) AS x FROM frame) SELECT 'x' AS term, round(sum(x * y) / sum(x * x), 7) AS estimate FROM m"),
-    "ols_with_control": (q_control, None),
+    "ols_with_control": (q_control, _two_sql("frame")),
+    "ols_complete_cases": (q_complete, _two_sql("gaps")),
+    "fixed_effects_complete_cases": (q_fe_complete, _FE_GAPS),
+    "logit_one_exposure": (q_logit_one, _LOGIT_ONE),
+    "design_interactions": (q_design, _CELLS),
+    "wald_terms": (q_wald, None),
     "leave_one_cluster_out_ols": (q_loo, f"WITH {B.LABELLED_SQL} SELECT c.cluster, round(regr_slope(f.y, f.x), 7) AS estimate FROM (SELECT DISTINCT cluster FROM frame) c JOIN frame f ON f.cluster <> c.cluster GROUP BY 1"),
     "logit_clustered": (q_logit, None),
     "overlap_weighting": (q_overlap, None),

@@ -76,7 +76,7 @@ def q_antimode_draws(spark, d):
 def q_two_way(spark, d):
     """An interaction beside two absorbed fixed effects, errors by cluster."""
     df = B.labelled(spark, d).join(tables.read_table(spark, d, "documents", ["doc_id", "lang"]), "doc_id").withColumn("xz", F.col("x") * F.col("z"))
-    flat = ols.absorb(df.fillna("?", ["cluster", "lang"]), ["y", "x", "z", "xz"], ["cluster", "lang"], 10)
+    flat = ols.absorb(df.fillna("?", ["cluster", "lang"]), ["y", "x", "z", "xz"], ["cluster", "lang"])
     fit = ols.ols(flat, "y", {c: F.col(c) for c in ("x", "z", "xz")}, "cluster", intercept=False)
     return spark.createDataFrame([(k, round(b, 7), round(s, 7)) for k, b, s in fit.table()], "term string, estimate double, std_error double")
 

@@ -3,16 +3,21 @@
 Rows never leave Spark: a pass gives X'X and X'y, whose size is that of the
 model, and a second one the scores of each cluster, squared and summed there
 too. The driver solves systems of a few dozen unknowns.
+
+Only complete cases count: a row that lacks the outcome, a regressor, the weight
+or the cluster is in no sum, no count and no mean that is taken out before.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from threadline.sources.stage import staged
 
 
 @dataclass
@@ -22,16 +27,55 @@ class Fit:
     cov: np.ndarray
     n: int
     clusters: int
+    rank: int | None = None
 
     def table(self) -> list[tuple[str, float, float]]:
         return [(k, float(b), float(s)) for k, b, s in zip(self.names, self.beta, np.sqrt(np.maximum(np.diag(self.cov), 0)), strict=True)]
 
+    def wald(self, rows: list[dict[str, float]]) -> tuple[float, int, float]:
+        """Statistic, degrees of freedom and p of several combinations being 0 together; combinations that follow from others don't count."""
+        r = np.array([[w.get(k, 0.0) for k in self.names] for w in rows])
+        middle = r @ self.cov @ r.T
+        df = int(np.linalg.matrix_rank(middle, hermitian=True))
+        value = float((r @ self.beta) @ np.linalg.pinv(middle, hermitian=True) @ (r @ self.beta))
+        return value, df, chi_square_tail(value, df)
+
     def contrast(self, weights: dict[str, float]) -> tuple[float, float]:
         """A linear combination and its standard error."""
         w = np.array([weights.get(k, 0.0) for k in self.names])
         return float(w @ self.beta), float(np.sqrt(w @ self.cov @ w))
 
 
+def chi_square_tail(value: float, df: int) -> float:
+    """The chance of more than value under so many degrees of freedom: a finite sum for any whole number of them."""
+    if df < 1:
+        return float("nan")
+    half = max(value, 0.0) / 2
+    if df % 2:
+        total, term = math.erfc(math.sqrt(half)), math.sqrt(half / math.pi) * 2 * math.exp(-half)
+        for k in range(1, df, 2):
+            total += term
+            term *= 2 * half / (k + 2)
+        return min(total, 1.0)
+    total, term = 0.0, math.exp(-half)
+    for k in range(df // 2):
+        total += term
+        term *= half / (k + 1)
+    return min(total, 1.0)
+
+
+def complete(df: DataFrame, *needed: Column | str) -> DataFrame:
+    """The rows where none of these is null or not a number."""
+    kinds = dict(df.dtypes)
+    ok = F.lit(True)
+    for c in needed:
+        col = F.col(c) if isinstance(c, str) else c
+        ok = ok & col.isNotNull()
+        if not isinstance(c, str) or kinds.get(c) in ("double", "float"):
+            ok = ok & ~F.isnan(col.cast("double"))
+    return df.filter(ok)
+
+
 def dummies(df: DataFrame, column: str, reference: str | None = None, most: int = 500) -> dict[str, Column]:
     """A 0/1 column for each level but the reference (by default the first); ``most`` bounds the levels."""
     levels = [r[0] for r in df.select(column).distinct().orderBy(column).limit(most + 1).collect()]
@@ -41,27 +85,80 @@ def dummies(df: DataFrame, column: str, reference: str | None = None, most: int
     return {f"{column}={v}": (F.col(column) == F.lit(v)).cast("double") for v in levels if v != base}
 
 
-def demean(df: DataFrame, columns: list[str], by: str, weight: str | None = None) -> DataFrame:
-    """Columns less their means within groups: absorbs a fixed effect."""
-    g = Window.partitionBy(by)
-    def mean(c: str) -> Column:
-        return F.avg(c).over(g) if weight is None else F.sum(F.col(c) * F.col(weight)).over(g) / F.sum(weight).over(g)
-    return df.withColumns({c: F.col(c) - mean(c) for c in columns})
+def _means(df: DataFrame, columns: list[str], by: str, weight: str | None) -> DataFrame:
+    """by and the means of columns, added up map-side: a row per group, so that a large group is no single task."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    return df.groupBy(F.col(by).alias("_g")).agg(F.sum(w).alias("_w"), *(F.try_divide(F.sum(F.col(c) * w), F.sum(w)).alias(f"_m_{c}") for c in columns))
 
 
-def absorb(df: DataFrame, columns: list[str], groups: list[str], passes: int = 30) -> DataFrame:
-    """Alternating means over several groupings: absorbs several fixed effects. Few-level groupings are better as dummies."""
-    for i in range(passes if len(groups) > 1 else 1):
-        for g in groups:
-            df = demean(df, columns, g)
-        if i % 5 == 4 and i < passes - 1:
-            df = df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-    return df
+def demean(df: DataFrame, columns: list[str], by: str, weight: str | None = None) -> DataFrame:
+    """Columns less their means within groups: absorbs a fixed effect. Rows that lack one of them, the group or the weight go first."""
+    whole = complete(df, *columns, by, *([weight] if weight else []))
+    joined = whole.join(_means(whole, columns, by, weight), F.col(by) == F.col("_g"))
+    return joined.select(*((F.col(c) - F.col(f"_m_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def _sweep(n: np.ndarray, left: np.ndarray, places: list[np.ndarray], spread: np.ndarray, tolerance: float, most: int) -> np.ndarray:
+    """Cells' sums without the means of each grouping, taken out in turns until none is left."""
+    sizes = [np.bincount(p, weights=n) for p in places]
+    for _ in range(most):
+        largest = 0.0
+        for p, size in zip(places, sizes, strict=True):
+            means = np.stack([np.bincount(p, weights=left[:, c]) / size for c in range(left.shape[1])], axis=1)
+            largest = max(largest, float(np.max(np.abs(means) / spread, initial=0.0)))
+            left = left - n[:, None] * means[p]
+        if largest < tolerance:
+            return left
+    raise ValueError(f"means of the groupings are not gone after {most} passes")
+
+
+def absorb(df: DataFrame, columns: list[str], groups: list[str], tolerance: float = 1e-10, most: int = 2000, few: int = 200_000) -> DataFrame:
+    """Columns without several fixed effects: what is left when the means of one grouping after the other are taken out until none is left.
+
+    Only the sums of each cell (a combination of groups) matter for that, so rows are added up once, passes go over
+    cells, and the rows get their cell's shift by one join. A pass ends with the largest mean of any group, relative to
+    the column's deviation; passes end once it is under ``tolerance`` and raise after ``most``. Up to ``few`` cells the
+    passes run in one place; beyond, each pass is a job over the cells that is written, so a lost executor costs one
+    pass. Both go on to the same tolerance. Rows that lack a column or a group go first.
+    """
+    if len(groups) == 1:
+        return demean(df, columns, groups[0])
+    whole = complete(df, *columns, *groups)
+    spread = whole.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
+    scale = [float(spread[c] or 0.0) or 1.0 for c in columns]
+    keys, sums = [f"_k{i}" for i in range(len(groups))], [f"_s{i}" for i in range(len(columns))]
+    cells = staged(whole.groupBy(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True))).agg(F.count(F.lit(1)).cast("double").alias("_n"), *(F.sum(F.col(c).cast("double")).alias(s) for c, s in zip(columns, sums, strict=True))))
+    if cells.count() <= few:
+        table = cells.toPandas()
+        places = [np.unique(table[k].to_numpy(), return_inverse=True)[1] for k in keys]
+        before = table[sums].to_numpy(float)
+        shift = (before - _sweep(table["_n"].to_numpy(float), before, places, np.array(scale), tolerance, most)) / table[["_n"]].to_numpy(float)
+        for c, s in enumerate(sums):
+            table[s] = shift[:, c]
+        shifts = df.sparkSession.createDataFrame(table[[*keys, *sums]], cells.select(*keys, *sums).schema)
+    else:
+        left = cells.select(*keys, "_n", *sums, *(F.col(s).alias(f"{s}0") for s in sums))
+        for _ in range(most):
+            largest = 0.0
+            for k in keys:
+                means = left.groupBy(k).agg(*(F.try_divide(F.sum(s), F.sum("_n")).alias(f"_m{s}") for s in sums))
+                top = means.agg(F.greatest(*(F.max(F.abs(f"_m{s}")) / x for s, x in zip(sums, scale, strict=True)), F.lit(0.0))).first()[0]
+                largest = max(largest, float(top))
+                left = staged(left.join(means, k).select(*keys, "_n", *((F.col(s) - F.col("_n") * F.col(f"_m{s}")).alias(s) for s in sums), *(f"{s}0" for s in sums)))
+            if largest < tolerance:
+                break
+        else:
+            raise ValueError(f"means of the groupings are not gone after {most} passes")
+        shifts = left.select(*keys, *(((F.col(f"{s}0") - F.col(s)) / F.col("_n")).alias(s) for s in sums))
+    joined = whole.join(shifts, [F.col(g) == F.col(k) for g, k in zip(groups, keys, strict=True)])
+    at = dict(zip(columns, sums, strict=True))
+    return joined.select(*((F.col(c) - F.col(at[c])).alias(c) if c in at else F.col(c) for c in df.columns))
 
 
 def _named(df: DataFrame, y: str, x: dict[str, Column], weight: str | None, cluster: str | None) -> DataFrame:
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return df.select(F.col(y).cast("double").alias("y"), w.alias("w"), (F.col(cluster) if cluster else F.lit(0)).alias("g"), F.array(*(c.cast("double") for c in x.values())).alias("x")).filter("y is not null")
+    rows = df.select(F.col(y).cast("double").alias("y"), w.alias("w"), (F.col(cluster) if cluster else F.lit(0)).alias("g"), F.array(*(c.cast("double") for c in x.values())).alias("x"))
+    return complete(rows, "y", "w", "g").filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
 
 
 def _gram(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, int]:
