@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
+from pyspark.sql.window import Window
 
 from threadline.llm.common import work_dir
 
@@ -58,32 +59,31 @@ def blob_id() -> Column:
     return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
-def find(text: Column, rule: Rule, order: int) -> Column:
-    """The rule's spans: matches are marked, the text is split at the marks, and lengths of the parts add up to places."""
+def parts(text: Column, rule: Rule) -> Column:
+    """Lengths of the parts of a text in turn: before a match, its first group, its second, and so on; null without a match."""
     marked = F.regexp_replace(F.translate(text, OPEN + MIDDLE, OTHER * 2), rule.pattern, f"{OPEN}$1{MIDDLE}$2{OPEN}")
-    parts = F.transform(F.split(marked, f"[{OPEN}{MIDDLE}]"), lambda p: F.length(p))
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("begin"), none.alias("out"))
-
-    def step(s: Column, n: Column) -> Column:
-        place, end = s["i"] % 3, s["at"] + n
-        size = n if rule.value_only else end - s["begin"]
-        span = F.struct(s["begin"].alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            end.alias("at"),
-            F.when(place == 0, end).otherwise(s["begin"]).alias("begin"),
-            F.when((place == 2) & (size >= rule.least), F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"),
-        )
-
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, start, step)["out"]).otherwise(none)
+    return F.when(text.rlike(rule.pattern), F.transform(F.split(marked, f"[{OPEN}{MIDDLE}]"), lambda p: F.length(p)))
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob_id, rules, spans of blobs (blob_id, todo array<string>, text): each rule of todo over the whole text."""
+    """blob_id, rules, spans of blobs (blob_id, todo array<string>, text): each rule of todo over the whole text.
+
+    Matches are marked and the text is split at the marks; places are running sums of the parts' lengths, which are
+    rows here, so the work grows with the number of matches. Blobs lie together by their id already, so neither the
+    sums nor the collecting of spans moves a row.
+    """
     text = F.coalesce("text", F.lit(""))
-    found = [F.when(F.array_contains("todo", r.key), find(text, r, i)).otherwise(F.array().cast(SPAN)) for i, r in enumerate(rules)]
-    return blobs.select("blob_id", F.col("todo").alias("rules"), F.array_sort(F.concat(*found)).alias("spans"))
+    each = [F.struct(F.lit(i).alias("o"), F.when(F.array_contains("todo", r.key), parts(text, r)).alias("sizes")) for i, r in enumerate(rules)]
+    found = blobs.select("blob_id", "todo", F.explode_outer(F.filter(F.array(*each), lambda x: x["sizes"].isNotNull())).alias("m"))
+    rows = found.select("blob_id", "todo", F.col("m.o").alias("o"), F.posexplode_outer("m.sizes").alias("i", "n"))
+    turn = Window.partitionBy("blob_id", "o").orderBy("i")
+    end, head = F.sum("n").over(turn.rowsBetween(Window.unboundedPreceding, 0)).cast("int"), F.lag("n").over(turn)
+    placed = rows.select("blob_id", "todo", "o", "i", "n", end.alias("end"), head.alias("head")).withColumn("start", F.col("end") - F.col("n") - F.col("head"))
+    least, kind, value = (F.array(*map(F.lit, xs))[F.col("o")] for xs in ([r.least for r in rules], [r.kind for r in rules], [r.value_only for r in rules]))
+    size = F.when(value, F.col("n")).otherwise(F.col("end") - F.col("start"))
+    span = F.struct("start", F.col("o").alias("kind_order"), kind.alias("kind"), "end")
+    counts = (F.col("i") % 3 == 2) & (size >= least)
+    return placed.groupBy("blob_id").agg(F.first("todo").alias("rules"), F.array_sort(F.collect_list(F.when(counts, span))).cast(SPAN).alias("spans"))
 
 
 def read_ledger(spark, path: str) -> DataFrame | None:
@@ -115,7 +115,9 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
     """doc_id and spans of every path, for the given rule versions."""
     version = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.key)))
     current = ledger.select("blob_id", F.filter("spans", lambda s: F.array_contains(F.col("rules"), F.element_at(version, s["kind"]))).alias("spans"))
-    per_blob = current.groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    # equal spans lie side by side once sorted; array_distinct compares all with all, as it can't hash structs
+    each_once = F.transform(F.array(F.array_sort(F.flatten(F.collect_list("spans")))), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))[0]
+    per_blob = current.groupBy("blob_id").agg(each_once.alias("spans"))
     return docs.select("doc_id", blob_id().alias("blob_id")).join(per_blob, "blob_id")
 
 

@@ -12,8 +12,8 @@ Law: ``bytes`` - sizes of shards are near equal.
 
 Defined results: null text has 16 bytes and crc32 0; a null doc_id is a value
 like any other. The hash covers doc_id and text, so that neither null ids nor
-one repeated id gather in a slot; fully equal rows share one. Whole texts count,
-however long; ties of places are in no order that matters. An empty table gives
+one repeated id gather in a slot, and for rows equal in both the number of the
+copy, so that copies spread over the slots. Whole texts count, however long; ties of places are in no order that matters. An empty table gives
 no rows. Only ``doc_id`` and ``text`` are read, so other columns may have any names.
 """
 
@@ -24,22 +24,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 from pyspark.sql.window import Window
 
-from threadline.llm.common import work_dir
+from threadline.llm.common import cut, work_dir
 
 N_SHARDS = 40
 N_SLOTS = 8192
 RECORD_BYTES = 16
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """rows (with key and part, the task that read them) and copy: 0 to n - 1 within each key, in no task's sole care.
+
+    A part numbers its own rows of a key and adds what the parts before it have; of a key only one row per part is
+    sorted together. Rows must come from files, so that a part is what it was when its rows were counted.
+    """
+    mine = Window.partitionBy("key", "part")
+    counts = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    begins = F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("key", "part", begins.alias("begins")).filter("begins > 0")
+    local = rows.withColumn("copy", F.row_number().over(mine.orderBy("size")) - 1)
+    return local.join(starts, ["key", "part"], "left").withColumn("copy", F.col("copy") + F.coalesce("begins", F.lit(0))).drop("begins")
+
+
 def slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and the virtual slot of each record."""
+    """doc_id, size, text_crc32 and the virtual slot of each record, read back from a written table.
+
+    A record's slot follows from its id and text. Copies equal in both go by their number too, so that a record that
+    makes up a third of the table is spread over all slots; which of them gets which number makes no difference.
+    """
     text = F.coalesce("text", F.lit(""))
-    return docs.select(
+    read = docs.select(
         "doc_id",
         (F.octet_length(text) + RECORD_BYTES).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_slots)).alias("virtual_slot"),
+        F.xxhash64("doc_id", "text").alias("key"),
+        F.spark_partition_id().alias("part"),
     )
+    copies = numbered_copies(cut(read))
+    hashed = F.when(F.col("copy") == 0, F.col("key")).otherwise(F.xxhash64("key", "copy"))
+    return cut(copies.select("doc_id", "size", "text_crc32", F.pmod(hashed, F.lit(n_slots)).alias("virtual_slot")))
 
 
 def slot_sizes(records: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
