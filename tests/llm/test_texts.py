@@ -157,6 +157,29 @@ def test_shards_are_even_and_places_gapless(spark):
     assert sharding.op2(empty(spark)).collect() == []
 
 
+def test_equal_rows_spread_over_shards(spark):
+    """A quarter of all rows are one row, another id has a third."""
+    df = spark.range(0, 8000, 1, 7).selectExpr("CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 5 ELSE id END AS doc_id", "CASE WHEN id % 4 = 0 THEN NULL WHEN id % 3 = 0 THEN 'same text' ELSE repeat('x', CAST(id % 97 AS INT)) END AS text")
+    rows = sharding.op2(df).collect()
+    loads = Counter()
+    for r in rows:
+        loads[r.shard] += r["size"]
+    mean = sum(loads.values()) / 40
+    assert len(rows) == 8000 and len(loads) == 40 and max(loads.values()) < 1.03 * mean and min(loads.values()) > 0.97 * mean
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_copies_are_numbered_without_gaps(spark):
+    rows = spark.range(0, 600, 1, 6).selectExpr("id % 5 * CAST(id % 2 AS BIGINT) AS key", "CAST(id / 100 AS INT) AS part", "id AS size")
+    got = defaultdict(list)
+    for r in sharding.numbered_copies(rows).collect():
+        got[r.key].append(r.copy)
+    assert all(sorted(v) == list(range(len(v))) for v in got.values()) and len(got[0]) == 360
+
+
 def test_sizes_near_equal_and_rebalance_moves_little(spark, tmp_path):
     df = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', CAST(id % 97 AS INT)) AS text")
     records = sharding.slots(df, 512)
@@ -284,6 +307,20 @@ def test_secret_spans(spark):
     assert secrets.op10(empty(spark)).collect() == []
 
 
+def test_very_many_matches_in_one_text(spark):
+    """Places are running sums, so time grows with the matches, not with their square."""
+    import time
+
+    took = []
+    for n in (20_000, 20_000, 80_000):
+        text = "é " + "".join(f"AKIA{i:016d} " for i in range(n))
+        start = time.time()
+        r = secrets.op10(frame(spark, [(1, text), (2, text), (3, None)])).filter("doc_id = 2").first()
+        took.append(time.time() - start)
+        assert r.n_access == n and r.spans.endswith(f"access:{2 + 21 * (n - 1)}:{2 + 21 * (n - 1) + 20}")
+    assert took[2] < 8 * took[1] + 5
+
+
 def test_ledger_scans_only_what_is_new(spark, tmp_path):
     path = str(tmp_path / "ledger")
     docs = frame(spark, [(1, "token=abcdefgh1"), (2, "token=abcdefgh1"), (3, "nothing")])
