@@ -131,3 +131,59 @@ def reordered_transitions(df: DataFrame, item: str, order: str, state: str, draw
 
     out = found.withColumn("f", filled).withColumns({"low": quantile(0.025), "high": quantile(0.975), "difference": F.col("observed") - F.col("placebo_mean")})
     return out.select("state", "next_state", "observed", "placebo_mean", "low", "high", "difference")
+
+
+#: What a step of automation may be followed by, and how many steps are told apart.
+ESCALATIONS = ("user_account", "another_automation", "branch_movement_untyped", "no_later_episode")
+MAX_STEP = 5
+
+
+def walk_steps(rows: DataFrame, draws: int, max_step: int = MAX_STEP) -> DataFrame:
+    """draw, step, outcome, n of sequences (item, o, state) up to their first person; draw 0 has them in order, others reshuffled.
+
+    The steps of an item are its states of automation; a step is followed by whatever comes next. Draws order an item's
+    rows by a hash, so sequences are sorted in Spark and never gathered.
+    """
+    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws).cast("bigint"))))
+    at = F.when(F.col("draw") > 0, hashed_unit(F.col("draw"), F.concat_ws("/", F.col("item").cast("string"), F.col("o").cast("string")))).otherwise(F.lit(0.0))
+    turn = Window.partitionBy("item", "draw").orderBy(at, "o")
+    so_far = turn.rowsBetween(Window.unboundedPreceding, 0)
+    person, machine = F.col("state") == "user_account", F.col("state").isin("mapped_product", "other_bot")
+    after = F.lead("state").over(turn)
+    outcome = F.when(after.isNull(), ESCALATIONS[3]).when(after == "user_account", ESCALATIONS[0]).when(after.isin("mapped_product", "other_bot"), ESCALATIONS[1]).otherwise(ESCALATIONS[2])
+    walked = each.withColumns({"step": F.sum(machine.cast("int")).over(so_far), "met": F.max(person.cast("int")).over(so_far), "outcome": outcome})
+    return walked.filter(machine & (F.col("met") == 0) & (F.col("step") <= max_step)).groupBy("draw", "step", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def walk_order_placebo(df: DataFrame, item: str, order: str, state: str, draws: int = 1000, max_step: int = MAX_STEP) -> DataFrame:
+    """step, outcome, at_risk, observed share, mean and 95% limits of the shares had each item's states come in any order, and the difference.
+
+    A draw that has no item at risk at a step has no share there and does not count; one that only lacks the outcome has 0.
+    """
+    rows = df.select(F.col(item).alias("item"), F.col(order).alias("o"), F.col(state).alias("state")).filter("state is not null")
+    counts = walk_steps(rows, draws, max_step)
+    wide = counts.groupBy("draw", "step").agg(F.sum("n").alias("at_risk"), *(F.sum(F.when(F.col("outcome") == o, F.col("n")).otherwise(0)).alias(o) for o in ESCALATIONS))
+    each = wide.select("draw", "step", "at_risk", F.inline(F.array(*(F.struct(F.lit(o).alias("outcome"), (F.col(o) / F.col("at_risk")).alias("share")) for o in ESCALATIONS))))
+    drawn = F.when(F.col("draw") > 0, F.col("share"))
+    out = each.groupBy("step", "outcome").agg(
+        F.max(F.when(F.col("draw") == 0, F.col("at_risk"))).alias("at_risk"), F.max(F.when(F.col("draw") == 0, F.col("share"))).alias("observed"), F.avg(drawn).alias("placebo_mean"),
+        F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"),
+    )
+    return out.withColumn("difference", F.col("observed") - F.col("placebo_mean")).withColumn("at_risk", F.coalesce("at_risk", F.lit(0).cast("bigint")))
+
+
+def product_order(events: DataFrame, anchors: DataFrame, washouts: tuple[int, ...], item: str = "pr_id", time: str = "interaction_dt", product: str = "actor_agent") -> DataFrame:
+    """item, washout_minutes, eligible, observed, expected: whether the next product after an anchor is the anchor's own, and how likely that was in any order.
+
+    Had the later events come in any order, the first would be the anchor's product as often as its share of them is: no
+    draws are needed. Next instants of several products are left out. anchors: item, anchor_dt, anchor_product and more.
+    """
+    later = events.select(item, F.col(time).alias("_t"), F.col(product).alias("_p")).filter("_p is not null")
+    gates = anchors.select(item, "anchor_dt", "anchor_product", F.explode(F.array(*map(F.lit, washouts))).alias("washout_minutes"))
+    met = gates.join(later, item).filter(F.col("_t") > F.timestamp_add("MINUTE", F.col("washout_minutes"), F.col("anchor_dt")))
+    same = (F.col("_p") == F.col("anchor_product")).cast("int")
+    by_time = met.groupBy(item, "washout_minutes", "_t").agg(F.count(F.lit(1)).alias("n"), F.sum(same).alias("k"), F.min("_p").alias("low"), F.max("_p").alias("high"))
+    first = F.min(F.struct("_t", "n", "k", "low", "high")).alias("f")
+    whole = by_time.groupBy(item, "washout_minutes").agg(first, F.sum("n").alias("eligible"), F.sum("k").alias("own"))
+    alone = whole.filter("f.low = f.high")
+    return alone.select(item, "washout_minutes", "eligible", (F.col("f.k") > 0).cast("double").alias("observed"), (F.col("own") / F.col("eligible")).alias("expected"))
