@@ -267,3 +267,48 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sum(r.n_events for r in S.latest(spark, str(tmp_path / "hourly")).collect()) == 60
     S.run_available(S.once_each(stream, "10 days", ["event_id"]), str(tmp_path / "once"), str(tmp_path / "cp3"))
     assert spark.read.parquet(str(tmp_path / "once")).count() == 60
+
+
+def test_prior_history_against_brute_force(spark):
+    import random
+
+    from threadline.operators import history
+
+    rng = random.Random(8)
+    events = [(rng.choice("ab"), rng.choice(["x", "y", None]), rng.randrange(4), DAY0 + timedelta(hours=rng.randrange(30))) for _ in range(90)]
+    targets = [(rng.choice("abc"), rng.choice(["x", "y", None]), rng.randrange(5), DAY0 + timedelta(hours=rng.randrange(32)), n) for n in range(60)] + [("a", "x", 1, DAY0 + timedelta(hours=9), 0)] * 2
+    df = spark.createDataFrame(targets, "k string, l string, pr_id long, trigger_dt timestamp_ntz, n int")
+    got = history.strict_prior_history(df, spark.createDataFrame(events, "k string, l string, pr_id long, interaction_dt timestamp_ntz"), ["k", "l"]).collect()
+    want = []
+    for k, l, i, t, n in targets:
+        seen = [(j, s) for a, b, j, s in events if a == k and b == l and b is not None and j != i and s < t]
+        last = max((s for _, s in seen), default=None)
+        want.append((k, l, i, t, n, len(seen), len({j for j, _ in seen}), last, (t - last).total_seconds() / 3600 if last else None))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_places_over_ranges(spark):
+    import random
+
+    from threadline.operators import asof
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(6), i) for i in range(137)]
+    df = spark.createDataFrame(rows, "v int, i int")
+    got = asof.ranked(df, [F.desc("v"), F.asc("i")], ranges=5).withColumn("tile", asof.ntile(F.col("place"), F.lit(137), 10)).collect()
+    order = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert [(r.v, r.i) for r in sorted(got, key=lambda r: r.place)] == order and sorted(r.place for r in got) == list(range(1, 138))
+    assert [sum(r.tile == t for r in got) for t in range(1, 11)] == [14] * 7 + [13] * 3
+
+
+def test_all_thresholds_in_one_pass(spark):
+    from threadline.operators import sequence
+
+    def at(m):
+        return DAY0 + timedelta(minutes=m)
+
+    t = spark.createDataFrame([(1, 7, DAY0), (2, 7, DAY0)], "pr_id long, repo_id long, trigger_dt timestamp_ntz")
+    r = spark.createDataFrame([(1, DAY0, at(5), "other_bot"), (1, DAY0, at(9), "other_bot"), (1, DAY0, at(9), "user_account")], "pr_id long, trigger_dt timestamp_ntz, interaction_dt timestamp_ntz, state string")
+    got = {(x.pr_id, x.threshold_minutes): (x.first_state, x.minutes_from_trigger, x.n_events, x.n_states) for x in sequence.first_states(t, r, [0, 5, 9]).collect()}
+    none = ("no_action_within_7d", None, 0, 0)
+    assert got == {(1, 0): ("other_bot", 5.0, 1, 1), (1, 5): ("user_account", 9.0, 2, 2), (1, 9): none, (2, 0): none, (2, 5): none, (2, 9): none}

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadline.sources.stage import staged
+
 
 def asof_join(
     left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str], columns: list[str],
@@ -70,3 +72,24 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, ranges: int =
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(F.broadcast(starts), "_range")
     return out.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)) + F.col("_start")).drop("_range", "_start")
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "place", ranges: int = 64) -> DataFrame:
+    """df with each row's place, from 1 on, in a total order of all rows, without one task for all rows.
+
+    Rows are dealt by ranges of the order and written, so that a range is what it was when it was counted; each range
+    numbers its own rows after those of the ranges before it, of which there are ``ranges`` at most.
+    """
+    dealt = staged(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return dealt.join(F.broadcast(starts), "_range").withColumn(name, F.row_number().over(inside) + F.col("_start")).drop("_range", "_start")
+
+
+def ntile(place: Column, n: Column, tiles: int) -> Column:
+    """The tile from 1 on of a place from 1 on among n rows: the first tiles have one row more where n does not divide."""
+    size, more = F.floor(n / tiles), n % tiles
+    wide = more * (size + 1)
+    return F.when(place <= wide, F.floor((place - 1) / (size + 1)) + 1).otherwise(more + F.floor((place - 1 - wide) / F.greatest(size, F.lit(1))) + 1).cast("bigint")

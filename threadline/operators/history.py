@@ -12,16 +12,33 @@ from threadline.functions.columns import hours, is_type
 def strict_prior_history(targets: DataFrame, history: DataFrame, keys: list[str], target_id: str = "pr_id", target_time: str = "trigger_dt", time: str = "interaction_dt") -> DataFrame:
     """Earlier events of the same keys on other items: how many, on how many items, how recent.
 
-    The theta join (another item, strictly earlier) is a residual of an
-    equi-join; targets are numbered so that rows equal in all columns stay apart.
+    Targets and events are stacked in order of time, targets first at equal times, and counted as they go by: all events
+    less those of the target's own item, items as they first come up less the own one. The last event of another item is
+    the last event, or, where that is of the target's item, the one before the stretch of events of that item. So an
+    account's events are read once, however many targets it has. Null keys have no history.
     """
-    numbered = targets.withColumn("_row", F.monotonically_increasing_id())
-    past = history.select(*keys, F.col("pr_id").alias("_item"), F.col(time).alias("_time"))
-    met = numbered.select("_row", *keys, target_id, target_time).join(past, keys).filter((F.col("_item") != F.col(target_id)) & (F.col("_time") < F.col(target_time)))
-    counted = met.groupBy("_row").agg(F.count(F.lit(1)).alias("n_prior"), F.count_distinct("_item").alias("n_prior_items"), F.max("_time").alias("last_prior_dt"))
+    known = history.select(*keys, F.col("pr_id").alias("_item"), F.col(time).alias("_at")).filter("_at is not null")
+    for k in keys:
+        known = known.filter(F.col(k).isNotNull())
+    none = F.lit(None)
+    asked = targets.select(*keys, F.col(target_id).alias("_item"), F.col(target_time).alias("_at"), F.lit(0).alias("_side"), F.struct(*targets.columns).alias("_row"))
+    both = asked.unionByName(known.select(*keys, "_item", "_at", F.lit(1).alias("_side"), none.cast(asked.schema["_row"].dataType).alias("_row")))
+    turn, own = Window.partitionBy(*keys).orderBy("_at", "_side", "_item"), Window.partitionBy(*keys, "_item").orderBy("_at", "_side")
+    before, own_before = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (turn, own))
+    event = F.col("_side") == 1
     zero = F.lit(0).cast("bigint")
-    out = numbered.join(counted, "_row", "left").withColumns({"n_prior": F.coalesce("n_prior", zero), "n_prior_items": F.coalesce("n_prior_items", zero), "hours_since_prior": hours("last_prior_dt", target_time)})
-    return out.drop("_row")
+    counted = both.withColumn("_own", F.coalesce(F.sum("_side").over(own_before), zero)).withColumns(
+        {
+            "_all": F.coalesce(F.sum("_side").over(before), zero),
+            "_items": F.coalesce(F.sum((event & (F.col("_own") == 0)).cast("int")).over(before), zero),
+            "_last": F.last(F.when(event, F.struct("_at", "_item")), ignorenulls=True).over(before),
+        }
+    )
+    changed = F.when(event & ~F.col("_last._item").eqNullSafe(F.col("_item")), F.col("_last._at"))
+    found = counted.withColumn("_changed", F.last(changed, ignorenulls=True).over(before)).filter("_side = 0")
+    last = F.when(~F.col("_last._item").eqNullSafe(F.col("_item")), F.col("_last._at")).otherwise(F.col("_changed"))
+    out = found.select("_row.*", (F.col("_all") - F.col("_own")).alias("n_prior"), (F.col("_items") - (F.col("_own") > 0).cast("bigint")).alias("n_prior_items"), last.alias("last_prior_dt"))
+    return out.withColumn("hours_since_prior", hours("last_prior_dt", target_time))
 
 
 def first_responders(responses: DataFrame, horizon_hours: float = 48.0) -> DataFrame:

@@ -9,14 +9,20 @@ from pyspark.sql.window import Window
 from threadline.functions.columns import NO_ACTION, STATES, after, any_, seconds, state_priority
 
 
-def first_state(triggers: DataFrame, responses: DataFrame, minutes: int, state: str = "state") -> DataFrame:
-    """The state of the first event later than ``minutes`` after the trigger; at one instant the best by precedence."""
-    later = responses.filter(F.col("interaction_dt") > after("trigger_dt", minutes=minutes))
-    at = later.groupBy("pr_id", "interaction_dt").agg(F.min(state_priority(state)).alias("p"), F.count(F.lit(1)).alias("n_events"), F.count_distinct(state).alias("n_states"))
-    first = at.groupBy("pr_id").agg(F.min(F.struct("interaction_dt", "p", "n_events", "n_states")).alias("f"))
+def first_states(triggers: DataFrame, responses: DataFrame, thresholds: list[int], state: str = "state") -> DataFrame:
+    """For each threshold (minutes) the state of the first event later than that after the trigger; at one instant the best by precedence.
+
+    Events are brought to instants once and all thresholds are one aggregation over them, however many there are.
+    """
+    at = responses.groupBy("pr_id", "interaction_dt").agg(
+        F.min("trigger_dt").alias("_from"), F.min(state_priority(state)).alias("p"), F.count(F.lit(1)).alias("n_events"), F.count_distinct(state).alias("n_states")
+    )
+    instant = F.struct("interaction_dt", "p", "n_events", "n_states")
+    firsts = at.groupBy("pr_id").agg(*(F.min(F.when(F.col("interaction_dt") > after("_from", minutes=m), instant)).alias(f"_f{i}") for i, m in enumerate(thresholds)))
+    each = F.array(*(F.struct(F.lit(m).alias("threshold_minutes"), F.col(f"_f{i}").alias("f")) for i, m in enumerate(thresholds)))
     names = F.array(*map(F.lit, STATES))
-    return triggers.join(first, "pr_id", "left").select(
-        F.lit(minutes).alias("threshold_minutes"),
+    return triggers.join(firsts, "pr_id", "left").select("pr_id", "repo_id", "trigger_dt", F.inline(each)).select(
+        "threshold_minutes",
         "pr_id",
         "repo_id",
         F.coalesce(F.try_element_at(names, F.col("f.p") + 1), F.lit(NO_ACTION)).alias("first_state"),
@@ -26,13 +32,6 @@ def first_state(triggers: DataFrame, responses: DataFrame, minutes: int, state:
     )
 
 
-def first_states(triggers: DataFrame, responses: DataFrame, thresholds: list[int], state: str = "state") -> DataFrame:
-    out = first_state(triggers, responses, thresholds[0], state)
-    for m in thresholds[1:]:
-        out = out.unionByName(first_state(triggers, responses, m, state))
-    return out
-
-
 def state_shares(states: DataFrame) -> DataFrame:
     """Count and share of every state at every threshold, absent states with 0."""
     dims = states.select("threshold_minutes").distinct().withColumn("first_state", F.explode(F.array(*map(F.lit, (*STATES, NO_ACTION)))))

@@ -9,6 +9,7 @@ from threadline.operators import ledger, matching, panel
 from threadline.plans.cohorts import RESPONSE_SQL, chains, greedy_sql, triggers
 from threadline.sources import bindings as B
 from threadline.stats import design, ols, resample
+from threadline.stats.resample import drawn_times_sql
 
 
 def _terms(spark, fit):
@@ -118,7 +119,23 @@ def q_bootstrap_md5(spark, d):
 
 
 def q_bootstrap(spark, d):
-    return resample.ratio_bootstrap(B.labelled(spark, d), "cluster", F.col("y"), F.lit(1.0), 1000, 7)
+    return resample.ratio_bootstrap(B.labelled(spark, d), "cluster", F.col("y"), F.lit(1.0), 300).select(*(F.round(c, 9).alias(c) for c in ("estimate", "low", "high")))
+
+
+def q_difference(spark, d):
+    out = resample.difference_bootstrap(B.labelled(spark, d), "cluster", F.col("x") == 1, F.col("y"), F.lit(1.0), 300)
+    return out.select(*(F.round(c, 9).alias(c) for c in ("a", "b", "estimate", "low", "high")))
+
+
+def q_gradient(spark, d):
+    """Merges within the window by what was seen of a trigger, from an exact reply down to nothing."""
+    c = chains(spark, d)
+    kind = F.when(F.col("exact_replies") > 0, "exact_edge").when((F.col("later_clicks") + F.col("later_views")) > 0, "nonexact_discussion_only").when(F.col("movements") > 0, "movement_only").otherwise("no_visible_activity")
+    df = c.select(F.col("merged_within_window").cast("double").alias("y"), kind.alias("seen"), "repo_id")
+    nothing, levels = "no_visible_activity", design.levels_of(df, "seen", 4)
+    plan = design.design(df, ["C(seen)"], {"seen": nothing if nothing in levels else levels[0]})
+    fit = design.fit(df, "y", plan, "repo_id")
+    return spark.createDataFrame([(n, *map(float, fit.contrast(w)), fit.n, fit.clusters) for n, w in design.against(plan, "seen", ["exact_edge", "nonexact_discussion_only", "movement_only"], [("exact_edge", "nonexact_discussion_only")])], "contrast string, estimate double, std_error double, n bigint, clusters bigint").withColumns({"estimate": F.round("estimate", 7), "std_error": F.round("std_error", 7)})
 
 
 def q_poisson(spark, d):
@@ -304,7 +321,29 @@ SELECT covariate, round(m0, 9) AS mean0, round(m1, 9) AS mean1, round(v0, 9) AS
 p AS (SELECT draw, CAST(('0x' || substr(md5(draw || ':' || place), 1, 8)) AS BIGINT) % n AS k FROM range(200) a(draw), z, range(1000) b(place) WHERE place < n)
 SELECT draw, round(sum(num) / sum(den), 9) AS ratio FROM p JOIN c USING (k) GROUP BY 1""",
     ),
-    "cluster_bootstrap": (q_bootstrap, None),
+    "cluster_bootstrap": (
+        q_bootstrap,
+        f"""WITH {B.LABELLED_SQL}, s AS (SELECT cluster, sum(y) AS num, CAST(count(*) AS DOUBLE) AS den FROM frame GROUP BY 1), w AS (SELECT s.*, draw, {drawn_times_sql("draw", "cluster")} AS t FROM s, range(300) r(draw)),
+b AS (SELECT draw, sum(t * num) / nullif(sum(t * den), 0) AS ratio FROM w WHERE t > 0 GROUP BY 1) SELECT (SELECT round(sum(num) / sum(den), 9) FROM s) AS estimate, round(quantile_cont(ratio, 0.025), 9) AS low, round(quantile_cont(ratio, 0.975), 9) AS high FROM b""",
+    ),
+    "difference_bootstrap": (
+        q_difference,
+        f"""WITH {B.LABELLED_SQL}, s AS (SELECT cluster, coalesce(sum(y) FILTER (WHERE x = 1), 0) AS an, CAST(count(*) FILTER (WHERE x = 1) AS DOUBLE) AS ad, coalesce(sum(y) FILTER (WHERE x <> 1), 0) AS bn, CAST(count(*) FILTER (WHERE x <> 1) AS DOUBLE) AS bd FROM frame GROUP BY 1),
+w AS (SELECT s.*, draw, {drawn_times_sql("draw", "cluster")} AS t FROM s, range(300) r(draw)), b AS (SELECT draw, sum(t * an) / nullif(sum(t * ad), 0) - sum(t * bn) / nullif(sum(t * bd), 0) AS d FROM w WHERE t > 0 GROUP BY 1),
+e AS (SELECT sum(an) / nullif(sum(ad), 0) AS a, sum(bn) / nullif(sum(bd), 0) AS b FROM s)
+SELECT round(any_value(a), 9) AS a, round(any_value(e.b), 9) AS b, round(any_value(a - e.b), 9) AS estimate, round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high FROM b, e""",
+    ),
+    "response_gradient": (
+        q_gradient,
+        f"""WITH {RESPONSE_SQL}, k AS (SELECT pr_id, count(*) FILTER (WHERE exact_reply) AS a, count(*) FILTER (WHERE source IN ('click', 'view')) AS b, count(*) FILTER (WHERE source = 'purchase') AS c FROM rs GROUP BY 1),
+f AS (SELECT repo_id, CASE WHEN merged_dt > trigger_dt AND merged_dt <= trigger_dt + INTERVAL 7 DAY THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, CASE WHEN a > 0 THEN 'exact_edge' WHEN b > 0 THEN 'nonexact_discussion_only' WHEN c > 0 THEN 'movement_only' ELSE 'no_visible_activity' END AS seen FROM tr LEFT JOIN k USING (pr_id)),
+m AS (SELECT seen, avg(y) AS m, CAST(count(*) AS DOUBLE) AS n FROM f GROUP BY 1), r AS (SELECT coalesce(max(seen) FILTER (WHERE seen = 'no_visible_activity'), min(seen)) AS base FROM f),
+t AS (SELECT seen || ' vs ' || base AS contrast, seen AS hi, base AS lo FROM m, r WHERE seen <> base AND seen <> 'no_visible_activity' UNION ALL SELECT 'exact_edge vs nonexact_discussion_only', 'exact_edge', 'nonexact_discussion_only' FROM r WHERE base NOT IN ('exact_edge', 'nonexact_discussion_only') AND (SELECT count(*) FROM m WHERE seen IN ('exact_edge', 'nonexact_discussion_only')) = 2),
+g AS (SELECT repo_id, seen, sum(y - m) / any_value(n) AS s FROM f JOIN m USING (seen) GROUP BY 1, 2),
+i AS (SELECT contrast, repo_id, sum(CASE WHEN seen = hi THEN s WHEN seen = lo THEN -s ELSE 0 END) AS s FROM t CROSS JOIN g GROUP BY 1, 2), z AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(DISTINCT repo_id) AS k, (SELECT count(*) FROM m) AS p FROM f)
+SELECT t.contrast, round(any_value(h.m - l.m), 7) AS estimate, round(sqrt(sum(s * s) * any_value(k / (k - 1.0::DOUBLE) * (z.n - 1) / (z.n - p))), 7) AS std_error, CAST(any_value(z.n) AS BIGINT) AS n, any_value(k) AS clusters
+FROM t JOIN m h ON h.seen = hi JOIN m l ON l.seen = lo JOIN i USING (contrast), z GROUP BY 1""",
+    ),
     "poisson_bootstrap": (q_poisson, None),
     "permutation_null": (q_permutation, None),
     "response_model": (q_route_model, None),

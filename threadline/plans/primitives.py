@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadline.functions import columns as X
-from threadline.operators.asof import first_rows, tie_counts
+from threadline.operators.asof import first_rows, ntile, ranked, tie_counts
 from threadline.sources import bindings as B
 from threadline.sources.tables import join_validated, read_table
+from threadline.stats.concentration import composition
 
 
 def t(spark, d, name, *columns):
@@ -165,8 +166,9 @@ def q_cut(spark, d):
 
 
 def q_deciles(spark, d):
-    w = Window.partitionBy(F.lit(0)).orderBy("c_acctbal", "c_custkey")
-    return t(spark, d, "customer", "c_custkey", "c_acctbal").withColumn("decile", F.ntile(10).over(w).cast("bigint")).groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    c = t(spark, d, "customer", "c_custkey", "c_acctbal")
+    place = ranked(c, [F.asc("c_acctbal"), F.asc("c_custkey")]).crossJoin(F.broadcast(c.agg(F.count(F.lit(1)).alias("total"))))
+    return place.withColumn("decile", ntile(F.col("place"), F.col("total"), 10)).groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
 
 
 def q_subtotals(spark, d):
@@ -191,9 +193,7 @@ def q_demean(spark, d):
 
 
 def q_cumulative(spark, d):
-    w = Window.partitionBy(F.lit(0))
-    n = t(spark, d, "lineitem", "l_returnflag").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("l_returnflag", "n", F.round(F.sum("n").over(w.orderBy(F.desc("n"), "l_returnflag").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w), 9).alias("cumulative"))
+    return composition(t(spark, d, "lineitem", "l_returnflag"), "l_returnflag").select("l_returnflag", "n", F.round("cumulative", 9).alias("cumulative"))
 
 
 def q_union(spark, d):

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadline.operators.asof import ranked, running_sum
+
 
 def composition(df: DataFrame, group: str) -> DataFrame:
-    """Count, share, rank and cumulative share of each group, largest first."""
+    """Count, share, rank and cumulative share of each group, largest first; groups are ranked by ranges, not in one task."""
     counted = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy(F.lit(0))
-    order = every.orderBy(F.desc("n"), group)
-    return counted.withColumns(
-        {"share": F.col("n") / F.sum("n").over(every), "place": F.row_number().over(order), "cumulative": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(every)}
-    )
+    place = ranked(counted, [F.desc("n"), F.asc(group)])
+    whole = place.agg(F.sum("n").alias("_all"))
+    summed = running_sum(place, "place", "n", "_before")
+    return summed.crossJoin(F.broadcast(whole)).select(group, "n", (F.col("n") / F.col("_all")).alias("share"), "place", ((F.col("_before") + F.col("n")) / F.col("_all")).alias("cumulative"))
 
 
 def concentration(df: DataFrame, group: str, top: int = 10) -> DataFrame:
@@ -32,9 +33,9 @@ def concentration(df: DataFrame, group: str, top: int = 10) -> DataFrame:
 def jensen_shannon(df: DataFrame, group: str, arm: str, a: str, b: str) -> DataFrame:
     """Jensen-Shannon distance (root, natural log) between two arms' distributions over a group."""
     wide = df.groupBy(group).agg(F.count_if(F.col(arm) == a).alias("na"), F.count_if(F.col(arm) == b).alias("nb"))
-    every = Window.partitionBy(F.lit(0))
-    p, q = F.col("na") / F.sum("na").over(every), F.col("nb") / F.sum("nb").over(every)
-    rows = wide.select(p.alias("p"), q.alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
+    whole = wide.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    p, q = F.try_divide(F.col("na"), F.col("ta")), F.try_divide(F.col("nb"), F.col("tb"))
+    rows = wide.crossJoin(F.broadcast(whole)).select(p.alias("p"), q.alias("q")).withColumn("m", (F.col("p") + F.col("q")) / 2)
     def kl(x: str):
         return F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / F.col("m"))).otherwise(0.0)
     return rows.agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(0.5 * kl("p") + 0.5 * kl("q")))).alias("distance"))

@@ -99,6 +99,8 @@ def antimode(b: Binned | None, most: float) -> float | None:
 def critical_bandwidth(b: Binned, most_modes: int = 1) -> float:
     """The smallest bandwidth that leaves at most so many modes, by halving."""
     low, high = 1e-4, max(1.0, b.step * GRID)
+    while modes(b, high) > most_modes and high < 1e4:
+        high *= 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if modes(b, mid) > most_modes else (low, mid)

@@ -30,6 +30,7 @@ class Design:
     entries: list[tuple[Column, Column]]
     terms: dict[str, list[str]]
     needed: list[str]
+    references: dict[str, str]
 
     def joint(self, term: str) -> list[dict[str, float]]:
         """A term's coefficients all 0: rows for ``Fit.wald``."""
@@ -54,6 +55,7 @@ def design(df: DataFrame, terms: list[str], references: dict[str, str] | None =
     columns = sorted({p.removeprefix("C(").removesuffix(")") for t in terms for p in t.split(":")})
     whole = complete(df, *columns)
     levels: dict[str, list[str]] = {}
+    bases: dict[str, str] = {}
     names, entries, found = ["const"], [(F.lit(0), F.lit(1.0))], {"const": ["const"]}
     for term in terms:
         parts = term.split(":")
@@ -68,7 +70,9 @@ def design(df: DataFrame, terms: list[str], references: dict[str, str] | None =
             if name not in levels:
                 all_ = levels_of(whole, name, most)
                 base = references.get(name, all_[0] if all_ else None)
-                levels[name] = [v for v in all_ if v != base]
+                if base not in all_ and all_:
+                    raise ValueError(f"{name} has no level {base}")
+                levels[name], bases[name] = [v for v in all_ if v != base], base
             choices.append([(name, v) for v in levels[name]])
         combined = list(product(*choices))
         own = [":".join([*(f"{n}={v}" for n, v in combo), *(p for p in parts if not p.startswith("C("))]) for combo in combined]
@@ -81,7 +85,7 @@ def design(df: DataFrame, terms: list[str], references: dict[str, str] | None =
         entries.append((number + len(names), value))
         names += own
         found[term] = own
-    return Design(names, entries, found, columns)
+    return Design(names, entries, found, columns, bases)
 
 
 def fit(df: DataFrame, y: str, d: Design, cluster: str, weight: str | None = None) -> Fit:
@@ -111,3 +115,11 @@ def fit(df: DataFrame, y: str, d: Design, cluster: str, weight: str | None = Non
     g = rows.select("g").distinct().count()
     scale = g / max(g - 1, 1) * (n - 1) / max(n - k, 1)
     return Fit(d.names, beta, scale * inverse @ meat @ inverse, n, g, int(np.linalg.matrix_rank(a, hermitian=True)))
+
+
+def against(d: Design, category: str, levels: list[str], pairs: list[tuple[str, str]] = ()) -> list[tuple[str, dict[str, float]]]:
+    """Named contrasts of a category's levels with its reference, and of pairs of levels with each other; levels that no row has are left out."""
+    base = d.references[category]
+    have = [v for v in levels if f"{category}={v}" in d.names]
+    found = [(f"{v} vs {base}", {f"{category}={v}": 1.0}) for v in have]
+    return found + [(f"{a} vs {b}", {f"{category}={a}": 1.0, f"{category}={b}": -1.0}) for a, b in pairs if a in have and b in have]

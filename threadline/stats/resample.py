@@ -1,46 +1,49 @@
 """Bootstraps and permutations over groups' sums.
 
-Draws are numbered rows: tasks take ranges of draws, and what every draw needs
-is one row per cluster, whose number is checked against ``MAX_CLUSTERS`` before
-it goes to the tasks. Beyond it, ``poisson_bootstrap`` resamples in Spark.
+A draw takes a cluster Poisson(1) times, by a hash of both: no cluster needs a
+number, none is collected, and the method is the same at any number of them.
+``hashed_bootstrap`` draws clusters by number instead, for few of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CLUSTERS = 2_000_000
-
-
 def cluster_sums(df: DataFrame, cluster: str, numerator: Column, denominator: Column) -> DataFrame:
     return df.groupBy(cluster).agg(F.sum(numerator.cast("double")).alias("num"), F.sum(denominator.cast("double")).alias("den"))
 
 
-def ratio_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, draws: int = 2000, seed: int = 0, tasks: int = 8) -> DataFrame:
-    """estimate, low, high of a ratio of sums, resampling whole clusters."""
+def _limits(drawn: DataFrame, *first: Column) -> DataFrame:
+    return drawn.agg(*first, F.percentile("ratio", F.lit(0.025)).alias("low"), F.percentile("ratio", F.lit(0.975)).alias("high"))
+
+
+def _each_draw(sums: DataFrame, cluster: str, draws: int) -> DataFrame:
+    each = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    return each.withColumn("t", drawn_times(F.col("draw"), F.col(cluster))).filter("t > 0")
+
+
+def ratio_bootstrap(df: DataFrame, cluster: str, numerator: Column, denominator: Column, draws: int = 2000) -> DataFrame:
+    """estimate, low, high of a ratio of sums, drawing whole clusters; a draw without a denominator does not count."""
     sums = cluster_sums(df, cluster, numerator, denominator)
-    if sums.count() > MAX_CLUSTERS:
-        return poisson_bootstrap(df, cluster, numerator, denominator, draws, seed)
-    table = np.array([(r["num"], r["den"]) for r in sums.orderBy(cluster).select("num", "den").collect()]).reshape(-1, 2)
-    spark = df.sparkSession
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d in pdf["id"]:
-                picks = np.random.default_rng([seed, int(d)]).integers(0, len(table), len(table))
-                s = table[picks].sum(axis=0)
-                out.append(s[0] / s[1] if s[1] else np.nan)
-            yield pd.DataFrame({"ratio": out})
-
-    drawn = spark.range(0, draws, 1, tasks).mapInPandas(run, "ratio double")
-    estimate = float(table[:, 0].sum() / table[:, 1].sum()) if len(table) and table[:, 1].sum() else None
-    return drawn.filter(~F.isnan("ratio")).agg(F.lit(estimate).cast("double").alias("estimate"), F.percentile("ratio", F.lit(0.025)).alias("low"), F.percentile("ratio", F.lit(0.975)).alias("high"))
+    drawn = _each_draw(sums, cluster, draws).groupBy("draw").agg(F.try_divide(F.sum(F.col("t") * F.col("num")), F.sum(F.col("t") * F.col("den"))).alias("ratio"))
+    seen = sums.agg(F.try_divide(F.sum("num"), F.sum("den")).alias("estimate"))
+    return seen.crossJoin(F.broadcast(_limits(drawn)))
+
+
+def difference_bootstrap(df: DataFrame, cluster: str, arm: Column, numerator: Column, denominator: Column, draws: int = 2000) -> DataFrame:
+    """a, b (ratios of the arm and of the rest), estimate (a less b), low, high: a draw takes a cluster's rows of both arms together."""
+    num, den = numerator.cast("double"), denominator.cast("double")
+    parts = {"an": F.when(arm, num), "ad": F.when(arm, den), "bn": F.when(~arm, num), "bd": F.when(~arm, den)}
+    sums = df.groupBy(cluster).agg(*(F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in parts.items()))
+
+    def ratio(side: str, weight: Column) -> Column:
+        return F.try_divide(F.sum(weight * F.col(f"{side}n")), F.sum(weight * F.col(f"{side}d")))
+
+    drawn = _each_draw(sums, cluster, draws).groupBy("draw").agg((ratio("a", F.col("t")) - ratio("b", F.col("t"))).alias("ratio"))
+    seen = sums.agg(ratio("a", F.lit(1)).alias("a"), ratio("b", F.lit(1)).alias("b")).withColumn("estimate", F.col("a") - F.col("b"))
+    return seen.crossJoin(F.broadcast(_limits(drawn)))
 
 
 def hashed_bootstrap(sums: DataFrame, cluster: str, draws: int, most: int = 10_000) -> DataFrame:
