@@ -6,7 +6,9 @@ their words, and all n-grams of 5 to 1 characters of these, are the model: the
 sample bounds it, and nothing of it is cut. A word that the model knows adds its
 log frequency in each language. An unseen word falls back: the mean log frequency
 of its known 5-grams, or where none is known of its 4-grams, and so on; a word
-without one known n-gram adds nothing.
+without one known n-gram adds nothing. Scores are kept sparsely: a default for
+each language, and what was seen beyond it; so the model grows with what was
+learned, not with words times languages, and over ``MAX_ENTRIES`` of them raise.
 
 Defined results: ``und`` with score 0 for null text, text without a letter (a
 character of Unicode category L: digits, fractions and circled numbers are none),
@@ -36,6 +38,8 @@ from threadline.llm.common import crc_mod, cut, filter_texts, slices
 
 #: Distinct texts of each language that are learned from.
 MAX_TRAIN_DOCS = 1_000
+#: Languages, and entries (words or grams by language) that a model may have: it is held by the driver and by each worker. More raise.
+MAX_LANGS, MAX_ENTRIES = 2_000, 50_000_000
 ORDERS = (5, 4, 3, 2, 1)
 #: A word: a letter, with the letters and marks that follow.
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -48,16 +52,49 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+class Scores:
+    """Rows of scores by language: a default for each language, and what a row has beyond it where it has been seen.
+
+    Row i has the entries ``at[i]`` to ``at[i + 1]``: a language's number and what it adds. So memory follows what was
+    seen, not rows times languages.
+    """
+
+    def __init__(self, default: np.ndarray, at: np.ndarray, lang: np.ndarray, extra: np.ndarray):
+        self.default, self.at, self.lang, self.extra = default, at, lang, extra
+
+    @staticmethod
+    def of(table: np.ndarray) -> Scores:
+        """A full table."""
+        rows, langs = table.shape
+        return Scores(np.zeros(langs), np.arange(rows + 1) * langs, np.tile(np.arange(langs, dtype=np.int32), rows), table.reshape(-1).astype(float))
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    def sums(self, rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+        """Sums of the scores of rows in each group (a number for each row)."""
+        n = self.at[rows + 1] - self.at[rows]
+        entry = np.arange(n.sum()) + np.repeat(self.at[rows] - np.cumsum(n) + n, n)
+        langs = len(self.default)
+        added = np.bincount(np.repeat(group, n) * langs + self.lang[entry], weights=self.extra[entry], minlength=groups * langs)
+        return added.reshape(groups, langs) + np.bincount(group, minlength=groups)[:, None] * self.default
+
+    def mean(self, rows: list[int]) -> np.ndarray:
+        return self.sums(np.array(rows), np.zeros(len(rows), np.int64), 1)[0] / len(rows)
+
+
 class Model(dict):
     """Word -> its row of scores: rows of known words, then those of unseen words, which are worked out when met."""
 
-    def __init__(self, langs: list[str], words: dict[str, int] | None = None, grams: dict[str, int] | None = None, word_scores: np.ndarray | None = None, gram_scores: np.ndarray | None = None):
+    def __init__(self, langs: list[str], words: dict[str, int] | None = None, grams: dict[str, int] | None = None, word_scores: Scores | np.ndarray | None = None, gram_scores: Scores | np.ndarray | None = None):
         super().__init__(words or {})
         self.langs, self.grams = langs, grams or {}
-        self.word_scores = np.zeros((0, len(langs))) if word_scores is None else word_scores
-        self.gram_scores = gram_scores
+        none = np.zeros((0, len(langs)))
+        self.word_scores, self.gram_scores = (x if isinstance(x, Scores) else Scores.of(none if x is None else x) for x in (word_scores, gram_scores))
         self.memo: list[str] = []
         self.memo_scores = np.zeros((1024, len(langs)))
+        #: Unseen words that are kept, so that their rows stay within bounds however many languages there are.
+        self.most = max(1024, min(MEMO, AT_ONCE // max(len(langs), 1)))
 
     def __reduce__(self):
         return Model, (self.langs, {w: i for w, i in self.items() if i < len(self.word_scores)}, self.grams, self.word_scores, self.gram_scores)
@@ -66,7 +103,7 @@ class Model(dict):
         for n in ORDERS:
             found = [g for g in map(self.grams.get, grams(word, n)) if g is not None]
             if found:
-                return self.gram_scores[found].mean(axis=0)
+                return self.gram_scores.mean(found)
         return np.zeros(len(self.langs))
 
     def __missing__(self, word: str) -> int:
@@ -80,48 +117,61 @@ class Model(dict):
 
     def totals(self, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """Sums of the scores of rows from each of ``begins`` on."""
+        group = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(rows)))
         known = rows < len(self.word_scores)
-        scores = np.empty((len(rows), len(self.langs)))
-        scores[known] = self.word_scores[rows[known]]
-        scores[~known] = self.memo_scores[rows[~known] - len(self.word_scores)]
-        return np.add.reduceat(scores, begins, axis=0)
+        sums = self.word_scores.sums(rows[known], group[known], len(begins))
+        new = np.flatnonzero(~known)
+        step = max(1, AT_ONCE // len(self.langs))
+        for part in (new[i : i + step] for i in range(0, len(new), step)):
+            first = np.flatnonzero(np.diff(group[part], prepend=-1))
+            sums[group[part][first]] += np.add.reduceat(self.memo_scores[rows[part] - len(self.word_scores)], first, axis=0)
+        return sums
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
-        if len(self.memo) > MEMO:
-            for w in self.memo:
-                del self[w]
-            self.memo = []
         out = [("und", 0.0)] * len(texts)
         if not self.langs or not len(self.word_scores):
             return out
-        rows = [np.fromiter(map(self.__getitem__, WORDS.findall(t.lower())), np.int64) if t else np.empty(0, np.int64) for t in texts]
-        step = max(1, AT_ONCE // len(self.langs))
-        sums = np.zeros((len(texts), len(self.langs)))
-        some = [i for i, r in enumerate(rows) if len(r)]
-        group: list[int] = []
-        for i in some:
-            if len(rows[i]) > step:
-                for at in range(0, len(rows[i]), step):
-                    sums[i] += self.totals(rows[i][at : at + step], np.zeros(1, np.int64))[0]
-                continue
-            if sum(len(rows[k]) for k in group) + len(rows[i]) > step:
-                self._add(sums, rows, group)
-                group = []
-            group.append(i)
-        self._add(sums, rows, group)
+        for begin in range(0, len(texts), max(1, AT_ONCE // len(self.langs))):
+            self._predict(texts[begin : begin + max(1, AT_ONCE // len(self.langs))], begin, out)
+        return out
+
+    def _rows(self, text: str) -> np.ndarray:
+        if len(self.memo) > self.most:
+            for w in self.memo:
+                del self[w]
+            self.memo = []
+        return np.fromiter(map(self.__getitem__, WORDS.findall(text.lower())), np.int64)
+
+    def _predict(self, texts: list[str | None], begin: int, out: list[tuple[str, float]]) -> None:
+        sums, sizes, some = [], [], []
+        held: list[np.ndarray] = []
+        n_held = 0
+
+        def add() -> None:
+            if held:
+                n = np.array([len(r) for r in held])
+                sums.append(self.totals(np.concatenate(held), np.cumsum(n) - n))
+                held.clear()
+
+        for i, t in enumerate(texts):
+            # words' rows are numbers of this memory, so they are added up before it may be emptied
+            if len(self.memo) > self.most or n_held > AT_ONCE // 4:
+                add()
+                n_held = 0
+            rows = self._rows(t) if t else ()
+            if len(rows):
+                some.append(begin + i)
+                sizes.append(len(rows))
+                held.append(rows)
+                n_held += len(rows)
+        add()
         if some:
-            found = sums[some]
+            found = np.concatenate(sums)
             best = found.argmax(axis=1)
-            odds = np.exp((found - found.max(axis=1)[:, None]) / np.sqrt([len(rows[i]) for i in some])[:, None])
+            odds = np.exp((found - found.max(axis=1)[:, None]) / np.sqrt(sizes)[:, None])
             for i, k, p in zip(some, best.tolist(), (1 / odds.sum(axis=1)).tolist(), strict=True):
                 out[i] = self.langs[k], p
-        return out
-
-    def _add(self, sums: np.ndarray, rows: list[np.ndarray], group: list[int]) -> None:
-        if group:
-            n = np.array([len(rows[i]) for i in group])
-            sums[group] = self.totals(np.concatenate([rows[i] for i in group]), np.cumsum(n) - n)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,14 +195,19 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _table(counts: DataFrame, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of the grams, and the log share that each has of a language."""
+def _table(counts: DataFrame, langs: list[str], most: int) -> tuple[dict[str, int], Scores]:
+    """Rows of the grams, and the log share that each has of a language; a gram that a language lacks has the language's default."""
+    if counts.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} words or grams by language: learn from fewer texts of each language")
     table = counts.toArrow()
     gram = pc.dictionary_encode(table.column("gram")).combine_chunks()
-    lang = pc.index_in(table.column("lang"), pa.array(langs, pa.string())).to_numpy()
-    n = np.zeros((len(gram.dictionary), len(langs)))
-    n[gram.indices.to_numpy(), lang] = table.column("n").to_numpy()
-    return {g: i for i, g in enumerate(gram.dictionary.to_pylist())}, np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * len(n) + 1))
+    lang = pc.index_in(table.column("lang"), pa.array(langs, pa.string())).to_numpy().astype(np.int32)
+    row, n = gram.indices.to_numpy(), table.column("n").to_numpy().astype(float)
+    rows = len(gram.dictionary)
+    size = np.bincount(lang, weights=n, minlength=len(langs)) + 0.5 * rows + 1
+    order = np.argsort(row, kind="stable")
+    scores = Scores(np.log(0.5 / size), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]), lang[order], np.log((n[order] + 0.5) / 0.5))
+    return {g: i for i, g in enumerate(gram.dictionary.to_pylist())}, scores
 
 
 def train_sample(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
@@ -167,12 +222,14 @@ def train_sample(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> D
 def fit(labelled: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
     """labelled: lang, text."""
     words = cut(train_sample(labelled, max_train_docs).mapInArrow(_count_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().limit(MAX_LANGS + 1).collect())
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} languages")
     if not langs:
         return Model([])
     grams_of = words.repartition("gram").mapInArrow(_count_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    known, scores = _table(words, langs)
-    known_grams, gram_scores = _table(grams_of, langs)
+    known, scores = _table(words, langs, MAX_ENTRIES)
+    known_grams, gram_scores = _table(cut(grams_of), langs, MAX_ENTRIES)
     return Model(langs, known, known_grams, scores, gram_scores)
 
 
