@@ -123,6 +123,39 @@ def test_language_sample_is_bounded_for_each_language(spark):
     got = Counter(r.lang for r in langid.train_sample(spark.createDataFrame(rows, "lang string, text string"), 300).collect())
     assert got["small"] == 20 and 200 < got["big"] < 400
 
+
+def test_very_many_languages_stay_sparse(spark):
+    """200 languages with words of their own: the model has about as many entries as were seen."""
+    import pickle
+
+    def word(x, i):
+        return "".join(chr(97 + (x * 7 + i * k) % 26) for k in (1, 3, 5, 11)) + f"{chr(97 + x % 26)}{chr(97 + x // 26)}"
+
+    rows = [(x * 10 + d, " ".join(word(x, d * 5 + i) for i in range(5)), f"l{x:03d}") for x in range(200) for d in range(6)]
+    model = langid.fit(langid.learnable(frame(spark, rows)))
+    learned = [(i, x) for i, _, x in rows if not held(i, 3, 1)]
+    assert model.langs == sorted({x for _, x in learned}) and len(model.word_scores.extra) < 2 * len(model.word_scores) and len(pickle.dumps(model)) < 3_000_000
+    got = {r.doc_id: r.lang_pred for r in langid.op1(frame(spark, rows)).collect()}
+    assert sum(got[i] == x for i, x in learned) > 0.99 * len(learned)
+
+
+def test_too_large_a_model_raises(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_ENTRIES", 10)
+    with pytest.raises(ValueError, match="learn from fewer"):
+        langid.fit(frame(spark, sentences(1)))
+
+
+def test_memory_of_unseen_words_does_not_change_scores():
+    rng = np.random.default_rng(1)
+    grams = {chr(97 + i): i for i in range(20)}
+    texts = [" ".join("".join(map(chr, rng.integers(97, 120, 4))) for _ in range(40)) for _ in range(30)] + ["", None]
+    whole = langid.Model(["a", "b", "c"], {"x": 0}, grams, np.zeros((1, 3)), rng.normal(size=(20, 3)))
+    want = whole.predict(texts)
+    few = langid.Model(whole.langs, {"x": 0}, grams, whole.word_scores, whole.gram_scores)
+    few.most = 30
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-9) for a, b in zip(few.predict(texts), want, strict=True))
+
+
 def test_language_stage_keeps_columns(spark):
     df = frame(spark, sentences(3) + [(900, None), (901, "...")])
     out = langid.keep_identified(df)
