@@ -41,8 +41,21 @@ def test_run(spark, folder):
     assert out.count() > 200 and "decoded_sha256" in out.columns
 
 
+def test_run_over_empty_tables(spark, tmp_path):
+    d = str(tmp_path)
+    frame(spark, []).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, d)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == 0
+    e = str(tmp_path / "no_benchmark")
+    frame(spark, sentences(6)[:60] + [(800, None), (801, ""), (None, "the house of the river"), (None, "the house of the river")]).write.parquet(f"{e}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{e}/benchmark.parquet")
+    left = [r.doc_id for r in corpus_pipeline.run(spark, e).collect()]
+    assert left.count(None) == 2 and {800, 801}.isdisjoint(left) and len(left) > 50
+
+
 def test_queries_have_one_for_each_operator():
     import __spark_entry__
 
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))

@@ -8,7 +8,8 @@ with one walk to the root, so a match of n bytes takes O(n log n) however long
 it is.
 
 Defined results: null text is empty text; an empty text has no ids; decoding
-an empty or null list gives empty bytes; ids unknown to the vocabulary raise.
+an empty or null list gives empty bytes; ids unknown to the vocabulary raise; an
+empty table gives no rows.
 Rows are independent, so hot keys, ties and repeated rows need no care. Only
 ``doc_id`` and ``text`` are read; other columns may have any name.
 """

@@ -5,7 +5,9 @@
 its own row, so nothing is shuffled and long or repeated texts need no care.
 
 Defined results: null or blank text has no words, fails the base rule and is
-not kept; ratios over nothing are 0. Only ``doc_id`` and ``text`` are read.
+not kept; ratios over nothing are 0; null ids and repeated rows give their rows
+each; an empty table gives no rows. Only ``doc_id`` and ``text`` are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations
