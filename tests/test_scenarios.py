@@ -89,6 +89,12 @@ def test_alias_map_and_normalisers(spark):
     assert [r[0] is None for r in times.select(X.parse_time("t")).collect()] == [False, True]
 
 
+def test_api_addresses_of_comments(spark):
+    rows = ["https://api.x/repos/o/r/pulls/comments/12", " /pulls/comments/3/ ", "/issues/comments/4-2?a", "/issues/comments/5", "/issues/comments/6-", "/pulls/comments/7x", "", None]
+    got = spark.createDataFrame([(x,) for x in rows], "u string").select(X.public_comment("u").alias("r")).collect()
+    assert [r.r and tuple(r.r) for r in got] == [("review_comment", 12, None), ("review_comment", 3, None), ("issue_comment", 4, 2), ("issue_comment", 5, None), None, None, None, None]
+
+
 def test_types_of_titles(spark):
     titles = spark.createDataFrame([("feat(core)!: x",), ("Fix: y",), ("anything",), ("feature: x",), ("[WIP] fix: y",), ("docs : z",), ("bugfix: q",), ("tests: a",), ("fixes: b",), (None,)], "t string")
     assert [r[0] for r in titles.select(T.task_of_title("t")).collect()] == ["feat", "fix", None, "feat", "fix", "docs", "fix", "test", None, None]

@@ -77,6 +77,19 @@ def comment_reference(url: Column | str) -> Column:
     return F.when(kind != "", F.struct(kind.alias("kind"), number.cast("bigint").alias("number")))
 
 
+def public_comment(url: Column | str) -> Column:
+    """struct(kind, public_id, fragment) of a comment's API address, fragments of issue comments included; null where there is none."""
+    u = F.trim(c(url))
+    review, issue = r"/pulls/comments/(\d+)(?:$|[/?#])", r"/issues/comments/(\d+)(?:-(\d+))?(?:$|[/?#])"
+
+    def reference(kind: str, pattern: str, fragment: Column) -> Column:
+        number = F.regexp_extract(u, pattern, 1)
+        return F.when(number != "", F.struct(F.lit(kind).alias("kind"), number.cast("bigint").alias("public_id"), fragment.alias("fragment")))
+
+    part = F.nullif(F.regexp_extract(u, issue, 2), F.lit("")).cast("bigint")
+    return F.coalesce(reference("review_comment", review, F.lit(None).cast("bigint")), reference("issue_comment", issue, part))
+
+
 def is_type(kind: str, user_type: Column | str = "user_type") -> Column:
     """Whether an account is of a type, whatever its case; an unknown type is none."""
     return F.coalesce(F.lower(c(user_type)) == kind, F.lit(False))

@@ -10,10 +10,10 @@ Plan = Callable[[SparkSession, str], DataFrame]
 
 
 def registry() -> dict[str, tuple[Plan, str | None]]:
-    from threadline.plans import audits, channels, cohorts, collisions, intervals, ledgers, models, nulls, primitives, sequences, survivals, texts
+    from threadline.plans import audits, channels, cohorts, collisions, files, intervals, ledgers, models, nulls, primitives, sequences, survivals, texts
 
     found: dict[str, tuple[Plan, str | None]] = {}
-    for module in (cohorts, channels, primitives, ledgers, sequences, survivals, audits, models, intervals, nulls, collisions, texts):
+    for module in (cohorts, channels, primitives, ledgers, sequences, survivals, audits, models, intervals, nulls, collisions, files, texts):
         for name, query in module.QUERIES.items():
             if name in found:
                 raise ValueError(f"two queries are named {name}")
