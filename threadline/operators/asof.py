@@ -15,13 +15,17 @@ from threadline.sources.stage import staged
 
 def asof_join(
     left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: list[str], columns: list[str],
-    direction: str = "backward", strict: bool = True, prefix: str = "prior_", tie: list[str] | None = None,
+    direction: str = "backward", strict: bool = True, prefix: str = "prior_", tie: list[str] | None = None, ranges: int = 0,
 ) -> DataFrame:
     """Every left row with prefixed ``columns`` of its nearest right row, or nulls.
 
     Strict leaves out equal times. Right rows with equal times are ordered by
     ``tie``: backward takes the last, forward the first. A left row without a
     time, and right rows without one, match nothing.
+
+    With ``ranges``, a key's rows are dealt by so many ranges of time (quantiles), so that a busy key is no single
+    task: a row that finds nothing in its range takes the nearest event of the ranges before (or after) it, which is one
+    row per key and range.
     """
     taken = F.struct(*(F.col(x).alias(x) for x in columns))
     none = F.lit(None)
@@ -32,21 +36,47 @@ def asof_join(
     query = left.filter(F.col(left_time).isNotNull()).select(*by, F.col(left_time).alias("_ts"), F.lit(0).alias("_side"), none.alias("_tie"), none.alias("_event"), row.alias("_row"))
     both = query.unionByName(event)
     backward = direction == "backward"
+    parts = [*by]
+    if ranges:
+        both, parts = _in_ranges(both, right, right_time, ranges), [*by, "_range"]
     # At equal times a strict search must not pass the events: going backward queries come first, going forward last.
     query_first = strict == backward
     side = F.col("_side") if query_first else -F.col("_side")
     order = [F.col("_ts"), side, F.col("_tie")]
-    window = Window.partitionBy(*by).orderBy(*order)
+    window = Window.partitionBy(*parts).orderBy(*order)
     if backward:
         found = F.last("_event", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
     else:
         found = F.first("_event", ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing))
     matched = both.withColumn("_found", found).filter("_side = 0")
+    if ranges:
+        matched = matched.alias("_m").join(_carried(both, by, backward).alias("_c"), [F.col(f"_m.{k}").eqNullSafe(F.col(f"_c.{k}")) for k in parts], "left")
+        matched = matched.select("_m._row", F.coalesce("_m._found", "_c._carried").alias("_found"))
     out = matched.select("_row.*", *(F.col(f"_found.{x}").alias(f"{prefix}{x}") for x in columns))
     missing = left.filter(F.col(left_time).isNull()).select("*", *(F.lit(None).cast(right.schema[x].dataType).alias(f"{prefix}{x}") for x in columns))
     return out.unionByName(missing)
 
 
+def _in_ranges(both: DataFrame, right: DataFrame, time: str, ranges: int) -> DataFrame:
+    """Rows with the number of their range of time; equal times share one."""
+    micros = F.unix_micros(F.col(time).cast("timestamp")) if dict(right.dtypes)[time].startswith(("timestamp", "date")) else F.col(time)
+    cuts = right.agg(F.percentile_approx(micros, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    at = F.unix_micros(F.col("_ts").cast("timestamp")) if dict(both.dtypes)["_ts"].startswith(("timestamp", "date")) else F.col("_ts")
+    return both.withColumn("_range", sum(((at > F.lit(x)).cast("int") for x in sorted(set(cuts))), F.lit(0)))
+
+
+def _carried(both: DataFrame, by: list[str], backward: bool) -> DataFrame:
+    """For each key and range that has rows, the last event of the key's ranges before it (going forward: the first of those after it)."""
+    event = F.when(F.col("_side") == 1, F.struct("_ts", "_tie", "_event"))
+    ends = both.groupBy(*by, "_range").agg((F.max(event) if backward else F.min(event)).alias("_end"))
+    turn = Window.partitionBy(*by).orderBy("_range")
+    if backward:
+        end = F.last("_end", ignorenulls=True).over(turn.rowsBetween(Window.unboundedPreceding, -1))
+    else:
+        end = F.first("_end", ignorenulls=True).over(turn.rowsBetween(1, Window.unboundedFollowing))
+    return ends.select(*by, "_range", end["_event"].alias("_carried"))
+
+
 def tie_counts(df: DataFrame, keys: list[str], name: str = "tie_n") -> DataFrame:
     """How many rows share each row's keys."""
     return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(*keys)))

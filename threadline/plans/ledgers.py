@@ -53,6 +53,13 @@ def q_asof(spark, d):
     return out.select("pr_id", "prior_pr_id", "prior_closed_dt")
 
 
+def q_asof_ranges(spark, d):
+    """The same by ranges of time, for keys that are too busy for one task."""
+    pr = B.pull_requests(spark, d).withColumn("half", F.col("repo_id") % 2)
+    out = asof.asof_join(pr, pr.filter(X.valid_resolution()), "created_dt", "closed_dt", ["half"], ["pr_id", "closed_dt"], tie=["pr_id"], ranges=32)
+    return out.select("pr_id", "prior_pr_id", "prior_closed_dt")
+
+
 def q_asof_loose(spark, d):
     pr = B.pull_requests(spark, d)
     out = asof.asof_join(pr, pr.filter(X.valid_resolution()), "created_dt", "closed_dt", ["repo_id"], ["pr_id", "closed_dt"], strict=False, tie=["pr_id"])
@@ -206,6 +213,7 @@ QUERIES = {
     "multi_agent_onset": (q_onset, _s("SELECT * FROM onset", B.PR_SQL + _ONSET_SQL)),
     "transition_ledger": (q_ledger, _s("SELECT pr_id, repo_id, prior_pr_id, prior_agent, switched, same_user, round(gap_hours, 6) AS gap_hours, merged_in_time, calendar_month FROM led")),
     "asof_backward_strict": (q_asof, _s("SELECT pr.pr_id, r.pr_id AS prior_pr_id, r.closed_dt AS prior_closed_dt FROM pr ASOF LEFT JOIN r ON pr.repo_id = r.repo_id AND pr.created_dt > r.closed_dt", _ASOF_SQL)),
+    "asof_busy_keys": (q_asof_ranges, _s("SELECT pr.pr_id, r.pr_id AS prior_pr_id, r.closed_dt AS prior_closed_dt FROM pr ASOF LEFT JOIN r2 r ON pr.repo_id % 2 = r.half AND pr.created_dt > r.closed_dt", _ASOF_SQL + ", r2 AS (SELECT repo_id % 2 AS half, max(pr_id) AS pr_id, closed_dt FROM pr WHERE closed_dt >= created_dt AND (merged_dt IS NULL OR merged_dt >= created_dt) GROUP BY 1, 3)")),
     "asof_backward_loose": (q_asof_loose, _s("SELECT pr.pr_id, r.pr_id AS prior_pr_id, r.closed_dt AS prior_closed_dt FROM pr ASOF LEFT JOIN r ON pr.repo_id = r.repo_id AND pr.created_dt >= r.closed_dt", _ASOF_SQL)),
     "transition_matrix": (q_matrix, _s("SELECT prior_agent, agent, count(*) AS n, round(avg(CAST(merged_in_time AS DOUBLE)), 9) AS rate, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM led GROUP BY 1, 2")),
     "transition_rates": (q_rates, _s("SELECT prior_merged_dt IS NOT NULL AS prior_merged, switched, count(*) AS n, round(avg(CAST(merged_in_time AS DOUBLE)), 9) AS rate, round(1.96::DOUBLE * sqrt(avg(CAST(merged_in_time AS DOUBLE)) * (1 - avg(CAST(merged_in_time AS DOUBLE))) / count(*)), 9) AS half_width FROM led GROUP BY 1, 2")),
