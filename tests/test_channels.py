@@ -71,6 +71,27 @@ def test_chains_and_funnel(spark):
     assert (funnel["direct_inline_reply"].share, funnel["force_push"].median_hours) == (0.5, 104.5)
 
 
+def test_other_corpus_and_given_tasks(spark):
+    import pytest
+
+    t = {
+        "pull_request": spark.createDataFrame([(1, 5, "https://github.com/O/R/", "A", 1, "Fix: a", T0, "2024-03-31T00:00:00Z"), (2, 6, "https://api.github.com/repos/o/r", "A", 1, None, T0, "2024-03-31T00:00:01Z")], "id long, number long, repo_url string, agent string, user_id long, title string, created_at string, merged_at string"),
+        "pr_task_type": spark.createDataFrame([(2, "perf", 9)], "id long, type string, confidence int"),
+    }
+    assert {(r.id, r.task_type, r.merged_30d) for r in loaders.labelled_items(t.__getitem__).collect()} == {(1, "fix", True), (2, None, False)}
+    assert [(r.id, r.title, r.task_type) for r in loaders.training_items(t.__getitem__).collect()] == [(2, "", "maintenance")]
+    p = spark.createDataFrame([(1, "docs", 0.5), (2, "fix", 0.1)], "id long, task_type string, margin double")
+    assert {(r.id, r.task_type) for r in loaders.predicted_items(t.__getitem__, p, 0.2).collect()} == {(1, "docs"), (2, None)}
+    with pytest.raises(ValueError, match="not unique"):
+        loaders.predicted_items(t.__getitem__, p.union(p))
+    pairs = spark.createDataFrame([("o/R", 5, "A", "B", dt(2024, 3, 2)), ("O/R/", 5, "A", "B", dt(2024, 3, 3)), ("o/r", 6, "A", "C", dt(2024, 3, 2))], "repo_name string, pr_number long, author_agent string, reviewer_agent string, first_review_at timestamp_ntz")
+    triggers = spark.createDataFrame([(1, "A", "B", dt(2024, 3, 1, 12)), (2, "A", "B", dt(2024, 3, 1))], "pr_id long, author_agent string, trigger_agent string, trigger_dt timestamp_ntz")
+    got = {r.pr_id: (r.exact_pair, r.any_pair, r.hours_later) for r in loaders.overlap(triggers, loaders.item_map(t.__getitem__), loaders.cross_pairs(pairs)).collect()}
+    assert got == {1: (True, True, 12.0), 2: (False, True, None)}
+    with pytest.raises(ValueError, match="one product"):
+        loaders.cross_pairs(spark.createDataFrame([("o/r", 5, "A", "A", dt(2024, 3, 2))], pairs.schema))
+
+
 def test_repositories_and_all_items(spark):
     t = {
         "all_repository": spark.createDataFrame([(2, "u", "py", 1, 2, False), (1, "u", "go", 3, 4, True), (3, "v", None, 0, 0, None)], "id long, url string, language string, stars long, forks long, is_forked boolean"),

@@ -72,6 +72,26 @@ def q_funnel(spark, d):
     return channels.channel_funnel(_chains(spark, d)).withColumns({"share": F.round("share", 9), "median_hours": F.round("median_hours", 6)})
 
 
+def q_labelled(spark, d):
+    return loaders.labelled_items(_tables(spark, d)).select("id", "task_type", "merged_30d")
+
+
+def q_training(spark, d):
+    return loaders.training_items(_tables(spark, d)).select("id", "title", "task_type", "confidence", "created_dt")
+
+
+def q_predicted(spark, d):
+    t = _tables(spark, d)
+    return loaders.predicted_items(t, t("predictions"), 0.4).select("id", "task_type", "margin", "merged_30d")
+
+
+def q_overlap(spark, d):
+    t = _tables(spark, d)
+    triggers = _triggers(spark, d).select("pr_id", "author_agent", "trigger_agent", "trigger_dt")
+    return loaders.overlap(triggers, loaders.item_map(t), loaders.cross_pairs(t("other_pairs"))).select("pr_id", "repo_name", "pr_number", "exact_pair", "any_pair", F.round("hours_later", 6).alias("hours_later"))
+
+
+_TITLED = B.CORPUS_SQL + """, ti AS (SELECT pr_id AS id, CASE pr_id % 5 WHEN 0 THEN 'feat: x' WHEN 1 THEN 'Fix(core)!: y' WHEN 2 THEN 'docs z' WHEN 3 THEN 'perf: q' END AS title, created_dt, coalesce(merged_dt >= created_dt AND merged_dt <= created_dt + INTERVAL 30 DAY, false) AS merged_30d FROM bb)"""
 _ROLE = """CASE WHEN lower(user_type) = 'user' AND lower(actor_login) = lower(author_login) THEN 'author_account' WHEN actor_agent = author_agent THEN 'author_agent_brand' WHEN actor_agent = trigger_agent THEN 'triggering_reviewer_brand'
   WHEN actor_agent IS NOT NULL THEN 'other_agent_brand' WHEN lower(user_type) = 'bot' THEN 'other_bot' WHEN lower(user_type) = 'user' THEN 'other_human' ELSE 'unknown_actor' END"""
 _EACH = " UNION ALL ".join(
@@ -88,4 +108,12 @@ QUERIES = {
     "channel_responses": (q_responses, f"{_SQL} SELECT pr_id, trigger_event_id, response_source, event_id, review_id, {_ROLE} AS role, round(hours_after, 6) AS hours_after FROM cr"),
     "channel_chains": (q_chains, f"{_SQL} SELECT pr_id, direct_inline_replies, subsequent_reviews, subsequent_pr_comments, force_push_events, d1, d2, d3, d4, d0 IS NOT NULL AS any_observable_response, merged AS merged_within_response_window FROM ch"),
     "channel_funnel": (q_funnel, f"{_SQL}, e AS ({_EACH}) SELECT channel, count(*) AS n_triggers, count(dt) AS n_answered, round(count(dt) / count(*), 9) AS share, CAST(sum(n) AS BIGINT) AS n_responses, round(median(datesub('second', trigger_dt, dt) / 3600.0), 6) AS median_hours FROM e GROUP BY 1"),
+    "labelled_items": (q_labelled, f"WITH {_TITLED} SELECT id, CASE id % 5 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 3 THEN 'perf' END AS task_type, merged_30d FROM ti"),
+    "training_items": (q_training, f"WITH {_TITLED} SELECT id, coalesce(title, '') AS title, CASE id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'maintenance' ELSE 'fix' END AS task_type, id % 10 AS confidence, created_dt FROM ti WHERE id % 4 <> 0"),
+    "predicted_items": (q_predicted, f"WITH {_TITLED} SELECT id, CASE WHEN id % 7 <> 0 AND id % 10 >= 4 THEN CASE WHEN id % 2 = 0 THEN 'docs' ELSE 'fix' END END AS task_type, CASE WHEN id % 7 <> 0 THEN CAST(id % 10 AS DOUBLE) / 10 END AS margin, merged_30d FROM ti"),
+    "corpus_overlap": (
+        q_overlap,
+        f"""{_SQL}, ot AS (SELECT pr_id, min(dt) AS seen_dt FROM ev WHERE event_type IN ('error', 'signup') AND pr_id % 3 <> 0 GROUP BY 1)
+SELECT ct.pr_id, 'own/r' || ct.pr_id % 20 AS repo_name, ct.pr_id * 3 AS pr_number, ot.pr_id IS NOT NULL AND trigger_agent <> author_agent AS exact_pair, ot.pr_id IS NOT NULL AS any_pair, round(datesub('second', trigger_dt, seen_dt) / 3600.0, 6) AS hours_later FROM ct LEFT JOIN ot USING (pr_id)""",
+    ),
 }

@@ -154,12 +154,17 @@ def corpus(spark: SparkSession, folder: str):
     inline = ev.filter(kind.isin("error", "view")).withColumn("in_reply_to_id", F.when((kind == "view") & (i % 4 != 1), F.concat(before.cast("string"), F.lit(".0"))))
     found = {
         "pull_request": first.select(
-            u.alias("id"), (u * 3).alias("number"), (u % 20).alias("repo_id"), F.concat(F.lit("https://x.org/r"), u % 20).alias("repo_url"), F.when(u % 2 == 0, "A").otherwise("B").alias("agent"),
-            F.concat(F.lit("Acct"), u % 11).alias("user"), iso(F.col("t") - F.expr("INTERVAL 1 DAY")).alias("created_at"), F.when(u % 3 != 0, iso(closed)).alias("closed_at"), F.when(u % 3 == 1, iso(closed)).alias("merged_at"),
+            u.alias("id"), (u * 3).alias("number"), (u % 20).alias("repo_id"), F.concat(F.lit("https://x.org/Own/r"), u % 20).alias("repo_url"), F.when(u % 2 == 0, "A").otherwise("B").alias("agent"),
+            F.concat(F.lit("Acct"), u % 11).alias("user"), (u % 11).alias("user_id"), F.when(u % 5 == 0, "feat: x").when(u % 5 == 1, "Fix(core)!: y").when(u % 5 == 2, "docs z").when(u % 5 == 3, "perf: q").alias("title"), iso(F.col("t") - F.expr("INTERVAL 1 DAY")).alias("created_at"), F.when(u % 3 != 0, iso(closed)).alias("closed_at"), F.when(u % 3 == 1, iso(closed)).alias("merged_at"),
         ),
         "pr_reviews": ev.filter(kind.isin("signup", "error", "view") & (i % 7 != 0)).select((i + 1000000).alias("id"), u.alias("pr_id"), i.alias("pull_request_review_id"), "user", "user_type", F.lit("COMMENTED").alias("state"), F.col("at").alias("submitted_at")),
         "pr_comments": ev.filter(kind == "click").select(i.alias("id"), u.alias("pr_id"), "user", "user_type", F.col("at").alias("created_at")),
         "pr_review_comments": inline.select(i.alias("id"), i.alias("pull_request_review_id"), "user", "user_type", "in_reply_to_id", F.col("at").alias("created_at")),
+        "pr_task_type": first.filter(u % 4 != 0).select(u.alias("id"), F.when(u % 3 == 0, "test").when(u % 3 == 1, "perf").otherwise("fix").alias("type"), (u % 10).alias("confidence")),
+        "predictions": first.filter(u % 7 != 0).select(u.alias("id"), F.when(u % 2 == 0, "docs").otherwise("fix").alias("task_type"), (u % 10 / 10.0).alias("margin")),
+        "other_pairs": ev.filter(bot & (u % 3 != 0)).select(
+            F.concat(F.lit("OWN/r"), u % 20).alias("repo_name"), (u * 3).alias("pr_number"), F.when(u % 2 == 0, "A").otherwise("B").alias("author_agent"), F.when(u % 2 == 0, "B").otherwise("A").alias("reviewer_agent"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("first_review_at"),
+        ),
         "pr_timeline": ev.filter(kind == "purchase").select(u.alias("pr_id"), F.when(i % 2 == 0, "head_ref_force_pushed").otherwise("labeled").alias("event"), F.col("user").alias("actor"), F.col("at").alias("created_at")),
     }
     return found.__getitem__
