@@ -190,6 +190,39 @@ def thresholds(df: DataFrame, values: list[float], score: Column, flag: Column,
     return arms.withColumn("difference", F.col("rate1") - F.col("rate0"))
 
 
+def star_bin(stars: Column | str) -> Column:
+    """Decades of a repository's stars; an unknown number is a bin of its own."""
+    n = F.col(stars) if isinstance(stars, str) else stars
+    return F.when(n.isNull(), "Missing").when(n < 1, "0").when(n < 10, "1–9").when(n < 100, "10–99").otherwise("100+")
+
+
+def switch_effects(transitions: DataFrame, by: str) -> DataFrame:
+    """After an outcome that was no merge, by group: how those that switched did against those that stayed, in points with 95% limits.
+
+    Groups that lack one of the two go. The limits are those of two independent shares.
+    """
+    lost, moved, won = transitions.filter(F.col("prior_merged_dt").isNull()), F.col("switched"), F.col("merged_in_time").cast("double")
+    arms = lost.groupBy(by).agg(F.count_if(~moved).alias("stay_n"), F.count_if(moved).alias("switch_n"), F.avg(F.when(~moved, won)).alias("stay_rate"), F.avg(F.when(moved, won)).alias("switch_rate")).filter("stay_n > 0 and switch_n > 0")
+    effect = F.col("switch_rate") - F.col("stay_rate")
+    error = F.sqrt(sum((F.col(f"{a}_rate") * (1 - F.col(f"{a}_rate")) / F.col(f"{a}_n") for a in ("stay", "switch")), F.lit(0.0)))
+    return arms.withColumns({"effect_pp": effect * 100, "low_pp": (effect - 1.96 * error) * 100, "high_pp": (effect + 1.96 * error) * 100})
+
+
+def chosen_threshold(validation: DataFrame, least_n: int, least_precision: float, otherwise: float) -> DataFrame:
+    """One row, candidate_threshold: the first threshold that selects enough rows at enough precision, else a given one. validation: threshold, selected_n, precision."""
+    good = F.when((F.col("selected_n") >= least_n) & (F.col("precision") >= least_precision), F.col("threshold"))
+    return validation.agg(F.coalesce(F.min(good), F.lit(float(otherwise))).alias("candidate_threshold"))
+
+
+def continuation_candidates(pairs: DataFrame, threshold: DataFrame, similarity: str = "similarity", same: tuple[str, ...] = ("same_issue", "same_title")) -> DataFrame:
+    """pairs with the chosen threshold and whether a pair may be one task: a shared reference, an equal title, or enough similarity."""
+    known = F.lit(False)
+    for flag in same:
+        known = known | F.coalesce(flag, F.lit(False))
+    joined = pairs.crossJoin(F.broadcast(threshold))
+    return joined.withColumn("continuation_candidate", known | F.coalesce(F.col(similarity) >= F.col("candidate_threshold"), F.lit(False)))
+
+
 def invariants(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows that break each rule; every rule in one pass."""
     counts = df.agg(*(F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()))

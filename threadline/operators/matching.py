@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
@@ -243,6 +243,28 @@ def concordance(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.agg(F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("only_exposed"), F.count_if(~x & y).alias("only_control"), F.count_if(~x & ~y).alias("neither"))
 
 
+def reachability(pairs: DataFrame, a: str, b: str, reachable: str) -> DataFrame:
+    """For each two positions of a pair's sides: pairs, their share, and whether both sides are where the outcome can be at all."""
+    grid = pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("pairs"))
+    total = grid.agg(F.sum("pairs").alias("_all"))
+    return grid.crossJoin(F.broadcast(total)).select(a, b, "pairs", ((F.col(a) == reachable) & (F.col(b) == reachable)).alias("both_can_ever_fire"), (F.col("pairs") / F.col("_all")).alias("share"))
+
+
+def outcome_safety(pairs: DataFrame, outcomes: dict[str, str], blind: str, anchored: str, others: list[str]) -> DataFrame:
+    """For each outcome (a counter on both sides, ``a_`` and ``b_``): positives on sides that are blind to the anchor, and pairs' sides whose only evidence is the anchored counter."""
+    def side(s: str) -> dict[str, Column]:
+        none = F.lit(True)
+        for o in others:
+            none = none & (F.col(f"{s}_{o}") == 0)
+        only = F.count_if((F.col(f"{s}_{anchored}") > 0) & none)
+        return {k: F.count_if((F.col(f"{s}_{v}") > 0) & F.col(f"{s}_{blind}")) for k, v in outcomes.items()} | {"_only": only}
+
+    a, b = side("a"), side("b")
+    row = pairs.agg(*(x.alias(f"a_{k}") for k, x in a.items()), *(x.alias(f"b_{k}") for k, x in b.items()))
+    rows = F.array(*(F.struct(F.lit(k).alias("outcome"), F.col(f"a_{k}").alias("blind_positives_a"), F.col(f"b_{k}").alias("blind_positives_b"), F.col("a__only").alias("only_anchored_a"), F.col("b__only").alias("only_anchored_b")) for k in outcomes))
+    return row.select(F.inline(rows))
+
+
 def balance(df: DataFrame, arm: str, columns: list[str], weight: str | None = None) -> DataFrame:
     """Means of both arms and their standardised difference for each column."""
     w = F.col(weight) if weight else F.lit(1.0)

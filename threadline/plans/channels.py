@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadline.functions import columns as X
-from threadline.operators import channels, cohort
-from threadline.plans.cohorts import CUTOFF
+from threadline.operators import channels, cohort, matching
+from threadline.plans.cohorts import CUTOFF, greedy_sql
 from threadline.sources import bindings as B
 from threadline.sources import loaders
 
@@ -91,6 +91,34 @@ def q_overlap(spark, d):
     return loaders.overlap(triggers, loaders.item_map(t), loaders.cross_pairs(t("other_pairs"))).select("pr_id", "repo_name", "pr_number", "exact_pair", "any_pair", F.round("hours_later", 6).alias("hours_later"))
 
 
+def _matched(spark, d):
+    """Chains of triggers by one product beside the nearest in time by the other, with counters a_ and b_."""
+    c = _chains(spark, d).withColumn("not_inline", F.col("trigger_source") != loaders.INLINE)
+    frame = c.select("pr_id", F.floor(F.col("repo_id") / 5).alias("group"), (F.col("trigger_agent") == "A").alias("arm"), "trigger_dt")
+    pairs = matching.nearest_without_replacement(frame, ["group"], "arm", "trigger_dt", "pr_id")
+    kept = ("trigger_source", "not_inline", *channels.CHANNELS.values())
+    a, b = (c.select(F.col("pr_id").alias(i), *(F.col(k).alias(f"{s}_{k}") for k in kept)) for i, s in (("exposed_id", "a"), ("control_id", "b")))
+    return pairs.join(a, "exposed_id").join(b, "control_id")
+
+
+def q_reachability(spark, d):
+    out = matching.reachability(_matched(spark, d), "a_trigger_source", "b_trigger_source", loaders.INLINE)
+    return out.withColumn("share", F.round("share", 9))
+
+
+def q_safety(spark, d):
+    names = list(channels.CHANNELS.values())
+    return matching.outcome_safety(_matched(spark, d), {n: n for n in names}, "not_inline", names[0], names[1:])
+
+
+_MATCHED = _SQL.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + greedy_sql("SELECT repo_id // 5 AS stratum, pr_id AS id, trigger_agent = 'A' AS arm, epoch_us(trigger_dt) AS t FROM ct") + """,
+cx AS (SELECT ch.*, trigger_source FROM ch JOIN ct USING (pr_id)),
+mp AS (SELECT a.trigger_source AS sa, b.trigger_source AS sb, a.direct_inline_replies AS a1, a.subsequent_reviews AS a2, a.subsequent_pr_comments AS a3, a.force_push_events AS a4, b.direct_inline_replies AS b1, b.subsequent_reviews AS b2, b.subsequent_pr_comments AS b3, b.force_push_events AS b4
+  FROM mt JOIN cx a ON a.pr_id = CAST(exposed_id AS BIGINT) JOIN cx b ON b.pr_id = CAST(control_id AS BIGINT))"""
+_SAFETY = " UNION ALL ".join(
+    f"SELECT '{name}' AS outcome, count(*) FILTER (WHERE a{k} > 0 AND sa <> 'inline_review_comment') AS blind_positives_a, count(*) FILTER (WHERE b{k} > 0 AND sb <> 'inline_review_comment') AS blind_positives_b, count(*) FILTER (WHERE a1 > 0 AND a2 + a3 + a4 = 0) AS only_anchored_a, count(*) FILTER (WHERE b1 > 0 AND b2 + b3 + b4 = 0) AS only_anchored_b FROM mp"
+    for k, name in enumerate(channels.CHANNELS.values(), 1)
+)
 _TITLED = B.CORPUS_SQL + """, ti AS (SELECT pr_id AS id, CASE pr_id % 5 WHEN 0 THEN 'feat: x' WHEN 1 THEN 'Fix(core)!: y' WHEN 2 THEN 'docs z' WHEN 3 THEN 'perf: q' END AS title, created_dt, coalesce(merged_dt >= created_dt AND merged_dt <= created_dt + INTERVAL 30 DAY, false) AS merged_30d FROM bb)"""
 _ROLE = """CASE WHEN lower(user_type) = 'user' AND lower(actor_login) = lower(author_login) THEN 'author_account' WHEN actor_agent = author_agent THEN 'author_agent_brand' WHEN actor_agent = trigger_agent THEN 'triggering_reviewer_brand'
   WHEN actor_agent IS NOT NULL THEN 'other_agent_brand' WHEN lower(user_type) = 'bot' THEN 'other_bot' WHEN lower(user_type) = 'user' THEN 'other_human' ELSE 'unknown_actor' END"""
@@ -108,6 +136,8 @@ QUERIES = {
     "channel_responses": (q_responses, f"{_SQL} SELECT pr_id, trigger_event_id, response_source, event_id, review_id, {_ROLE} AS role, round(hours_after, 6) AS hours_after FROM cr"),
     "channel_chains": (q_chains, f"{_SQL} SELECT pr_id, direct_inline_replies, subsequent_reviews, subsequent_pr_comments, force_push_events, d1, d2, d3, d4, d0 IS NOT NULL AS any_observable_response, merged AS merged_within_response_window FROM ch"),
     "channel_funnel": (q_funnel, f"{_SQL}, e AS ({_EACH}) SELECT channel, count(*) AS n_triggers, count(dt) AS n_answered, round(count(dt) / count(*), 9) AS share, CAST(sum(n) AS BIGINT) AS n_responses, round(median(datesub('second', trigger_dt, dt) / 3600.0), 6) AS median_hours FROM e GROUP BY 1"),
+    "pair_reachability": (q_reachability, f"{_MATCHED} SELECT sa AS a_trigger_source, sb AS b_trigger_source, count(*) AS pairs, sa = 'inline_review_comment' AND sb = 'inline_review_comment' AS both_can_ever_fire, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS share FROM mp GROUP BY 1, 2"),
+    "outcome_safety": (q_safety, f"{_MATCHED} {_SAFETY}"),
     "labelled_items": (q_labelled, f"WITH {_TITLED} SELECT id, CASE id % 5 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 3 THEN 'perf' END AS task_type, merged_30d FROM ti"),
     "training_items": (q_training, f"WITH {_TITLED} SELECT id, coalesce(title, '') AS title, CASE id % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'maintenance' ELSE 'fix' END AS task_type, id % 10 AS confidence, created_dt FROM ti WHERE id % 4 <> 0"),
     "predicted_items": (q_predicted, f"WITH {_TITLED} SELECT id, CASE WHEN id % 7 <> 0 AND id % 10 >= 4 THEN CASE WHEN id % 2 = 0 THEN 'docs' ELSE 'fix' END END AS task_type, CASE WHEN id % 7 <> 0 THEN CAST(id % 10 AS DOUBLE) / 10 END AS margin, merged_30d FROM ti"),

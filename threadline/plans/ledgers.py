@@ -47,6 +47,20 @@ def q_ledger(spark, d):
     return _ledger(spark, d).select("pr_id", "repo_id", "prior_pr_id", "prior_agent", "switched", "same_user", F.round("gap_hours", 6).alias("gap_hours"), "merged_in_time", "calendar_month")
 
 
+def _effects(rows, by):
+    out = ledger.switch_effects(rows, by)
+    return out.select(by, "stay_n", "switch_n", *((F.round(c, 7) + 0.0).alias(c) for c in ("stay_rate", "switch_rate", "effect_pp", "low_pp", "high_pp")))
+
+
+def q_effects_agent(spark, d):
+    return _effects(_ledger(spark, d), "agent")
+
+
+def q_effects_stars(spark, d):
+    r = F.col("repo_id")
+    return _effects(_ledger(spark, d).withColumn("star_bin", ledger.star_bin(F.when(r % 13 != 0, r * r % 211 * (r % 2)))), "star_bin")
+
+
 def q_asof(spark, d):
     pr = B.pull_requests(spark, d)
     out = asof.asof_join(pr, pr.filter(X.valid_resolution()), "created_dt", "closed_dt", ["repo_id"], ["pr_id", "closed_dt"], tie=["pr_id"])
@@ -206,6 +220,9 @@ sc AS (SELECT repo_id, failed_id, next_id AS next_pr_id, shared_files, shared_te
     coalesce(nm <= next_dt + INTERVAL 30 DAY, false) AS recovered, datesub('second', failed_dt, next_dt) / 3600.0 AS gap_hours
   FROM (SELECT *, row_number() OVER (PARTITION BY failed_id ORDER BY next_dt, next_id) AS k, count(*) OVER (PARTITION BY failed_id, next_dt) AS candidate_n FROM g) WHERE k = 1)"""
 )
+_EFFECTS = """SELECT {0}, a AS stay_n, b AS switch_n, round(p, 7) + 0.0 AS stay_rate, round(q, 7) + 0.0 AS switch_rate, round((q - p) * 100, 7) + 0.0 AS effect_pp, round((q - p - 1.96::DOUBLE * se) * 100, 7) + 0.0 AS low_pp, round((q - p + 1.96::DOUBLE * se) * 100, 7) + 0.0 AS high_pp
+FROM (SELECT *, sqrt(p * (1 - p) / a + q * (1 - q) / b) AS se FROM (SELECT {1} AS {0}, count(*) FILTER (WHERE NOT switched) AS a, count(*) FILTER (WHERE switched) AS b, avg(CAST(merged_in_time AS DOUBLE)) FILTER (WHERE NOT switched) AS p, avg(CAST(merged_in_time AS DOUBLE)) FILTER (WHERE switched) AS q
+  FROM led WHERE prior_merged_dt IS NULL GROUP BY 1) WHERE a > 0 AND b > 0)"""
 _ASOF_SQL = B.PR_SQL + f", r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, closed_dt ORDER BY pr_id DESC) AS k FROM pr WHERE {_VALID}) WHERE k = 1)"
 
 QUERIES = {
@@ -213,6 +230,8 @@ QUERIES = {
     "multi_agent_onset": (q_onset, _s("SELECT * FROM onset", B.PR_SQL + _ONSET_SQL)),
     "transition_ledger": (q_ledger, _s("SELECT pr_id, repo_id, prior_pr_id, prior_agent, switched, same_user, round(gap_hours, 6) AS gap_hours, merged_in_time, calendar_month FROM led")),
     "asof_backward_strict": (q_asof, _s("SELECT pr.pr_id, r.pr_id AS prior_pr_id, r.closed_dt AS prior_closed_dt FROM pr ASOF LEFT JOIN r ON pr.repo_id = r.repo_id AND pr.created_dt > r.closed_dt", _ASOF_SQL)),
+    "switch_effects_by_agent": (q_effects_agent, _s(_EFFECTS.format("agent", "agent"))),
+    "switch_effects_by_stars": (q_effects_stars, _s(_EFFECTS.format("star_bin", "CASE WHEN repo_id % 13 = 0 THEN 'Missing' WHEN repo_id * repo_id % 211 * (repo_id % 2) < 1 THEN '0' WHEN repo_id * repo_id % 211 * (repo_id % 2) < 10 THEN '1–9' WHEN repo_id * repo_id % 211 * (repo_id % 2) < 100 THEN '10–99' ELSE '100+' END"))),
     "asof_busy_keys": (q_asof_ranges, _s("SELECT pr.pr_id, r.pr_id AS prior_pr_id, r.closed_dt AS prior_closed_dt FROM pr ASOF LEFT JOIN r2 r ON pr.repo_id % 2 = r.half AND pr.created_dt > r.closed_dt", _ASOF_SQL + ", r2 AS (SELECT repo_id % 2 AS half, max(pr_id) AS pr_id, closed_dt FROM pr WHERE closed_dt >= created_dt AND (merged_dt IS NULL OR merged_dt >= created_dt) GROUP BY 1, 3)")),
     "asof_backward_loose": (q_asof_loose, _s("SELECT pr.pr_id, r.pr_id AS prior_pr_id, r.closed_dt AS prior_closed_dt FROM pr ASOF LEFT JOIN r ON pr.repo_id = r.repo_id AND pr.created_dt >= r.closed_dt", _ASOF_SQL)),
     "transition_matrix": (q_matrix, _s("SELECT prior_agent, agent, count(*) AS n, round(avg(CAST(merged_in_time AS DOUBLE)), 9) AS rate, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM led GROUP BY 1, 2")),

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from threadline.functions import replies as R
 from threadline.functions import text as T
-from threadline.operators import learn, textmatch
+from threadline.operators import ledger, learn, textmatch
 from threadline.sources import bindings as B
 from threadline.sources.tables import read_table
 
@@ -83,6 +83,18 @@ def q_jaccard(spark, d):
     return p.select("left_id", "right_id", F.round(T.jaccard(a, b), 9).alias("jaccard"), F.size(F.array_intersect(a, b)).cast("bigint").alias("shared"))
 
 
+def q_candidates(spark, d):
+    """Successive turns that may be one task: a threshold validated on who writes them, then equal texts or enough shared words."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = _turns(spark, d).select("row", "conv_id", "turn", "role", T.tokens("text").alias("ts"), T.normalise("text").alias("title"))
+    p = c.select("row", "role", F.lag("role").over(w).alias("before"), "ts", F.lag("ts").over(w).alias("tb"), "title", F.lag("title").over(w).alias("title_before"), (F.col("conv_id") % 9 == 0).alias("same_issue")).filter("before is not null")
+    pairs = p.select("row", "role", "before", F.round(T.jaccard(F.col("tb"), F.col("ts")), 9).alias("similarity"), "same_issue", ((F.col("title") == F.col("title_before")) & (F.col("title") != "")).alias("same_title"))
+    labelled = pairs.withColumn("label", (F.col("before") == "user").cast("int"))
+    found = textmatch.precision_recall(labelled, "similarity", "label", [0.02, 0.05, 0.1, 0.2]).select("threshold", (F.col("tp") + F.col("fp")).alias("selected_n"), "precision")
+    out = ledger.continuation_candidates(pairs, ledger.chosen_threshold(found, 10, 0.45, 0.7))
+    return out.groupBy("role", "continuation_candidate").agg(F.count(F.lit(1)).alias("n"), F.max("candidate_threshold").alias("threshold"), F.round(F.median("similarity"), 7).alias("median_similarity"))
+
+
 def _cosines(spark, d):
     p = _pairs(spark, d).select("left_id", "right_id")
     w = textmatch.tfidf(_turns(spark, d), "row", textmatch.word_grams("text", 2))
@@ -169,6 +181,15 @@ QUERIES = {
     "title_tasks": (q_titles, "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'feat' WHEN 1 THEN 'fix' WHEN 2 THEN 'docs' WHEN 3 THEN 'chore' WHEN 5 THEN 'fix' END AS task, CAST(o_orderkey AS VARCHAR) AS first_issue FROM orders"),
     "page_titles": (q_pages, "SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title, len(regexp_extract_all(html, '<a href=')) AS n_links FROM pages"),
     "token_jaccard": (q_jaccard, f"WITH {_TURNS} SELECT left_id, right_id, round(coalesce(CAST(len(list_intersect(list_distinct(a), list_distinct(b))) AS DOUBLE) / nullif(len(list_distinct(list_concat(a, b))), 0), 0.0), 9) AS jaccard, len(list_intersect(list_distinct(a), list_distinct(b))) AS shared FROM pp"),
+    "continuation_candidates": (
+        q_candidates,
+        f"""WITH c AS (SELECT conv_id, turn, role, {_NORM} AS title, list_distinct(regexp_extract_all({_NORM}, '{T.TOKEN}')) AS ts FROM conversations),
+p AS (SELECT *, lag(role) OVER w AS before, lag(ts) OVER w AS tb, lag(title) OVER w AS title_before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+q AS (SELECT role, before, conv_id % 9 = 0 OR coalesce(title = title_before AND title <> '', false) AS same, round(coalesce(CAST(len(list_intersect(ts, tb)) AS DOUBLE) / nullif(len(list_distinct(list_concat(ts, tb))), 0), 0.0), 9) AS s FROM p WHERE before IS NOT NULL),
+v AS (SELECT t, count(*) AS n, avg(CASE WHEN before = 'user' THEN 1.0 ELSE 0.0 END) AS precision FROM q, (SELECT unnest([0.02::DOUBLE, 0.05, 0.1, 0.2]) AS t) WHERE s >= t GROUP BY 1),
+h AS (SELECT coalesce(min(t) FILTER (WHERE n >= 10 AND precision >= 0.45), 0.7::DOUBLE) AS threshold FROM v)
+SELECT role, same OR s >= threshold AS continuation_candidate, count(*) AS n, max(threshold) AS threshold, round(median(s), 7) AS median_similarity FROM q, h GROUP BY 1, 2""",
+    ),
     "tfidf_cosine": (q_tfidf, f"WITH {_TFIDF} SELECT pp.left_id, pp.right_id, round(coalesce(c, 0.0), 7) AS cosine FROM pp LEFT JOIN co USING (left_id, right_id)"),
     "title_similarity_blend": (q_blend, None),
     "repeated_texts": (q_repeated, f"SELECT sha256({_NORM}) AS digest, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 2"),
