@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadline.functions.columns import HAZARD_DAYS, after, seconds
+from threadline.sources.stage import staged
 from threadline.stats.resample import drawn_times
 
 
@@ -133,7 +134,7 @@ def incidence_draws(changes: DataFrame, states: dict[str, tuple[int, ...]], grid
 
 def incidence_bands(changes: DataFrame, states: dict[str, tuple[int, ...]], grid: list[float], draws: int = 2000, level: float = 0.95) -> DataFrame:
     """state, cell, days, incidence with low and high: pointwise quantiles of the curves of all draws."""
-    tail = (1 - level) / 2
+    changes, tail = staged(changes), (1 - level) / 2
     drawn = incidence_draws(changes, states, grid, draws).groupBy("state", "cell").agg(F.percentile("incidence", F.lit(tail)).alias("low"), F.percentile("incidence", F.lit(1 - tail)).alias("high"))
     return incidence_states(changes, states, grid).join(drawn, ["state", "cell"]).select("state", "cell", "days", "incidence", "low", "high")
 
