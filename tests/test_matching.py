@@ -85,3 +85,30 @@ def test_pairs_in_caliper_are_all(spark):
     df = spark.createDataFrame(rows, "id long, cell string, a double, b double, c double, o double")
     got = {(r.exposed_id, r.control_id) for r in matching.pairs_in_caliper(df, df, ["cell"], ["a", "b", "c"], "id", 0.7).collect()}
     assert got == {(x[0], y[0]) for x in rows for y in rows if x[0] != y[0] and x[1] == y[1] and sum((x[k] - y[k]) ** 2 for k in (2, 3, 4)) ** 0.5 <= 0.7}
+
+
+def test_reachability_and_safety_of_pairs(spark):
+    rows = [("in", "in", False, False, 1, 0, 0, 2), ("in", "out", False, True, 1, 3, 1, 1), ("in", "in", False, False, 0, 1, 0, 0), ("out", "in", True, False, 2, 0, 1, 0)]
+    df = spark.createDataFrame(rows, "pa string, pb string, a_blind boolean, b_blind boolean, a_x long, a_y long, b_x long, b_y long")
+    grid = {(r.pa, r.pb): (r.pairs, r.share, r.both_can_ever_fire) for r in matching.reachability(df, "pa", "pb", "in").collect()}
+    assert grid == {("in", "in"): (2, 0.5, True), ("in", "out"): (1, 0.25, False), ("out", "in"): (1, 0.25, False)}
+    got = {r.outcome: tuple(r)[1:] for r in matching.outcome_safety(df, {"x": "x", "y": "y"}, "blind", "x", ["y"]).collect()}
+    assert got == {"x": (1, 1, 2, 1), "y": (0, 1, 2, 1)}
+
+
+def test_effects_of_switching_and_candidates(spark):
+    from threadline.operators import ledger
+
+    rows = [("p", False, True, None)] * 3 + [("p", False, False, None), ("p", True, True, None), ("p", True, False, None), ("p", True, False, DAY0), ("q", True, True, None)]
+    t = spark.createDataFrame(rows, "agent string, switched boolean, merged_in_time boolean, prior_merged_dt timestamp_ntz")
+    (r,) = ledger.switch_effects(t, "agent").collect()
+    error = (0.75 * 0.25 / 4 + 0.5 * 0.5 / 2) ** 0.5
+    assert (r.agent, r.stay_n, r.switch_n, r.stay_rate, r.switch_rate, r.effect_pp) == ("p", 4, 2, 0.75, 0.5, -25.0)
+    assert abs(r.low_pp - (-25 - 196 * error)) < 1e-9 and abs(r.high_pp - (-25 + 196 * error)) < 1e-9
+    stars = spark.createDataFrame([(None,), (0,), (1,), (9,), (10,), (99,), (100,)], "s long").select(ledger.star_bin("s")).collect()
+    assert [x[0] for x in stars] == ["Missing", "0", "1–9", "1–9", "10–99", "10–99", "100+"]
+    v = spark.createDataFrame([(0.1, 300, 0.4), (0.2, 250, 0.5), (0.3, 220, 0.9), (0.4, 10, 1.0)], "threshold double, selected_n long, precision double")
+    chosen = ledger.chosen_threshold(v, 200, 0.45, 0.7)
+    assert chosen.first()[0] == 0.2 and ledger.chosen_threshold(v, 400, 0.45, 0.7).first()[0] == 0.7
+    pairs = spark.createDataFrame([(1, 0.2, False, None), (2, 0.1, True, False), (3, None, None, True), (4, 0.19, False, False)], "i int, similarity double, same_issue boolean, same_title boolean")
+    assert {r.i: r.continuation_candidate for r in ledger.continuation_candidates(pairs, chosen).collect()} == {1: True, 2: True, 3: True, 4: False}
