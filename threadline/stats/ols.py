@@ -43,7 +43,7 @@ class Fit:
     def contrast(self, weights: dict[str, float]) -> tuple[float, float]:
         """A linear combination and its standard error."""
         w = np.array([weights.get(k, 0.0) for k in self.names])
-        return float(w @ self.beta), float(np.sqrt(w @ self.cov @ w))
+        return float(w @ self.beta), float(np.sqrt(max(w @ self.cov @ w, 0.0)))
 
 
 def chi_square_tail(value: float, df: int) -> float:
