@@ -81,6 +81,18 @@ def test_complete_cases_in_all_fits(spark):
     assert a.keys() == b.keys() and all(math.isclose(a[k], b[k]) for k in a)
 
 
+def test_selections_in_one_pass_as_fits_of_their_own(spark):
+    df = spark.createDataFrame([*rows(4), (1.0, "p", 1, None, 1, 1.0), (1.0, None, 1, 0.5, None, 1.0)], SCHEMA)
+    x = {"x": F.col("x"), "b": F.col("b")}
+    keep = {"all": F.lit(True), "p": F.col("a") == "p", "few": F.col("g") < 4, "none": F.lit(False)}
+    found = ols.reestimates(df, "y", x, "g", keep)
+    assert list(found) == ["all", "p", "few"]
+    for name, fit in found.items():
+        own = ols.ols(df.filter(keep[name]), "y", x, "g")
+        assert (fit.n, fit.clusters) == (own.n, own.clusters) and np.allclose(fit.beta, own.beta) and np.allclose(fit.cov, own.cov)
+    assert ols.reestimates(df.limit(0), "y", x, "g", keep) == {}
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_two_effects_absorbed_as_by_dummies(spark, few):
     data = rows(3, 90)

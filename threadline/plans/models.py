@@ -43,6 +43,15 @@ def q_complete(spark, d):
     return _terms(spark, ols.ols(_gaps(spark, d), "y", {"x": F.col("x"), "z": F.col("z")}, "cluster"))
 
 
+def q_reestimates(spark, d):
+    """The effect over all rows and without those that a rule flags."""
+    z, x = F.col("z"), F.col("x")
+    keep = {"all": F.lit(True), "without_short": z > 5.5, "without_long_exposed": ~((x == 1) & (z > 8.5)), "other_sources": F.col("cluster") != "src1"}
+    fits = ols.reestimates(_gaps(spark, d), "y", {"x": x}, "cluster", keep)
+    rows = [(name, t, round(b, 7) + 0.0, round(s, 7) + 0.0, f.n, f.clusters) for name, f in fits.items() for t, b, s in f.table()]
+    return spark.createDataFrame(rows, "selection string, term string, estimate double, std_error double, n bigint, clusters bigint")
+
+
 def q_fe_complete(spark, d):
     flat = ols.demean(_gaps(spark, d), ["y", "x"], "cluster")
     return _terms(spark, ols.ols(flat, "y", {"x": F.col("x")}, "cluster", intercept=False))
@@ -300,6 +309,15 @@ SELECT 'x' AS term, round(any_value(b1), 7) AS estimate, round(sqrt(sum(s * s) /
     "fixed_effects_by_dummies": (q_dummies, f"WITH {B.LABELLED_SQL}, m AS (SELECT y - avg(y) OVER (PARTITION BY cluster) AS y, x - avg(x) OVER (PARTITION BY cluster) AS x FROM frame) SELECT 'x' AS term, round(sum(x * y) / sum(x * x), 7) AS estimate FROM m"),
     "ols_with_control": (q_control, _two_sql("frame")),
     "ols_complete_cases": (q_complete, _two_sql("gaps")),
+    "reestimates": (
+        q_reestimates,
+        f"""WITH {B.LABELLED_SQL}, {_GAPS}, f AS (SELECT y, x, cluster, s.selection FROM gaps, (VALUES ('all'), ('without_short'), ('without_long_exposed'), ('other_sources')) s(selection) WHERE y IS NOT NULL AND x IS NOT NULL AND cluster IS NOT NULL
+  AND CASE s.selection WHEN 'all' THEN true WHEN 'without_short' THEN z > 5.5 WHEN 'without_long_exposed' THEN NOT (x = 1 AND z > 8.5) ELSE cluster <> 'src1' END),
+g AS (SELECT selection, CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy, count(DISTINCT cluster) AS k FROM f GROUP BY 1), b AS (SELECT *, n * sxx - sx * sx AS det, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) AS b0 FROM g),
+s AS (SELECT selection, cluster, sum(y - b0 - b1 * x) AS s0, sum(x * (y - b0 - b1 * x)) AS s1 FROM f JOIN b USING (selection) GROUP BY 1, 2),
+v AS (SELECT selection, sum(((sxx * s0 - sx * s1) / det) ** 2) AS v0, sum(((n * s1 - sx * s0) / det) ** 2) AS v1, any_value(k / (k - 1.0::DOUBLE) * (n - 1) / (n - 2)) AS scale FROM s JOIN b USING (selection) GROUP BY 1)
+SELECT selection, 'const' AS term, round(b0, 7) + 0.0 AS estimate, round(sqrt(v0 * scale), 7) + 0.0 AS std_error, CAST(n AS BIGINT) AS n, k AS clusters FROM b JOIN v USING (selection) UNION ALL SELECT selection, 'x', round(b1, 7) + 0.0, round(sqrt(v1 * scale), 7) + 0.0, CAST(n AS BIGINT), k FROM b JOIN v USING (selection)""",
+    ),
     "fixed_effects_complete_cases": (q_fe_complete, _FE_GAPS),
     "logit_one_exposure": (q_logit_one, _LOGIT_ONE),
     "design_interactions": (q_design, _CELLS),

@@ -197,6 +197,39 @@ def ols(df: DataFrame, y: str, x: dict[str, Column], cluster: str, weight: str |
     return Fit(list(x), beta, scale * inverse @ meat @ inverse, n, g)
 
 
+def reestimates(df: DataFrame, y: str, x: dict[str, Column], cluster: str, keep: dict[str, Column]) -> dict[str, Fit]:
+    """The same least squares on several selections of the rows (by name, a condition), in one pass of Gram sums and one of scores for all of them.
+
+    A row counts for each selection that it meets; one whose condition is null is in none. Selections without a row have no fit.
+    """
+    x = {"const": F.lit(1.0)} | x
+    k = len(x)
+    flags = F.filter(F.array(*(F.when(c, F.lit(name)) for name, c in keep.items())), lambda v: v.isNotNull())
+    values = F.array(*(c.cast("double") for c in x.values()))
+    base = df.select(F.col(y).cast("double").alias("y"), F.col(cluster).alias("g"), values.alias("x"), flags.alias("in"))
+    rows = complete(base, "y", "g").filter(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))).select("y", "g", "x", F.explode("in").alias("name"))
+    c = [F.col("x")[i] for i in range(k)]
+    flat = [c[i] * c[j] for i in range(k) for j in range(k)] + [c[i] * F.col("y") for i in range(k)]
+    betas, inverses, sizes = {}, {}, {}
+    for r in rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(f) for f in flat)).alias("s")).collect():
+        s = np.array(r.s)
+        inverses[r.name] = np.linalg.pinv(s[: k * k].reshape(k, k))
+        betas[r.name], sizes[r.name] = inverses[r.name] @ s[k * k :], r.n
+    if not betas:
+        return {}
+    table = F.create_map(*(v for name, b in betas.items() for v in (F.lit(name), F.array(*(F.lit(float(t)) for t in b)))))
+    beta = table[F.col("name")]
+    residual = F.col("y") - sum((c[i] * beta[i] for i in range(k)), F.lit(0.0))
+    scores = rows.groupBy("name", "g").agg(*(F.sum(residual * c[i]).alias(f"s{i}") for i in range(k)))
+    t = [F.col(f"s{i}") for i in range(k)]
+    found = {}
+    for r in scores.groupBy("name").agg(F.count(F.lit(1)).alias("g"), F.array(*(F.sum(t[i] * t[j]) for i in range(k) for j in range(k))).alias("m")).collect():
+        n, g, inverse = sizes[r.name], r.g, inverses[r.name]
+        scale = g / max(g - 1, 1) * (n - 1) / max(n - k, 1)
+        found[r.name] = Fit(list(x), betas[r.name], scale * inverse @ np.array(r.m).reshape(k, k) @ inverse, n, g)
+    return {name: found[name] for name in keep if name in found}
+
+
 def logit(df: DataFrame, y: str, x: dict[str, Column], cluster: str, rounds: int = 25, tolerance: float = 1e-10) -> Fit:
     """Logistic regression by reweighted least squares: a Gram sum for each round."""
     x = {"const": F.lit(1.0)} | x
