@@ -93,6 +93,21 @@ def test_selections_in_one_pass_as_fits_of_their_own(spark):
     assert ols.reestimates(df.limit(0), "y", x, "g", keep) == {}
 
 
+def test_moderation_as_refits(spark):
+    df = spark.createDataFrame(rows(6), SCHEMA)
+    a, b, others = F.col("a") == "p", F.col("a") == "q", {"x": F.col("x")}
+    got = {(r["check"], r.detail): r for r in ols.moderation(df, "y", a, b, others, "g", ["b", "g"]).collect()}
+    names = {"a": a.cast("double"), "b": b.cast("double"), "x": F.col("x")}
+    estimate, error = ols.ols(df, "y", names, "g").contrast({"a": 1.0, "b": -1.0})
+    r = got["primary", "g"]
+    assert math.isclose(r.estimate, estimate) and math.isclose(r.low, estimate - 1.959963984540054 * error) and r.n == 240
+    refits = [ols.ols(df.filter(F.col("b") != k), "y", names, "g").contrast({"a": 1.0, "b": -1.0})[0] for k in range(4)]
+    r = got["leave_one_out", "b"]
+    assert np.allclose((r.estimate, r.low, r.high), (np.median(refits), min(refits), max(refits)))
+    within = ols.ols(ols.demean(df.withColumns(names), ["y", "x"], "g"), "y", {"x": F.col("x")}, "g", intercept=False)
+    assert within.n == 240 and {k for k, _ in got} == {"primary", "fixed_effects", "leave_one_out"}
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_two_effects_absorbed_as_by_dummies(spark, few):
     data = rows(3, 90)

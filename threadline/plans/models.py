@@ -73,6 +73,14 @@ def q_design(spark, d):
     return _terms(spark, _crossed(spark, d)[1])
 
 
+def q_moderation(spark, d):
+    """Whether two languages' lengths differ, and whether one source or third of the documents carries it."""
+    docs = B.read_table(spark, d, "documents", ["doc_id", "lang", "n_chars", "source"]).filter("lang is not null")
+    df = docs.select(F.log1p(F.col("n_chars").cast("double")).alias("y"), "lang", "source", (F.col("doc_id") % 3).alias("third"))
+    out = ols.moderation(df, "y", F.col("lang") == "en", F.col("lang") == "fr", {}, "source", ["third", "source"])
+    return out.select("check", "detail", *((F.round(c, 7) + 0.0).alias(c) for c in ("estimate", "low", "high")), "n")
+
+
 def q_wald(spark, d):
     plan, fit = _crossed(spark, d)
     rows = [(t, *fit.wald(plan.joint(t)), fit.rank, fit.n) for t in plan.terms if t != "const"]
@@ -322,6 +330,22 @@ SELECT selection, 'const' AS term, round(b0, 7) + 0.0 AS estimate, round(sqrt(v0
     "logit_one_exposure": (q_logit_one, _LOGIT_ONE),
     "design_interactions": (q_design, _CELLS),
     "wald_terms": (q_wald, None),
+    "moderation_robustness": (
+        q_moderation,
+        """WITH f AS (SELECT ln(1 + CAST(n_chars AS DOUBLE)) AS y, CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS a, CASE WHEN lang = 'fr' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS b, source, doc_id % 3 AS third FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL AND source IS NOT NULL AND doc_id IS NOT NULL),
+z AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(DISTINCT source) AS k, sum(a * y) / sum(a) AS ma, sum(b * y) / sum(b) AS mb, sum((1 - a - b) * y) / sum(1 - a - b) AS m0, sum(a) AS na, sum(b) AS nb FROM f),
+i AS (SELECT source, sum(a * (y - ma)) / any_value(na) - sum(b * (y - mb)) / any_value(nb) AS i FROM f, z GROUP BY 1),
+pr AS (SELECT ma - mb AS e, sqrt((SELECT sum(i * i) FROM i) * k / (k - 1.0::DOUBLE) * (n - 1) / (n - 3)) AS se FROM z),
+d AS (SELECT source, y - avg(y) OVER w AS y, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b FROM f WINDOW w AS (PARTITION BY source)),
+s AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by_ FROM d), c AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ea, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS eb, aa * bb - ab * ab AS det FROM s),
+g AS (SELECT source, sum(a * (y - ea * a - eb * b)) AS sa, sum(b * (y - ea * a - eb * b)) AS sb FROM d, c GROUP BY 1), j AS (SELECT sum((((bb + ab) * sa - (aa + ab) * sb) / det) ** 2) AS v FROM g, c),
+fe AS (SELECT ea - eb AS e, sqrt(v * k / (k - 1.0::DOUBLE) * (n - 1) / (n - 2)) AS se FROM c, j, z),
+lo AS (SELECT detail, (ta - ya) / (tn - na) - (tb - yb) / (tm - nb) AS d FROM (SELECT *, sum(ya) OVER w AS ta, sum(na) OVER w AS tn, sum(yb) OVER w AS tb, sum(nb) OVER w AS tm FROM (
+  SELECT u.k AS detail, u.v AS grp, sum(a * y) AS ya, sum(a) AS na, sum(b * y) AS yb, sum(b) AS nb FROM (SELECT *, unnest([{'k': 'third', 'v': CAST(third AS VARCHAR)}, {'k': 'source', 'v': source}]) AS u FROM f) GROUP BY 1, 2) WINDOW w AS (PARTITION BY detail)) WHERE tn > na AND tm > nb)
+SELECT 'primary' AS "check", 'source' AS detail, round(e, 7) + 0.0 AS estimate, round(e - 1.959963984540054 * se, 7) + 0.0 AS low, round(e + 1.959963984540054 * se, 7) + 0.0 AS high, CAST(n AS BIGINT) AS n FROM pr, z
+UNION ALL SELECT 'fixed_effects', 'source', round(e, 7) + 0.0, round(e - 1.959963984540054 * se, 7) + 0.0, round(e + 1.959963984540054 * se, 7) + 0.0, CAST(n AS BIGINT) FROM fe, z
+UNION ALL SELECT 'leave_one_out', detail, round(median(d), 7) + 0.0, round(min(d), 7) + 0.0, round(max(d), 7) + 0.0, CAST(any_value(n) AS BIGINT) FROM lo, z GROUP BY detail""",
+    ),
     "leave_one_cluster_out_ols": (q_loo, f"WITH {B.LABELLED_SQL} SELECT c.cluster, round(regr_slope(f.y, f.x), 7) AS estimate FROM (SELECT DISTINCT cluster FROM frame) c JOIN frame f ON f.cluster <> c.cluster GROUP BY 1"),
     "logit_clustered": (q_logit, None),
     "overlap_weighting": (q_overlap, None),

@@ -282,3 +282,29 @@ def overlap_weights(df: DataFrame, exposure: str, x: dict[str, Column], cluster:
     eta = sum((c.cast("double") * float(b) for c, b in zip(({"const": F.lit(1.0)} | x).values(), fit.beta, strict=True)), F.lit(0.0))
     scored = df.withColumn("score", 1 / (1 + F.exp(-eta)))
     return scored.withColumn("overlap_weight", F.when(F.col(exposure).cast("double") == 1.0, 1 - F.col("score")).otherwise(F.col("score")))
+
+
+def moderation(df: DataFrame, y: str, a: Column, b: Column, others: dict[str, Column], cluster: str, groups: list[str], z: float = 1.959963984540054) -> DataFrame:
+    """check, detail, estimate, low, high, n of the difference of two effects, a less b: as fitted, within clusters, and without each group in turn.
+
+    Fits without a group are downdated from one pass of sums by group, never refitted; their row has the median and the
+    extremes. A group without which one of the effects has no row is left out of them.
+    """
+    x = {"a": a.cast("double"), "b": b.cast("double"), **others}
+    held = {f"_{k}": v.cast("double") for k, v in x.items()}
+    whole = complete(df.withColumns(held), y, cluster, *held, *groups)
+    names = {k: F.col(k) for k in held}
+    less = {"_a": 1.0, "_b": -1.0}
+    found = []
+    for check, fit in (("primary", ols(whole, y, names, cluster)), ("fixed_effects", ols(demean(whole, [y, *held], cluster), y, names, cluster, intercept=False))):
+        estimate, error = fit.contrast(less)
+        found.append((check, cluster, estimate, estimate - z * error, estimate + z * error, fit.n))
+    n = found[0][-1]
+    fixed = df.sparkSession.createDataFrame(found, "check string, detail string, estimate double, low double, high double, n bigint")
+    for g in groups:
+        has = whole.groupBy(g).agg(F.sum("_a").alias("na"), F.sum("_b").alias("nb"))
+        total = has.agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+        able = has.crossJoin(F.broadcast(total)).filter((F.col("ta") > F.col("na")) & (F.col("tb") > F.col("nb"))).select(g)
+        d = leave_one_out(whole, y, names, g).join(able, g).select((F.col("_a") - F.col("_b")).alias("d"))
+        fixed = fixed.unionByName(d.agg(F.lit("leave_one_out").alias("check"), F.lit(g).alias("detail"), F.percentile("d", F.lit(0.5)).alias("estimate"), F.min("d").alias("low"), F.max("d").alias("high"), F.lit(n).cast("bigint").alias("n")))
+    return fixed
