@@ -20,7 +20,8 @@ Each document is searched by itself, so nothing is shuffled:
    merge into a run.
 
 All but the last step is linear in the stretch. A document's words, its tree and
-places are in one task; documents are taken by slices of bounded bytes.
+places are in one task; documents are taken by slices of bounded bytes. A stretch's
+tree takes a few hundred bytes a word while it is searched.
 
 Defined results: null or empty text, or one without words, has no run and empty
 collapsed text; equal words are the same words, whatever the case. Repeated rows
