@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from threadline.functions import text as T
+from threadline.operators import textmatch
 from threadline.plans.texts import QUERIES
 
 PAGES = ["<title>a &amp; b&amp</title>", "<title>x &amp;lt; &lt;b&gt; &quot;q&quot; &#39;s&#39;&nbsp;&copy; &am</title><a href=", "no title", "<title></title>", None]
@@ -19,3 +26,29 @@ def test_page_titles_cut_inside_a_reference(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == sorted(con.execute(sql).fetchall())
     assert got[0][1] == "a & b&amp"
+
+
+def test_blend_plan_is_small(spark):
+    """The table of references is no part of the plan that the driver holds for each step."""
+    plan = QUERIES["title_similarity_blend"][0](spark, "/root/testdata/sf0.001")
+    assert len(plan._jdf.queryExecution().toString()) < 200_000
+    assert plan.count() == plan.select("left_id", "right_id").distinct().count()
+
+
+def test_tfidf_counts_within_rows_without_moving_grams(spark):
+    """Texts are dealt by their row; of the exchanges under the weights none deals grams by row and gram."""
+    df = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "row bigint, text string")
+    weights = textmatch.tfidf(df, "row", textmatch.word_grams("text", 1))
+    assert "hashpartitioning(row#" in (plan := weights._jdf.queryExecution().executedPlan().toString())
+    assert not re.search(r"hashpartitioning\(row#\d+L, gram#\d+", plan)
+    got = {(r.row, r.gram): r.weight for r in weights.collect()}
+    x, y = (1 + math.log(2)) * (math.log(4 / 2) + 1), math.log(4 / 3) + 1
+    assert set(got) == {(1, "a"), (1, "b"), (2, "b"), (2, "c")}
+    assert got[1, "a"] == pytest.approx(x / math.hypot(x, y))
+
+
+def test_char_runs_of_several_sizes(spark):
+    df = spark.createDataFrame([("Ab  cde",), ("",), (None,)], "text string")
+    one = df.select(textmatch.char_runs(T.normalise("text"), 3, 4).alias("x"), F.concat(textmatch.char_grams("text", 3), textmatch.char_grams("text", 4)).alias("y")).collect()
+    assert all(r.x == r.y for r in one)
+    assert one[0].x == [" ab", "ab ", " cd", "cde", "de ", " ab ", " cde", "cde "] and one[1].x == []
