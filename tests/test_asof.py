@@ -33,3 +33,18 @@ def test_numbers_as_times(spark):
     b = spark.createDataFrame([(10, "a", 4.0), (11, "a", 5.0), (12, "a", 20.0)], "e int, k string, u double")
     got = {r.i: r.prior_e for r in asof.asof_join(a, b, "t", "u", ["k"], ["e"], ranges=3).collect()}
     assert got == {1: 10, 2: 12, 3: None}
+
+
+@pytest.mark.parametrize("ranges", [0, 4])
+@pytest.mark.parametrize("strict", [True, False])
+def test_forward_takes_the_next_event_without_reading_all_later_ones_for_each_row(spark, strict, ranges):
+    """A frame up to the last row is read anew for every row, so a busy key took time with the square of its rows."""
+    left = [(i, i % 2, i * 7 % 41) for i in range(60)]
+    right = [(100 + i, i % 2, i * 5 % 37) for i in range(50)]
+    found = asof.asof_join(spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "e int, k int, at int"), "t", "at", ["k"], ["e", "at"], direction="forward", strict=strict, prefix="next_", tie=["e"], ranges=ranges)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {}
+    for i, k, t in left:
+        later = [(at, e) for e, kk, at in right if kk == k and (at > t if strict else at >= t)]
+        want[i] = min(later)[::-1] if later else (None, None)
+    assert {r.id: (r.next_e, r.next_at) for r in found.collect()} == want

@@ -42,12 +42,10 @@ def asof_join(
     # At equal times a strict search must not pass the events: going backward queries come first, going forward last.
     query_first = strict == backward
     side = F.col("_side") if query_first else -F.col("_side")
-    order = [F.col("_ts"), side, F.col("_tie")]
+    # Forward reads the rows the other way round: a frame that grows is kept up, one that shrinks is read anew for every row.
+    order = [x if backward else x.desc() for x in (F.col("_ts"), side, F.col("_tie"))]
     window = Window.partitionBy(*parts).orderBy(*order)
-    if backward:
-        found = F.last("_event", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        found = F.first("_event", ignorenulls=True).over(window.rowsBetween(1, Window.unboundedFollowing))
+    found = F.last("_event", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
     matched = both.withColumn("_found", found).filter("_side = 0")
     if ranges:
         matched = matched.alias("_m").join(_carried(both, by, backward).alias("_c"), [F.col(f"_m.{k}").eqNullSafe(F.col(f"_c.{k}")) for k in parts], "left")
@@ -69,11 +67,8 @@ def _carried(both: DataFrame, by: list[str], backward: bool) -> DataFrame:
     """For each key and range that has rows, the last event of the key's ranges before it (going forward: the first of those after it)."""
     event = F.when(F.col("_side") == 1, F.struct("_ts", "_tie", "_event"))
     ends = both.groupBy(*by, "_range").agg((F.max(event) if backward else F.min(event)).alias("_end"))
-    turn = Window.partitionBy(*by).orderBy("_range")
-    if backward:
-        end = F.last("_end", ignorenulls=True).over(turn.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        end = F.first("_end", ignorenulls=True).over(turn.rowsBetween(1, Window.unboundedFollowing))
+    turn = Window.partitionBy(*by).orderBy("_range" if backward else F.desc("_range"))
+    end = F.last("_end", ignorenulls=True).over(turn.rowsBetween(Window.unboundedPreceding, -1))
     return ends.select(*by, "_range", end["_event"].alias("_carried"))
 
 
