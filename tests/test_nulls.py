@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import re
 import zipfile
 
 import numpy as np
@@ -132,3 +133,12 @@ def test_zipped_csv_and_rows_beside(spark, tmp_path):
     assert [tuple(r) for r in got] == [(1, "x, y"), (2, None), (3, "é")]
     one = tables.beside(spark.range(1).select(F.lit(1).alias("a")), spark.range(1).select(F.lit("z").alias("b"))).collect()
     assert [tuple(r) for r in one] == [(1, "z")]
+
+
+def test_draws_of_an_order_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    """Tasks were as many as the rows before the draws need, so that one sorted very many of them."""
+    monkeypatch.setattr(nulls, "TASK_ROWS", 100)
+    df = spark.createDataFrame([(i % 5, i, "user_account" if i % 7 == 0 else "other_bot") for i in range(60)], "item int, o int, state string").repartition(2, "item")
+    for out in (nulls.reordered_transitions(df, "item", "o", "state", 20), nulls.walk_steps(df, 20)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(item#\d+, 13\)", plan) and not re.search(r"hashpartitioning\(item#\d+, draw#", plan)

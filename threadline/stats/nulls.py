@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadline.sources.stage import staged
+
 
 def hashed_unit(draw: Column, row: Column) -> Column:
     """A number in [0, 1) of a draw and a row: the first 32 bits of md5("draw:row")."""
@@ -109,10 +111,25 @@ def sign_flips(df: DataFrame, contrast: str, row_id: str, draws: int = 1000) ->
     return each.groupBy("draw").agg(F.avg(F.when(kept, F.col("v")).otherwise(-F.col("v"))).alias("estimate"))
 
 
+#: Rows of all draws that a task sorts.
+TASK_ROWS = 2_000_000
+
+
+def _drawn_by_item(rows: DataFrame, draws: int) -> DataFrame:
+    """rows (item and more) once for each draw from 0 on, an item's draws where its rows are.
+
+    Draws make rows many, but only where they are sorted: rows are written and dealt before that, to as many tasks
+    as all draws need, since by the bytes that are dealt Spark would take far fewer.
+    """
+    whole = staged(rows)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() * (draws + 1) // TASK_ROWS))
+    return whole.repartition(tasks, "item").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws).cast("bigint"))))
+
+
 def reordered_transitions(df: DataFrame, item: str, order: str, state: str, draws: int = 100, end: str = "end") -> DataFrame:
     """state, next_state, observed share, mean and 95% limits of shares had each item's states come in any order."""
     rows = df.select(F.col(item).alias("item"), F.col(order).alias("o"), F.col(state).alias("state"))
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws).cast("bigint"))))
+    each = _drawn_by_item(rows, draws)
     at = F.when(F.col("draw") > 0, hashed_unit(F.col("draw"), F.concat_ws("/", F.col("item").cast("string"), F.col("o").cast("string")))).otherwise(F.lit(0.0))
     follows = F.coalesce(F.lead("state").over(Window.partitionBy("item", "draw").orderBy(at, "o")), F.lit(end))
     counts = each.withColumn("next_state", follows).groupBy("draw", "state", "next_state").agg(F.count(F.lit(1)).alias("n"))
@@ -144,7 +161,7 @@ def walk_steps(rows: DataFrame, draws: int, max_step: int = MAX_STEP) -> DataFra
     The steps of an item are its states of automation; a step is followed by whatever comes next. Draws order an item's
     rows by a hash, so sequences are sorted in Spark and never gathered.
     """
-    each = rows.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws).cast("bigint"))))
+    each = _drawn_by_item(rows, draws)
     at = F.when(F.col("draw") > 0, hashed_unit(F.col("draw"), F.concat_ws("/", F.col("item").cast("string"), F.col("o").cast("string")))).otherwise(F.lit(0.0))
     turn = Window.partitionBy("item", "draw").orderBy(at, "o")
     so_far = turn.rowsBetween(Window.unboundedPreceding, 0)
