@@ -8,10 +8,11 @@ import zipfile
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadline.operators import ledger, textmatch
 from threadline.sources import tables
-from threadline.stats import density, nulls
+from threadline.stats import density, nulls, resample
 
 
 def unit(draw, row):
@@ -142,3 +143,26 @@ def test_draws_of_an_order_are_dealt_to_as_many_tasks_as_they_need(spark, monkey
     for out in (nulls.reordered_transitions(df, "item", "o", "state", 20), nulls.walk_steps(df, 20)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert re.search(r"hashpartitioning\(item#\d+, 13\)", plan) and not re.search(r"hashpartitioning\(item#\d+, draw#", plan)
+
+
+@pytest.mark.parametrize("ones", [0, 1, 17, 39, 40])
+def test_lowest_ranked_sorts_no_stratum_and_takes_the_same_rows(spark, ones):
+    """Every stratum was sorted in every draw, in one task."""
+    rows = spark.createDataFrame([(i % 2, i, ones, float(i * i)) for i in range(80)], "s int, i int, ones bigint, v double")
+    rank = F.pmod(F.xxhash64("i", "draw"), F.lit(8))
+    # The second ranking has many rows in each range.
+    for place in (rank, F.floor(rank / 4)):
+        got = {r.draw: r.v for r in nulls.lowest_ranked(rows, F.sequence(F.lit(1), F.lit(6)), rank, place, {"v": F.sum("v")}).collect()}
+        want = {}
+        for r in rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumn("k", F.row_number().over(Window.partitionBy("s", "draw").orderBy(rank, "i"))).filter("k <= ones").collect():
+            want[r.draw] = want.get(r.draw, 0.0) + r.v
+        assert got == want
+
+
+def test_permutation_test_counts_draws_that_tie(spark):
+    """Every draw of this frame has the same sum but for rounding; by the order of its terms it did or did not count."""
+    rows = [(i, i % 3, 1.0 if i < 30 else 0.0, 0.1) for i in range(90)]
+    got = resample.permutation_test(spark.createDataFrame(rows, "i int, s int, x double, r double"), "s", F.col("x"), F.col("r"), 40, 1, "i").first()
+    assert got.p == 1.0 and got.observed == pytest.approx(3.0) and got.null_mean == pytest.approx(3.0)
+    empty = resample.permutation_test(spark.createDataFrame([], "i int, s int, x double, r double"), "s", F.col("x"), F.col("r"), 40, 1, "i").first()
+    assert empty.observed == 0.0 and empty.null_mean is None and empty.p == 1.0

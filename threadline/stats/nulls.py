@@ -52,6 +52,28 @@ def _estimates(rows: DataFrame, drawn: DataFrame, k: int) -> DataFrame:
     return spark.createDataFrame(out, kind)
 
 
+#: Ranges of the hashed rank by which rows are counted.
+BINS = 256
+
+
+def lowest_ranked(rows: DataFrame, draws: Column, rank: Column, place: Column, sums: dict[str, Column]) -> DataFrame:
+    """draw and sums over the ``ones`` rows of lowest (rank, i) of each stratum s, in each draw. rows: s, i, ones and more.
+
+    No stratum is sorted: rows are added up by ``place``, one of ``BINS`` ranges of the rank, map-side. Ranges below
+    the last row that is wanted count whole; of the range it lies in alone, rows are ranked.
+    """
+    each = rows.withColumn("draw", F.explode(draws)).withColumn("place", place)
+    parts = staged(each.groupBy("s", "draw", "place").agg(F.max("ones").alias("ones"), F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in sums.items())))
+    before = Window.partitionBy("s", "draw").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = parts.withColumn("need", F.col("ones") - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    cut = placed.filter("need > 0 and n > need").groupBy("s").agg(F.map_from_entries(F.collect_list(F.struct("draw", F.struct("place", "need")))).alias("cut"))
+    split = rows.join(cut, "s").select(*rows.columns, F.explode("cut").alias("draw", "at")).filter(place == F.col("at.place"))
+    turn = F.row_number().over(Window.partitionBy("s", "draw").orderBy(rank, "i"))
+    some = split.withColumn("turn", turn).filter(F.col("turn") <= F.col("at.need")).groupBy("draw").agg(*(v.alias(k) for k, v in sums.items()))
+    whole = placed.filter("n <= need").select("draw", *sums)
+    return whole.unionByName(some).groupBy("draw").agg(*(F.sum(k).alias(k) for k in sums))
+
+
 def permuted_anchors(df: DataFrame, y: str, anchored: str, eligible: Column, controls: list[str], stratum: str, row_id: str, draws: int = 200) -> DataFrame:
     """draw, estimate; draw 0 is observed. Which eligible rows are anchored is shuffled within strata.
 
@@ -64,12 +86,12 @@ def permuted_anchors(df: DataFrame, y: str, anchored: str, eligible: Column, con
     sizes = rows.filter("e").groupBy("s").agg(F.sum("x").cast("bigint").alias("ones"), F.count(F.lit(1)).alias("n")).filter("ones > 0 and ones < n")
     loose = rows.filter("e").join(sizes.select("s", "ones"), "s")
     fixed = rows.join(sizes.select("s", F.lit(True).alias("varies")), "s", "left").filter("varies is null or not e").withColumn("on", F.col("x"))
-    each = loose.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(draws).cast("bigint"))))
-    place = F.row_number().over(Window.partitionBy("s", "draw").orderBy(hashed_unit(F.col("draw"), F.col("i")), "i"))
-    shuffled = each.withColumn("on", place <= F.col("ones")).groupBy("draw").agg(*_moments(k))
-    base = fixed.agg(*_moments(k)).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(draws).cast("bigint"))))
-    seen = rows.withColumn("on", F.col("x")).agg(*_moments(k)).withColumn("draw", F.lit(0).cast("bigint"))
     names = ["xx", "xy", *(f"x{i}" for i in range(k))]
+    unit = hashed_unit(F.col("draw"), F.col("i"))
+    every = F.sequence(F.lit(1).cast("bigint"), F.lit(draws).cast("bigint"))
+    shuffled = lowest_ranked(loose.withColumn("on", F.lit(1.0)), every, unit, F.floor(unit * BINS), dict(zip(names, _moments(k), strict=True)))
+    base = fixed.agg(*_moments(k)).withColumn("draw", F.explode(every))
+    seen = rows.withColumn("on", F.col("x")).agg(*_moments(k)).withColumn("draw", F.lit(0).cast("bigint"))
     drawn = shuffled.unionByName(base).unionByName(seen).groupBy("draw").agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names))
     return _estimates(rows, drawn, k)
 

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadline.stats.nulls import lowest_ranked
+
 def cluster_sums(df: DataFrame, cluster: str, numerator: Column, denominator: Column) -> DataFrame:
     return df.groupBy(cluster).agg(F.sum(numerator.cast("double")).alias("num"), F.sum(denominator.cast("double")).alias("den"))
 
@@ -109,15 +111,17 @@ def permutation_test(df: DataFrame, stratum: str, exposure: Column, residual: Co
     """observed, null_mean, null_sd, p of Σ exposure·residual, shuffling exposure within strata.
 
     A draw orders a stratum's rows by a hash of (draw, row) and hands its
-    exposures out in that order, so strata are sorted in Spark and never gathered.
+    exposures out in that order; only rows near the last one are sorted.
     """
-    from pyspark.sql.window import Window
-
     rows = df.select(F.col(stratum).alias("s"), F.col(row_id).alias("i"), exposure.cast("double").alias("x"), residual.cast("double").alias("r")).filter("x is not null and r is not null")
-    sizes = rows.groupBy("s").agg(F.sum("x").cast("bigint").alias("ones"))
-    each = rows.join(sizes, "s").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    place = F.row_number().over(Window.partitionBy("s", "draw").orderBy(F.xxhash64("i", "draw", F.lit(seed)), "i"))
-    stats = each.withColumn("picked", place <= F.col("ones")).groupBy("draw").agg(F.sum(F.when(F.col("picked"), F.col("r")).otherwise(0.0)).alias("stat"))
     observed = rows.agg(F.sum(F.col("x") * F.col("r"))).first()[0]
+    sizes = rows.groupBy("s").agg(F.sum("x").cast("bigint").alias("ones"))
+    rank = F.xxhash64("i", "draw", F.lit(seed))
+    # The rank's first byte: 256 ranges of it.
+    drawn = lowest_ranked(rows.join(sizes, "s"), F.sequence(F.lit(1), F.lit(draws)), rank, F.shiftright(rank, 56), {"stat": F.sum("r")})
+    none = df.sparkSession.range(1, draws + 1 if observed is not None else 1).select(F.col("id").cast("int").alias("draw"), F.lit(0.0).alias("stat"))
+    stats = drawn.unionByName(none).groupBy("draw").agg(F.sum("stat").alias("stat"))
     seen = F.lit(float(observed or 0.0))
-    return stats.agg(seen.alias("observed"), F.avg("stat").alias("null_mean"), F.stddev_samp("stat").alias("null_sd"), ((F.count_if(F.abs("stat") >= F.abs(seen)) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    # A draw that ties with what was seen counts, in whatever order its terms were added up.
+    beyond = F.count_if(F.abs("stat") >= F.abs(seen) - 1e-9 * F.greatest(F.abs(seen), F.lit(1.0)))
+    return stats.agg(seen.alias("observed"), F.avg("stat").alias("null_mean"), F.stddev_samp("stat").alias("null_sd"), ((beyond + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
