@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from threadline.operators import collisions
+from threadline.plans.collisions import QUERIES
 from threadline.stats import nulls
 
 T0 = datetime(2024, 5, 1)
@@ -52,6 +53,17 @@ def test_packets_hide_who_and_swap_sides(spark):
     assert {r.field: (r.records, r.marked, r.cut) for r in collisions.packet_counts(long).collect()} == {"body": (1, 0, 1), "diff_hunk": (1, 1, 0), "any": (1, 1, 1)}
 
 
+def test_pairs_without_texts(spark):
+    """Texts were part of every row that was sorted on the way to the pairs, also for queries that show none."""
+    strict = collisions.strict_comments(comments(spark))
+    wide, narrow = (collisions.collision_pairs(x) for x in (strict, strict.drop("body", "diff_hunk")))
+    kept = [c for c in wide.columns if not c.endswith(("_body", "_diff_hunk"))]
+    assert narrow.columns == kept and narrow.collect() == wide.select(*kept).collect()
+    for name in ("collision_pairs", "packet_keys", "blinded_packets", "packet_counts"):
+        plan = QUERIES[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert all("diff_hunk" not in line for line in plan.splitlines() if " Sort [" in line or "Exchange " in line)
+
+
 def test_rarity_against_frozen_shares(spark):
     rows = [("g", k, 1, "-") for k in "aab"] + [("g", "a", 2, "new"), ("g", "b", 2, "new"), ("g", "c", 2, "old"), ("g", None, 2, "old"), ("h", "a", 2, "new")]
     out = collisions.mean_rarity(spark.createDataFrame(rows, "g string, k string, t int, r string"), "g", "k", F.col("t") < 2, "r").collect()

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from threadline.functions.replies import packet_text
 
 PLACE = ("pr_id", "commit_id", "path", "position")
+#: The texts of a packet: two sides, each with its comment and the context it was made in, and their limits.
+LIMITS = {"body": 2500, "diff_hunk": 1500}
 
 
 def unambiguous(reviews: DataFrame) -> DataFrame:
@@ -67,9 +69,10 @@ def collision_pairs(strict: DataFrame) -> DataFrame:
     """At each place the first comment and the first one by another product, by time, then id.
 
     The first comment of another product than the first one's is the second of the products' first comments; so a place
-    is a row per product before it is one row, however many comments it has.
+    is a row per product before it is one row, however many comments it has. Texts may be left out of strict and be
+    added to the pairs, so that what is sorted stays narrow.
     """
-    sides = ("comment_dt", "event_id", "product", "actor_login", "review_id", "body", "diff_hunk")
+    sides = ("comment_dt", "event_id", "product", "actor_login", "review_id", *(c for c in LIMITS if c in strict.columns))
     of_product = strict.groupBy(*PLACE, "repo_id", "closed_dt", F.col("product").alias("_p")).agg(F.min(F.struct(*sides)).alias("c"), F.count(F.lit(1)).alias("n"))
     of_place = of_product.groupBy(*PLACE, "repo_id", "closed_dt").agg(F.array_sort(F.collect_list("c")).alias("c"), F.sum("n").alias("n_comments"), F.count(F.lit(1)).alias("n_products")).filter("n_products >= 2")
     a, b = F.get("c", F.lit(0)), F.get("c", F.lit(1))
@@ -86,10 +89,6 @@ def collision_pairs(strict: DataFrame) -> DataFrame:
     )
 
 
-#: The texts of a packet: two sides, each with its comment and the context it was made in, and their limits.
-LIMITS = {"body": 2500, "diff_hunk": 1500}
-
-
 def _swapped(seed: int) -> Column:
     """Whether a record shows its second side first: half of them, by a hash."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "record_id")), 1, 2), 16, 10).cast("int") % 2 == 1
