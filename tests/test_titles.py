@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadline.functions import text as T
-from threadline.operators import textmatch
+from threadline.operators import learn, textmatch
 from threadline.plans.texts import QUERIES
 
 PAGES = ["<title>a &amp; b&amp</title>", "<title>x &amp;lt; &lt;b&gt; &quot;q&quot; &#39;s&#39;&nbsp;&copy; &am</title><a href=", "no title", "<title></title>", None]
@@ -52,3 +52,15 @@ def test_char_runs_of_several_sizes(spark):
     one = df.select(textmatch.char_runs(T.normalise("text"), 3, 4).alias("x"), F.concat(textmatch.char_grams("text", 3), textmatch.char_grams("text", 4)).alias("y")).collect()
     assert all(r.x == r.y for r in one)
     assert one[0].x == [" ab", "ab ", " cd", "cde", "de ", " ab ", " cde", "cde "] and one[1].x == []
+
+
+def test_classifier_counts_grams_once(spark, monkeypatch):
+    """Grams were made anew from whole texts in every pass of every fold's fit."""
+    df = learn.with_grams(spark.createDataFrame([(i, f"{'der die das' if i % 2 else 'the of and'} {i % 3}", "de" if i % 2 else "en", str(i // 2 % 8)) for i in range(40)], "doc_id int, text string, lang string, source string"), "text", 1)
+    fitted = []
+    fit = learn.fit_classifier
+    monkeypatch.setattr(learn, "fit_classifier", lambda train, *more: fitted.append(train) or fit(train, *more))
+    out = learn.cross_validated(df, "lang", F.col("source"), 2)
+    assert fitted and all("regexp" not in x._jdf.queryExecution().optimizedPlan().toString() for x in fitted)
+    got = out.collect()
+    assert len(got) == 40 and all(r.predicted == r.lang for r in got)

@@ -11,15 +11,25 @@ from pyspark.sql import functions as F
 
 from threadline.operators.asof import running_sum
 from threadline.operators.textmatch import word_grams
+from threadline.sources.stage import staged
 
 
 def with_grams(df: DataFrame, text: str, longest: int = 2) -> DataFrame:
     return df.withColumn("grams", word_grams(text, longest))
 
 
-def fit_classifier(df: DataFrame, label: str, features: int = 1 << 14) -> PipelineModel:
-    """TF-IDF of grams into a regularised logistic regression; ``features`` bounds the model."""
-    stages = [StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip"), HashingTF(inputCol="grams", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_label", regParam=0.01, maxIter=30)]
+FEATURES = 1 << 14
+
+
+def counted(features: int = FEATURES) -> HashingTF:
+    """How often a row has each gram, by the gram's hash."""
+    return HashingTF(inputCol="grams", outputCol="_tf", numFeatures=features)
+
+
+def fit_classifier(df: DataFrame, label: str, features: int = FEATURES) -> PipelineModel:
+    """TF-IDF of grams into a regularised logistic regression; ``features`` bounds the model. Grams that are counted already are taken as they are."""
+    count = [] if "_tf" in df.columns else [counted(features)]
+    stages = [StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip"), *count, IDF(inputCol="_tf", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_label", regParam=0.01, maxIter=30)]
     return Pipeline(stages=stages).fit(df)
 
 
@@ -52,8 +62,12 @@ def temporal_split(df: DataFrame, time: str, share: float = 0.8) -> DataFrame:
 
 
 def cross_validated(df: DataFrame, label: str, group: Column, k: int = 5) -> DataFrame:
-    """Every row predicted by a model that saw none of its group."""
-    marked = df.withColumn("fold", fold(group, k))
+    """Every row predicted by a model that saw none of its group.
+
+    Grams are made and counted once, and the counts written: they are the same for every fold, and fitting reads them
+    several times.
+    """
+    marked = staged(counted().transform(df.withColumn("fold", fold(group, k))).drop("grams"))
     out = None
     for i in range(k):
         train, test = marked.filter(F.col("fold") != i), marked.filter(F.col("fold") == i)
