@@ -123,3 +123,13 @@ def test_medians_by_hand(spark):
     assert (r.n_true, r.n_false) == (26, 14)
     assert r.difference == np.median([v for _, a, v in rows[:40] if a]) - np.median([v for _, a, v in rows[:40] if not a])
     assert np.allclose((r.low, r.high), np.quantile(d, [0.025, 0.975]))
+
+
+def test_medians_deal_units_before_they_are_drawn(spark):
+    """All draws of all units were made in as few tasks as the units' bytes need."""
+    rows = spark.createDataFrame([("m", i % 2 == 0, float(i), i) for i in range(20)], "k string, arm boolean, v double, u int")
+    out = intervals.median_difference(rows, ["k"], "arm", "v", "u", 30)
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    assert f", {n})" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "REPARTITION_BY_NUM" in plan
+    (r,) = out.collect()
+    assert (r.n_true, r.n_false, r.median_true, r.median_false, r.difference) == (10, 10, 9.0, 10.0, -1.0)

@@ -108,7 +108,9 @@ def median_difference(rows: DataFrame, keys: list[str], arm: str, value: str, un
     plain = known.groupBy(*keys).agg(
         F.count_if(on).alias("n_true"), F.count_if(off).alias("n_false"), F.percentile(F.when(on, v), half).alias("median_true"), F.percentile(F.when(off, v), half).alias("median_false")
     )
-    histogram = with_draws(known, "_unit", draws).groupBy(*keys, "draw", "_arm").agg(F.percentile("_v", half, F.col("times")).alias("m"))
+    # Draws make rows many: units are dealt before that, to more tasks than their few bytes would get.
+    dealt = known.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_unit")
+    histogram = with_draws(dealt, "_unit", draws).groupBy(*keys, "draw", "_arm").agg(F.percentile("_v", half, F.col("times")).alias("m"))
     both = histogram.groupBy(*keys, "draw").agg((F.max(F.when(on, F.col("m"))) - F.max(F.when(off, F.col("m")))).alias("d"))
     tail = (1 - level) / 2
     bands = both.groupBy(*keys).agg(F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(1 - tail)).alias("high"))
