@@ -1,6 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
-Each match of the split pattern is merged on its own. A segment tree over its
+Each match of the split pattern is merged on its own. Of at most ``SHORT`` bytes
+the ranks of neighbouring pairs are a list whose least is looked up for each
+merge. Of a longer match a segment tree over its
 byte positions holds, at leaf i, the rank of the pair that starts at i and the
 position itself; the root is the leftmost pair of least rank. A merge changes
 three leaves (the pair, its swallowed right part and the left neighbour), each
@@ -33,6 +35,8 @@ from threadline.llm.common import SLICE, slices
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Matches kept with their ids in one Python worker; the memory is bounded, the result does not depend on it.
 MEMO = 300_000
+#: Bytes of a match up to which a look through all its pairs for each merge is cheaper than a tree.
+SHORT = 64
 _NONE = 1 << 62
 
 
@@ -47,6 +51,24 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
+    return merge_short(piece, ranks) if len(piece) <= SHORT else merge_long(piece, ranks)
+
+
+def merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    rank = ranks.get
+    cuts = list(range(len(piece) + 1))
+    pairs = [rank(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) != _NONE:
+        i = pairs.index(least)
+        del pairs[i], cuts[i + 1]
+        if i < len(pairs):
+            pairs[i] = rank(piece[cuts[i] : cuts[i + 2]], _NONE)
+        if i:
+            pairs[i - 1] = rank(piece[cuts[i - 1] : cuts[i + 1]], _NONE)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     n = len(piece)
     size = 1 << (n - 1).bit_length()
     tree = [_NONE] * (2 * size)
