@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -47,6 +48,25 @@ def test_tfidf_counts_within_rows_without_moving_grams(spark):
     assert got[1, "a"] == pytest.approx(x / math.hypot(x, y))
 
 
+def test_blend_moves_no_grams_of_rows(spark, tmp_path, monkeypatch):
+    """Each gram of each row went through the shuffles of weights, lengths and pairs; now blocks have theirs once, with the same cosines."""
+    monkeypatch.setattr(textmatch, "BLOCK", 300)
+    monkeypatch.setattr(textmatch, "HELD", 40)
+    texts = ["the cat sat on the mat", "the cat ran, the dog sat", None, "", "x", "naïve \U0001f600 café café", "the mat", "café x the cat 0-1", "b", "  the   cat  "]
+    rows = [(k, t, texts[(k * 7 + t * 3) % len(texts)]) for k in range(40) for t in range(1, 1 + k % 4)] + [(3, 2, "a copy of a row"), (5, 2, "the cat sat"), (None, 1, "no id"), (None, 2, "no id")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, text string").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row"), "conv_id", "turn", T.normalise("text").alias("normalised"))
+    pairs = turns.alias("a").join(turns.alias("b"), F.expr("a.conv_id = b.conv_id and a.turn + 1 = b.turn")).select(F.col("a.row").alias("left_id"), F.col("b.row").alias("right_id")).unionByName(spark.createDataFrame([(3001, 3001), (3001, -1), (3001, None)], "left_id bigint, right_id bigint"))
+    kinds = {"words": (textmatch.WordRuns(2), 1), "chars": (textmatch.CharRuns(3, 4, 5), 2), "rare": (textmatch.WordRuns(1), 3)}
+    found = [textmatch.cosines(pairs, turns, "left_id", "right_id", "row", "normalised", kinds, near) for near in (None, F.floor(F.col("right_id") / 2500))]
+    words = F.regexp_extract_all("normalised", F.lit(T.TOKEN), F.lit(0))
+    for name, grams, least in (("words", textmatch.word_runs(words, 2), 1), ("chars", textmatch.char_runs("normalised", 3, 4, 5), 2), ("rare", textmatch.word_runs(words, 1), 3)):
+        want = textmatch.cosine(pairs, textmatch.tfidf(turns, "row", grams, least), "left_id", "right_id", "row").select("left_id", "right_id", F.round("cosine", 9))
+        want = Counter(map(tuple, want.collect()))
+        assert all(want == Counter(map(tuple, got.select("left_id", "right_id", F.round(name, 9)).collect())) for got in found)
+    plan = QUERIES["title_similarity_blend"][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(gram" not in plan and "hashpartitioning(row" not in plan
+
+
 def test_char_runs_of_several_sizes(spark):
     df = spark.createDataFrame([("Ab  cde",), ("",), (None,)], "text string")
     one = df.select(textmatch.char_runs(T.normalise("text"), 3, 4).alias("x"), F.concat(textmatch.char_grams("text", 3), textmatch.char_grams("text", 4)).alias("y")).collect()
